@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules
+from . import chat_format, decontaminate, quality_rules, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,5 +75,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES: dict[str, Query] = {"op3_quality_rules": op3_quality_rules, "op7_chat_format": op7_chat_format}
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_chat_format": OP7_SQL}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), 4)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, -1 AS item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents
+  UNION ALL SELECT -1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
+g AS (
+  SELECT DISTINCT doc_id, item_id, unnest(list_transform(range(1, greatest(length(words) - 3, 1)), lambda i: words[i:i+4])) AS gram
+  FROM w WHERE length(words) >= 5),
+n AS (SELECT item_id, count(*) AS n_item FROM g WHERE item_id >= 0 GROUP BY item_id),
+h AS (
+  SELECT d.doc_id, i.item_id, count(*) AS n_shared FROM g AS i JOIN g AS d ON d.gram = i.gram
+  WHERE i.item_id >= 0 AND d.item_id < 0 GROUP BY ALL)
+SELECT doc_id, h.item_id, n_item, n_shared FROM h JOIN n ON n.item_id = h.item_id WHERE 10 * n_shared >= 8 * n_item
+"""
+
+QUERIES: dict[str, Query] = {"op3_quality_rules": op3_quality_rules, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_decontaminate": OP9_SQL}
