@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import in_pieces
 
-LABELLED, POOL = 6000, 6000
+LABELLED, POOL = 12000, 6000
 ROUNDS, EACH = 3, 300
 DIM, META_DIM = 1 << 16, 1 << 10
-#: Words whose presence tells the classes apart; chosen by the size of their log-odds in standard errors.
-FEATURES, SURE = 500, 4.0
+#: Words whose presence tells the classes apart: log-odds of at least TELLING, and SURE standard errors from nothing.
+FEATURES, SURE, TELLING = 2000, 3.0, 1.5
 SEED = 6
+#: Bytes of a longer word that stand for its stem.
+STEM = 6
 
 _DROP = b".,;:!?\"'()"
 _SYMBOLS = b"#*$%&|<>"
@@ -57,15 +59,16 @@ class Model(NamedTuple):
 
 
 def text_features(text: str | None) -> tuple[set[bytes], list[float]]:
-    """Distinct lower-case words, and shares: capitals, symbols, exclamations, repeats, repeated lines, length, word length."""
+    """Distinct lower-case words and stems, and shares: capitals, symbols, exclamations, repeats, repeated lines, length, word length."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.translate(None, _DROP).lower().split()
     distinct = set(words)
+    stems = {b"^" + w[:STEM] for w in distinct if len(w) > STEM}
     n = max(len(words), 1)
     shouted = sum(map(bytes.isupper, raw.split()))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
-    return distinct, [
+    return distinct | stems, [
         shouted / n,
         min(symbols / n, 2.0),
         min(raw.count(b"!") / n, 2.0),
@@ -115,13 +118,13 @@ def _rows(lists: list, dense: list) -> _Rows:
 
 
 def _telling(rows: _Rows, y: np.ndarray, dim: int) -> np.ndarray:
-    """A mask over features: those whose presence differs between the classes by ``SURE`` standard errors, FEATURES at most."""
+    """A mask over the FEATURES features, at most, whose presence tells the classes apart best."""
     of = np.repeat(y, np.diff(rows.ptr))
     good, bad = np.bincount(rows.ids, of, dim), np.bincount(rows.ids, 1 - of, dim)
     n1, n0 = y.sum() + 1, (1 - y).sum() + 1
     odds = np.log((good + 0.5) / (n1 - good + 0.5)) - np.log((bad + 0.5) / (n0 - bad + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (good + 0.5) + 1 / (bad + 0.5))
-    z[good + bad < 3] = 0
+    z[(good + bad < 3) | (np.abs(odds) < TELLING)] = 0
     kept = z >= SURE
     if kept.sum() > FEATURES:
         kept &= z >= np.partition(z, -FEATURES)[-FEATURES]
@@ -130,7 +133,9 @@ def _telling(rows: _Rows, y: np.ndarray, dim: int) -> np.ndarray:
 
 def fit_view(rows: _Rows, y: np.ndarray, dim: int, steps: int = 250, ridge: float = 2e-4) -> View:
     """Logistic regression by Adam on all rows, classes weighted alike."""
-    mask = _telling(rows, y, dim).astype(float)
+    mask = _telling(rows, y, dim)
+    inside = np.concatenate([[0], np.cumsum(mask[rows.ids])])
+    rows = _Rows(rows.ids[mask[rows.ids]], inside[rows.ptr], rows.dense)  # the others keep weight zero
     counts = np.diff(rows.ptr)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     params = np.zeros(dim + rows.dense.shape[1] + 1)
@@ -138,7 +143,7 @@ def fit_view(rows: _Rows, y: np.ndarray, dim: int, steps: int = 250, ridge: floa
     for t in range(1, steps + 1):
         v = View(params[:dim], params[dim:-1], params[-1])
         error = weight * (1 / (1 + np.exp(-np.clip(rows.margin(v), -30, 30))) - y)
-        grad = np.concatenate([np.bincount(rows.ids, np.repeat(error, counts), dim) * mask, rows.dense.T @ error, [error.sum()]])
+        grad = np.concatenate([np.bincount(rows.ids, np.repeat(error, counts), dim), rows.dense.T @ error, [error.sum()]])
         grad[:-1] += ridge * params[:-1]
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         params = params - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, pii, quality_rules, simhash
+from . import chat_format, decontaminate, pii, quality_classifier, quality_rules, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ FROM f
 """
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
@@ -103,5 +107,5 @@ h AS (
 SELECT doc_id, h.item_id, n_item, n_shared FROM h JOIN n ON n.item_id = h.item_id WHERE 10 * n_shared >= 8 * n_item
 """
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op3_quality_rules": op3_quality_rules, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op3_quality_rules": op3_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_decontaminate": OP9_SQL}
