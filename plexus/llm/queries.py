@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, pii, quality_classifier, quality_rules, simhash
+from . import chat_format, decontaminate, language_id, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(docs, pii.disclosures(docs))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask_of("base")).cast("long")) != 0
@@ -113,5 +117,5 @@ h AS (
 SELECT doc_id, h.item_id, n_item, n_shared FROM h JOIN n ON n.item_id = h.item_id WHERE 10 * n_shared >= 8 * n_item
 """
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_decontaminate": OP9_SQL}
