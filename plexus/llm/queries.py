@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash
+from . import chat_format, decontaminate, language_id, lm_score, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,13 @@ FROM f
 """
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    rows = lm_score.score(docs, docs.where(~held))
+    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
@@ -117,5 +124,5 @@ h AS (
 SELECT doc_id, h.item_id, n_item, n_shared FROM h JOIN n ON n.item_id = h.item_id WHERE 10 * n_shared >= 8 * n_item
 """
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_lm_score": op4_lm_score, "op5_language_id": op5_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_decontaminate": OP9_SQL}
