@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, lm_score, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash
+from . import chat_format, decontaminate, language_id, lm_score, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH w AS (
   SELECT doc_id, -1 AS item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents
@@ -124,5 +128,5 @@ h AS (
 SELECT doc_id, h.item_id, n_item, n_shared FROM h JOIN n ON n.item_id = h.item_id WHERE 10 * n_shared >= 8 * n_item
 """
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_lm_score": op4_lm_score, "op5_language_id": op5_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_lm_score": op4_lm_score, "op5_language_id": op5_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_decontaminate": OP9_SQL}
