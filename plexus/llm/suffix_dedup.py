@@ -10,7 +10,9 @@ among its ``gram``-byte grams, so equal windows pick equal anchors at equal offs
 2. runs that share only their anchor with others go, with their bytes and one run of each repeated kind, to the task of that anchor.
    There the suffix array of the gathered bytes is refined: buckets of 8-gram prefixes first, then each bucket is sorted on the
    bucket pointers of the positions q further, q = 8, 16, ..., 128, pointers being updated in place and used by the next round, until
-   two pointers (at 0 and at length - 256) identify a window. Positions alone in their bucket drop out of all later rounds;
+   two pointers identify a window. Positions alone in their bucket drop out of all later rounds. Windows are taken in blocks of
+   neighbouring offsets to the anchor, whose common core is one symbol there: a core that occurs once has no repeated window, and equal
+   blocks are held once, so a passage that very many documents share costs its ends and not its bytes;
 3. windows in buckets of two or more are repeated. Their spans are joined to the texts and cut out.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` are kept whole; repeated rows are documents like any others,
@@ -33,7 +35,9 @@ from .common import in_pieces, materialise
 LENGTH, GRAM = 400, 160
 #: Presence of documents by hash is told to the map side in this many bits, at any size of the corpus.
 SLOTS = 1 << 20
-_PIECE = 2 << 20
+_PIECE = 1 << 19
+#: Windows whose anchors lie within so many places of each other share a core, the bytes that all of them cover.
+BLOCK = 32
 _RNG = np.random.default_rng(10)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -117,7 +121,7 @@ def _find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for which, lo, hi, p in runs(raws, length, gram):
                 raw = raws[which]
                 out.append((keys[which], ids[which], lo, _signed(xxh64_intdigest(raw[p : p + gram], 1)), p - lo, hi - p, _signed(xxh64_intdigest(raw[lo : hi + length], 2))))
-                if len(out) >= 100_000:
+                if len(out) >= 20_000:
                     yield _longs(out, RUNS)
                     out = []
             if out:
@@ -233,11 +237,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     sure = several.select("key", "doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("before") + F.col("after") + length).alias("stop"))
     # what shares an anchor with other kinds: lone runs, and one run of each repeated kind to hold them against
     open_ = materialise(
-        kinds.join(shared, "anchor", "left_semi").select("anchor", "first.key", "first.doc_id", "first.lo", (F.col("first.lo") + F.col("before") + F.col("after")).alias("hi"), (F.col("n") == 1).alias("lone")),
+        kinds.join(shared, "anchor", "left_semi").select("anchor", "first.key", "first.doc_id", "first.lo", (F.col("first.lo") + F.col("before") + F.col("after")).alias("hi"), (F.col("n") == 1).alias("lone"), "before"),
         "open-runs",
     )
     # A document's list is bounded by its own text.
-    wanted = open_.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "lone")).alias("runs"))
+    wanted = open_.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "lone", "before")).alias("runs"))
     texts = _in_slots(docs, _slots(open_), True).dropDuplicates(["key", "doc_id"])
     held = texts.join(wanted, texts["key"].eqNullSafe(wanted["key"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])).select(texts["key"], texts["doc_id"], "text", "runs")
 
@@ -246,8 +250,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             rows = []
             for key, doc, text, own in zip(*(piece.column(c).to_pylist() for c in ("key", "doc_id", "text", "runs")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                rows += [(r["anchor"], key, doc, r["lo"], r["lone"], raw[r["lo"] : r["hi"] + length]) for r in own]
-                if len(rows) > 10_000:
+                rows += [(r["anchor"], key, doc, r["lo"], r["lone"], r["before"], raw[r["lo"] : r["hi"] + length]) for r in own]
+                if len(rows) > 2_000:
                     yield _cuts(rows)
                     rows = []
             if rows:
@@ -259,32 +263,82 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in _CUT), strict=True):
                 if size > _PIECE and row[0] != rows[-1][0]:  # whole anchors only
-                    yield from _refined(rows, length)
+                    yield from _refined(rows, length, gram)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if rows:
-            yield from _refined(rows, length)
+            yield from _refined(rows, length, gram)
 
-    compared = held.mapInArrow(cut, "anchor long, key long, doc_id long, lo long, lone boolean, bytes binary").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(refine, "key long, doc_id long, start long, stop long")
+    compared = held.mapInArrow(cut, "anchor long, key long, doc_id long, lo long, lone boolean, before long, bytes binary").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(refine, "key long, doc_id long, start long, stop long")
     return sure.union(compared)
 
 
-_CUT = ("anchor", "key", "doc_id", "lo", "lone", "bytes")
+_CUT = ("anchor", "key", "doc_id", "lo", "lone", "before", "bytes")
 
 
 def _cuts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(_CUT))
 
 
-def _refined(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
-    out = []
-    for (_, key, doc, lo, lone, _), hit in zip(rows, repeated_windows([r[5] for r in rows], length), strict=True):
-        if not lone or not hit.any():
+def _symbol(n: int) -> bytes:
+    """Eight bytes for a core: 0xFF, which no UTF-8 text has, then seven that are not 0xFF."""
+    out = [255]
+    for _ in range(7):
+        n, digit = divmod(n, 255)
+        out.append(digit)
+    return bytes(out)
+
+
+def _blocks(before: int, windows: int, wide: int) -> Iterator[tuple[int, int, int]]:
+    """(first offset of the block, first and last offset of the run's windows in it); offsets of a window to its anchor, -wide < d <= 0."""
+    d, last = -before, windows - 1 - before
+    while d <= last:
+        start = (d + wide - 1) // BLOCK * BLOCK - wide + 1
+        stop = min(start + BLOCK - 1, last)
+        yield start, d, stop
+        d = stop + 1
+
+
+def _refined(rows: list[tuple], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The repeated spans of lone runs; ``rows`` holds whole anchors."""
+    from xxhash import xxh3_128_digest
+
+    wide = length - gram + 1
+    cores: dict[tuple, int] = {}
+    blocks: dict[tuple, int] = {}
+    times: list[int] = []
+    of_core: dict[int, set[int]] = {}
+    uses: list[tuple[int, int, int]] = []  # row, first window, block
+    for at, (anchor, _, _, _, _, before, raw) in enumerate(rows):
+        for start, first, last in _blocks(before, len(raw) - length + 1, wide):
+            lo, hi = before + start + BLOCK - 1, before + start + length  # the core, in the run's bytes
+            core = cores.setdefault((anchor, start, xxh3_128_digest(raw[lo:hi])), len(cores))
+            a, b = before + first, before + last + length
+            block = blocks.setdefault((core, first, raw[a:lo], raw[hi:b]), len(blocks))
+            if block == len(times):
+                times.append(0)
+                of_core.setdefault(core, set()).add(block)
+            times[block] += 1
+            uses.append((at, a, block))
+    compared = {x for own in of_core.values() if len(own) > 1 for x in own}
+    names = [k for k, x in blocks.items() if x in compared]
+    places = [x for x in blocks.values() if x in compared]
+    hits = dict(zip(places, repeated_windows([k[2] + _symbol(k[0]) + k[3] for k in names], BLOCK - 1 + 8), strict=True)) if names else {}
+    found: dict[int, list[tuple[int, int]]] = {}
+    width = {}
+    for k, x in blocks.items():
+        width[x] = len(k[2]) + len(k[3]) - (BLOCK - 1) + 1
+    for at, a, block in uses:
+        if not rows[at][4]:
             continue  # a run of a repeated kind is known whole
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        out += [(key, doc, lo + a, lo + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        if times[block] > 1:
+            found.setdefault(at, []).append((a, a + width[block] - 1))
+        elif block in hits and hits[block].any():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hits[block].view(np.int8), [0]]))).tolist()
+            found.setdefault(at, []).extend((a + x, a + y - 1) for x, y in zip(edge[::2], edge[1::2], strict=True))
+    out = [(rows[at][1], rows[at][2], rows[at][3] + x, rows[at][3] + y + length) for at, own in found.items() for x, y in own]
     if out:
         yield _longs(out, "key long, doc_id long, start long, stop long")
 
