@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,12 @@ from .common import ids_and_texts, map_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED, VARIANTS = 0.1, 2, 4
-#: Units kept with their pieces in a worker; longer ones are not kept.
-CACHE, LONGEST = 500_000, 48
+#: Units kept with their pieces in a worker, per variant; longer ones are cut by a heap of their own.
+CACHE, LONGEST = 300_000, 40
 
 _UNITS = re.compile("\n|▁| *[^ \n▁]+| +").findall
 _MASK = (1 << 64) - 1
-_LAST = 1 << 40
+_LAST = 1 << 30
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
 
 
@@ -66,43 +67,131 @@ class Codec:
                 self.raw.append(own.encode())
         if any(re.search("[^ ] |\n", p) for p in self.rank):
             raise ValueError("the model has pieces across words or lines; units can't be encoded on their own")
-        self.cache: dict[tuple[str, int], list[int]] = {}
+        self.caches: dict[tuple, dict[str, list[int]]] = {}
+
+        self._build_pairs()
+
+    def _build_pairs(self) -> None:
+        """A hash table (left symbol, right symbol) -> place and id of the piece they make; symbols are pieces, or characters without one."""
+        inside = {c for p in self.rank for c in p if c not in self.rank}
+        self.loose = {c: len(self.raw) + k for k, c in enumerate(sorted(inside))}
+        number = self.rank | self.loose
+        self.other = len(self.raw) + len(inside)  # any character of no piece
+        self.chars = np.full(0x110000, self.other, np.int32)
+        for c, k in number.items():
+            if len(c) == 1:
+                self.chars[ord(c)] = k
+        pairs = [(number[p[:k]] << 32 | number[p[k:]], self.place[p], i) for p, i in self.rank.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        self.bits = max(len(pairs), 1).bit_length() + 2
+        self.keys, self.places, self.ids = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _LAST, np.int32), np.full(1 << self.bits, -1, np.int32)
+        for key, place, i in pairs:
+            slot = (key * _A & _MASK) >> (64 - self.bits)
+            while self.keys[slot] != -1:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.places[slot], self.ids[slot] = key, place, i
+
+    def _merge(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and id of the piece that each pair makes; _LAST and -1 without one."""
+        key = left.astype(np.int64) << 32 | right
+        slot = ((key.view(np.uint64) * np.uint64(_A)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        have = self.keys[slot]
+        open_ = np.flatnonzero((have != key) & (have != -1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            have = self.keys[slot[open_]]
+            open_ = open_[(have != key[open_]) & (have != -1)]
+        return self.places[slot], self.ids[slot]
+
+    def _base(self, unit: str, key: int) -> int:
+        return xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), key)
 
     def unit(self, unit: str, rate: float = 0.0, key: int = 0) -> list[int]:
         """The pieces of one unit."""
         if unit == "▁":
             return [self.bytes[b] for b in unit.encode()]
-        rank, limit = self.rank, int(rate * (1 << 64))
-        base = xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), key) if limit else 0
-        symbols = self._short(unit, limit, base) if len(unit) <= LONGEST else self._long(unit, limit, base)
+        limit = int(rate * (1 << 64))
+        return self._named(s for s in self._long(unit, limit, self._base(unit, key) if limit else 0) if s)
+
+    def _named(self, symbols) -> list[int]:
         out: list[int] = []
         for s in symbols:
-            if s in rank:
-                out.append(rank[s])
-            elif s:
+            i = self.rank.get(s)
+            if i is not None:
+                out.append(i)
+            else:
                 out.extend(self.bytes[b] for b in s.encode("utf-8", "surrogatepass"))
         return out
 
-    def _short(self, unit: str, limit: int, base: int) -> list[str]:
-        """The agenda as a plain list of the pairs' ranks: its least entry, leftmost, is the next candidate."""
-        get, symbols = self.place.get, list(unit)
-        agenda = [get(a + b, _LAST) for a, b in zip(symbols, symbols[1:], strict=False)]
-        at = list(range(len(symbols)))
-        while agenda:
-            best = min(agenda)
-            if best == _LAST:
-                break
-            k = agenda.index(best)
-            if limit and ((base ^ at[k] * _A ^ best * _B) * _C & _MASK) < limit:  # skipped
-                agenda[k] = _LAST
+    def units(self, units: list[str], rate: float = 0.0, key: int = 0) -> list[list[int]]:
+        """The pieces of many units: their agendas advance together, one candidate a unit and round."""
+        out: list[list[int] | None] = [None] * len(units)
+        groups: dict[int, list[int]] = {}
+        for k, u in enumerate(units):
+            n = len(u)
+            if n > LONGEST or u == "▁":
+                out[k] = self.unit(u, rate, key)
+            else:
+                groups.setdefault(-(-n // 4) * 4, []).append(k)
+        for width, group in groups.items():
+            for k in range(0, len(group), 20_000):
+                part = group[k : k + 20_000]
+                for at, pieces in zip(part, self._together([units[x] for x in part], width, int(rate * (1 << 64)), key), strict=True):
+                    out[at] = pieces
+        return out
+
+    def _together(self, units: list[str], width: int, limit: int, key: int) -> list[list[int]]:
+        n = len(units)
+        text = np.frombuffer("".join(u.ljust(width, "\0") for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+        size = np.array([len(u) for u in units])
+        columns = np.arange(width, dtype=np.int32)
+        symbols = np.where(columns < size[:, None], self.chars[text], np.int32(self.other))
+        agenda = np.full((n, width), _LAST, np.int32)
+        agenda[:, :-1] = self._merge(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())[0].reshape(n, width - 1)
+        agenda[columns + 1 >= size[:, None]] = _LAST
+        at = np.broadcast_to(columns, (n, width)).copy()
+        done_symbols, done_at, done_size = np.empty_like(symbols), np.empty_like(at), np.empty_like(size)
+        base = np.array([self._base(u, key) for u in units], np.uint64) if limit else np.zeros(n, np.uint64)
+        who = np.arange(n)
+        while len(who):
+            m = np.arange(len(who))
+            k = agenda.argmin(axis=1)
+            best = agenda[m, k]
+            over = best == _LAST
+            if 4 * over.sum() >= len(who):  # put aside what is finished
+                done_symbols[who[over]], done_at[who[over]], done_size[who[over]] = symbols[over], at[over], size[over]
+                symbols, at, agenda, size, base, who = (x[~over] for x in (symbols, at, agenda, size, base, who))
                 continue
-            merged = symbols[k] = symbols[k] + symbols[k + 1]
-            del symbols[k + 1], agenda[k], at[k + 1]
-            if k:
-                agenda[k - 1] = get(symbols[k - 1] + merged, _LAST)
-            if k < len(agenda):
-                agenda[k] = get(merged + symbols[k + 1], _LAST)
-        return symbols
+            merge = ~over
+            if limit:
+                h = (base ^ at[m, k].astype(np.uint64) * np.uint64(_A) ^ best.astype(np.uint64) * np.uint64(_B)) * np.uint64(_C)
+                merge &= h >= np.uint64(min(limit, _MASK))
+            agenda[m, k] = _LAST  # skipped, unless merged below
+            # the columns behind a merged pair move up by one
+            behind = (columns >= k[:, None]) & merge[:, None]
+            agenda[:, :-1] = np.where(behind[:, :-1], agenda[:, 1:], agenda[:, :-1])
+            rows, k = m[merge], k[merge]
+            new = self._merge(symbols[rows, k], symbols[rows, k + 1])[1]
+            behind[rows, k] = False
+            symbols[:, :-1] = np.where(behind[:, :-1], symbols[:, 1:], symbols[:, :-1])
+            at[:, :-1] = np.where(behind[:, :-1], at[:, 1:], at[:, :-1])
+            symbols[rows, k] = new
+            size[rows] -= 1
+            has = k > 0
+            agenda[rows[has], k[has] - 1] = self._merge(symbols[rows[has], k[has] - 1], new[has])[0]
+            has = k + 1 < size[rows]
+            agenda[rows[has], k[has]] = self._merge(new[has], symbols[rows[has], k[has] + 1])[0]
+            agenda[rows[~has], k[~has]] = _LAST
+        symbols, at, size = done_symbols, done_at, done_size
+        plain = (np.where(columns < size[:, None], symbols, 0) < len(self.raw)).all(axis=1).tolist()
+        lists, sizes, places = symbols.tolist(), size.tolist(), None
+        out = []
+        for j, (row, m) in enumerate(zip(lists, sizes, strict=True)):
+            if plain[j]:
+                out.append(row[:m])
+            else:
+                places = [*at[j, :m].tolist(), len(units[j])]
+                out.append(self._named(units[j][x:y] for x, y in zip(places, places[1:], strict=False)))
+        return out
 
     def _long(self, unit: str, limit: int, base: int) -> list[str]:
         """The same with a heap, for units of any length."""
@@ -130,24 +219,26 @@ class Codec:
         return symbols
 
     def encode(self, text: str, rate: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        cache, key = self.cache, (seed * 0x9E3779B1 + variant) & _MASK
-        for u in _UNITS(" " + text):
-            found = cache.get((u, variant))
-            if found is None:
-                found = self.unit(u, rate, key)
-                if len(u) <= LONGEST:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[u, variant] = found
-            out += found
-        return out
+        return self.encode_many([text], rate, seed, [variant])[0]
+
+    def encode_many(self, texts: list[str | None], rate: float, seed: int, variants: list[int]) -> list[list[int] | None]:
+        """The pieces of many texts; each one's variant is given. Units that are new to the worker are cut together."""
+        cut = [_UNITS(" " + t) if t else [] for t in texts]
+        need: dict[int, set[str]] = {}
+        for u, v in zip(cut, variants, strict=True):
+            need.setdefault(v, set()).update(u)
+        for v, units in need.items():
+            cache = self.caches.setdefault((rate, seed, v), {})
+            if len(cache) + len(units) > CACHE:
+                cache.clear()
+            new = [u for u in units if u not in cache]
+            cache.update(zip(new, self.units(new, rate, (seed * 0x9E3779B1 + v) & _MASK), strict=True))
+        of = {v: self.caches[rate, seed, v].__getitem__ for v in need}
+        return [None if t is None else list(chain.from_iterable(map(of[v], u))) for t, u, v in zip(texts, cut, variants, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 _OPEN: dict[tuple, Codec] = {}
@@ -172,10 +263,10 @@ def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int =
         c = codec(model, rate, seed)
 
         def work(ids: list, texts: list) -> dict:
-            found = [None if t is None else c.encode(t, rate, seed, variant_of(i, seed, variants)) for i, t in zip(ids, texts, strict=True)]
+            found = c.encode_many(texts, rate, seed, [variant_of(i, seed, variants) for i in ids])
             same = [t is None or c.decode(f) == t for f, t in zip(found, texts, strict=True)]
             offsets = np.concatenate([[0], np.cumsum([len(f or ()) for f in found])]).astype(np.int32)
-            flat = np.array([x for f in found if f for x in f], dtype=np.int32)
+            flat = np.fromiter(chain.from_iterable(f for f in found if f), np.int32, int(offsets[-1]))
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([f is None for f in found]))
             return {"doc_id": pa.array(ids, pa.int64()), "ids": lists, "lossless": same}
 
