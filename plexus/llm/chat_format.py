@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: The template that the query uses. Fixed text.
 CHATML = (
     "{% for m in messages %}{{ '<|im_start|>' ~ (m.role | escape_role) ~ '\\n' }}"
@@ -418,6 +420,7 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 def _in_order(conversations: DataFrame) -> DataFrame:
     """All rows of a conversation in one partition, in order. Sorting spills; nothing is gathered."""
+    ship(conversations.sparkSession)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces
+from .common import in_pieces, ship
 
 LABELLED, POOL = 12000, 6000
 ROUNDS, EACH = 3, 300
@@ -241,6 +241,7 @@ def _sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> pa.
 
 
 def _columns(docs: DataFrame) -> DataFrame:
+    ship(docs.sparkSession)
     have = set(docs.columns)
     col = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
     return docs.select(col("doc_id", "long"), col("text", "string"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))

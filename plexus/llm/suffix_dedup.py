@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import in_pieces, materialise
+from .common import in_pieces, materialise, ship
 
 LENGTH, GRAM = 400, 160
 #: Presence of documents by hash is told to the map side in this many bits, at any size of the corpus.
@@ -202,6 +202,7 @@ def _alone(sorted_pointers: np.ndarray) -> np.ndarray:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with equal keys have equal ids and texts, hence equal results."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text")
 
