@@ -11,6 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept on the executors' disks; blocks of a lost executor are computed again from the lineage.
+
+    For tables that are read twice within one plan; ``spark.catalog.clearCache()`` lets go of them.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialise`` wrote, once nothing reads it any more."""
     path = getattr(df, "written_to", None)
