@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from .common import ids_and_texts, map_texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED, VARIANTS = 0.1, 2, 4
 #: Units kept with their pieces in a worker, per variant; longer ones are cut by a heap of their own.
-CACHE, LONGEST = 300_000, 40
+CACHE, LONGEST = 400_000, 40
 
 _UNITS = re.compile("\n|▁| *[^ \n▁]+| +").findall
 _MASK = (1 << 64) - 1
@@ -67,7 +66,7 @@ class Codec:
                 self.raw.append(own.encode())
         if any(re.search("[^ ] |\n", p) for p in self.rank):
             raise ValueError("the model has pieces across words or lines; units can't be encoded on their own")
-        self.caches: dict[tuple, dict[str, list[int]]] = {}
+        self.caches: dict[tuple, dict[str, bytes]] = {}
 
         self._build_pairs()
 
@@ -122,24 +121,23 @@ class Codec:
                 out.extend(self.bytes[b] for b in s.encode("utf-8", "surrogatepass"))
         return out
 
-    def units(self, units: list[str], rate: float = 0.0, key: int = 0) -> list[list[int]]:
-        """The pieces of many units: their agendas advance together, one candidate a unit and round."""
-        out: list[list[int] | None] = [None] * len(units)
-        groups: dict[int, list[int]] = {}
-        for k, u in enumerate(units):
+    def units(self, units: list[str], rate: float = 0.0, key: int = 0) -> dict[str, bytes]:
+        """The pieces of many units, packed: their agendas advance together, one candidate a unit and round."""
+        out: dict[str, bytes] = {}
+        groups: dict[int, list[str]] = {}
+        for u in units:
             n = len(u)
             if n > LONGEST or u == "▁":
-                out[k] = self.unit(u, rate, key)
+                out[u] = _packed(self.unit(u, rate, key))
             else:
-                groups.setdefault(-(-n // 4) * 4, []).append(k)
-        for width, group in groups.items():
+                groups.setdefault((n + 1) // 2, []).append(u)
+        for half, group in groups.items():
             for k in range(0, len(group), 20_000):
                 part = group[k : k + 20_000]
-                for at, pieces in zip(part, self._together([units[x] for x in part], width, int(rate * (1 << 64)), key), strict=True):
-                    out[at] = pieces
+                out.update(zip(part, self._together(part, 2 * half, int(rate * (1 << 64)), key), strict=True))
         return out
 
-    def _together(self, units: list[str], width: int, limit: int, key: int) -> list[list[int]]:
+    def _together(self, units: list[str], width: int, limit: int, key: int) -> list[bytes]:
         n = len(units)
         text = np.frombuffer("".join(u.ljust(width, "\0") for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         size = np.array([len(u) for u in units])
@@ -183,14 +181,11 @@ class Codec:
             agenda[rows[~has], k[~has]] = _LAST
         symbols, at, size = done_symbols, done_at, done_size
         plain = (np.where(columns < size[:, None], symbols, 0) < len(self.raw)).all(axis=1).tolist()
-        lists, sizes, places = symbols.tolist(), size.tolist(), None
-        out = []
-        for j, (row, m) in enumerate(zip(lists, sizes, strict=True)):
-            if plain[j]:
-                out.append(row[:m])
-            else:
-                places = [*at[j, :m].tolist(), len(units[j])]
-                out.append(self._named(units[j][x:y] for x, y in zip(places, places[1:], strict=False)))
+        raw, row = symbols.astype(np.int32).tobytes(), 4 * width
+        out = [raw[j : j + 4 * m] for j, m in zip(range(0, n * row, row), size.tolist(), strict=True)]
+        for j in [j for j, ok in enumerate(plain) if not ok]:
+            places = [*at[j, : size[j]].tolist(), len(units[j])]
+            out[j] = _packed(self._named(units[j][x:y] for x, y in zip(places, places[1:], strict=False)))
         return out
 
     def _long(self, unit: str, limit: int, base: int) -> list[str]:
@@ -219,10 +214,10 @@ class Codec:
         return symbols
 
     def encode(self, text: str, rate: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
-        return self.encode_many([text], rate, seed, [variant])[0]
+        return np.frombuffer(self.encode_many([text], rate, seed, [variant])[0], np.int32).tolist()
 
-    def encode_many(self, texts: list[str | None], rate: float, seed: int, variants: list[int]) -> list[list[int] | None]:
-        """The pieces of many texts; each one's variant is given. Units that are new to the worker are cut together."""
+    def encode_many(self, texts: list[str | None], rate: float, seed: int, variants: list[int]) -> list[bytes | None]:
+        """The pieces of many texts, each packed as 32-bit numbers; each one's variant is given. Units that are new to the worker are cut together."""
         cut = [_UNITS(" " + t) if t else [] for t in texts]
         need: dict[int, set[str]] = {}
         for u, v in zip(cut, variants, strict=True):
@@ -231,14 +226,16 @@ class Codec:
             cache = self.caches.setdefault((rate, seed, v), {})
             if len(cache) + len(units) > CACHE:
                 cache.clear()
-            new = [u for u in units if u not in cache]
-            cache.update(zip(new, self.units(new, rate, (seed * 0x9E3779B1 + v) & _MASK), strict=True))
+            cache.update(self.units(list(units.difference(cache)), rate, (seed * 0x9E3779B1 + v) & _MASK))
         of = {v: self.caches[rate, seed, v].__getitem__ for v in need}
-        return [None if t is None else list(chain.from_iterable(map(of[v], u))) for t, u, v in zip(texts, cut, variants, strict=True)]
+        return [None if t is None else b"".join(map(of[v], u)) for t, u, v in zip(texts, cut, variants, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
 
 
 _OPEN: dict[tuple, Codec] = {}
@@ -264,9 +261,9 @@ def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int =
 
         def work(ids: list, texts: list) -> dict:
             found = c.encode_many(texts, rate, seed, [variant_of(i, seed, variants) for i in ids])
-            same = [t is None or c.decode(f) == t for f, t in zip(found, texts, strict=True)]
-            offsets = np.concatenate([[0], np.cumsum([len(f or ()) for f in found])]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(f for f in found if f), np.int32, int(offsets[-1]))
+            same = [t is None or c.decode(np.frombuffer(f, np.int32).tolist()) == t for f, t in zip(found, texts, strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(f or ()) // 4 for f in found])]).astype(np.int32)
+            flat = np.frombuffer(b"".join(f for f in found if f), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([f is None for f in found]))
             return {"doc_id": pa.array(ids, pa.int64()), "ids": lists, "lossless": same}
 
