@@ -1,6 +1,383 @@
-"""The registered queries of the graph engine and the SQL that gives the same rows."""
+"""The registered queries of the graph engine and, for each, SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import change, checks, lint, lineage, merge, structure, traverse
+from .plans import build as builder
+from .plans import rowgraph, star_catalog
+from .plans.bundle import GraphBundle
+from .sources import document
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# -- input graphs, in SQL --------------------------------------------------------------------------------------------
+
+SMALL = ("region", "nation", "customer", "supplier", "orders")
+R_EDGES = """e(src, dst, kind) AS (
+  SELECT 'nation.' || n_nationkey, 'region.' || n_regionkey, 'references' FROM nation
+  UNION SELECT 'customer.' || c_custkey, 'nation.' || c_nationkey, 'references' FROM customer
+  UNION SELECT 'supplier.' || s_suppkey, 'nation.' || s_nationkey, 'references' FROM supplier
+  UNION SELECT 'orders.' || o_orderkey, 'customer.' || o_custkey, 'references' FROM orders)"""
+R_IDS = """v(id, tab) AS (
+  SELECT 'region.' || r_regionkey, 'region' FROM region UNION SELECT 'nation.' || n_nationkey, 'nation' FROM nation
+  UNION SELECT 'customer.' || c_custkey, 'customer' FROM customer UNION SELECT 'supplier.' || s_suppkey, 'supplier' FROM supplier
+  UNION SELECT 'orders.' || o_orderkey, 'orders' FROM orders)"""
+
+
+def _trade_sql(name: str, modulus: int = 17, rest: int = 0, upto: str | None = None) -> str:
+    where = f"WHERE o_orderdate <= DATE '{upto}'" if upto else ""
+    return f"""{name}(src, dst) AS (
+  SELECT 'nation.' || c_nationkey, 'nation.' || s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey {where} GROUP BY 1, 2, c_nationkey, s_nationkey HAVING count(*) % {modulus} = {rest})"""
+
+
+def small(spark: SparkSession, sf_dir: str) -> GraphBundle:
+    return rowgraph.row_graph(spark, sf_dir, SMALL).saved("vertices", "edges")
+
+
+def star(spark: SparkSession) -> GraphBundle:
+    return builder.build(document.from_value(spark, star_catalog.document()))
+
+
+# -- traversal -------------------------------------------------------------------------------------------------------
+
+
+def _bfs_sql(root: str, near: str, far: str, depth: int, extra: str = "") -> str:
+    return f"""WITH RECURSIVE {R_EDGES},
+b(id, d) AS (SELECT '{root}', 0 UNION SELECT e.{far}, b.d + 1 FROM b JOIN e ON e.{near} = b.id WHERE b.d < {depth}),
+m AS (SELECT id, min(d) AS d FROM b GROUP BY id)
+SELECT x.id, 'column' AS kind, x.d AS distance, string_agg(DISTINCT e.kind, '|') AS edges, min(CASE WHEN y.d = x.d - 1 THEN y.id END) AS via{extra}
+FROM m AS x JOIN e ON e.{far} = x.id JOIN m AS y ON y.id = e.{near} WHERE x.d > 0 AND y.d < {depth} GROUP BY x.id, x.d"""
+
+
+@register(_bfs_sql("region.0", "dst", "src", 9))
+def impact_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.impact(small(spark, sf_dir), "region.0")
+
+
+@register(
+    f"SELECT * FROM ({_bfs_sql('nation.3', 'dst', 'src', 2, chr(44) + ' ' + chr(39) + 'dependents' + chr(39) + ' AS direction')}) UNION ALL SELECT * FROM ({_bfs_sql('nation.3', 'src', 'dst', 2, chr(44) + ' ' + chr(39) + 'dependencies' + chr(39) + ' AS direction')})"
+)
+def query_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.query(small(spark, sf_dir), "nation.3", 2)
+
+
+@register(f"""WITH RECURSIVE {R_EDGES},
+b(subject, id, d) AS (SELECT 'region.' || r_regionkey, 'region.' || r_regionkey, 0 FROM region UNION SELECT subject, e.src, b.d + 1 FROM b JOIN e ON e.dst = b.id WHERE b.d < 9)
+SELECT subject, id, min(d) AS distance FROM b WHERE id <> subject GROUP BY subject, id""")
+def impact_all_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = small(spark, sf_dir)
+    seeds = graph.vertices.where("schema = 'region' AND kind = 'column'").select(F.col("id").alias("subject"), "id")
+    return traverse.impact_many(graph, seeds, "subject")
+
+
+def _report(spark: SparkSession, report: traverse.Report, schema: str, rows: list | None = None) -> DataFrame:
+    said = "|".join(sorted(report.reasons))
+    names = [c.split()[0] for c in schema.split(", ")]
+    shown = spark.createDataFrame(report.rows if rows is None else rows, schema)
+    return shown.select(*names, F.lit(report.complete).alias("complete"), F.lit(said).alias("reasons"))
+
+
+@register(f"""WITH RECURSIVE {R_EDGES},
+b(id, d) AS (SELECT 'orders.1', 0 UNION SELECT e.dst, b.d + 1 FROM b JOIN e ON e.src = b.id WHERE b.d < 9), m AS (SELECT id, min(d) AS d FROM b GROUP BY id)
+SELECT x.id, x.d AS distance, string_agg(DISTINCT e.kind, '|') AS edges, min(CASE WHEN y.d = x.d - 1 THEN y.id END) AS via, true AS complete, '' AS reasons
+FROM m AS x JOIN e ON e.dst = x.id JOIN m AS y ON y.id = e.src WHERE x.d > 0 GROUP BY x.id, x.d""")
+def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = traverse.walk(small(spark, sf_dir), "orders.1", incoming=False)
+    return _report(spark, report, "id string, distance int, edges string, via string", [(r[0], r[2], r[3], r[4]) for r in report.rows])
+
+
+@register(f"""WITH RECURSIVE {R_EDGES}, roots(k, id) AS (VALUES (0, 'nation.1'), (1, 'nation.2'), (2, 'region.1')),
+b(root, k, id, d) AS (SELECT id, k, id, 0 FROM roots UNION SELECT root, k, e.src, b.d + 1 FROM b JOIN e ON e.dst = b.id WHERE b.d < 2),
+m AS (SELECT root, k, id, min(d) AS d FROM b GROUP BY root, k, id), other AS (SELECT * FROM m WHERE id <> root), best AS (SELECT id, min(d) AS d FROM other GROUP BY id)
+SELECT best.id, best.d AS depth, (SELECT string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) FROM (SELECT DISTINCT k FROM other AS o WHERE o.id = best.id)) AS roots,
+  (SELECT min(e.dst) FROM e JOIN m ON m.id = e.dst WHERE e.src = best.id AND m.d = best.d - 1 AND m.root <> best.id) AS via, true AS complete, '' AS reasons
+FROM best""")
+def multi_root_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = traverse.walk_roots(small(spark, sf_dir), ["nation.1", "nation.2", "region.1"], True, depth=2, max_results=1_000_000)
+    return _report(spark, report, "id string, depth int, roots string, via string", [(r[0], r[2], "|".join(map(str, r[5])), r[4]) for r in report.rows])
+
+
+@register(f"""WITH RECURSIVE {_trade_sql("t", 5)},
+p(id, path, d) AS (SELECT 'nation.0', ['nation.0'], 0 UNION ALL SELECT t.dst, list_append(p.path, t.dst), p.d + 1 FROM p JOIN t ON t.src = p.id WHERE p.d < 4 AND NOT list_contains(p.path, t.dst)),
+s AS (SELECT id, min(d) AS d FROM p WHERE id IN ('nation.7', 'nation.13', 'nation.20') GROUP BY id)
+SELECT array_to_string(path, '|') AS path FROM p JOIN s ON s.id = p.id AND s.d = p.d""")
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = rowgraph.trade_graph(spark, sf_dir, 5).saved()
+    found = [r[1] for to in ("nation.7", "nation.13", "nation.20") for r in traverse.paths(graph, "nation.0", to, max_paths=10_000).rows]
+    return spark.createDataFrame([("|".join(p),) for p in found], "path string")
+
+
+@register(f"""WITH {R_EDGES}, a AS (SELECT * FROM e WHERE src = 'nation.5' OR dst = 'nation.5' UNION SELECT 'nation', 'nation.5', 'contains'), n AS (SELECT count(*) AS n FROM a)
+SELECT src, dst, kind, CAST(NULL AS VARCHAR) AS evidence, CAST(NULL AS VARCHAR) AS roles, (SELECT n FROM n) AS total_edges FROM a""")
+def explain_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.explain(small(spark, sf_dir), "nation.5", 1_000_000)
+
+
+@register(f"WITH {R_IDS} SELECT id, 'candidate' AS status FROM v WHERE split_part(id, '.', 2) = '7'")
+def resolve_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.resolve(small(spark, sf_dir), "7")
+
+
+# -- structure -------------------------------------------------------------------------------------------------------
+
+
+@register(f"WITH {R_EDGES} SELECT DISTINCT split_part(src, '.', 1) AS src, split_part(dst, '.', 1) AS dst, kind FROM e")
+def project_table_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.project(small(spark, sf_dir), "object").edges
+
+
+_SCC = f"""WITH RECURSIVE {_trade_sql("t")}, r(a, b) AS (SELECT src, dst FROM t UNION SELECT r.a, t.dst FROM r JOIN t ON t.src = r.b),
+v AS (SELECT 'nation.' || n_nationkey AS id FROM nation), c AS (SELECT v.id, least(v.id, (SELECT min(x.b) FROM r AS x JOIN r AS y ON y.a = x.b AND y.b = x.a WHERE x.a = v.id)) AS component FROM v)"""
+
+
+@register(f"{_SCC} SELECT id, component FROM c")
+def scc_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.strongly_connected(rowgraph.trade_graph(spark, sf_dir))
+
+
+@register(f"{_SCC} SELECT id, component FROM c")
+def scc_trade_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.strongly_connected(rowgraph.trade_graph(spark, sf_dir), limit=0)
+
+
+@register(f"""{_SCC}, g AS (SELECT component, count(*) AS size, string_agg(id, '|' ORDER BY id) AS members, bool_or(EXISTS (SELECT 1 FROM t WHERE src = id AND dst = id)) AS looped FROM c GROUP BY component)
+SELECT component AS cycle_id, members, size, size = 1 AND looped AS self_loop FROM g WHERE size > 1 OR looped""")
+def cycles_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.cycles(rowgraph.trade_graph(spark, sf_dir))
+
+
+def _views_plain(spark: SparkSession, sf_dir: str) -> GraphBundle:
+    """The row graph with customers and nations as views, without suppliers, and with one in twenty orders."""
+    g = small(spark, sf_dir)
+    kinds = F.when(F.col("schema").isin("customer", "nation") & F.col("id").contains("."), "view").otherwise(F.col("kind"))
+    few = g.edges.where("kind = 'references' AND NOT (src LIKE 'orders.%' AND try_cast(substring(src, 8) AS BIGINT) % 20 > 0) AND src NOT LIKE 'supplier.%'")
+    return g.with_tables(vertices=g.vertices.withColumn("kind", kinds), edges=few)
+
+
+_DEAD = f"""WITH {R_EDGES}, k AS (SELECT * FROM e WHERE NOT (src LIKE 'orders.%' AND TRY_CAST(substring(src, 8) AS BIGINT) % 20 > 0) AND src NOT LIKE 'supplier.%'),
+c AS (SELECT 'customer.' || c_custkey AS id FROM customer), n AS (SELECT 'nation.' || n_nationkey AS id FROM nation)"""
+
+
+@register(f"""{_DEAD}, dc AS (SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE dst = c.id))
+SELECT id, 'view' AS kind, 'noDependents' AS reason, CAST(NULL AS BIGINT) AS reads, CAST(NULL AS BIGINT) AS writes, CAST(NULL AS VARCHAR) AS suppression_reason FROM dc
+UNION ALL SELECT id, 'view', CASE WHEN EXISTS (SELECT 1 FROM k WHERE dst = n.id) THEN 'allDependentsDead' ELSE 'noDependents' END, NULL, NULL, NULL FROM n
+WHERE NOT EXISTS (SELECT 1 FROM k WHERE dst = n.id AND src NOT IN (SELECT id FROM dc))""")
+def dead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.dead(_views_plain(spark, sf_dir))
+
+
+@register(f"""{_DEAD}, kept AS (SELECT id FROM c WHERE regexp_full_match(id, 'customer\\.1.*') UNION SELECT dst FROM k WHERE regexp_full_match(src, 'customer\\.1.*')),
+dc AS (SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE dst = c.id) AND id NOT IN (SELECT id FROM kept))
+SELECT id, 'view' AS kind, 'noDependents' AS reason, CAST(NULL AS BIGINT) AS reads, CAST(NULL AS BIGINT) AS writes, CASE WHEN regexp_full_match(id, 'customer\\.2.') THEN 'in use elsewhere' END AS suppression_reason FROM dc
+UNION ALL SELECT id, 'view', CASE WHEN EXISTS (SELECT 1 FROM k WHERE dst = n.id) THEN 'allDependentsDead' ELSE 'noDependents' END, NULL, NULL, NULL FROM n
+WHERE id NOT IN (SELECT id FROM kept) AND NOT EXISTS (SELECT 1 FROM k WHERE dst = n.id AND src NOT IN (SELECT id FROM dc))""")
+def dead_with_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = structure.Retention(roots=(("customer.1*", "reports"),), suppressions=(("customer.2?", "in use elsewhere", None), ("customer.3*", "ended", "2020-01-01"), ("customer.4*", " ", None)), as_of="2024-01-01")
+    return structure.dead(_views_plain(spark, sf_dir), policy)
+
+
+# -- checks ----------------------------------------------------------------------------------------------------------
+
+RULES = [("no-low-to-high", "nation.?", "nation.1?", None), ("nothing-to-seven", "*", "*.7", ["reads"]), ("only-writes", "*", "*", ["writes"])]
+
+
+@register(f"""WITH {_trade_sql("t")} SELECT 'no-low-to-high' AS rule, src, dst, 'reads' AS kind FROM t WHERE regexp_full_match(src, 'nation\\..') AND regexp_full_match(dst, 'nation\\.1.')
+UNION ALL SELECT 'nothing-to-seven', src, dst, 'reads' FROM t WHERE dst LIKE '%.7'""")
+def rules_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.rules(rowgraph.trade_graph(spark, sf_dir), RULES)
+
+
+@register(f"WITH {R_EDGES} SELECT DISTINCT 'customers-know-nations' AS rule, split_part(src, '.', 1) AS src, split_part(dst, '.', 1) AS dst, kind FROM e WHERE split_part(src, '.', 1) = 'customer'")
+def rules_table_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.rules(small(spark, sf_dir), [("customers-know-nations", "cust*", "nat??n", None)], level="object")
+
+
+@register(f"""WITH {R_IDS}, s AS (SELECT id FROM v WHERE regexp_full_match(id, '.*er\\.1.'))
+SELECT id, 'column' AS kind, split_part(id, '.', 2) AS name, (SELECT count(*) FROM s) AS total FROM s ORDER BY id LIMIT 12""")
+def search_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.search(small(spark, sf_dir), "*ER.1?", max_results=12)
+
+
+@register(f"""WITH {R_IDS}, {R_EDGES}, s AS (SELECT id FROM v WHERE tab = 'nation')
+SELECT id, 'column' AS kind, split_part(id, '.', 2) AS name, (SELECT count(*) FROM s) AS total, (SELECT count(DISTINCT src) FROM e WHERE dst = id) AS dependents, (SELECT count(DISTINCT dst) FROM e WHERE src = id) AS dependencies FROM s""")
+def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.search(small(spark, sf_dir), "NATION.", kinds=["column"], counts=True)
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> GraphBundle:
+    """Users as tables and their event types as indexes; purchases are writes, other events reads. Users without a view have no usage at all."""
+    e = rowgraph.table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    user = F.concat(F.lit("u."), F.col("user_id").cast("string"))
+    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+    bought = F.col("event_type") == "purchase"
+    per_user = e.groupBy("user_id").agg(F.min("ts").cast("string").alias("since"), n(~bought).alias("reads"), n(bought).alias("writes"), n(F.col("event_type") == "view").alias("views"))
+    per_type = e.groupBy("user_id", "event_type").agg(n(~bought & (F.col("event_type") != "click")).alias("reads"))
+    index = F.concat(user, F.lit("."), "event_type")
+    vertices = per_user.select(user.alias("id"), F.lit("table").alias("kind"), F.col("user_id").cast("string").alias("name"), F.lit("u").alias("schema")).union(per_type.select(index, F.lit("index"), "event_type", F.lit("u")))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    usage = (
+        per_user.where("views > 0").select(user.alias("id"), F.lit("2024").alias("since"), F.when(F.col("user_id") % 3 == 0, F.lit(0)).otherwise(F.col("reads")).cast("long").alias("reads"), "writes", F.when(F.col("user_id") % 2 == 0, F.lit(0)).cast("long").alias("scans"), none("total_ms", "double"), none("self_ms", "double"))
+        .unionByName(per_type.select(index.alias("id"), none("since", "string"), "reads", F.lit(0).cast("long").alias("writes"), none("scans", "long"), none("total_ms", "double"), none("self_ms", "double")))
+    )
+    indexes = per_type.select(index.alias("index_id"), user.alias("table_id"), F.col("event_type").alias("name"), F.lit(False).alias("is_unique"), F.array(F.concat(user, F.lit(".x"))).alias("columns"), F.lit(True).alias("complete"), F.lit(False).alias("filtered"))
+    return GraphBundle(spark, {"vertices": vertices, "usage": usage, "indexes": indexes})
+
+
+_USAGE = """WITH u AS (SELECT user_id, count(*) FILTER (event_type <> 'purchase') AS r, count(*) FILTER (event_type = 'purchase') AS w, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY user_id),
+i AS (SELECT user_id, event_type, count(*) FILTER (event_type NOT IN ('purchase', 'click')) AS reads FROM events GROUP BY ALL),
+t AS (SELECT user_id, 'u.' || user_id AS id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE r END AS reads, w AS writes, CASE WHEN user_id % 2 = 0 THEN 0 END AS scans FROM u WHERE views > 0)"""
+
+
+@register(f"""{_USAGE} SELECT id, 'table' AS kind, reads, CAST(scans AS BIGINT) AS scans, '2024' AS since, CASE WHEN scans IS NULL THEN 'scanCountUnavailable' ELSE '' END AS facts FROM t
+WHERE reads = 0 AND coalesce(scans, 0) = 0 AND NOT EXISTS (SELECT 1 FROM i WHERE i.user_id = t.user_id AND i.reads > 0)
+UNION ALL SELECT 'u.' || user_id || '.' || event_type, 'index', reads, NULL, NULL, 'windowUnknown' FROM i WHERE reads = 0""")
+def unused_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.unused(_usage(spark, sf_dir))
+
+
+@register(f"{_USAGE} SELECT 'table' AS kind, count(*) AS n FROM u WHERE views = 0 HAVING count(*) > 0")
+def unobserved_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.unobserved(_usage(spark, sf_dir))
+
+
+@register(f"""{_USAGE} SELECT id, 'table' AS kind, '2024' AS since, reads, writes, CAST(scans AS BIGINT) AS scans, CAST(NULL AS DOUBLE) AS total_ms, CAST(NULL AS DOUBLE) AS self_ms FROM t
+UNION ALL SELECT 'u.' || user_id || '.' || event_type, 'index', NULL, reads, 0, NULL, NULL, NULL FROM i""")
+def stats_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.stats(_usage(spark, sf_dir))
+
+
+@register(f"{_USAGE} SELECT (SELECT count(*) FROM t) + (SELECT count(*) FROM i) AS observed, (SELECT count(*) FROM u) + (SELECT count(*) FROM i) AS vertices")
+def stats_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.stats_totals(_usage(spark, sf_dir))
+
+
+@register(f"""WITH {R_IDS}, {R_EDGES} SELECT 'vertex' AS part, 'column' AS kind, count(*) AS n FROM v UNION ALL SELECT 'vertex', 'table', 5
+UNION ALL SELECT 'edge', 'references', count(*) FROM e UNION ALL SELECT 'edge', 'contains', count(*) FROM v""")
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.summary(small(spark, sf_dir))
+
+
+# -- lint ------------------------------------------------------------------------------------------------------------
+
+_META = star_catalog.sql_tables()
+_M = f"""WITH cols AS (SELECT * FROM {_META["cols"]}), fks AS (SELECT * FROM {_META["fks"]}), idx AS (SELECT * FROM {_META["idx"]}),
+pk AS (SELECT table_id, list(column_id ORDER BY pk) AS pk FROM cols WHERE pk > 0 GROUP BY table_id),
+typed AS (SELECT column_id, CASE lower(trim(data_type)) WHEN 'bigserial' THEN 'bigint' ELSE lower(trim(data_type)) END AS ty FROM cols)"""
+_FINDING = "rule, status, advisory, subject, table_id, columns, code, message"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(*_FINDING.split(", "))
+
+
+@register(f"""{_M}, j AS (
+  SELECT f.fk_id, f.table_id, f.cols, coalesce(bool_or(i.whole AND NOT i.filtered AND i.cols[1:len(f.cols)] = f.cols), false) AS ok, coalesce(bool_or(NOT i.whole), false) AS open_
+  FROM fks AS f LEFT JOIN idx AS i ON i.table_id = f.table_id GROUP BY f.fk_id, f.table_id, f.cols)
+SELECT 'fk-index-prefix' AS rule, CASE WHEN open_ OR pk IS NULL THEN 'unverified' ELSE 'confirmed' END AS status, false AS advisory, fk_id AS subject, j.table_id, array_to_string(cols, '|') AS columns,
+  CASE WHEN open_ OR pk IS NULL THEN 'inventory-incomplete' ELSE 'no-index-prefix' END AS code,
+  CASE WHEN open_ OR pk IS NULL THEN 'index inventory is incomplete' ELSE 'no index begins with the foreign key''s columns' END AS message
+FROM j LEFT JOIN pk ON pk.table_id = j.table_id WHERE NOT ok AND NOT coalesce(pk[1:len(cols)] = cols, false)""")
+def lint_fk_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(lint.fk_index_prefix(star(spark)))
+
+
+@register(f"""{_M}, f AS (SELECT fk_id, fks.table_id, cols, CASE WHEN len(far) > 0 THEN far ELSE pk END AS far FROM fks LEFT JOIN pk ON pk.table_id = target_id),
+p AS (SELECT fk_id, table_id, unnest(cols) AS a, unnest(far) AS b FROM f)
+SELECT 'fk-type-mismatch' AS rule, 'confirmed' AS status, false AS advisory, fk_id AS subject, table_id, a || '|' || b AS columns, 'types-differ' AS code, x.ty || ' vs ' || y.ty AS message
+FROM p JOIN typed AS x ON x.column_id = a JOIN typed AS y ON y.column_id = b WHERE x.ty <> y.ty""")
+def lint_fk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(lint.fk_type_mismatch(star(spark)))
+
+
+@register(f"""{_M} SELECT 'table-without-primary-key' AS rule, 'confirmed' AS status, true AS advisory, table_id AS subject, table_id, '' AS columns, 'no-primary-key' AS code, 'the table has no primary key' AS message
+FROM (SELECT DISTINCT table_id FROM cols) WHERE table_id NOT IN (SELECT table_id FROM pk)""")
+def lint_missing_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(lint.missing_primary_key(star(spark)))
+
+
+@register(f"""{_M} SELECT 'duplicate-index' AS rule, 'unverified' AS status, true AS advisory, b.index_id AS subject, b.table_id, array_to_string(b.cols, '|') AS columns, 'same-columns' AS code, 'same columns as ' || min(a.index_id) AS message
+FROM idx AS a JOIN idx AS b ON a.table_id = b.table_id AND a.cols = b.cols AND a.uniq = b.uniq AND a.index_id < b.index_id WHERE a.whole AND b.whole AND NOT a.filtered AND NOT b.filtered GROUP BY b.index_id, b.table_id, b.cols""")
+def lint_duplicate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(lint.duplicate_index(star(spark)))
+
+
+# -- documents -------------------------------------------------------------------------------------------------------
+
+
+@register(f"""{_M} SELECT 'vertex' AS part, 'column' AS kind, (SELECT count(*) FROM cols) + 1 AS n UNION ALL SELECT 'vertex', 'table', (SELECT count(DISTINCT table_id) FROM cols) UNION ALL SELECT 'vertex', 'view', 1 UNION ALL SELECT 'vertex', 'schema', 1
+UNION ALL SELECT 'vertex', 'constraint', (SELECT count(*) FROM fks) UNION ALL SELECT 'vertex', 'index', (SELECT count(*) FROM idx)
+UNION ALL SELECT 'edge', 'contains', (SELECT count(*) FROM cols) + 1 + (SELECT count(DISTINCT table_id) FROM cols) + 1 + (SELECT count(*) FROM fks) + (SELECT count(*) FROM idx)
+UNION ALL SELECT 'edge', 'references', (SELECT count(*) FROM (SELECT DISTINCT table_id, target_id FROM fks)) + (SELECT count(*) FROM fks WHERE len(far) > 0)""")
+def document_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.summary(star(spark))
+
+
+@register(f"""{_M} SELECT table_id AS src, 'main.' || CASE name WHEN 'region_id' THEN 'regions' ELSE 'users' END AS dst, 'inferred' AS kind FROM cols WHERE name IN ('region_id', 'user_id')""")
+def inferred_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builder.inferred_keys(star(spark))[0]
+
+
+def _documents(spark: SparkSession) -> tuple:
+    return document.from_value(spark, star_catalog.document()), document.from_value(spark, star_catalog.changed_document())
+
+
+_NEW_PARTS = "part IN ('object', 'column', 'index')"
+
+
+@register("""SELECT * FROM (VALUES
+  ('main.part', 'object', 'removed', ''), ('main.part.p_partkey', 'column', 'removed', ''), ('main.part.p_name', 'column', 'removed', ''), ('main.part.part_name', 'index', 'removed', ''),
+  ('main.archive', 'object', 'added', ''), ('main.archive.id', 'column', 'added', ''), ('main.nation.n_name', 'column', 'changed', 'data_type'), ('main.customer.region_id', 'column', 'removed', ''),
+  ('main.orders.o_status', 'column', 'added', ''), ('main.orders.o_note', 'column', 'added', ''), ('main.supplier.s_name', 'column', 'changed', 'nullable'), ('main.region.region_name', 'index', 'added', ''),
+  ('main.order_names', 'definition', 'changed', 'body'), ('main.lineitem.lineitem_supplier', 'constraint', 'removed', '')) AS t(id, part, change, detail)""")
+def diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change.diff_documents(*_documents(spark))
+
+
+@register("""SELECT * FROM (VALUES
+  ('main.part', 'object-removed', 'main.part', true), ('main.archive', 'object-added', 'main.archive', false), ('main.nation.n_name', 'column-type-changed', 'main.nation', true),
+  ('main.customer.region_id', 'column-removed', 'main.customer', true), ('main.orders.o_status', 'required-column-added', 'main.orders', true), ('main.orders.o_note', 'column-added', 'main.orders', false),
+  ('main.supplier.s_name', 'column-nullability-changed', 'main.supplier', true), ('main.region.region_name', 'unique-index-added', 'main.region', true), ('main.order_names', 'definition-changed', 'main.order_names', true),
+  ('main.lineitem', 'constraints-changed', 'main.lineitem', true)) AS t(id, kind, object_id, needs_review)""")
+def change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change.changes(*_documents(spark))
+
+
+@register(f"""WITH RECURSIVE fks AS (SELECT * FROM {_META["fks"]}), e AS (SELECT DISTINCT table_id AS src, target_id AS dst FROM fks),
+c(change_id, id) AS (VALUES ('object-removed#main.part', 'main.part'), ('column-type-changed#main.nation.n_name', 'main.nation'), ('column-removed#main.customer.region_id', 'main.customer'), ('required-column-added#main.orders.o_status', 'main.orders'),
+  ('column-nullability-changed#main.supplier.s_name', 'main.supplier'), ('unique-index-added#main.region.region_name', 'main.region')),
+b(change_id, root, id, d) AS (SELECT change_id, id, id, 0 FROM c UNION SELECT change_id, root, e.src, d + 1 FROM b JOIN e ON e.dst = b.id WHERE d < 9)
+SELECT change_id, id, min(d) AS distance FROM b WHERE id <> root GROUP BY change_id, id""")
+def review_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _documents(spark)
+    return change.review(builder.build(old), builder.build(new), change.changes(old, new))[1]
+
+
+@register(f"""WITH {_trade_sql("o", 5, 0, "1996-01-01")}, {_trade_sql("n", 5, 0)}
+SELECT 'edge' AS part, 'added' AS change, NULL AS id, src, dst, 'reads' AS kind, NULL AS old_kind FROM (SELECT * FROM n EXCEPT SELECT * FROM o)
+UNION ALL SELECT 'edge', 'removed', NULL, src, dst, 'reads', NULL FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
+def diff_graph_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change.diff_graph(rowgraph.trade_graph(spark, sf_dir, 5, 0, "1996-01-01"), rowgraph.trade_graph(spark, sf_dir, 5, 0))
+
+
+@register(f"""WITH {_trade_sql("a")}, {_trade_sql("b", 13)} SELECT 'x::' || src AS src, 'x::' || dst AS dst, 'reads' AS kind FROM a UNION ALL SELECT 'y::' || src, 'y::' || dst, 'reads' FROM b""")
+def merge_namespaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.merge_graphs([("y", rowgraph.trade_graph(spark, sf_dir, 13)), ("x", rowgraph.trade_graph(spark, sf_dir))]).edges
