@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/plexus-shared"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once a session, so that they need no installation of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plexus_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="plexus-")) / "plexus.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))  # the driver serves it to the executors
+    sc._plexus_shipped = True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, written to the shared folder as Parquet and read back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
