@@ -111,10 +111,12 @@ class _Rows(NamedTuple):
         return sums[self.ptr[1:]] - sums[self.ptr[:-1]] + self.dense @ v.dense + v.bias
 
 
-def _rows(lists: list, dense: list, width: int) -> _Rows:
-    ptr = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    ids = np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.empty(0, np.int64)
-    return _Rows(ids, ptr, np.asarray(dense, float).reshape(len(lists), width))
+def _rows(lists: pa.ChunkedArray, dense: pa.ChunkedArray | None, width: int) -> _Rows:
+    """From columns of lists, without a Python object per feature."""
+    lists = lists.combine_chunks()
+    ptr = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    values = np.empty((len(lists), 0)) if dense is None else dense.combine_chunks().flatten().to_numpy().reshape(len(lists), width)
+    return _Rows(lists.flatten().to_numpy(), ptr, values)
 
 
 def _telling(rows: _Rows, y: np.ndarray, dim: int) -> np.ndarray:
@@ -253,8 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     order = np.argsort([crc32(str(i).encode()) for i in t.column("doc_id").to_pylist()], kind="stable")  # labelled rows in no order of ids
     told = np.array([k for k in order if good[k] is not None], np.int64)
     rest = np.array([k for k in order if good[k] is None], np.int64)
-    text = _rows(t.column("words").to_pylist(), t.column("dense").to_pylist(), DENSE)
-    meta = _rows(t.column("meta").to_pylist(), [], 0)
+    text = _rows(t.column("words"), t.column("dense"), DENSE)
+    meta = _rows(t.column("meta"), None, 0)
     return co_train(text.take(told), meta.take(told), np.array([good[k] for k in told], float), text.take(rest), meta.take(rest))
 
 
