@@ -31,7 +31,7 @@ from .common import ids_and_texts, map_texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED, VARIANTS = 0.1, 2, 4
 #: Units kept with their pieces in a worker, per variant; longer ones are cut by a heap of their own.
-CACHE, LONGEST = 400_000, 40
+CACHE, LONGEST = 150_000, 40
 
 _UNITS = re.compile("\n|▁| *[^ \n▁]+| +").findall
 _MASK = (1 << 64) - 1
