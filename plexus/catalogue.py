@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .operators import change, checks, lint, lineage, merge, structure, traverse
 from .plans import build as builder
-from .plans import rowgraph, star_catalog
+from .plans import rowgraph, star_catalog, view_corpus
 from .plans.bundle import GraphBundle
+from .plans.sqlbind.enrich import enrich
 from .sources import document
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -381,3 +382,72 @@ def diff_graph_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {_trade_sql("a")}, {_trade_sql("b", 13)} SELECT 'x::' || src AS src, 'x::' || dst AS dst, 'reads' AS kind FROM a UNION ALL SELECT 'y::' || src, 'y::' || dst, 'reads' FROM b""")
 def merge_namespaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_graphs([("y", rowgraph.trade_graph(spark, sf_dir, 13)), ("x", rowgraph.trade_graph(spark, sf_dir))]).edges
+
+
+# -- lineage ---------------------------------------------------------------------------------------------------------
+
+_EXPECTED = view_corpus.expected()
+#: The star catalog's own view, which the corpus stands beside.
+_OWN = [("main.order_names", "main.orders"), ("main.order_names", "main.orders.o_orderkey")]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    return f"SELECT * FROM {star_catalog.values(rows, names)}"
+
+
+def corpus(spark: SparkSession) -> GraphBundle:
+    doc = document.from_value(spark, view_corpus.document())
+    return enrich(doc, builder.build(doc)).saved()
+
+
+@register(_values([(a, b, "reads") for a, b in _EXPECTED["reads"] + _OWN] + [(a, b, "writes") for a, b in _EXPECTED["writes"]] + [(a, b, "calls") for a, b in _EXPECTED["calls"]], "src, dst, kind"))
+def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark).edges.where("kind IN ('reads', 'writes', 'calls')")
+
+
+@register(_values(_EXPECTED["derives"] + [("main.order_names", "main.order_names.o_orderkey", "main.orders.o_orderkey")], "job, output_column, input_column"))
+def lineage_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.direct(corpus(spark))
+
+
+_INDIRECT = [
+    ("filtered", "nation.n_regionkey", "FILTER"), ("joined", "customer.c_nationkey", "JOIN"), ("joined", "nation.n_nationkey", "JOIN"), ("expression", "customer.c_nationkey", "FILTER"), ("expression", "nation.n_nationkey", "FILTER"),
+    ("scalar", "customer.c_nationkey", "FILTER"), ("scalar", "nation.n_nationkey", "FILTER"), ("existing", "supplier.s_nationkey", "FILTER"), ("existing", "nation.n_nationkey", "FILTER"), ("inside", "nation.n_nationkey", "FILTER"),
+    ("left_joined", "lineitem.l_orderkey", "JOIN"), ("left_joined", "orders.o_orderkey", "JOIN"), ("left_joined", "orders.o_custkey", "JOIN"), ("nested_join", "nation.n_regionkey", "JOIN"), ("nested_join", "region.r_regionkey", "JOIN"),
+    ("using_", "users.id", "JOIN"), ("using_", "regions.id", "JOIN"), ("using_left", "users.id", "JOIN"), ("using_left", "regions.id", "JOIN"), ("natural_", "users.id", "JOIN"), ("natural_", "regions.id", "JOIN"),
+    ("lateral_", "customer.c_nationkey", "FILTER"), ("lateral_", "nation.n_nationkey", "FILTER"), ("fill", "customer.c_nationkey", "FILTER"), ("set_names", "nation.n_regionkey", "FILTER"), ("set_names", "region.r_regionkey", "FILTER"),
+    ("merged", "regions.id", "FILTER"), ("merged", "users.id", "FILTER"), ("purge", "events.user_id", "FILTER"),
+]
+
+
+@register(_values([(f"main.{a}", f"main.{b}", c) for a, b, c in _INDIRECT], "job, input_column, kind"))
+def lineage_indirect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.indirect(corpus(spark))
+
+
+@register(_values(_EXPECTED["states"] + [("main.order_names", "complete")], "id, state"))
+def body_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark).analysis.select("id", "state")
+
+
+@register(f"SELECT state, count(*) AS n FROM ({_values(_EXPECTED['states'] + [('main.order_names', 'complete')], 'id, state')}) GROUP BY state")
+def diagnostics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.diagnostics_summary(corpus(spark))
+
+
+@register(f"""WITH d AS ({_values(_EXPECTED["derives"], "job, o, i")}), w AS ({_values(_EXPECTED["writes"], "job, t")}),
+o AS (SELECT job, regexp_replace(t, '^(main\\.[a-z_]+)\\..*$', '\\1') AS t FROM w UNION SELECT job, regexp_replace(o, '^(main\\.[a-z_]+)\\..*$', '\\1') FROM d)
+SELECT job, string_agg(t, '|' ORDER BY t) AS outputs FROM o WHERE job IN (SELECT job FROM w) GROUP BY job""")
+def lineage_job_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.jobs(corpus(spark)).where("kind = 'function'").select("job", "outputs")
+
+
+@register()
+def openlineage_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.openlineage(corpus(spark), "star", "2024-01-01T00:00:00Z")
+
+
+@register("""SELECT * FROM (VALUES ('ambiguous-reference', 'main.ambiguous', 'SG_COLUMN_AMBIGUOUS'), ('unresolved-reference', 'main.missing_table', 'SG_RELATION_UNRESOLVED'), ('unresolved-reference', 'main.missing_table', 'SG_COLUMN_UNRESOLVED'),
+  ('unresolved-reference', 'main.missing_column', 'SG_COLUMN_UNRESOLVED'), ('unresolved-reference', 'main.other_base', 'SG_COLUMN_UNRESOLVED')) AS t(rule, subject, code)""")
+def lint_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.references(corpus(spark)).select("rule", "subject", "code").distinct()

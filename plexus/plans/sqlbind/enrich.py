@@ -64,10 +64,9 @@ def bind_body(catalog: Catalog, owner: str, kind: str, schema: str, body: str, l
 
     mark = f"dml-owner:{owner}:" if dml else ""
     for (target, role), at in sorted(binder.reads.items(), key=lambda x: x[0]):
-        if not (dml and role == "relation" and target in binder.writes):
-            fact("edge", owner, target, "reads", role, at)
+        fact("edge", owner, target, "reads", mark + role, at)
     for target in sorted(binder.writes):
-        fact("edge", owner, target, "writes", "body-dependency")
+        fact("edge", owner, target, "writes", f"{mark}target")
     for target in sorted(binder.calls):
         fact("edge", owner, target, "calls", "body-dependency")
     for a, b in sorted(derives):
