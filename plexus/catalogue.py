@@ -13,6 +13,7 @@ from .plans import rowgraph, star_catalog, view_corpus
 from .plans.bundle import GraphBundle
 from .plans.sqlbind.enrich import enrich
 from .sources import document
+from .streaming import usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -451,3 +452,12 @@ def openlineage_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
   ('unresolved-reference', 'main.missing_column', 'SG_COLUMN_UNRESOLVED'), ('unresolved-reference', 'main.other_base', 'SG_COLUMN_UNRESOLVED')) AS t(rule, subject, code)""")
 def lint_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.references(corpus(spark)).select("rule", "subject", "code").distinct()
+
+
+# -- extension -------------------------------------------------------------------------------------------------------
+
+
+@register("""SELECT 'u.' || user_id AS id, strftime(date_trunc('day', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS since, count(*) FILTER (event_type <> 'purchase') AS reads, count(*) FILTER (event_type = 'purchase') AS writes
+FROM events GROUP BY user_id, date_trunc('day', CAST(ts AS TIMESTAMP))""")
+def usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.usage_windows(rowgraph.table(spark, sf_dir, "events"))
