@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +56,10 @@ def small(spark: SparkSession, sf_dir: str) -> GraphBundle:
     return rowgraph.row_graph(spark, sf_dir, SMALL).saved("vertices", "edges")
 
 
+@lru_cache(4)
 def star(spark: SparkSession) -> GraphBundle:
-    return builder.build(document.from_value(spark, star_catalog.document()))
+    """The graph of the star catalog, built once a session: it is the same fixed document each time."""
+    return builder.build(document.from_value(spark, star_catalog.document())).saved()
 
 
 # -- traversal -------------------------------------------------------------------------------------------------------
@@ -396,7 +399,9 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM {star_catalog.values(rows, names)}"
 
 
+@lru_cache(4)
 def corpus(spark: SparkSession) -> GraphBundle:
+    """The star catalog with the corpus of bodies, bound once a session."""
     doc = document.from_value(spark, view_corpus.document())
     return enrich(doc, builder.build(doc)).saved()
 
