@@ -78,7 +78,7 @@ def format_template(template: str, args: list[str]) -> str | None:
         return "'" + x.replace("'", "''") + "'" if m[2] == "L" else x
 
     out = re.sub(r"%(?:(\d+)\$)?([sIL%])", put, template)
-    return None if bad or re.search(r"%(?![sIL%\d])", template) else out
+    return None if bad or re.search(r"%(?![sIL\d])", template.replace("%%", "")) else out
 
 
 def literal(sql: str, dialect: str = "") -> str | None:
