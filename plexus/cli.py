@@ -46,7 +46,7 @@ def load_graph(spark: SparkSession, path: str) -> GraphBundle:
     """A saved bundle (a folder) or a graph file."""
     if Path(path).is_dir():
         return GraphBundle.read(spark, path)
-    return graphjson.read(spark, path)
+    return graphjson.read(spark, path).saved()
 
 
 def graph_of(doc: Document, guesses: bool = False) -> GraphBundle:

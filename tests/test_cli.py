@@ -59,7 +59,7 @@ def test_commands(graph, capsys):
     code, out = _out(capsys, "language-traversal", g, "main.orders", "main.nothing", "--dependents")
     assert code == 64 and "main.order_totals" in {r["id"] for r in out["reached"]}
     _, out = _out(capsys, "search", g, "order*", "--counts")
-    assert out["total"] == 3
+    assert out["total"] == 4
     _, out = _out(capsys, "lineage", g)
     assert {r["job"]: r["outputs"] for r in out["rows"]}["main.order_totals"] == "main.order_totals"
     code, out = _out(capsys, "lint", g, "--strict")
