@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..model import EDGE_KINDS, joined_kinds, kind_order
 from ..plans.bundle import GraphBundle
 from ..workspace import written
+from .localgraph import local_graph
 
 UNLIMITED = 1 << 31
 #: Up to so many arcs, a search over one adjacency is done where it is small: on the driver. Beyond, and always with 0, on the executors.
@@ -269,14 +270,22 @@ def _kinds_of(bundle: GraphBundle, ids: list[str]) -> dict[str, str]:
     return {r["id"]: r["kind"] for r in bundle.vertices.join(F.broadcast(rows), "id").select("id", "kind").collect()}
 
 
-def walk(bundle: GraphBundle, root: str, incoming: bool, depth: int = UNLIMITED, max_results: int = 1024, budget: Budget = Budget(), cancel: Callable[[], bool] | None = None) -> Report:
+def walk(bundle: GraphBundle, root: str, incoming: bool, depth: int = UNLIMITED, max_results: int = 1024, budget: Budget = Budget(), cancel: Callable[[], bool] | None = None, local: bool = True) -> Report:
     """Budgeted neighbourhood. Rows: (id, kind, distance, edges, via), by id, cut to ``max_results``.
 
     Reasons: cancelled, root-not-found, visited-limit, edge-limit, result-limit. ``examined`` counts every dependency arc of an
-    expanded vertex, those to the root and to unknown ids too; ``visited`` counts the root.
+    expanded vertex, those to the root and to unknown ids too; ``visited`` counts the root. A small graph is searched in arrays that the
+    bundle keeps, unless a budget is met; the result is the same.
     """
-    kind = _kinds_of(bundle, [root])
-    if not kind:
+    here = local_graph(bundle) if local else None
+    if here is not None:
+        if root not in here.number or here.number[root] not in here.kind:
+            return Report([], reasons={"root-not-found"}, found=False)
+        if budget.max_visited and not (cancel and cancel()):
+            done = here.walk(root, incoming, depth, budget.max_visited, budget.max_edges)
+            if done is not None:
+                return Report(done[0][:max_results], done[1], done[2], {"result-limit"} if len(done[0]) > max_results else set())
+    elif not _kinds_of(bundle, [root]):
         return Report([], reasons={"root-not-found"}, found=False)
     if budget.max_visited == 0:
         return Report([], reasons={"visited-limit"})

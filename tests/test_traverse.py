@@ -55,6 +55,7 @@ def test_names_are_never_guessed(spark):
 def test_walk_agrees_with_reach_and_keeps_budgets(spark):
     g = graph(spark, DIAMOND)
     report = traverse.walk(g, "a", incoming=False)
+    assert report == traverse.walk(g, "a", incoming=False, local=False)
     assert [r[0] for r in report.rows] == ["b", "c", "d", "e"] and report.complete and report.visited == 5
     assert report.examined == 9  # ghosts and arcs to the root count
     assert {(r[0], r[2], r[3], r[4]) for r in report.rows} == {tuple(r[c] for c in ("id", "distance", "edges", "via")) for r in traverse.reach(g, "a", False).collect()}
@@ -92,6 +93,8 @@ def test_random_graphs(spark, seed):
     for reverse in (True, False):
         want = _far(edges, "v00", reverse)
         assert {r.id: r.distance for r in traverse.reach(g, "v00", reverse).collect()} == {k: d for k, d in want.items() if d}
+        for depth in (1, 3, traverse.UNLIMITED):
+            assert traverse.walk(g, "v00", reverse, depth) == traverse.walk(g, "v00", reverse, depth, local=False)
         roots = ["v01", "v02", "v03"]
         far = {r: _far(edges, r, reverse) for r in roots}
         rows = {r[0]: (r[2], r[5]) for r in traverse.walk_roots(g, roots, reverse).rows}
