@@ -17,9 +17,9 @@ from ...sources.document import Document
 from ...workspace import written
 from ..build import object_id
 from ..bundle import GraphBundle, union_all
-from .binder import Binder, Column, Relation
+from .binder import Binder, Column, Relation, Scope
 from .catalog import Catalog
-from .parser import parse
+from .parser import Parser, parse
 from .procedural import extract
 from .tokens import SqlError, Token, statements, tokenize
 
@@ -31,6 +31,8 @@ def bind_body(catalog: Catalog, owner: str, kind: str, schema: str, body: str, l
     """Rows of FACTS for one body. ``outputs``: the owner's columns (name, id) in order; ``table``: a trigger's table."""
     digest = hashlib.sha256(body.encode()).hexdigest()
     binder = Binder(catalog, schema)
+    if kind == "default":
+        return _default(binder, owner, body, digest)
     state, derives, dml = "complete", set(), kind not in ("view", "materialized-view")
     if table is not None:
         base = binder.base(table)
@@ -77,6 +79,16 @@ def bind_body(catalog: Catalog, owner: str, kind: str, schema: str, body: str, l
     return rows
 
 
+def _default(binder: Binder, owner: str, text: str, digest: str) -> list[tuple]:
+    """A column default depends on the routines it calls. Its text may hold secrets, so a failure does not quote it."""
+    try:
+        e = Parser(tokenize(text, binder.catalog.dialect), binder.catalog.dialect).expr(comma=True)
+        binder.visit(e, Scope(), "default")
+    except SqlError:
+        return [(owner, "limit", None, None, None, None, None, None, None, f"default of {owner} was not read; its dependencies are not known", [], None, None, digest)]
+    return [(owner, "edge", owner, to, "depends-on", "default", None, None, None, None, [], None, None, digest) for to in sorted(binder.calls)]
+
+
 def _outputs(binder: Binder, out: Relation, outputs: list[tuple[str, str]]) -> set[tuple[str, str]]:
     if out.unknown or not outputs:
         return set()
@@ -139,7 +151,17 @@ def enrich(doc: Document, bundle: GraphBundle) -> GraphBundle:
     packaged = F.concat(F.regexp_extract(routine_id(), r"^([^.]*)\.", 1), F.lit("."), F.col("member_of"), F.lit("."), F.regexp_extract(routine_id(), r"^[^.]*\.(.*)$", 1))
     bodies = doc.routines.where("body IS NOT NULL AND kind <> 'package'").withColumns({"o1": routine_id(), "o2": packaged})
     routines = bodies.join(routine_ids.select("owner"), (F.col("owner") == F.col("o1")) | (F.col("owner") == F.concat("o1", F.lit("@"), "kind")) | (F.col("owner") == F.col("o2"))).select("owner", "kind", "schema", "body", "language", none("table_id")).dropDuplicates(["owner"])
-    work = written(union_all([views, triggers, routines]), "bodies")
+    texts = doc.columns.where("default IS NOT NULL").select(object_id("schema", "object").alias("table_id"), "schema", "name", F.col("default").alias("body"))
+    defaults = texts.join(bundle.columns.select("table_id", "name", F.col("column_id").alias("owner")), ["table_id", "name"]).select("owner", F.lit("default").alias("kind"), "schema", "body", none("language"), none("table_id"))
+    work = written(union_all([views, triggers, routines, defaults]), "bodies")
+    # what has no text is said to have none
+    bodiless = union_all(
+        [
+            doc.objects.where("kind IN ('view', 'materialized-view') AND trim(coalesce(body, '')) = ''").select(object_id("schema", "name").alias("id")),
+            doc.triggers.where("trim(coalesce(body, '')) = ''").select(object_id("schema", "object").alias("table_id"), "name").join(fires.join(member.drop("schema"), "id"), ["table_id", "name"]).select("id"),
+            doc.routines.where("trim(coalesce(body, '')) = '' AND kind <> 'package'").select(routine_id().alias("id")).join(bundle.vertices.select("id"), "id", "left_semi"),
+        ]
+    ).distinct()
 
     objects = doc.objects.select("schema", "name", object_id("schema", "name").alias("id"), "kind").distinct().collect()  # the schema's description
     columns = bundle.columns.select("table_id", "name", "column_id", "ordinal").orderBy("table_id", "ordinal").collect()
@@ -180,6 +202,7 @@ def enrich(doc: Document, bundle: GraphBundle) -> GraphBundle:
         edges=union_all([bundle.edges.select(*key), real.select(*key)]).distinct(),
         evidence=union_all([bundle.evidence, real.select(*key, F.lit("body-parse").alias("layer"), F.concat(F.lit("body of "), "owner").alias("detail")).distinct()]),
         origins=union_all([bundle.origins, real.select(*key, "body_hash", "role", "line", "col").distinct()]),
-        analysis=union_all([bundle.analysis, told.where("fact = 'state'").select(F.col("owner").alias("id"), "state", "scope", "body_hash")]),
-        diagnostics=union_all([bundle.diagnostics, notes.select("id", "code", "message", "line", "col", "candidates")]),
+        limitations=union_all([bundle.limitations, told.where("fact = 'limit'").select(F.col("message").alias("note"))]),
+        analysis=union_all([bundle.analysis, bodiless.select("id", F.lit("unsupported").alias("state"), F.lit("object").alias("scope"), none("body_hash")), told.where("fact = 'state'").select(F.col("owner").alias("id"), "state", "scope", "body_hash")]),
+        diagnostics=union_all([bundle.diagnostics, bodiless.select("id", F.lit("SG_BODY_UNAVAILABLE").alias("code"), F.lit("the catalog gives no body").alias("message"), none("line", "int"), none("col", "int"), F.array().cast("array<string>").alias("candidates")), notes.select("id", "code", "message", "line", "col", "candidates")]),
     )

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from ..workspace import written
+
 FEATURES = ("catalog-dependencies-v1", "external-queries-v1", "package-members-v1", "usage-v1")
 
 USAGE = "struct<since:string,reads:bigint,writes:bigint,scans:bigint,total_ms:double,self_ms:double>"
@@ -216,6 +218,8 @@ def _ref(c: str) -> Column:
 
 
 def _flatten(spark: SparkSession, schemas: DataFrame, objects: DataFrame, routines: DataFrame, dependencies: DataFrame, header: dict, notes: list[str]) -> Document:
+    # parsed once: everything below reads these
+    objects, routines, dependencies = written(objects, "objects"), written(routines, "routines"), written(dependencies, "dependencies")
     o = objects.select("schema", "o.*")
     parts = lambda column: o.select("schema", F.col("name").alias("object"), F.explode(column).alias("x"))
     use = [F.col(f"usage.{c}").alias(c) for c in ("since", "reads", "writes", "scans", "total_ms", "self_ms")]

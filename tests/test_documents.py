@@ -227,6 +227,17 @@ def test_imports(spark, doc, tmp_path):
     assert facts["s.t"][1] == "id:int:not null, a.b:text:null" and facts["s.t.id"][0] == "column"
 
 
+def test_defaults_and_missing_bodies(spark):
+    from plexus.plans.sqlbind.enrich import enrich
+
+    raw = {"version": 1, "dialect": "postgres", "reader": "t", "limitations": [], "schemas": [{"name": "s", "objects": [{"name": "t", "kind": "table", "columns": [{"name": "a", "data_type": "int", "nullable": True, "ordinal": 1, "pk_position": 0, "default": "f(now())"}, {"name": "b", "data_type": "int", "nullable": True, "ordinal": 2, "pk_position": 0, "default": "'open"}], "constraints": [], "indexes": [], "triggers": [{"name": "g"}]}, {"name": "v", "kind": "view", "columns": []}], "routines": [{"name": "f", "kind": "function", "language": "c"}]}]}
+    doc = document.from_value(spark, raw)
+    g = enrich(doc, build(doc))
+    assert ("s.t.a", "s.f", "depends-on") in {tuple(r) for r in g.edges.collect()}
+    assert {r.id for r in g.diagnostics.where("code = 'SG_BODY_UNAVAILABLE'").collect()} == {"s.v", "s.t.g", "s.f"} == {r.id for r in g.analysis.where("state = 'unsupported'").collect()}
+    assert any("default of s.t.b was not read" in r.note for r in g.limitations.collect())
+
+
 def test_package_bodies():
     found, notes = oracle_packages.members("PACKAGE BODY p IS PROCEDURE a(x IN NUMBER, y VARCHAR2 := 'q;') IS BEGIN IF x > 1 THEN DELETE FROM t; END IF; END a; FUNCTION b RETURN NUMBER; FUNCTION b RETURN NUMBER IS PROCEDURE c IS BEGIN NULL; END; BEGIN LOOP EXIT; END LOOP; RETURN CASE WHEN 1=1 THEN 2 END; END; PROCEDURE broken IS BEGIN NULL;")
     assert [(m.name, m.kind, m.signature) for m in found] == [("a", "procedure", "number,varchar2"), ("b", "function", "")]
