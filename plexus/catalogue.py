@@ -345,9 +345,6 @@ def _documents(spark: SparkSession) -> tuple:
     return document.from_value(spark, star_catalog.document()), document.from_value(spark, star_catalog.changed_document())
 
 
-_NEW_PARTS = "part IN ('object', 'column', 'index')"
-
-
 @register("""SELECT * FROM (VALUES
   ('main.part', 'object', 'removed', ''), ('main.part.p_partkey', 'column', 'removed', ''), ('main.part.p_name', 'column', 'removed', ''), ('main.part.part_name', 'index', 'removed', ''),
   ('main.archive', 'object', 'added', ''), ('main.archive.id', 'column', 'added', ''), ('main.nation.n_name', 'column', 'changed', 'data_type'), ('main.customer.region_id', 'column', 'removed', ''),
