@@ -37,8 +37,6 @@ KINDS = tuple(PATTERNS)
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "drop": ""}
 
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
-#: Longer terms are not looked for as terms; a word of an identifier's length and more is not prose.
-LONGEST_TERM = 64
 _SPACES = r"[\x20\x09-\x0D]+"
 
 _SPANS = "array<struct<s:int,e:int>>"
@@ -92,10 +90,15 @@ def identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # -- corpus statistics -----------------------------------------------------------------------------------------------
 
 
-def _terms(line: Column) -> Column:
-    """Distinct words of a line that could be terms: with a letter, no identifier characters, not too long."""
-    words = F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
-    return F.filter(words, lambda w: (F.length(w) <= LONGEST_TERM) & w.rlike(r"\p{L}") & ~w.rlike(r"@|^[+0-9]|[0-9]\.[0-9]"))
+def _clear_of(spans: Column):
+    """Whether a span overlaps none of ``spans``."""
+    return lambda x: ~F.exists(spans, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+
+
+def _terms(line: Column, taken: Column) -> Column:
+    """Distinct words of a line, whatever they look like, but those that overlap an identifier's span."""
+    free = F.filter(_spans(line, F.lit(WORD), lambda m: F.lit(True)), _clear_of(taken))
+    return F.array_distinct(F.transform(free, lambda x: F.substring(line, x["s"] + 1, x["e"] - x["s"])))
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
@@ -108,19 +111,19 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
     marked = identifiers(lines.where(F.col("line").rlike("|".join(_HINT.values()))), "line")
     cut = lambda k: F.transform(f"__{k}", lambda x: F.concat(F.lit(f"{k}:"), _normal(k, F.substring(F.col("line"), x["s"] + 1, x["e"] - x["s"]))))
     mentions = materialise(
-        marked.select("line", F.array_distinct(F.concat(*map(cut, KINDS))).alias("entities"))
+        marked.select("line", F.array_distinct(F.concat(*map(cut, KINDS))).alias("entities"), F.concat(*(F.col(f"__{k}") for k in KINDS)).alias("taken"))
         .where(F.size("entities") > 0)
         .groupBy("line")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities")),
+        .agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("taken").alias("taken")),
         "mentions",
     )
     of_entity = mentions.select(F.explode("entities").alias("entity"), "n").groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("lines"))
     # An entity on fewer lines than the support has no term to find; this spares pairing its words.
     able = of_entity.where(F.col("lines") >= support)
     pairs = (
-        mentions.select("line", "n", F.explode("entities").alias("entity"))
+        mentions.select("line", "taken", "n", F.explode("entities").alias("entity"))
         .join(able, "entity")
-        .select("entity", "n_entity", "n", F.explode(_terms(F.col("line"))).alias("term"))
+        .select("entity", "n_entity", "n", F.explode(_terms(F.col("line"), F.col("taken"))).alias("term"))
         .groupBy("entity", "n_entity", "term")
         .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"))
         .where(F.col("support") >= support)
@@ -171,7 +174,7 @@ def find(docs: DataFrame, terms: DataFrame, text_col: str = "text", remove: floa
     spans = {}
     for k in ("term", "drop"):
         have = F.coalesce(F.col(f"__held_{k}"), F.array().cast("array<string>"))
-        free = lambda x: ~F.exists(F.concat(*(F.col(f"__{i}") for i in KINDS)), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+        free = _clear_of(F.concat(*(F.col(f"__{i}") for i in KINDS)))
         spans[f"__{k}"] = F.when(F.size(have) > 0, F.filter(_spans(text, F.lit(WORD), lambda m, have=have: F.array_contains(have, m)), free)).otherwise(F.array().cast(_SPANS))
     return out.withColumns(spans).drop("__key", "__held_term", "__held_drop")
 
