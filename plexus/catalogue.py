@@ -17,6 +17,7 @@ from .sources import document
 from .streaming import usage
 
 Query = Callable[[SparkSession, str], DataFrame]
+Graph = Callable[[SparkSession, str], GraphBundle]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -44,6 +45,14 @@ R_IDS = """v(id, tab) AS (
   UNION SELECT 'customer.' || c_custkey, 'customer' FROM customer UNION SELECT 'supplier.' || s_suppkey, 'supplier' FROM supplier
   UNION SELECT 'orders.' || o_orderkey, 'orders' FROM orders)"""
 
+#: The same over every table of ``rowgraph.KEYS``; UNION leaves one of the rows that repeat the key of lineitem.
+ALL_EDGES = f"""{R_EDGES[:-1]}
+  UNION SELECT 'lineitem.' || l_orderkey || '-' || l_linenumber, 'orders.' || l_orderkey, 'references' FROM lineitem
+  UNION SELECT 'lineitem.' || l_orderkey || '-' || l_linenumber, 'part.' || l_partkey, 'references' FROM lineitem
+  UNION SELECT 'lineitem.' || l_orderkey || '-' || l_linenumber, 'supplier.' || l_suppkey, 'references' FROM lineitem)"""
+ALL_IDS = f"""{R_IDS[:-1]}
+  UNION SELECT 'part.' || p_partkey, 'part' FROM part UNION SELECT 'lineitem.' || l_orderkey || '-' || l_linenumber, 'lineitem' FROM lineitem)"""
+
 
 def _trade_sql(name: str, modulus: int = 17, rest: int = 0, upto: str | None = None) -> str:
     where = f"WHERE o_orderdate <= DATE '{upto}'" if upto else ""
@@ -56,6 +65,10 @@ def small(spark: SparkSession, sf_dir: str) -> GraphBundle:
     return rowgraph.row_graph(spark, sf_dir, SMALL).saved("vertices", "edges")
 
 
+def full(spark: SparkSession, sf_dir: str) -> GraphBundle:
+    return rowgraph.row_graph(spark, sf_dir).saved("vertices", "edges")
+
+
 @lru_cache(4)
 def star(spark: SparkSession) -> GraphBundle:
     """The graph of the star catalog, built once a session: it is the same fixed document each time."""
@@ -74,24 +87,24 @@ FROM m AS x JOIN e ON e.{far} = x.id JOIN m AS y ON y.id = e.{near} WHERE x.d >
 
 
 @register(_bfs_sql("region.0", "dst", "src", 9))
-def impact_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.impact(small(spark, sf_dir), "region.0")
+def impact_region(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    return traverse.impact(graph(spark, sf_dir), "region.0")
 
 
 @register(
     f"SELECT * FROM ({_bfs_sql('nation.3', 'dst', 'src', 2, chr(44) + ' ' + chr(39) + 'dependents' + chr(39) + ' AS direction')}) UNION ALL SELECT * FROM ({_bfs_sql('nation.3', 'src', 'dst', 2, chr(44) + ' ' + chr(39) + 'dependencies' + chr(39) + ' AS direction')})"
 )
-def query_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.query(small(spark, sf_dir), "nation.3", 2)
+def query_depth2(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    return traverse.query(graph(spark, sf_dir), "nation.3", 2)
 
 
 @register(f"""WITH RECURSIVE {R_EDGES},
 b(subject, id, d) AS (SELECT 'region.' || r_regionkey, 'region.' || r_regionkey, 0 FROM region UNION SELECT subject, e.src, b.d + 1 FROM b JOIN e ON e.dst = b.id WHERE b.d < 9)
 SELECT subject, id, min(d) AS distance FROM b WHERE id <> subject GROUP BY subject, id""")
-def impact_all_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = small(spark, sf_dir)
-    seeds = graph.vertices.where("schema = 'region' AND kind = 'column'").select(F.col("id").alias("subject"), "id")
-    return traverse.impact_many(graph, seeds, "subject")
+def impact_all_regions(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    rows = graph(spark, sf_dir)
+    seeds = rows.vertices.where("schema = 'region' AND kind = 'column'").select(F.col("id").alias("subject"), "id")
+    return traverse.impact_many(rows, seeds, "subject")
 
 
 def _report(spark: SparkSession, report: traverse.Report, schema: str, rows: list | None = None) -> DataFrame:
@@ -105,8 +118,8 @@ def _report(spark: SparkSession, report: traverse.Report, schema: str, rows: lis
 b(id, d) AS (SELECT 'orders.1', 0 UNION SELECT e.dst, b.d + 1 FROM b JOIN e ON e.src = b.id WHERE b.d < 9), m AS (SELECT id, min(d) AS d FROM b GROUP BY id)
 SELECT x.id, x.d AS distance, string_agg(DISTINCT e.kind, '|') AS edges, min(CASE WHEN y.d = x.d - 1 THEN y.id END) AS via, true AS complete, '' AS reasons
 FROM m AS x JOIN e ON e.dst = x.id JOIN m AS y ON y.id = e.src WHERE x.d > 0 GROUP BY x.id, x.d""")
-def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = traverse.walk(small(spark, sf_dir), "orders.1", incoming=False)
+def walk_order(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    report = traverse.walk(graph(spark, sf_dir), "orders.1", incoming=False)
     return _report(spark, report, "id string, distance int, edges string, via string", [(r[0], r[2], r[3], r[4]) for r in report.rows])
 
 
@@ -116,8 +129,8 @@ m AS (SELECT root, k, id, min(d) AS d FROM b GROUP BY root, k, id), other AS (SE
 SELECT best.id, best.d AS depth, (SELECT string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) FROM (SELECT DISTINCT k FROM other AS o WHERE o.id = best.id)) AS roots,
   (SELECT min(e.dst) FROM e JOIN m ON m.id = e.dst WHERE e.src = best.id AND m.d = best.d - 1 AND m.root <> best.id) AS via, true AS complete, '' AS reasons
 FROM best""")
-def multi_root_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = traverse.walk_roots(small(spark, sf_dir), ["nation.1", "nation.2", "region.1"], True, depth=2, max_results=1_000_000)
+def multi_root_nations(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    report = traverse.walk_roots(graph(spark, sf_dir), ["nation.1", "nation.2", "region.1"], True, depth=2, max_results=1_000_000)
     return _report(spark, report, "id string, depth int, roots string, via string", [(r[0], r[2], "|".join(map(str, r[5])), r[4]) for r in report.rows])
 
 
@@ -133,21 +146,21 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH {R_EDGES}, a AS (SELECT * FROM e WHERE src = 'nation.5' OR dst = 'nation.5' UNION SELECT 'nation', 'nation.5', 'contains'), n AS (SELECT count(*) AS n FROM a)
 SELECT src, dst, kind, CAST(NULL AS VARCHAR) AS evidence, CAST(NULL AS VARCHAR) AS roles, (SELECT n FROM n) AS total_edges FROM a""")
-def explain_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.explain(small(spark, sf_dir), "nation.5", 1_000_000)
+def explain_vertex(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    return traverse.explain(graph(spark, sf_dir), "nation.5", 1_000_000)
 
 
 @register(f"WITH {R_IDS} SELECT id, 'candidate' AS status FROM v WHERE split_part(id, '.', 2) = '7'")
-def resolve_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.resolve(small(spark, sf_dir), "7")
+def resolve_ambiguous(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    return traverse.resolve(graph(spark, sf_dir), "7")
 
 
 # -- structure -------------------------------------------------------------------------------------------------------
 
 
 @register(f"WITH {R_EDGES} SELECT DISTINCT split_part(src, '.', 1) AS src, split_part(dst, '.', 1) AS dst, kind FROM e")
-def project_table_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.project(small(spark, sf_dir), "object").edges
+def project_table_level(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    return structure.project(graph(spark, sf_dir), "object").edges
 
 
 _SCC = f"""WITH RECURSIVE {_trade_sql("t")}, r(a, b) AS (SELECT src, dst FROM t UNION SELECT r.a, t.dst FROM r JOIN t ON t.src = r.b),
@@ -212,20 +225,20 @@ def rules_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"WITH {R_EDGES} SELECT DISTINCT 'customers-know-nations' AS rule, split_part(src, '.', 1) AS src, split_part(dst, '.', 1) AS dst, kind FROM e WHERE split_part(src, '.', 1) = 'customer'")
-def rules_table_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.rules(small(spark, sf_dir), [("customers-know-nations", "cust*", "nat??n", None)], level="object")
+def rules_table_level(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    return checks.rules(graph(spark, sf_dir), [("customers-know-nations", "cust*", "nat??n", None)], level="object")
 
 
 @register(f"""WITH {R_IDS}, s AS (SELECT id FROM v WHERE regexp_full_match(id, '.*er\\.1.'))
 SELECT id, 'column' AS kind, split_part(id, '.', 2) AS name, (SELECT count(*) FROM s) AS total FROM s ORDER BY id LIMIT 12""")
-def search_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.search(small(spark, sf_dir), "*ER.1?", max_results=12)
+def search_glob(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    return checks.search(graph(spark, sf_dir), "*ER.1?", max_results=12)
 
 
 @register(f"""WITH {R_IDS}, {R_EDGES}, s AS (SELECT id FROM v WHERE tab = 'nation')
 SELECT id, 'column' AS kind, split_part(id, '.', 2) AS name, (SELECT count(*) FROM s) AS total, (SELECT count(DISTINCT src) FROM e WHERE dst = id) AS dependents, (SELECT count(DISTINCT dst) FROM e WHERE src = id) AS dependencies FROM s""")
-def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.search(small(spark, sf_dir), "NATION.", kinds=["column"], counts=True)
+def search_counts(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    return checks.search(graph(spark, sf_dir), "NATION.", kinds=["column"], counts=True)
 
 
 def _usage(spark: SparkSession, sf_dir: str) -> GraphBundle:
@@ -277,8 +290,23 @@ def stats_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH {R_IDS}, {R_EDGES} SELECT 'vertex' AS part, 'column' AS kind, count(*) AS n FROM v UNION ALL SELECT 'vertex', 'table', 5
 UNION ALL SELECT 'edge', 'references', count(*) FROM e UNION ALL SELECT 'edge', 'contains', count(*) FROM v""")
-def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.summary(small(spark, sf_dir))
+def graph_summary(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+    return checks.summary(graph(spark, sf_dir))
+
+
+# -- the row graph of all tables -------------------------------------------------------------------------------------
+
+_OVER_ROWS = (impact_region, query_depth2, impact_all_regions, walk_order, multi_root_nations, explain_vertex, resolve_ambiguous, project_table_level, search_glob, search_counts, graph_summary, rules_table_level)
+
+
+def _on_all_tables(f: Callable[..., DataFrame]) -> None:
+    name = f"{f.__name__}_all_tables"
+    QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, full)
+    ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace(R_EDGES, ALL_EDGES).replace(R_IDS, ALL_IDS).replace("'table', 5", f"'table', {len(rowgraph.KEYS)}")
+
+
+for _query in _OVER_ROWS:
+    _on_all_tables(_query)
 
 
 # -- lint ------------------------------------------------------------------------------------------------------------
