@@ -203,14 +203,35 @@ def dead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.dead(_views_plain(spark, sf_dir))
 
 
+RETENTION = structure.Retention(roots=(("customer.1*", "reports"),), suppressions=(("customer.2?", "in use elsewhere", None), ("customer.3*", "ended", "2020-01-01"), ("customer.4*", " ", None)), as_of="2024-01-01")
+
+
 @register(f"""{_DEAD}, kept AS (SELECT id FROM c WHERE regexp_full_match(id, 'customer\\.1.*') UNION SELECT dst FROM k WHERE regexp_full_match(src, 'customer\\.1.*')),
 dc AS (SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE dst = c.id) AND id NOT IN (SELECT id FROM kept))
 SELECT id, 'view' AS kind, 'noDependents' AS reason, CAST(NULL AS BIGINT) AS reads, CAST(NULL AS BIGINT) AS writes, CASE WHEN regexp_full_match(id, 'customer\\.2.') THEN 'in use elsewhere' END AS suppression_reason FROM dc
 UNION ALL SELECT id, 'view', CASE WHEN EXISTS (SELECT 1 FROM k WHERE dst = n.id) THEN 'allDependentsDead' ELSE 'noDependents' END, NULL, NULL, NULL FROM n
 WHERE id NOT IN (SELECT id FROM kept) AND NOT EXISTS (SELECT 1 FROM k WHERE dst = n.id AND src NOT IN (SELECT id FROM dc))""")
 def dead_with_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = structure.Retention(roots=(("customer.1*", "reports"),), suppressions=(("customer.2?", "in use elsewhere", None), ("customer.3*", "ended", "2020-01-01"), ("customer.4*", " ", None)), as_of="2024-01-01")
-    return structure.dead(_views_plain(spark, sf_dir), policy)
+    return structure.dead(_views_plain(spark, sf_dir), RETENTION)
+
+
+def _views_all(spark: SparkSession, sf_dir: str) -> GraphBundle:
+    """The row graph of all tables, with all its edges, and with customers and nations as views."""
+    g = full(spark, sf_dir)
+    kinds = F.when(F.col("schema").isin("customer", "nation") & F.col("id").contains("."), "view").otherwise(F.col("kind"))
+    return g.with_tables(vertices=g.vertices.withColumn("kind", kinds))
+
+
+_DEAD_ALL = f"WITH {ALL_EDGES}, k AS (SELECT * FROM e)," + _DEAD[_DEAD.index("\nc AS") :]
+
+
+def _on_all_edges(name: str, *policy: structure.Retention) -> None:
+    QUERIES[f"{name}_all_edges"] = lambda spark, sf_dir: structure.dead(_views_all(spark, sf_dir), *policy)
+    ORACLE_SQL[f"{name}_all_edges"] = ORACLE_SQL[name].replace(_DEAD, _DEAD_ALL)
+
+
+_on_all_edges("dead_rows")
+_on_all_edges("dead_with_retention", RETENTION)
 
 
 # -- checks ----------------------------------------------------------------------------------------------------------
