@@ -1,9 +1,10 @@
 """SentencePiece (merge type) encoding with seeded merge dropout, and lossless decoding.
 
 The agenda holds the candidate merges of a unit, best score first, leftmost first among equals. With dropout, a candidate that comes
-up is skipped where a keyed hash of (seed, variant, unit, position, piece) falls below the rate; a skipped pair stays apart unless
-one of its sides grows. Without dropout the pieces are those of the library. A document's variant is a keyed hash of its id, so equal
-words are cut differently in different documents and every run gives the same pieces.
+up is skipped where a keyed hash of (seed, document id, place of the unit in the text, position, piece) falls below the rate; a
+skipped pair stays apart unless one of its sides grows. Without dropout the pieces are those of the library. Each occurrence of a
+word draws for itself, and every run gives the same pieces. A worker keeps each unit's pieces without dropout and the candidates that
+come up on the way to them: an occurrence that skips none of these has these pieces, any other is cut anew.
 
 No piece holds a space behind another character, or a line end, so texts are cut in front of runs of spaces and around line ends into
 units that are encoded on their own. The model is an existing file, never trained here. Its path must be readable where the code runs.
@@ -18,6 +19,7 @@ Defined results: a null text gives null pieces and decodes to null; an empty tex
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -29,9 +31,9 @@ from xxhash import xxh64_intdigest
 from .common import ids_and_texts, map_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 2, 4
-#: Units kept with their pieces in a worker, per variant; longer ones are cut by a heap of their own.
-CACHE, LONGEST = 150_000, 40
+RATE, SEED = 0.1, 2
+#: Units kept in a worker; those longer than LONGEST are cut anew each time. Occurrences that draw at once.
+CACHE, LONGEST, AT_ONCE = 150_000, 40, 100_000
 
 _UNITS = re.compile("\n|▁| *[^ \n▁]+| +").findall
 _MASK = (1 << 64) - 1
@@ -66,7 +68,8 @@ class Codec:
                 self.raw.append(own.encode())
         if any(re.search("[^ ] |\n", p) for p in self.rank):
             raise ValueError("the model has pieces across words or lines; units can't be encoded on their own")
-        self.caches: dict[tuple, dict[str, bytes]] = {}
+        self.cuts: list[tuple[bytes, bytes]] = []  # pieces, draws
+        self.known: dict[str, int] = {}
 
         self._build_pairs()
 
@@ -124,20 +127,20 @@ class Codec:
     def units(self, units: list[str], rate: float = 0.0, key: int = 0) -> dict[str, bytes]:
         """The pieces of many units, packed: their agendas advance together, one candidate a unit and round."""
         out: dict[str, bytes] = {}
-        groups: dict[int, list[str]] = {}
+        short = []
         for u in units:
-            n = len(u)
-            if n > LONGEST or u == "▁":
+            if len(u) > LONGEST or u == "▁":
                 out[u] = _packed(self.unit(u, rate, key))
             else:
-                groups.setdefault((n + 1) // 2, []).append(u)
-        for half, group in groups.items():
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
-                out.update(zip(part, self._together(part, 2 * half, int(rate * (1 << 64)), key), strict=True))
+                short.append(u)
+        limit = int(rate * (1 << 64))
+        for width, part in _by_width(short):
+            bases = np.array([self._base(u, key) for u in part], np.uint64) if limit else None
+            out.update(zip(part, self._together(part, width, limit, bases), strict=True))
         return out
 
-    def _together(self, units: list[str], width: int, limit: int, key: int) -> list[bytes]:
+    def _together(self, units: list[str], width: int, limit: int, base: np.ndarray | None, trace: list | None = None) -> list[bytes]:
+        """``base`` has one number a unit if there is a limit; ``trace`` takes (unit, draw) of the candidates that come up."""
         n = len(units)
         text = np.frombuffer("".join(u.ljust(width, "\0") for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         size = np.array([len(u) for u in units])
@@ -148,7 +151,7 @@ class Codec:
         agenda[columns + 1 >= size[:, None]] = _LAST
         at = np.broadcast_to(columns, (n, width)).copy()
         done_symbols, done_at, done_size = np.empty_like(symbols), np.empty_like(at), np.empty_like(size)
-        base = np.array([self._base(u, key) for u in units], np.uint64) if limit else np.zeros(n, np.uint64)
+        base = np.zeros(n, np.uint64) if base is None else base
         who = np.arange(n)
         while len(who):
             m = np.arange(len(who))
@@ -160,6 +163,9 @@ class Codec:
                 symbols, at, agenda, size, base, who = (x[~over] for x in (symbols, at, agenda, size, base, who))
                 continue
             merge = ~over
+            if trace is not None:
+                draw = at[m, k].astype(np.uint64) * np.uint64(_A) ^ best.astype(np.uint64) * np.uint64(_B)
+                trace.append((who[merge], draw[merge]))
             if limit:
                 h = (base ^ at[m, k].astype(np.uint64) * np.uint64(_A) ^ best.astype(np.uint64) * np.uint64(_B)) * np.uint64(_C)
                 merge &= h >= np.uint64(min(limit, _MASK))
@@ -213,27 +219,100 @@ class Codec:
                 heappush(agenda, (rank[pair], p, len(pair)))
         return symbols
 
+    def _cut(self, units: list[str]) -> None:
+        """Keeps, per unit, its pieces without dropout and the draws of the candidates that come up on the way."""
+        for u in [u for u in units if u == "▁"]:
+            self.cuts.append((_packed(self.unit(u)), b""))
+            self.known[u] = len(self.cuts) - 1
+        for width, part in _by_width([u for u in units if u != "▁"]):
+            trace: list[tuple[np.ndarray, np.ndarray]] = []
+            pieces = self._together(part, width, 0, None, trace)
+            who, draw = (np.concatenate([t[i] for t in trace]) if trace else np.empty(0, np.uint64) for i in (0, 1))
+            raw, ends = draw[np.argsort(who, kind="stable")].tobytes(), (8 * np.cumsum(np.bincount(who.astype(np.int64), minlength=len(part)))).tolist()
+            self.known.update(zip(part, range(len(self.cuts), len(self.cuts) + len(part)), strict=True))
+            self.cuts += [(ids, raw[y:z]) for ids, y, z in zip(pieces, [0, *ends], ends, strict=False)]
+
+    def occurrences(self, units: list[str], bases: np.ndarray, rate: float) -> list[bytes]:
+        """The pieces of each occurrence of a unit, packed; each one draws by its own base."""
+        limit, known, cuts = int(rate * (1 << 64)), self.known, self.cuts
+        if len(cuts) > CACHE:
+            known.clear()
+            cuts.clear()
+        self._cut([u for u in dict.fromkeys(units) if len(u) <= LONGEST and u not in known])
+        get = known.get
+        cut = np.array([get(u, -1) for u in units], np.int64)
+        out = [cuts[k][0] if k >= 0 else b"" for k in cut.tolist()]
+        for n in np.flatnonzero(cut < 0).tolist():
+            out[n] = _packed(self._named(s for s in self._long(units[n], limit, int(bases[n])) if s))
+        if not limit:
+            return out
+        some, which = np.unique(cut, return_inverse=True)
+        raw = [cuts[k][1] if k >= 0 else b"" for k in some.tolist()]
+        sizes = np.array([len(r) // 8 for r in raw], np.int64)
+        draws, left = np.frombuffer(b"".join(raw), np.uint64), sizes[which]
+        who = np.repeat(np.arange(len(units)), left)
+        step = np.arange(len(who)) - np.repeat(np.cumsum(left) - left - (np.cumsum(sizes) - sizes)[which], left)
+        skips = np.unique(who[((bases[who] ^ draws[step]) * np.uint64(_C)) < np.uint64(min(limit, _MASK))]).tolist()
+        for width, part in _by_width(skips, lambda n: len(units[n])):
+            for n, ids in zip(part, self._together([units[n] for n in part], width, limit, bases[part]), strict=True):
+                out[n] = ids
+        return out
+
     def encode(self, text: str, rate: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
         return np.frombuffer(self.encode_many([text], rate, seed, [variant])[0], np.int32).tolist()
 
-    def encode_many(self, texts: list[str | None], rate: float, seed: int, variants: list[int]) -> list[bytes | None]:
-        """The pieces of many texts, each packed as 32-bit numbers; each one's variant is given. Units that are new to the worker are cut together."""
-        cut = [_UNITS(" " + t) if t else [] for t in texts]
-        need: dict[int, set[str]] = {}
-        for u, v in zip(cut, variants, strict=True):
-            need.setdefault(v, set()).update(u)
-        for v, units in need.items():
-            cache = self.caches.setdefault((rate, seed, v), {})
-            if len(cache) + len(units) > CACHE:
-                cache.clear()
-            cache.update(self.units(list(units.difference(cache)), rate, (seed * 0x9E3779B1 + v) & _MASK))
-        of = {v: self.caches[rate, seed, v].__getitem__ for v in need}
-        return [None if t is None else b"".join(map(of[v], u)) for t, u, v in zip(texts, cut, variants, strict=True)]
+    def encode_many(self, texts: list[str | None], rate: float, seed: int, keys: list[int]) -> list[bytes | None]:
+        """The pieces of many texts, each packed as 32-bit numbers; each one's key, beside the seed, is given."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        units: list[str] = []
+        bases: list[np.ndarray] = []
+        owners: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            done, at = self.occurrences(units, np.concatenate(bases), rate), 0
+            for owner, n in owners:
+                out[owner].append(b"".join(done[at : at + n]))
+                at += n
+            units.clear()
+            bases.clear()
+            owners.clear()
+
+        for k, t in enumerate(texts):
+            own = _UNITS(" " + t) if t else []
+            base = _bases(xxh64_intdigest(str(keys[k]), seed), len(own))
+            for x in range(0, len(own), AT_ONCE):
+                part = own[x : x + AT_ONCE]
+                units += part
+                bases.append(base[x : x + AT_ONCE])
+                owners.append((k, len(part)))
+                if len(units) >= AT_ONCE:
+                    flush()
+        if units:
+            flush()
+        return [None if t is None else b"".join(x) for t, x in zip(texts, out, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+def _by_width(items: list, length: Callable = len) -> Iterator[tuple[int, list]]:
+    """Width and items of about one length, in blocks."""
+    groups: dict[int, list] = {}
+    for x in items:
+        groups.setdefault((length(x) + 1) // 2, []).append(x)
+    for half, group in groups.items():
+        for k in range(0, len(group), 20_000):
+            yield 2 * half, group[k : k + 20_000]
+
+
+def _bases(key: int, n: int) -> np.ndarray:
+    """The base of each unit of a text, by its place."""
+    z = np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_A)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(_C)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(_B)
+    return z ^ (z >> np.uint64(31))
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
@@ -249,18 +328,14 @@ def codec(model: str = MODEL, rate: float = RATE, seed: int = SEED) -> Codec:
     return _OPEN[model, rate, seed]
 
 
-def variant_of(doc_id: int | None, seed: int, variants: int) -> int:
-    return xxh64_intdigest(str(doc_id), seed) % variants
-
-
-def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and lossless (the ids decode to the text), for every row."""
 
     def make():
         c = codec(model, rate, seed)
 
         def work(ids: list, texts: list) -> dict:
-            found = c.encode_many(texts, rate, seed, [variant_of(i, seed, variants) for i in ids])
+            found = c.encode_many(texts, rate, seed, ids)
             same = [t is None or c.decode(np.frombuffer(f, np.int32).tolist()) == t for f, t in zip(found, texts, strict=True)]
             offsets = np.concatenate([[0], np.cumsum([len(f or ()) // 4 for f in found])]).astype(np.int32)
             flat = np.frombuffer(b"".join(f for f in found if f), np.int32)
