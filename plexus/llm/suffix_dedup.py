@@ -3,17 +3,21 @@
 Every byte that lies in a string of ``length`` bytes which also starts somewhere else, in any document or the same one, is removed.
 
 Sorting all suffixes of a corpus is not needed to know this. Each window of ``length`` bytes picks an anchor, the leftmost least hash
-among its ``gram``-byte grams, so equal windows pick equal anchors at equal offsets; windows with the same anchor form a run. Then
-
-1. runs with equal anchor, extent and bytes are counted (partial aggregation: thousands of copies cost one row a task): all
-   windows of a run that occurs twice are repeated, without looking at them;
-2. runs that share only their anchor with others go, with their bytes and one run of each repeated kind, to the task of that anchor.
-   There the suffix array of the gathered bytes is refined: buckets of 8-gram prefixes first, then each bucket is sorted on the
-   bucket pointers of the positions q further, q = 8, 16, ..., 128, pointers being updated in place and used by the next round, until
-   two pointers identify a window. Positions alone in their bucket drop out of all later rounds. Windows are taken in blocks of
-   neighbouring offsets to the anchor, whose common core is one symbol there: a core that occurs once has no repeated window, and equal
-   blocks are held once, so a passage that very many documents share costs its ends and not its bytes;
-3. windows in buckets of two or more are repeated. Their spans are joined to the texts and cut out.
+among its ``gram``-byte grams, so equal windows pick equal anchors at equal offsets; neighbouring windows with the same anchor form a
+run. The anchors are the initial buckets, of ``gram``-byte prefixes, and are what Spark shuffles by:
+
+1. equal runs of a bucket are one run with a count (partial aggregation: thousands of copies cost one row a task). A bucket with one
+   distinct run needs no refinement: its windows occur as often as the run;
+2. a bucket with several distinct runs goes, with their bytes, to one task. There the suffix array of the bytes is built by
+   bucket-pointer refinement: buckets of 8-byte prefixes first; then bucket after bucket is sorted on the bucket pointers of its
+   suffixes' later offsets, at the depth the bucket is known to agree to. A bucket's new pointers and depths are written at once, so its
+   own sub-buckets, refined next, and all later buckets already sort on them. Suffixes alone in their bucket, and buckets that agree
+   to a whole window, are done. Windows that are equal lie side by side in this order;
+3. a bucket of more than ``HOT`` distinct runs (a passage that very many documents share) is cut, before any bytes are sent, into buckets of
+   FINE offsets each. What all windows of such a bucket cover is one symbol there, equal contents are one with a count, and again a task refines
+   it; where even that has more than ``HOT`` distinct contents, single windows are counted by partial aggregation. So no task gets more
+   than HOT runs of one bucket, whatever the corpus holds;
+4. windows that occur twice or more are repeated. Their spans are joined to the texts and cut out.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` are kept whole; repeated rows are documents like any others,
 so their long texts are repeated; an empty table gives an empty result; extra columns are left behind.
@@ -22,6 +26,7 @@ so their long texts are repeated; an empty table gives an empty result; extra co
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import in_pieces, materialise, ship
+from .common import discard, in_pieces, materialise, ship
 
 LENGTH, GRAM = 400, 160
-#: Presence of documents by hash is told to the map side in this many bits, at any size of the corpus.
-SLOTS = 1 << 20
+#: Which documents a join is for is told to its map side in bits by hash, eight a document, up to this many (8 MB); beyond, the join takes all texts.
+MOST_SLOTS = 1 << 26
+#: Distinct runs of one bucket that a task refines together; of a bucket with more, so many windows' offsets make a bucket of its own.
+HOT, FINE = 512, 16
 _PIECE = 1 << 19
-#: Windows whose anchors lie within so many places of each other share a core, the bytes that all of them cover.
-BLOCK = 32
+#: Suffixes whose buckets are refined with one call of the array functions.
+_STRETCH = 1 << 16
 _RNG = np.random.default_rng(10)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -137,64 +144,86 @@ def _longs(rows: list[tuple], schema: str) -> pa.RecordBatch:
 # -- bucket-pointer refinement ---------------------------------------------------------------------------------------
 
 
-def _pointers(order_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, pointer of each element in that order): the pointer is the last place of its bucket in the sorted order."""
-    order = np.argsort(order_key, kind="stable")
-    key = order_key[order]
-    last = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
-    return order, np.repeat(last, np.diff(np.concatenate([[-1], last])))
+def _ends(sorted_keys: np.ndarray) -> np.ndarray:
+    """For each element of a sorted array, the place of the last equal one."""
+    return _spread(np.append(sorted_keys[1:] != sorted_keys[:-1], True))
 
 
-def repeated_windows(spans: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each span, which of its windows of ``length`` bytes occur in the spans more than once."""
+def _spread(last: np.ndarray) -> np.ndarray:
+    """For each place, the next flagged one, itself included."""
+    at = np.flatnonzero(last)
+    return np.repeat(at, np.diff(at, prepend=-1))
+
+
+def _together(sorted_pointers: np.ndarray) -> np.ndarray:
+    """Which elements share their bucket with a neighbour."""
+    same = sorted_pointers[1:] == sorted_pointers[:-1]
+    return np.append(same, False) | np.insert(same, 0, False)
+
+
+def suffix_order(left: np.ndarray, eight: np.ndarray, enough: int, stretch: int = _STRETCH) -> np.ndarray:
+    """The bucket pointer of each position: places in an order of the suffixes in which equal prefixes of ``enough`` bytes stand side by side.
+
+    ``left``: bytes to the end of the position's own string; ``eight``: the next 8 bytes as a number, zeros after the string's end. Positions
+    with fewer than 8 bytes left, and the ends of strings, are buckets of their own.
+    """
+    n = len(left)
+    short = left < 8
+    order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
+    order = order[np.argsort(eight[order], kind="stable")]
+    last = np.append(eight[order[1:]] != eight[order[:-1]], True) | short[order]
+    pointer = np.empty(n + 1, np.int64)  # place n stands for the end of the last string
+    pointer[order] = _spread(last)
+    pointer[n] = n
+    depth = np.full(n + 1, 8)
+    order = order[_together(pointer[order])]
+    at = 0
+    while at < len(order):
+        stop = min(at + stretch, len(order))
+        if stop < len(order):  # whole buckets only
+            stop = at + int(np.searchsorted(pointer[order[at:]], pointer[order[stop - 1]], side="right"))
+        active = order[at:stop]
+        at = stop
+        while len(active):
+            d = depth[active]
+            target = active + d
+            over = d >= left[active]  # the string ends here; no other suffix goes on like it
+            mine, next_ = pointer[active], np.where(over, 2 * n + 1 + active, pointer[target])
+            deeper = d + np.where(over, 0, depth[target])
+            by = np.argsort((mine << 32) | next_)
+            active, mine, next_, deeper = active[by], mine[by], next_[by], deeper[by]
+            of_bucket = _ends(mine)
+            of_part = _ends((mine << 32) | next_)
+            pointer[active] = mine - (of_bucket - of_part)
+            depth[active] = deeper
+            active = active[_together(of_part) & (deeper < enough)]
+    return pointer[:n]
+
+
+def repeated_windows(spans: list[bytes], length: int = LENGTH, times: list[int] | None = None) -> list[np.ndarray]:
+    """For each span, which of its windows of ``length`` bytes (8 at least) occur more than once; ``times``: how often each span counts."""
     sizes = np.array([len(s) for s in spans])
     ends = np.cumsum(sizes)
     n = int(ends[-1])
-    left = np.repeat(ends, sizes) - np.arange(n)  # bytes to the end of the own span
-    data = np.frombuffer(b"".join(spans) + bytes(8), np.uint8).astype(np.uint64)
-    value = np.zeros(n, np.uint64)
+    left = np.repeat(ends, sizes) - np.arange(n)
+    padded = np.frombuffer(b"".join(spans) + bytes(8), np.uint8)
+    eight = np.zeros(n, np.uint64)
     for k in range(8):
-        value = (value << np.uint64(8)) | data[k : k + n]
-    whole = np.flatnonzero(left >= 8)
-    # Places 0 .. n-1 of the suffix array; what is shorter than the depth stands alone, behind them.
-    pointer = np.arange(n, 2 * n)
-    order, place = _pointers(value[whole])
-    active = whole[order]
-    pointer[active] = place
-    q = 8
-    while True:
-        if 2 * q > length:
-            break
-        # only buckets of two or more are refined; positions too near their span's end leave them
-        alone = _alone(pointer[active])
-        active = active[~alone]
-        short = left[active] < 2 * q
-        gone, active = active[short], active[~short]
-        if not len(active):
-            break
-        mine, next_ = pointer[active], pointer[active + q]  # both as deep as q
-        pointer[gone] = gone + n
-        order = np.lexsort((next_, mine))
-        active, mine, next_ = active[order], mine[order], next_[order]
-        bucket_last = np.append(mine[1:] != mine[:-1], True)
-        part_last = bucket_last | np.append(next_[1:] != next_[:-1], True)
-        at = np.arange(len(active))
-        end_of_bucket = at[bucket_last][np.searchsorted(at[bucket_last], at)]
-        end_of_part = at[part_last][np.searchsorted(at[part_last], at)]
-        pointer[active] = mine - (end_of_bucket - end_of_part)
-        q *= 2
-    rest = length - q
-    first = ends - sizes
-    windows = np.concatenate([np.arange(a, a + s - length + 1) for a, s in zip(first, sizes, strict=True)])
-    code = pointer[windows] * np.int64(2 * n) + (pointer[windows + rest] if rest else 0)
-    _, where, times = np.unique(code, return_inverse=True, return_counts=True)
-    hit = times[where] > 1
-    return np.split(hit, np.cumsum(sizes - length + 1)[:-1])
-
-
-def _alone(sorted_pointers: np.ndarray) -> np.ndarray:
-    same = sorted_pointers[1:] == sorted_pointers[:-1]
-    return ~(np.append(same, False) | np.insert(same, 0, False))
+        eight = (eight << np.uint64(8)) | np.where(left > k, padded[k : k + n], np.uint8(0))
+    pointer = suffix_order(left, eight, length)
+    windows = np.flatnonzero(left >= length)
+    order = windows[np.argsort(pointer[windows], kind="stable")]
+    equal = np.arange(1, len(order))  # places whose window equals the one before
+    for k in [*range(0, length - 8, 8), length - 8]:
+        equal = equal[eight[order[equal] + k] == eight[order[equal - 1] + k]]
+    first = np.ones(len(order), bool)
+    first[equal] = False
+    group = np.cumsum(first) - 1
+    weight = np.ones(len(order)) if times is None else np.repeat(np.array(times, float), sizes)[order]
+    hit = np.zeros(n, bool)
+    hit[order] = (np.bincount(group, weight) > 1)[group]
+    starts = ends - sizes
+    return [hit[a : a + max(m - length + 1, 0)] for a, m in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 # -- the operator ----------------------------------------------------------------------------------------------------
@@ -208,79 +237,128 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _slots(rows: DataFrame) -> np.ndarray:
-    """SLOTS flags: which slots of the key's hash occur. At most SLOTS rows come to the driver."""
-    out = np.zeros(SLOTS, bool)
-    found = rows.select((F.col("key").bitwiseAND(F.lit(SLOTS - 1))).alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    out[found] = True
+    """Flags by slot of the key's hash, eight slots a row at least; all set where that were more than MOST_SLOTS. Made as bits on the executors."""
+    rows = rows.select("key").distinct()
+    n = 1 << max(10, (8 * rows.count()).bit_length())
+    if n > MOST_SLOTS:
+        return np.ones(1, bool)
+    width = min(n, 1 << 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            for part in np.unique(slot // width).tolist():
+                held.setdefault(part, np.zeros(width, bool))[slot[slot // width == part] % width] = True
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["part", "bits"])
+
+    slots = rows.select(F.col("key").bitwiseAND(F.lit(n - 1)).alias("slot"))
+    out = np.zeros(n, bool)
+    for r in slots.repartition(F.shiftright("slot", 16)).mapInArrow(run, "part long, bits binary").collect():  # n bits in all
+        out[r["part"] * width : (r["part"] + 1) * width] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
     return out
 
 
 def _in_slots(docs: DataFrame, slots: np.ndarray, inside: bool) -> DataFrame:
+    if len(slots) == 1:
+        return docs.where(F.lit(inside))
+    bits = np.packbits(slots)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(bits).astype(bool)
         for batch in batches:
-            hit = slots[batch.column("key").to_numpy() & (SLOTS - 1)]
+            hit = flags[batch.column("key").to_numpy() & (len(flags) - 1)]
             yield batch.filter(pa.array(hit == inside))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+_KIND = ("anchor", "before", "after", "print")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(key, doc_id, start, stop): byte spans, overlapping ones too, whose windows occur elsewhere. ``docs`` from ``_keyed``."""
     found = materialise(_find_runs(docs, length, gram), "runs")
-    kind = ["anchor", "before", "after", "print"]
-    kinds = materialise(
-        found.groupBy(*kind)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "doc_id", "lo")).alias("first")),
-        "kinds",
-    )
-    shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("anchor")
-    several = found.join(kinds.where("n > 1").select(*kind), kind, "left_semi")
+    kinds = materialise(found.groupBy(*_KIND).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "doc_id", "lo")).alias("first")), "kinds")
+    several = found.join(kinds.where("n > 1").select(*_KIND), list(_KIND), "left_semi")
     sure = several.select("key", "doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("before") + F.col("after") + length).alias("stop"))
-    # what shares an anchor with other kinds: lone runs, and one run of each repeated kind to hold them against
-    open_ = materialise(
-        kinds.join(shared, "anchor", "left_semi").select("anchor", "first.key", "first.doc_id", "first.lo", (F.col("first.lo") + F.col("before") + F.col("after")).alias("hi"), (F.col("n") == 1).alias("lone"), "before"),
-        "open-runs",
-    )
-    # A document's list is bounded by its own text.
-    wanted = open_.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "lone", "before")).alias("runs"))
-    texts = _in_slots(docs, _slots(open_), True).dropDuplicates(["key", "doc_id"])
-    held = texts.join(wanted, texts["key"].eqNullSafe(wanted["key"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])).select(texts["key"], texts["doc_id"], "text", "runs")
+    # buckets of several runs, one that occurs once among them; the others are there to be compared with
+    shared = materialise(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least")).where("runs > 1 AND least = 1").select("anchor", "runs"), "shared-anchors")
+    open_ = materialise(kinds.join(shared, "anchor").select(*_KIND, "n", "runs", "first.*"), "open-runs")
+    discard(shared)
+    slots = _slots(open_)
+    out = sure.union(_refined_buckets(_with_texts(docs, open_.where(F.col("runs") <= hot), slots), length))
+    if not open_.where(F.col("runs") > hot).isEmpty():
+        out = out.union(_refined_hot(_with_texts(docs, open_.where(F.col("runs") > hot), slots), length, gram, hot))
+    return out
+
+
+def _with_texts(docs: DataFrame, wanted: DataFrame, slots: np.ndarray) -> DataFrame:
+    """(key, doc_id, text, runs) of the documents that hold the runs of ``wanted``. A document's list is bounded by its own text."""
+    wanted = wanted.groupBy("key", "doc_id").agg(F.collect_list(F.struct(*_KIND, "n", "lo")).alias("runs"))
+    texts = _in_slots(docs, slots, True).dropDuplicates(["key", "doc_id"])
+    return texts.join(wanted, texts["key"].eqNullSafe(wanted["key"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])).select(texts["key"], texts["doc_id"], "text", "runs")
+
+
+def _run_bytes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """(key, doc_id, run, its bytes)."""
+    for piece in in_pieces(batches, "text", _PIECE):
+        for key, doc, text, own in zip(*(piece.column(c).to_pylist() for c in ("key", "doc_id", "text", "runs")), strict=True):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            for r in own:
+                yield key, doc, r, raw[r["lo"] : r["lo"] + r["before"] + r["after"] + length]
+
+
+def _hit_ranges(hit: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last of each stretch of set flags."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
+    return zip(edge[::2], (x - 1 for x in edge[1::2]), strict=True)
+
+
+_SPAN = "key long, doc_id long, start long, stop long"
+_RUN = ("anchor", "key", "doc_id", "lo", "n", "bytes")
+
+
+def _refined_buckets(held: DataFrame, length: int) -> DataFrame:
+    """Spans of the runs that occur once, anchor by anchor; many small buckets are refined in one go."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in in_pieces(batches, "text", _PIECE):
-            rows = []
-            for key, doc, text, own in zip(*(piece.column(c).to_pylist() for c in ("key", "doc_id", "text", "runs")), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                rows += [(r["anchor"], key, doc, r["lo"], r["lone"], r["before"], raw[r["lo"] : r["hi"] + length]) for r in own]
-                if len(rows) > 2_000:
-                    yield _cuts(rows)
-                    rows = []
-            if rows:
-                yield _cuts(rows)
+        rows = []
+        for key, doc, r, raw in _run_bytes(batches, length):
+            rows.append((r["anchor"], key, doc, r["lo"], r["n"], raw))
+            if len(rows) == 2_000:
+                yield _table(rows, _RUN)
+                rows = []
+        if rows:
+            yield _table(rows, _RUN)
+
+    def refined(rows: list[tuple]) -> pa.RecordBatch:
+        hits = repeated_windows([r[5] for r in rows], length, [r[4] for r in rows])
+        # a run that occurs more often is known whole
+        out = [(r[1], r[2], r[3] + a, r[3] + b + length) for r, h in zip(rows, hits, strict=True) if r[4] == 1 for a, b in _hit_ranges(h)]
+        return _longs(out, _SPAN) if out else _longs([(0, 0, 0, 0)], _SPAN).slice(1)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in _CUT), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in _RUN), strict=True):
                 if size > _PIECE and row[0] != rows[-1][0]:  # whole anchors only
-                    yield from _refined(rows, length, gram)
+                    yield refined(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[6])
+                size += len(row[5])
         if rows:
-            yield from _refined(rows, length, gram)
+            yield refined(rows)
 
-    compared = held.mapInArrow(cut, "anchor long, key long, doc_id long, lo long, lone boolean, before long, bytes binary").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(refine, "key long, doc_id long, start long, stop long")
-    return sure.union(compared)
+    return held.mapInArrow(cut, "anchor long, key long, doc_id long, lo long, n long, bytes binary").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(refine, _SPAN)
 
 
-_CUT = ("anchor", "key", "doc_id", "lo", "lone", "before", "bytes")
+def _table(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in zip(*rows, strict=True)], names=list(names))
 
 
-def _cuts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(_CUT))
+# -- buckets of very many runs ---------------------------------------------------------------------------------------
 
 
 def _symbol(n: int) -> bytes:
@@ -292,65 +370,103 @@ def _symbol(n: int) -> bytes:
     return bytes(out)
 
 
-def _blocks(before: int, windows: int, wide: int) -> Iterator[tuple[int, int, int]]:
-    """(first offset of the block, first and last offset of the run's windows in it); offsets of a window to its anchor, -wide < d <= 0."""
-    d, last = -before, windows - 1 - before
-    while d <= last:
-        start = (d + wide - 1) // BLOCK * BLOCK - wide + 1
-        stop = min(start + BLOCK - 1, last)
-        yield start, d, stop
-        d = stop + 1
+def _halves(*parts: bytes) -> tuple[int, int]:
+    """128 bits of the parts."""
+    from xxhash import xxh3_128_digest
+
+    return struct.unpack("<qq", xxh3_128_digest(b"".join(len(p).to_bytes(4, "little") + p for p in parts)))
 
 
-def _refined(rows: list[tuple], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The repeated spans of lone runs; ``rows`` holds whole anchors."""
-    from xxhash import xxh3_128_digest
+_CELL = ("core1", "core2", "same1", "same2", "first", "left", "right", "key", "doc_id", "start", "n")
+
+
+def cells(anchor: int, before: int, raw: bytes, length: int, gram: int, fine: int = FINE) -> Iterator[tuple]:
+    """(core, content, first, left, right, start) of a run's windows in groups of ``fine`` offsets to the anchor, by absolute multiples of ``fine``.
+
+    The core is what all ``fine`` offsets cover; ``left`` and ``right`` are the bytes of this run's windows around it; ``first``
+    is the first of them within the group, and ``start`` that window's place in the run.
+    """
+    low = length - gram - before  # windows of the anchor are numbered 0 .. length - gram, from the one that starts first
+    high = low + len(raw) - length
+    for cell in range(low // fine, high // fine + 1):
+        a, b = max(low, cell * fine), min(high, cell * fine + fine - 1)
+        begin, stop = cell * fine + fine - 1 - low, cell * fine + length - low
+        core = _halves(struct.pack("<qq", anchor, cell), raw[begin:stop])
+        left, right = raw[a - low : begin], raw[stop : b - low + length]
+        first = a - cell * fine
+        yield (*core, *_halves(bytes([first]), left, right), first, left, right, a - low)
+
+
+def _refined_hot(held: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """As ``_refined_buckets``, for anchors of any number of runs."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for key, doc, r, raw in _run_bytes(batches, length):
+            for *cell, start in cells(r["anchor"], r["before"], raw, length, gram):
+                rows.append((*cell, key, doc, r["lo"] + start, r["n"]))
+            if len(rows) > 4_000:
+                yield _table(rows, _CELL)
+                rows = []
+        if rows:
+            yield _table(rows, _CELL)
+
+    core, content = ["core1", "core2"], ["core1", "core2", "same1", "same2"]
+    all_ = materialise(held.mapInArrow(cut, ", ".join(f"{c} {'binary' if c in ('left', 'right') else 'long'}" for c in _CELL)), "cells")
+    distinct = materialise(all_.groupBy(*content).agg(F.sum("n").alias("n"), F.first("first").alias("first"), F.first("left").alias("left"), F.first("right").alias("right")), "cell-contents")
+    # equal contents of a bucket are repeated windows already; a single one has nothing to be compared with
+    sizes = materialise(distinct.groupBy(*core).agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("all")).where(F.col("all") > 1).select(*core, "contents"), "cell-sizes")
+    sized = distinct.join(sizes, core)
+    few = sized.where(F.col("contents") <= hot).drop("contents").repartition(*core).sortWithinPartitions(*core)
+    names = (*content, "n", "first", "left", "right")
+    hit = ", ".join(f"{c} long" for c in (*content, "a", "b"))  # windows a .. b of the content are repeated
+
+    def refined(rows: list[tuple]) -> pa.RecordBatch:
+        number: dict[tuple, int] = {}
+        strings = [r[6] + _symbol(number.setdefault(r[:2], len(number))) + r[7] for r in rows]
+        hits = repeated_windows(strings, FINE - 1 + 8, [r[4] for r in rows])
+        out = [(*r[:4], a, b) for r, h in zip(rows, hits, strict=True) for a, b in _hit_ranges(h)]
+        return _longs(out, hit) if out else _longs([(0,) * 6], hit).slice(1)
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if len(rows) > 10_000 and row[:2] != rows[-1][:2]:  # whole buckets only
+                    yield refined(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield refined(rows)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for c1, c2, s1, s2, n, first, left, right in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                for a in range(FINE - first - len(left) - 1, len(right) - first + 1):
+                    rows.append((c1, c2, s1, s2, a, *_halves(bytes([first + a]), left[a:], right[: first + a]), n))
+                if len(rows) > 20_000:
+                    yield _longs(rows, ", ".join(f"{c} long" for c in single))
+                    rows = []
+            if rows:
+                yield _longs(rows, ", ".join(f"{c} long" for c in single))
+
+    single = (*content, "a", "w1", "w2", "n")
+    window = [*core, "w1", "w2"]
+    many = materialise(sized.where(F.col("contents") > hot).select(*names).mapInArrow(windows, ", ".join(f"{c} long" for c in single)), "cell-windows")
+    twice = materialise(many.groupBy(*window).agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(*window), "cell-repeats")
+    hits = materialise(few.select(*names).mapInArrow(refine, hit).union(many.join(twice, window, "left_semi").select(*content, "a", F.col("a").alias("b"))), "cell-hits")
+    spans = all_.where("n = 1").select(*content, "key", "doc_id", "start").join(hits, content)
+    return spans.select("key", "doc_id", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + length).alias("stop"))
+
 
-    wide = length - gram + 1
-    cores: dict[tuple, int] = {}
-    blocks: dict[tuple, int] = {}
-    times: list[int] = []
-    of_core: dict[int, set[int]] = {}
-    uses: list[tuple[int, int, int]] = []  # row, first window, block
-    for at, (anchor, _, _, _, _, before, raw) in enumerate(rows):
-        for start, first, last in _blocks(before, len(raw) - length + 1, wide):
-            lo, hi = before + start + BLOCK - 1, before + start + length  # the core, in the run's bytes
-            core = cores.setdefault((anchor, start, xxh3_128_digest(raw[lo:hi])), len(cores))
-            a, b = before + first, before + last + length
-            block = blocks.setdefault((core, first, raw[a:lo], raw[hi:b]), len(blocks))
-            if block == len(times):
-                times.append(0)
-                of_core.setdefault(core, set()).add(block)
-            times[block] += 1
-            uses.append((at, a, block))
-    compared = {x for own in of_core.values() if len(own) > 1 for x in own}
-    names = [k for k, x in blocks.items() if x in compared]
-    places = [x for x in blocks.values() if x in compared]
-    hits = dict(zip(places, repeated_windows([k[2] + _symbol(k[0]) + k[3] for k in names], BLOCK - 1 + 8), strict=True)) if names else {}
-    found: dict[int, list[tuple[int, int]]] = {}
-    width = {}
-    for k, x in blocks.items():
-        width[x] = len(k[2]) + len(k[3]) - (BLOCK - 1) + 1
-    for at, a, block in uses:
-        if not rows[at][4]:
-            continue  # a run of a repeated kind is known whole
-        if times[block] > 1:
-            found.setdefault(at, []).append((a, a + width[block] - 1))
-        elif block in hits and hits[block].any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hits[block].view(np.int8), [0]]))).tolist()
-            found.setdefault(at, []).extend((a + x, a + y - 1) for x, y in zip(edge[::2], edge[1::2], strict=True))
-    out = [(rows[at][1], rows[at][2], rows[at][3] + x, rows[at][3] + y + length) for at, own in found.items() for x, y in own]
-    if out:
-        yield _longs(out, "key long, doc_id long, start long, stop long")
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``texts`` also ``kept``, the remaining bytes.
 
     Documents without a repeated window are finished where they are read; the others meet their spans in a join.
     """
     rows = _keyed(docs, id_col, text_col)
-    spans = materialise(repeated_spans(rows, length, gram).distinct(), "spans")
+    spans = materialise(repeated_spans(rows, length, gram, hot).distinct(), "spans")
     listed = spans.groupBy("key", "doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     slots = _slots(spans)
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
