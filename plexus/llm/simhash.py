@@ -10,8 +10,10 @@ too. These two make the bucket key; inside a bucket, longer chains prune a pair
 Only distinct fingerprints enter, and a bucket sends out a spanning forest of its links (never all pairs), which keeps every
 connection and therefore every class.
 
-Defined results: a null or wordless text has fingerprint zero and is linked like any other; a null id never becomes a class id
-unless its class has no other; repeated rows each get a row; an empty table gives an empty result; extra columns are left behind.
+Fingerprints are the nodes and ids come in at the end, so a text links others whatever its id is.
+
+Defined results: a null or wordless text has fingerprint zero and is linked like any other; a row without an id links like any other
+and gets the class of its text, null only where the whole class has no id; repeated rows each get a row; an empty table gives an empty result; extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -140,22 +142,21 @@ def _find(root: np.ndarray, a: int) -> int:
 
 
 def links(nodes: DataFrame, d: int = 4) -> DataFrame:
-    """(a, b): links between the ``rep`` of distinct fingerprints within d bits, enough of them to keep every class whole."""
+    """(a, b): links between distinct fingerprints, ``fp`` of ``nodes``, within d bits; enough of them to keep every class whole."""
     width = 2 * (d + 1)
-    kept = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "fp", "rep")])
+    kept = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "fp")])
     pair = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            rep = batch.column("rep").to_numpy(zero_copy_only=False).astype(np.int64)
             keys = bucket_keys(fp.view(np.uint64), d).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp, width)), pa.array(np.repeat(rep, width))], names=["key", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp, width))], names=["key", "fp"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 2
         for batch in batches:
-            now = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "fp", "rep"), strict=True)]
+            now = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "fp"), strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             held = [x[cut:] for x in now]  # the last bucket may go on in the next batch
             if cut:
@@ -163,19 +164,20 @@ def links(nodes: DataFrame, d: int = 4) -> DataFrame:
         if len(held[0]):
             yield _links(held, d)
 
-    return nodes.select("fp", "rep").mapInArrow(keyed, kept).repartition("key").sortWithinPartitions("key").mapInArrow(compared, pair).distinct()
+    return nodes.select("fp").mapInArrow(keyed, kept).repartition("key").sortWithinPartitions("key").mapInArrow(compared, pair).distinct()
 
 
 def _links(rows: list[np.ndarray], d: int) -> pa.RecordBatch:
-    key, fp, rep = rows
-    a, b = forest(key, np.ascontiguousarray(fp).view(np.uint64), rep, d)
+    key, fp = rows
+    a, b = forest(key, np.ascontiguousarray(fp).view(np.uint64), fp, d)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, d: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that is reachable over links of at most d bits."""
     prints = materialise(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    found = components(links(nodes.where("rep IS NOT NULL"), d))
-    classes = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    found = components(links(nodes, d))
+    of = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(of.join(ids, "component").select("fp", "component_id"), "fp")
