@@ -28,6 +28,8 @@ from .common import ids_and_texts, in_pieces, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: So many items, about, are verified with one reading of a document; with more candidates it is read again for the rest.
+TOGETHER = 64
 #: Sketches of more hashes than this (8 bytes each) are joined by a shuffle instead of being sent to every worker.
 SENT = 1 << 20
 
@@ -171,6 +173,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
         .distinct()
     )
     texts = ids_and_texts(items, "item_id").select(F.col("doc_id").alias("item_id"), F.col("text").alias("item_text")).distinct()
-    # A document meets each item once at most, so this list is bounded by what its own text can hold.
-    listed = materialise(found.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")), "candidates")
+    # Candidates are dealt by the item's hash into as many lists a document as keep each of bounded size.
+    found = materialise(found, "candidates")
+    lists = found.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("lists"))
+    dealt = found.join(lists, "doc_id").withColumn("list", F.pmod(F.xxhash64("item_id"), "lists"))
+    listed = materialise(dealt.join(texts, "item_id").groupBy("doc_id", "list").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")).drop("list"), "candidate-lists")
     return _verify(rows.join(listed, "doc_id"), threshold).distinct()
