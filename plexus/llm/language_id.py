@@ -1,11 +1,13 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
 The network reads windows of a text's UTF-8 bytes in both directions, gives every position a distribution over languages, and a
-document's probabilities are the mean over its letters. It is trained in numpy by backpropagation through time on windows from
+document's probabilities are the mean over its letters. A window is read with MARGIN bytes before and after it, so that a position
+near a cut still sees both sides. It is trained in numpy by backpropagation through time on windows from
 a bounded sample of labelled documents, and applied to every byte of every text.
 
 The sample: at most ``per_lang`` documents a language (hash of the id decides) with up to WINDOWS windows each, spread over the
-whole text; at most LANGS languages, the most frequent ones.
+whole text; with many languages the share of each shrinks so that all of them together stay within SAMPLE documents. Every language is
+learned; more than LANGS different labels are an error, not a language dropped.
 
 Defined results: ``und`` with score 0 where a text is null, empty or has no letter, or where nothing could be learned; rows
 without a language teach nothing; repeated rows each get a row; an empty table gives an empty result; extra columns are left behind.
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import ids_and_texts, in_pieces, map_texts
 
-HIDDEN, WINDOW = 8, 96
-PER_LANG, WINDOWS, LANGS = 800, 6, 256
+HIDDEN, WINDOW, MARGIN = 8, 96, 12
+PER_LANG, WINDOWS, SAMPLE, LANGS = 800, 6, 40_000, 256
 STEPS, BATCH = 260, 192
 SEED = 5
 
@@ -154,15 +156,24 @@ def train(windows: np.ndarray, y: np.ndarray, langs: list[str], steps: int = STE
 def _windows(text: str) -> list[bytes]:
     raw = text.encode("utf-8", "surrogatepass")
     starts = np.unique(np.linspace(0, max(len(raw) - WINDOW, 0), WINDOWS).astype(int))
-    return [raw[a : a + WINDOW].ljust(WINDOW, b"\0") for a in starts]
+    return [_with_margins(raw, a) for a in starts]
+
+
+def _with_margins(raw: bytes, at: int) -> bytes:
+    """The window at ``at`` and MARGIN bytes on both sides; zeros stand for what lies outside the text."""
+    before = raw[max(at - MARGIN, 0) : at].rjust(MARGIN, b"\0")
+    return before + raw[at : at + WINDOW + MARGIN].ljust(WINDOW + MARGIN, b"\0")
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
     """``docs``: doc_id, text, lang of the documents to learn from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    counts = docs.groupBy("lang").count().orderBy("lang").limit(LANGS + 1).collect()
     if not counts:
         return None
+    if len(counts) > LANGS:
+        raise ValueError(f"more than {LANGS} different values of lang")
+    per_lang = max(1, min(per_lang, SAMPLE // len(counts)))
     # the share that gives per_lang documents of each language; the limit below only holds against an unlucky hash
     share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["count"])) for r in counts], "lang string, share double"))
     luck = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
@@ -178,35 +189,45 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
     if not langs:
         return None
     y = np.array([langs.index(x) for x in t.column("lang").to_pylist()])
-    windows = np.frombuffer(b"".join(t.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    windows = np.frombuffer(b"".join(t.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW + 2 * MARGIN)
     return train(windows, y, langs)
 
 
 # -- the operator ----------------------------------------------------------------------------------------------------
 
 
-def pooled(net: Network, texts: list[str | None], rows: int = 4096) -> np.ndarray:
+def pooled(net: Network, texts: list[str | None], cells: int = 16_384) -> np.ndarray:
     """(text, language): mean probability over the letters of each whole text; zeros where it has none."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     count = [-(-len(x) // WINDOW) for x in raw]
-    bytes_ = np.frombuffer(b"".join(x.ljust(c * WINDOW, b"\0") for x, c in zip(raw, count, strict=True)), np.uint8).reshape(-1, WINDOW)
+    bytes_ = _slices(raw, count)
     owner = np.repeat(np.arange(len(texts)), count)
     sums, letters = np.zeros((len(texts), len(net.langs))), np.zeros(len(texts))
+    rows = max(cells // len(net.langs), 64)  # windows at once
     for k in range(0, len(bytes_), rows):
         part = np.ascontiguousarray(bytes_[k : k + rows].T)
-        mask = _LETTER[part]
-        p = np.einsum("twl,tw->wl", position_probabilities(net, part), mask.astype(np.float32))
+        mask = _LETTER[part[MARGIN:-MARGIN]]
+        p = np.einsum("twl,tw->wl", position_probabilities(net, part)[MARGIN:-MARGIN], mask.astype(np.float32))
         np.add.at(sums, owner[k : k + rows], p)
         np.add.at(letters, owner[k : k + rows], mask.sum(axis=0))
     return sums / np.maximum(letters, 1)[:, None]
 
 
+def _slices(raw: list[bytes], count: list[int]) -> np.ndarray:
+    """(window, byte with margins) of all texts in turn; ``count``: windows of each."""
+    padded = b"".join(bytes(MARGIN) + x.ljust(c * WINDOW + MARGIN, b"\0") for x, c in zip(raw, count, strict=True))
+    data = np.frombuffer(padded, np.uint8)
+    own = np.array(count, dtype=np.int64)
+    begin = np.cumsum(own * WINDOW + 2 * MARGIN) - (own * WINDOW + 2 * MARGIN)
+    starts = np.repeat(begin, own) + WINDOW * (np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own))
+    return np.lib.stride_tricks.sliding_window_view(data, WINDOW + 2 * MARGIN)[starts] if len(starts) else np.empty((0, WINDOW + 2 * MARGIN), np.uint8)
+
+
 def label_positions(net: Network, text: str) -> list[str]:
     """The language of every byte of the text."""
     raw = text.encode("utf-8", "surrogatepass")
-    padded = raw.ljust(-(-len(raw) // WINDOW) * WINDOW, b"\0")
-    bytes_ = np.frombuffer(padded, np.uint8).reshape(-1, WINDOW).T
-    best = position_probabilities(net, np.ascontiguousarray(bytes_)).argmax(axis=2).T.ravel()[: len(raw)]
+    bytes_ = np.ascontiguousarray(_slices([raw], [-(-len(raw) // WINDOW)]).T)
+    best = position_probabilities(net, bytes_)[MARGIN:-MARGIN].argmax(axis=2).T.ravel()[: len(raw)]
     return [net.langs[k] for k in best]
 
 
