@@ -11,7 +11,6 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,37 +39,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); one of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/plexus-shared"
+    """The shared folder of the cluster (``spark.checkpoint.dir``); one of our own only where it is unset and all workers are this machine's."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster, intermediate tables need a folder that all executors share")
+    return folder or "/tmp/plexus-shared"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table goes with ``discard``, or else when the driver's JVM ends.
+    """
     spark = df.sparkSession
     ship(spark)
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place, files = _files(spark, path)
+    files.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept on the executors' disks; blocks of a lost executor are computed again from the lineage.
-
-    For tables that are read twice within one plan; ``spark.catalog.clearCache()`` lets go of them.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def discard(df: DataFrame) -> None:
     """Delete what ``materialise`` wrote, once nothing reads it any more."""
     path = getattr(df, "written_to", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        place, files = _files(df.sparkSession, path)
+        files.delete(place, True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as Hadoop knows them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -115,16 +115,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH w AS (
-  SELECT doc_id, -1 AS item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents
-  UNION ALL SELECT -1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
-g AS (
-  SELECT DISTINCT doc_id, item_id, unnest(list_transform(range(1, greatest(length(words) - 3, 1)), lambda i: words[i:i+4])) AS gram
-  FROM w WHERE length(words) >= 5),
-n AS (SELECT item_id, count(*) AS n_item FROM g WHERE item_id >= 0 GROUP BY item_id),
-h AS (
-  SELECT d.doc_id, i.item_id, count(*) AS n_shared FROM g AS i JOIN g AS d ON d.gram = i.gram
-  WHERE i.item_id >= 0 AND d.item_id < 0 GROUP BY ALL)
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
+i AS (SELECT item_id, words, least(length(words), 5) AS size FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM benchmark) WHERE length(words) > 0),
+ig AS (SELECT DISTINCT item_id, size, unnest(list_transform(range(1, length(words) - size + 2), lambda k: words[k:k+size-1])) AS gram FROM i),
+dg AS (
+  SELECT DISTINCT doc_id, size, unnest(list_transform(range(1, greatest(length(words) - size + 2, 1)), lambda k: words[k:k+size-1])) AS gram
+  FROM d CROSS JOIN (SELECT DISTINCT size FROM i)),
+n AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY item_id),
+h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ig JOIN dg ON dg.gram = ig.gram AND dg.size = ig.size GROUP BY ALL)
 SELECT doc_id, h.item_id, n_item, n_shared FROM h JOIN n ON n.item_id = h.item_id WHERE 10 * n_shared >= 8 * n_item
 """
 

@@ -79,13 +79,41 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert simhash.near_duplicates(docs.limit(0), 4).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """Fingerprints 0, 15, 255: 0 and 255 meet only through the row without an id."""
+    prints = spark.createDataFrame([(1, 0), (None, 15), (3, 255)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: prints)
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(prints, 4).collect()} == {(1, 1), (None, 1), (3, 1)}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(40):
+        base = rng.choice(words, 300).tolist()
+        for _ in range(4):
+            rows.append((len(rows) * 3, " ".join(base)))
+            base[int(rng.integers(0, 300))] = "changed"
+    rows += [(1, "long " * 150_000), (4, "long " * 150_001), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    near = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    got = {r.doc_id: (r.fp & ((1 << 64) - 1), r.component_id) for r in simhash.near_duplicates(docs, 4).collect()}
+    of = _classes([i for i, _ in rows], near)
+    assert got == {i: (fp, of[i]) for (i, _), fp in zip(rows, fps, strict=True)} and len(near) > 40
+
+
 def _brute(spans, length):
     seen = Counter(s[i : i + length] for s in spans for i in range(len(s) - length + 1))
     return [[seen[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in spans]
 
 
 @pytest.mark.parametrize("length", [8, 16, 17, 39, 64, 100])
-def test_refined_buckets(length):
+@pytest.mark.parametrize("stretch", [5, 1 << 16])
+def test_refined_buckets(length, stretch, monkeypatch):
+    whole = suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda left, eight, enough: whole(left, eight, enough, stretch))
     rng = np.random.default_rng(length)
     base = bytes(rng.integers(97, 99, 900, dtype=np.uint8))
     spans = []
@@ -97,18 +125,10 @@ def test_refined_buckets(length):
         spans.append(bytes(x))
     spans += [b"ab" * length, b"a" * (length + 30)]
     assert [h.tolist() for h in suffix_dedup.repeated_windows(spans, length)] == _brute(spans, length)
+    assert [h.tolist() for h in suffix_dedup.repeated_windows([*spans, *spans], length)] == [h.tolist() for _ in range(2) for h in suffix_dedup.repeated_windows(spans, length, [2] * len(spans))]
 
 
-def test_removal_against_brute_force(spark):
-    length, gram = 40, 16
-    rng = np.random.default_rng(3)
-    letters = "abcdefgh é"
-    some = lambda n: "".join(rng.choice(list(letters), n))
-    passage = some(150)
-    texts = [some(60) + passage[:a] + some(30) for a in (45, 90, 150, 150, 38, 39, 40, 41)] + ["ab" * 60, "x" * 39, "x" * 40, "x" * 41, None, "", some(300)]
-    rows = [*enumerate(texts), (99, passage), (99, passage), (None, "only here " * 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS spans")
-    got = sorted(map(tuple, suffix_dedup.remove_repeats(docs, length, gram).collect()), key=str)
+def _removed(rows, length):
     raws = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(x[s : s + length] for _, x in raws for s in range(len(x) - length + 1))
     want = []
@@ -119,12 +139,39 @@ def test_removal_against_brute_force(spark):
                 gone[s + 1 : s + 1 + length] = 1
         rest = bytes(b for b, g in zip(x, gone[1:], strict=False) if not g)
         want.append((i, len(x), len(x) - len(rest), int((np.diff(gone) == 1).sum()), hashlib.sha256(rest).hexdigest()))
-    assert got == sorted(want, key=str)
-    kept = suffix_dedup.remove_repeats(docs, length, gram, texts=True).where("doc_id = 14").first().kept
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 512])
+def test_removal_against_brute_force(spark, hot):
+    length, gram = 40, 16
+    rng = np.random.default_rng(3)
+    letters = "abcdefgh é"
+    some = lambda n: "".join(rng.choice(list(letters), n))
+    passage = some(150)
+    texts = [some(60) + passage[:a] + some(30) for a in (45, 90, 150, 150, 38, 39, 40, 41)] + ["ab" * 60, "x" * 39, "x" * 40, "x" * 41, None, "", some(300)]
+    rows = [*enumerate(texts), (99, passage), (99, passage), (None, "only here " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS spans")
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(docs, length, gram, hot=hot).collect()), key=str)
+    assert got == _removed(rows, length)
+    kept = suffix_dedup.remove_repeats(docs, length, gram, texts=True, hot=hot).where("doc_id = 14").first().kept
     assert bytes(kept) == texts[14].encode()
     assert suffix_dedup.remove_repeats(docs.limit(0), length, gram).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4, 512])
+def test_removal_at_the_production_length(spark, hot):
+    """400 bytes, anchors of 160: passages just below, at and above the length, changed bytes, copies, and a text longer than a piece."""
+    rng = np.random.default_rng(4)
+    some = lambda n: "".join(rng.choice(list("abcdefgh éß"), n))
+    passage, long_ = some(900), some(140_000) + some(1_200) * 2 + some(300_000)
+    rows = [(k, some(int(rng.integers(0, 300))) + passage[:n] + some(int(rng.integers(0, 300)))) for k, n in enumerate([330, 345, 350, 355, 360, 380, 420, 500, 700, 900, 900])]
+    rows += [(20 + k, passage[: 40 * k] + "Z" + passage[40 * k + 1 :]) for k in range(1, 20)]
+    rows += [(50, long_), (51, some(100) + long_[200_000:201_000]), (52, passage), (53, passage), (None, passage), (54, None), (55, "ab" * 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs, hot=hot).collect()), key=str) == _removed(rows, 400)
+
+
 def test_a_long_text_is_cut_with_overlap():
     piece = suffix_dedup._PIECE
     text = bytes(np.random.default_rng(0).integers(97, 123, 2 * piece + 999, dtype=np.uint8))
