@@ -2,17 +2,20 @@
 
 Built from DataFrame and SQL functions only.
 
-Identifiers (email, ip, card, phone) are found by pattern, leftmost and non-overlapping per kind. Each distinct identifier value
-is a protected entity. The context of a mention is its line. Over the whole corpus, in lines,
+Identifiers (email, ip, card, phone) are found by pattern, leftmost and non-overlapping per kind; so are secrets (runs of 32 or more
+ASCII letters, digits and underscores with at least four letters and four digits, as keys and digests are). The protected entities are each distinct value,
+and each kind as a whole (that there is a card number at all is worth protecting). The context of a mention are the words of its line within ``REACH``
+code points. Over the whole corpus, in lines,
 
     disclosure(term; entity) = PMI(term; entity) / IC(entity),  PMI = log2(p(term, entity) / (p(term) p(entity))),  IC = -log2 p(entity)
 
 is the share of the entity's information that the term gives away: 1 means that whoever reads the term knows the entity. A term
-that shares at least ``support`` different lines with an entity, and discloses at least ``generalise`` of it, is generalised to its
-shape ([NAME], [CODE], [WORD]); from ``remove`` on it is removed. It is treated so wherever it stands, in every document.
+that stands in the entity's context on at least ``support`` different lines, and discloses at least ``generalise`` of it, is generalised to its
+shape ([NAME], [CODE], [WORD]); from ``remove`` on it is removed. This is done throughout the documents that hold the term in the entity's
+context, and in no others: a document without an identifier is never changed.
 
-Spans are in code points, end exclusive. Those of the method have the kinds ``term`` (generalised) and ``drop`` (removed), and
-stand beside the identifiers' spans, which they never replace; inside an identifier's span a term is not looked for.
+Spans are in code points, end exclusive. Those of the method have the kinds ``secret``, ``term`` (generalised) and ``drop`` (removed), and
+stand beside the identifiers' spans, which they never replace; inside another span a term is not looked for.
 
 Defined results: a null text counts as empty (no spans; sanitised text stays null); repeated rows each get their row; an empty
 table gives an empty result; extra columns are left behind by ``find`` and kept by ``sanitise``.
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, ship
 
 #: Patterns by kind, in the order of the output. Possessive repeats and the guards in front only spare backtracking: every
 #: class ends where its follower cannot match, so the matches are those of the plain patterns.
@@ -32,11 +35,13 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"[A-Za-z0-9_]{32,}+",
 }
-KINDS = tuple(PATTERNS)
-PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "drop": ""}
+#: The kinds whose spans make up the digest, and all that are protected.
+KINDS, PROTECTED = ("email", "ip", "card", "phone"), tuple(PATTERNS)
+PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "drop": ""}
 
-SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
+SUPPORT, GENERALISE, REMOVE, REACH = 3, 0.7, 0.9, 200
 _SPACES = r"[\x20\x09-\x0D]+"
 
 _SPANS = "array<struct<s:int,e:int>>"
@@ -57,6 +62,8 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return match.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}")
     digits = F.regexp_replace(match, "[^0-9]", "")
+    if kind == "secret":
+        return (F.length(digits) >= 4) & (F.length(F.regexp_replace(match, "[0-9_]", "")) >= 4)
     if kind == "card":
         return F.length(digits).between(13, 19) & _luhn(digits)
     return F.length(digits).between(9, 15)
@@ -77,7 +84,7 @@ def _spans(text: Column, pattern: Column, valid) -> Column:
 
 
 #: What a text must hold for a kind to be worth looking for.
-_HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+_HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_]{32}"}
 
 
 def identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -95,88 +102,101 @@ def _clear_of(spans: Column):
     return lambda x: ~F.exists(spans, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
 
 
-def _terms(line: Column, taken: Column) -> Column:
-    """Distinct words of a line, whatever they look like, but those that overlap an identifier's span."""
-    free = F.filter(_spans(line, F.lit(WORD), lambda m: F.lit(True)), _clear_of(taken))
-    return F.array_distinct(F.transform(free, lambda x: F.substring(line, x["s"] + 1, x["e"] - x["s"])))
+def _all_spans() -> Column:
+    return F.concat(*(F.col(f"__{k}") for k in PROTECTED))
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(term, disclosure): terms at or above ``generalise`` for some entity, with the largest disclosure.
+def _mentions(lines: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose ``line`` holds something protected, with ``found``: array of (entity, s, e), values and kinds; and ``taken``: all spans."""
+    marked = identifiers(lines.where(F.col("line").rlike("|".join(f"(?:{h})" for h in _HINT.values()))), "line")
+
+    def named(k: str) -> Column:
+        value = lambda x: F.concat(F.lit(f"{k}:"), _normal(k, F.substring(F.col("line"), x["s"] + 1, x["e"] - x["s"])))
+        one = lambda entity, x: F.struct(entity.alias("entity"), x["s"].alias("s"), x["e"].alias("e"))
+        return F.flatten(F.transform(f"__{k}", lambda x: F.array(one(value(x), x), one(F.lit(f"{k}:*"), x))))
+
+    return marked.select(*lines.columns, F.concat(*map(named, PROTECTED)).alias("found"), _all_spans().alias("taken")).where(F.size("taken") > 0)
+
+
+def _in_context(rows: DataFrame, able: DataFrame, reach: int, *keep: str) -> DataFrame:
+    """(*keep, entity, term): each distinct word in the context of each entity of a line that ``able`` has, once a row of ``rows`` (from ``_mentions``)."""
+    entities = F.array_distinct(F.transform("found", lambda f: f["entity"]))
+    rows = rows.select(*keep, "line", "found", "taken", F.explode(entities).alias("entity")).join(able.select("entity"), "entity", "left_semi")
+    own = F.filter("found", lambda f: f["entity"] == F.col("entity"))
+    near = lambda x: F.exists(own, lambda f: (x["e"] >= f["s"] - reach) & (x["s"] <= f["e"] + reach))
+    words = _spans(F.col("line"), F.lit(WORD), lambda m: F.lit(True))
+    free = F.filter(F.filter(words, near), _clear_of(F.col("taken")))
+    terms = F.array_distinct(F.transform(free, lambda x: F.substring(F.col("line"), x["s"] + 1, x["e"] - x["s"])))
+    return rows.select(*keep, "entity", F.explode(terms).alias("term"))
+
+
+def _lines(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    return docs.select(*keep, F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line"))
+
+
+def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, reach: int = REACH) -> DataFrame:
+    """(entity, term, disclosure) of the pairs at or above ``generalise``.
 
     Everything is counted by line over the whole corpus and combined on the map side first; equal lines are one
     context with a weight, so copies of a document add weight but no support.
     """
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line"))
-    marked = identifiers(lines.where(F.col("line").rlike("|".join(_HINT.values()))), "line")
-    cut = lambda k: F.transform(f"__{k}", lambda x: F.concat(F.lit(f"{k}:"), _normal(k, F.substring(F.col("line"), x["s"] + 1, x["e"] - x["s"]))))
-    mentions = materialise(
-        marked.select("line", F.array_distinct(F.concat(*map(cut, KINDS))).alias("entities"), F.concat(*(F.col(f"__{k}") for k in KINDS)).alias("taken"))
-        .where(F.size("entities") > 0)
-        .groupBy("line")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("taken").alias("taken")),
-        "mentions",
-    )
-    of_entity = mentions.select(F.explode("entities").alias("entity"), "n").groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("lines"))
+    ship(docs.sparkSession)
+    lines = _lines(docs, text_col)
+    mentions = materialise(_mentions(lines).groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("found").alias("found"), F.first("taken").alias("taken")), "mentions")
+    entities = mentions.select("n", F.explode(F.array_distinct(F.transform("found", lambda f: f["entity"]))).alias("entity"))
     # An entity on fewer lines than the support has no term to find; this spares pairing its words.
-    able = of_entity.where(F.col("lines") >= support)
-    pairs = (
-        mentions.select("line", "taken", "n", F.explode("entities").alias("entity"))
-        .join(able, "entity")
-        .select("entity", "n_entity", "n", F.explode(_terms(F.col("line"), F.col("taken"))).alias("term"))
-        .groupBy("entity", "n_entity", "term")
-        .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"))
-        .where(F.col("support") >= support)
+    able = materialise(entities.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= support), "entities")
+    pairs = materialise(
+        _in_context(mentions, able, reach, "n").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= support),
+        "pairs",
     )
-    pairs = materialise(pairs, "pairs")
     if pairs.isEmpty():
-        return pairs.select("term", F.lit(0.0).alias("disclosure"))
+        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     n_lines = float(lines.count())
-    of_term = lines.select(F.explode(F.array_distinct(F.split("line", _SPACES))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    of_term = materialise(lines.select(F.explode(F.array_distinct(F.split("line", _SPACES))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi"), "terms")
     ic = F.log2(F.lit(n_lines) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") / F.col("n_term") * (F.lit(n_lines) / F.col("n_entity")))
-    return materialise(
-        pairs.join(of_term, "term")
-        .select("term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
-        .where(F.col("disclosure") >= generalise)
-        .groupBy("term")
-        .agg(F.max("disclosure").alias("disclosure")),
-        "disclosures",
-    )
+    scored = pairs.join(able, "entity").join(of_term, "term").select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
+    return materialise(scored.where(F.col("disclosure") >= generalise), "disclosures")
 
 
 def _normal(kind: str, value: Column) -> Column:
     """One spelling per entity: mails in lower case, numbers without their spacing."""
-    return F.lower(value) if kind == "email" else value if kind == "ip" else F.regexp_replace(value, "[^0-9]", "")
+    return F.lower(value) if kind == "email" else F.regexp_replace(value, "[^0-9]", "") if kind in ("card", "phone") else value
 
 
 # -- spans and texts -------------------------------------------------------------------------------------------------
 
 
-def find(docs: DataFrame, terms: DataFrame, text_col: str = "text", remove: float = REMOVE) -> DataFrame:
-    """The input with ``__<kind>`` for each identifier kind and for ``term`` and ``drop``: arrays of (s, e).
+def find(docs: DataFrame, terms: DataFrame, text_col: str = "text", remove: float = REMOVE, reach: int = REACH) -> DataFrame:
+    """The input with ``__<kind>`` for each protected kind and for ``term`` and ``drop``: arrays of (s, e). ``terms`` from ``disclosures``.
 
-    Texts are matched to the terms they hold by the hash of the text and its length, so neither row ids nor their
-    uniqueness matter; texts go through a shuffle only if the terms' holders do not fit a broadcast.
+    Only texts with something protected can hold a term to treat; they meet their terms by the hash of the text and its length, so
+    neither row ids nor their uniqueness matter. The others go through no shuffle.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    nothing = F.array().cast(_SPANS)
+    marked = identifiers(docs, text_col)
     if terms.isEmpty():
-        nothing = F.array().cast(_SPANS)
-        return identifiers(docs, text_col).withColumns({"__term": nothing, "__drop": nothing})
-    keyed = docs.withColumn("__key", F.struct(F.xxhash64(text), F.hash(text), F.length(text)))
-    held = (
-        keyed.select("__key", F.explode(F.array_distinct(F.split(text, _SPACES))).alias("term"))
-        .join(terms, "term")
+        return marked.withColumns({"__term": nothing, "__drop": nothing})
+    key = F.struct(F.xxhash64(text), F.hash(text), F.length(text))
+    context = _mentions(_lines(docs.withColumn("__key", key), text_col, "__key"))
+    held = materialise(
+        _in_context(context, terms.select("entity").distinct(), reach, "__key")
+        .join(terms, ["entity", "term"])
         .groupBy("__key")
-        .agg(*(F.collect_set(F.when((F.col("disclosure") >= remove) == r, F.col("term"))).alias(f"__held_{k}") for k, r in (("term", False), ("drop", True))))
+        .agg(*(F.collect_set(F.when((F.col("disclosure") >= remove) == r, F.col("term"))).alias(f"__held_{k}") for k, r in (("term", False), ("drop", True)))),  # words of one text
+        "held-terms",
     )
-    out = identifiers(keyed.join(held, "__key", "left"), text_col)
+    some = F.size(_all_spans()) > 0
+    out = marked.where(some).withColumn("__key", key).join(held, "__key", "left")
     spans = {}
     for k in ("term", "drop"):
         have = F.coalesce(F.col(f"__held_{k}"), F.array().cast("array<string>"))
-        free = _clear_of(F.concat(*(F.col(f"__{i}") for i in KINDS)))
-        spans[f"__{k}"] = F.when(F.size(have) > 0, F.filter(_spans(text, F.lit(WORD), lambda m, have=have: F.array_contains(have, m)), free)).otherwise(F.array().cast(_SPANS))
-    return out.withColumns(spans).drop("__key", "__held_term", "__held_drop")
+        words = lambda have: F.filter(_spans(text, F.lit(WORD), lambda m: F.array_contains(have, m)), _clear_of(_all_spans()))
+        spans[f"__{k}"] = F.when(F.size(have) > 0, words(have)).otherwise(nothing)
+    out = out.withColumns(spans).withColumn("__term", F.array_except("__term", "__drop")).drop("__key", "__held_term", "__held_drop")
+    return out.unionByName(marked.where(~some).withColumns({"__term": nothing, "__drop": nothing}))
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -188,8 +208,9 @@ def listed(kinds: tuple[str, ...]) -> Column:
 def report(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the counts, the digest of the identifiers' spans and all spans."""
     found = find(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), terms)
-    counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in (*KINDS, "term", "drop")]
-    return found.select("doc_id", *counts, F.sha2(listed(KINDS), 256).alias("base_sha256"), listed((*KINDS, "term", "drop")).alias("spans"))
+    kinds = (*PROTECTED, "term", "drop")
+    counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(listed(KINDS), 256).alias("base_sha256"), listed(kinds).alias("spans"))
 
 
 def sanitise(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -200,7 +221,7 @@ def sanitise(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataF
     found = find(docs, terms, text_col)
     text = F.col(text_col)
     tag = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))
-    tagged = [F.transform(f"__{k}", tag(k)) for k in (*KINDS, "term", "drop")]
+    tagged = [F.transform(f"__{k}", tag(k)) for k in (*PROTECTED, "term", "drop")]
     spans = F.array_sort(F.concat(*tagged))
 
     def mark(x: Column) -> Column:

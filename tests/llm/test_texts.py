@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -87,16 +88,60 @@ def test_identifiers_match_the_plain_patterns(spark, docs, empty):
     assert pii.report(empty, nothing).count() == 0 and pii.disclosures(empty).count() == 0
 
 
+def _plain_disclosures(rows, support, reach):
+    """The pairs above 0.7, counted without Spark."""
+    lines = Counter(line for _, t in rows for line in (t or "").split("\n"))
+    total = sum(lines.values())
+    n_entity, n_term, both, seen, on = Counter(), Counter(), Counter(), Counter(), Counter()
+    for line, n in lines.items():
+        found = [(f"{k}:{v}", m.start(), m.end()) for k, (p, ok) in PLAIN.items() for m in re.finditer(p, line) if ok(m[0]) for v in ("*", m[0].lower() if k == "email" else m[0] if k == "ip" else re.sub("[^0-9]", "", m[0]))]
+        words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        n_term.update({w: n for w in {w for w, _, _ in words}})
+        free = [w for w in words if all(w[2] <= s or e <= w[1] for _, s, e in found)]
+        for entity in {f[0] for f in found}:
+            n_entity[entity] += n
+            on[entity] += 1
+            for w in {w for w, a, b in free if any(f[0] == entity and b >= f[1] - reach and a <= f[2] + reach for f in found)}:
+                both[entity, w] += n
+                seen[entity, w] += 1
+    out = {}
+    for (entity, w), n in both.items():
+        ic = math.log2(total / n_entity[entity])
+        share = math.log2(n / n_term[w] * total / n_entity[entity]) / ic if ic > 0 else 0
+        if seen[entity, w] >= support and on[entity] >= support and share >= 0.7:
+            out[entity, w] = share
+    return out
+
+
+def test_disclosure_is_that_of_a_plain_count(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(60)] + ["Ann", "Bob", "desk"] * 3
+    rows = []
+    for i in range(400):
+        line = rng.choices(words, k=12)
+        if i % 4 == 0:
+            line.insert(rng.randrange(12), rng.choice(["a@x.org", "b@x.org near Ann", "Bob 10.0.0.1", "+1 555 123 4567 desk desk"]))
+        rows.append((i, " ".join(line) + ("\n" + " ".join(rng.choices(words, k=40)) if i % 3 else "")))
+    rows += [(1000 + i, rows[0][1]) for i in range(30)] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS entity")
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(docs, support=2, reach=30).collect()}
+    want = _plain_disclosures(rows, 2, 30)
+    assert want and got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 def test_terms_that_give_an_entity_away_are_treated(spark):
     lines = [(i, f"{w} ask Jonquil at jq@x.org about it {w}{i}") for i, w in enumerate("alpha beta gamma delta eps zeta".split())]
     lines += [(100 + i, f"ask at about it line {i} of plain prose") for i in range(300)]
     docs = spark.createDataFrame(lines, "doc_id long, text string")
     terms = pii.disclosures(docs)
-    found = {r.term: r.disclosure for r in terms.collect()}
-    assert set(found) == {"Jonquil"} and found["Jonquil"] > 0.9
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs, terms).collect()}
+    found = {(r.entity, r.term): r.disclosure for r in terms.collect()}
+    assert set(found) == {("email:jq@x.org", "Jonquil"), ("email:*", "Jonquil")} and min(found.values()) > 0.9
+    more = docs.union(spark.createDataFrame([(900, "Jonquil is a flower too"), (901, "ip 10.0.0.1 and Jonquil")], docs.schema))
+    clean = {r.doc_id: r.text for r in pii.sanitise(more, terms).collect()}
     assert clean[0] == "alpha ask  at [EMAIL] about it alpha0"
     assert clean[100] == lines[6][1]
+    # the term is treated where it stands with what it gives away, not elsewhere
+    assert clean[900] == "Jonquil is a flower too" and clean[901] == "ip [IP] and Jonquil"
     assert pii.sanitise(docs, terms).columns == docs.columns
     row = pii.report(docs, terms).where("doc_id = 0").first()
     assert row.spans == "email:21:29,drop:10:17" and row.n_drop == 1
@@ -104,6 +149,14 @@ def test_terms_that_give_an_entity_away_are_treated(spark):
     assert "Python" not in pii.sanitise(docs, terms)._jdf.queryExecution().toString()
 
 
+def test_secrets_are_found_beside_the_base_kinds(spark):
+    docs = spark.createDataFrame([(1, 'api_key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" ok'), (2, "x" * 60), (3, "1" * 60)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.report(docs, pii.disclosures(docs)).collect()}
+    assert [rows[k].n_secret for k in (1, 2, 3)] == [1, 0, 0] and rows[1].spans == "secret:11:51"
+    assert rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.sanitise(docs, pii.disclosures(docs)).where("doc_id = 1").first().text == 'api_key = "[SECRET]" ok'
+
+
 def test_pieces_are_those_of_the_library_and_decode(spark, docs, empty):
     import sentencepiece
 
