@@ -409,7 +409,7 @@ def diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
   ('main.supplier.s_name', 'column-nullability-changed', 'main.supplier', true), ('main.region.region_name', 'unique-index-added', 'main.region', true), ('main.order_names', 'definition-changed', 'main.order_names', true),
   ('main.lineitem', 'constraints-changed', 'main.lineitem', true)) AS t(id, kind, object_id, needs_review)""")
 def change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return change.changes(*_documents(spark))
+    return change.changes(*_documents(spark)).drop("evidence")
 
 
 @register(f"""WITH RECURSIVE fks AS (SELECT * FROM {_META["fks"]}), e AS (SELECT DISTINCT table_id AS src, target_id AS dst FROM fks),

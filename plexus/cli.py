@@ -251,7 +251,7 @@ def _diff(a: argparse.Namespace, spark: SparkSession) -> int:
 def _review(a: argparse.Namespace, spark: SparkSession) -> int:
     old, new = load_document(spark, a.before), load_document(spark, a.after)
     notes = change.comparison_notes(old.header, new.header)
-    found = change.with_fingerprints(change.changes(old, new), str(old.header.get("source_id")))
+    found = change.with_fingerprints(change.changes(old, new), *(str(d.header.get("source_id")) for d in (old, new)))
     policy = policyfiles.review(a.policy, a.baseline, a.as_of) if a.policy else change.Policy(as_of=a.as_of)
     judged = change.evaluate(found, policy)
     placed, hit = change.review(graph_of(old), graph_of(new), found)

@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import parent_of
 from ..plans.bundle import GraphBundle, union_all
 from .traverse import impact_many
 
@@ -46,45 +45,63 @@ def _differs(*columns: str) -> Column:
 
 
 def _both(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Full outer join on ``key``; other columns get o_ and n_, and ``has_o``, ``has_n`` say which side has the row."""
-    side = lambda df, p: df.select(*key, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in key), F.lit(True).alias(f"has_{p}"))
-    return side(old, "o").join(side(new, "n"), key, "full_outer").withColumns({"has_o": F.coalesce("has_o", F.lit(False)), "has_n": F.coalesce("has_n", F.lit(False))})
+    """Full outer join on ``key``, null meeting null; other columns get o_ and n_, and ``has_o``, ``has_n`` say which side has the row."""
+    side = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns), F.lit(True).alias(f"has_{p}"))
+    met = F.lit(True)
+    for c in key:
+        met = met & F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}"))
+    both = side(old, "o").join(side(new, "n"), met, "full_outer")
+    return both.withColumns({"has_o": F.coalesce("has_o", F.lit(False)), "has_n": F.coalesce("has_n", F.lit(False)), **{c: F.when(F.col("has_n"), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")) for c in key}})
 
 
-def diff_documents(old, new) -> DataFrame:
-    """(id, part, change, detail): schemas, objects, routines, columns, constraints, indexes, triggers, bodies and dependencies. ``old``, ``new``: Documents.
-
-    Usage never counts.
-    """
+def _parts(old, new) -> DataFrame:
+    """(id, part, change, detail, object_id, before, after): what ``diff_documents`` says, the object it belongs to and both sides' values as JSON."""
     out = []
 
-    def add(part: str, table: str, key: list[str], values: list[str], id_: Column) -> None:
-        pair = _both(getattr(old, table).select(*key, *values).distinct(), getattr(new, table).select(*key, *values).distinct(), key)
+    def add(part: str, table: str, key: list[str], values: list[str], id_: Column, owner: Column | None = None, shape=lambda df: df) -> None:
+        pair = _both(*(shape(getattr(d, table)).select(*key, *values).distinct() for d in (old, new)), key)
         change = F.when(~F.col("has_o"), "added").when(~F.col("has_n"), "removed").when(_differs(*values), "changed")
         detail = F.concat_ws(",", *(F.when(F.col("has_o") & F.col("has_n") & _differs(v), F.lit(v)) for v in values)) if values else F.lit("")
-        out.append(pair.select(id_.alias("id"), F.lit(part).alias("part"), change.alias("change"), detail.alias("detail")).where("change IS NOT NULL"))
+        side = lambda p: F.when(F.col(f"has_{p}"), F.to_json(F.struct(*(F.col(f"{p}_{c}").alias(c) for c in (*key, *values))), {"ignoreNullFields": "false"}))
+        row = (id_.alias("id"), F.lit(part).alias("part"), change.alias("change"), detail.alias("detail"), (id_ if owner is None else owner).alias("object_id"), side("o").alias("before"), side("n").alias("after"))
+        out.append(pair.select(*row).where("change IS NOT NULL"))
 
     dotted = lambda *c: F.concat_ws(".", *c)
+    object_ = dotted("schema", "object")
+    # a constraint without a name is known by its columns and what they point at
+    shown = lambda c: F.concat(F.lit("["), F.concat_ws(",", c), F.lit("]"))
+    target = F.concat(F.lit("->"), dotted("ref_schema", "ref_table"), shown("ref_columns"))
+    unnamed = F.when(F.col("name").isNull(), F.concat("kind", shown("columns"), F.when(F.col("ref_table").isNotNull(), target).otherwise("")))
     add("schema", "schemas", ["schema"], [], F.col("schema"))
     add("object", "objects", ["schema", "name"], ["kind"], dotted("schema", "name"))
     add("definition", "objects", ["schema", "name"], ["body"], dotted("schema", "name"))
     add("routine", "routines", ["schema", "name", "signature"], ["kind", "language", "body"], F.concat(dotted("schema", "name"), F.lit("("), F.coalesce("signature", F.lit("")), F.lit(")")))
-    add("column", "columns", ["schema", "object", "name"], ["data_type", "nullable", "default", "ordinal", "pk_position"], dotted("schema", "object", "name"))
-    add("constraint", "constraints", ["schema", "object", "name"], ["kind", "columns", "ref_schema", "ref_table", "ref_columns"], dotted("schema", "object", "name"))
-    add("index", "indexes", ["schema", "object", "name"], ["unique", "columns", "predicate"], dotted("schema", "object", "name"))
-    add("trigger", "triggers", ["schema", "object", "name"], ["body"], dotted("schema", "object", "name"))
+    add("column", "columns", ["schema", "object", "name"], ["data_type", "nullable", "default", "ordinal", "pk_position"], dotted("schema", "object", "name"), object_)
+    add("constraint", "constraints", ["schema", "object", "name", "unnamed"], ["kind", "columns", "ref_schema", "ref_table", "ref_columns"], F.concat(object_, F.lit("."), F.coalesce("name", "unnamed")), object_, lambda df: df.withColumn("unnamed", unnamed))
+    add("index", "indexes", ["schema", "object", "name"], ["unique", "columns", "predicate"], dotted("schema", "object", "name"), object_)
+    add("trigger", "triggers", ["schema", "object", "name"], ["body"], dotted("schema", "object", "name"), object_)
     add("dependency", "dependencies", ["source", "target", "catalog", "dependency_type"], [], F.concat_ws("->", "source", "target"))
     # a body that comes or goes with its object is the object's change
-    return union_all(out).where("NOT (part = 'definition' AND change <> 'changed')").distinct()
+    return union_all(out).where("NOT (part = 'definition' AND change <> 'changed')")
+
+
+def diff_documents(old, new) -> DataFrame:
+    """(id, part, change, detail): schemas, objects, routines, columns, constraints, indexes, triggers, bodies and dependencies. ``old``, ``new``: Documents.
+
+    Usage never counts. Names and signatures that are null are equal to null ones.
+    """
+    return _parts(old, new).select("id", "part", "change", "detail").distinct()
 
 
 def changes(old, new) -> DataFrame:
-    """(id, kind, object_id, needs_review): the typed changes between two documents. Parts of an object that came or went are its own change."""
-    d = diff_documents(old, new)
+    """(id, kind, object_id, needs_review, evidence): the typed changes between two documents. Parts of an object that came or went are its own change.
+
+    ``evidence``: JSON of each difference behind the change, with the values before and after, sorted.
+    """
+    d = _parts(old, new)
     split_new = new.columns.select(F.concat_ws(".", "schema", "object", "name").alias("id"), "nullable", "default").distinct()
-    whole = d.where("part = 'object' AND change IN ('added', 'removed')").select(F.col("id").alias("object_id"), F.lit(True).alias("whole"))
-    owner = F.when(F.col("part").isin("column", "constraint", "index", "trigger"), parent_of(F.col("id"))).otherwise(F.col("id"))
-    parts = d.withColumn("object_id", owner).join(whole, "object_id", "left").where("part IN ('object', 'schema') OR whole IS NULL").join(split_new, "id", "left")
+    whole = d.where("part = 'object' AND change IN ('added', 'removed')").select("object_id", F.lit(True).alias("whole")).distinct()
+    parts = d.join(whole, "object_id", "left").where("part IN ('object', 'schema') OR whole IS NULL").join(split_new, "id", "left")
     uniq = new.indexes.select(F.concat_ws(".", "schema", "object", "name").alias("id"), F.col("unique").alias("is_unique")).distinct()
     parts = parts.join(uniq, "id", "left")
     is_, was = (lambda p: F.col("part") == p), (lambda c: F.col("change") == c)
@@ -115,8 +132,10 @@ def changes(old, new) -> DataFrame:
     )
     # constraint, trigger and remaining index changes are reported once an object
     lumped = F.col("kind").isin("constraints-changed", "indexes-changed", "triggers-changed")
-    out = parts.select("id", "object_id", F.explode(kinds).alias("kind")).select(F.when(lumped, F.col("object_id")).otherwise(F.col("id")).alias("id"), "kind", "object_id").distinct()
-    return out.withColumn("needs_review", ~F.col("kind").isin(*HARMLESS))
+    told = F.to_json(F.struct("id", "part", "change", "detail", "before", "after"), {"ignoreNullFields": "false"})
+    out = parts.select("id", "object_id", told.alias("told"), F.explode(kinds).alias("kind")).select(F.when(lumped, F.col("object_id")).otherwise(F.col("id")).alias("id"), "kind", "object_id", "told")
+    out = out.groupBy("id", "kind", "object_id").agg(F.array_sort(F.collect_set("told")).alias("evidence"))  # the differences of one object
+    return out.select("id", "kind", "object_id", (~F.col("kind").isin(*HARMLESS)).alias("needs_review"), "evidence")
 
 
 def comparison_notes(old: dict, new: dict) -> list[str]:
@@ -146,15 +165,16 @@ def review(before: GraphBundle, after: GraphBundle, found: DataFrame) -> tuple[D
 # -- policy ----------------------------------------------------------------------------------------------------------
 
 
-def fingerprint(change: dict, source: dict) -> str:
-    """SHA-256 of the canonical JSON of a change and the source's identity."""
-    payload = {"version": 1, "source": source, "change": change}
+def fingerprint(change: dict, old_source: str, new_source: str) -> str:
+    """SHA-256 of the canonical JSON of a change (id, kind, evidence) and of the sources that were compared."""
+    payload = {"change": change, "sources": [old_source, new_source], "version": 1}
     return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-def with_fingerprints(found: DataFrame, source_id: str) -> DataFrame:
-    """``found`` with ``fingerprint``, made of the same canonical JSON on the executors."""
-    body = F.concat(F.lit('{"change":'), F.to_json(F.struct(F.col("id"), F.col("kind"))), F.lit(',"source":'), F.lit(json.dumps(source_id, ensure_ascii=False)), F.lit(',"version":1}'))
+def with_fingerprints(found: DataFrame, old_source: str, new_source: str) -> DataFrame:
+    """``found`` with ``fingerprint``, made of the same canonical JSON on the executors: another type, default or body before or after is another change."""
+    sources = json.dumps([old_source, new_source], separators=(",", ":"), ensure_ascii=False)
+    body = F.concat(F.lit('{"change":'), F.to_json(F.struct("evidence", "id", "kind")), F.lit(f',"sources":{sources},"version":1}}'))
     return found.withColumn("fingerprint", F.sha2(body, 256))
 
 

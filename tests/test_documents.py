@@ -141,10 +141,11 @@ def test_merge_keeps_namespaces_apart(spark, built):
 
 
 def test_policy_decides_with_waivers_and_baseline(spark):
-    rows = [("a", "object-removed", "a", True), ("b", "column-added", "b", False), ("c", "column-type-changed", "c", True)]
-    found = change.with_fingerprints(spark.createDataFrame(rows, "id string, kind string, object_id string, needs_review boolean"), "src")
+    rows = [("a", "object-removed", "a", True, ["x"]), ("b", "column-added", "b", False, []), ("c", "column-type-changed", "c", True, ['{"é":1}'])]
+    found = change.with_fingerprints(spark.createDataFrame(rows, "id string, kind string, object_id string, needs_review boolean, evidence array<string>"), "old", "new")
     f = {r.id: r.fingerprint for r in found.collect()}
-    assert f["a"] == change.fingerprint({"id": "a", "kind": "object-removed"}, "src")
+    assert f["a"] == change.fingerprint({"id": "a", "kind": "object-removed", "evidence": ["x"]}, "old", "new")
+    assert f["c"] == change.fingerprint({"id": "c", "kind": "column-type-changed", "evidence": ['{"é":1}']}, "old", "new")
     policy = change.Policy("high", {"column-type-changed": "critical"}, {f["c"]: ("known", "2024-06-01")}, as_of="2024-01-01")
     got = {r.id: (r.severity, r.state, r.waived, r.fails) for r in change.evaluate(found, policy).collect()}
     assert got == {"a": ("high", "no-baseline", False, True), "b": ("low", "no-baseline", False, False), "c": ("critical", "no-baseline", True, False)}
@@ -156,6 +157,27 @@ def test_policy_decides_with_waivers_and_baseline(spark):
     assert change.comparison_notes({"dialect": "a"}, {"dialect": "b"}) == ["dialect differs: 'a' and 'b'"]
 
 
+def _with(spark, type_, constraints=(), routines=()):
+    column = {"name": "c", "data_type": type_, "nullable": True, "ordinal": 1}
+    table = {"name": "t", "kind": "table", "columns": [column], "constraints": [{"kind": "foreign-key", "columns": [c], "referenced": {"schema": "main", "table": r, "columns": ["id"]}} for c, r in constraints]}
+    return document.from_value(spark, {"version": 2, "producer": {"name": "test"}, "required_features": [], "dialect": "sqlite", "schemas": [{"name": "main", "objects": [table], "routines": [{"name": n, "kind": "function", "language": "sql", "body": "select 1"} for n in routines]}]})
+
+
+def test_unnamed_parts_are_themselves_again(spark):
+    one = _with(spark, "int", [("c", "u"), ("c", "v")], ["f"])
+    assert change.diff_documents(one, one).count() == 0 and change.changes(one, one).count() == 0
+    other = _with(spark, "int", [("c", "u"), ("c", "w")], ["f"])
+    got = sorted((r.id, r.change) for r in change.diff_documents(one, other).collect())
+    assert got == [("main.t.foreign-key[c]->main.v[id]", "removed"), ("main.t.foreign-key[c]->main.w[id]", "added")]
+    assert [(r.id, r.kind, r.object_id, len(r.evidence)) for r in change.changes(one, other).collect()] == [("main.t", "constraints-changed", "main.t", 2)]
+
+
+def test_another_type_is_another_fingerprint(spark):
+    old = _with(spark, "int")
+    prints = [change.with_fingerprints(change.changes(old, _with(spark, t)), "a", "b").first().fingerprint for t in ("bigint", "text", "bigint")]
+    assert prints[0] == prints[2] != prints[1]
+
+
 def test_sqlite_files(spark, tmp_path):
     path = f"{tmp_path}/x.db"
     db = sqlite3.connect(path)
