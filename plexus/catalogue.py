@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .operators import change, checks, lint, lineage, merge, structure, traverse
 from .plans import build as builder
-from .plans import rowgraph, star_catalog, view_corpus
-from .plans.bundle import GraphBundle
+from .plans import row_catalog, rowgraph, star_catalog, view_corpus
+from .plans.bundle import GraphBundle, union_all
 from .plans.sqlbind.enrich import enrich
-from .sources import document
+from .sources import document, imports
 from .streaming import usage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,15 +184,15 @@ def cycles_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.cycles(rowgraph.trade_graph(spark, sf_dir))
 
 
-def _views_plain(spark: SparkSession, sf_dir: str) -> GraphBundle:
-    """The row graph with customers and nations as views, without suppliers, and with one in twenty orders."""
-    g = small(spark, sf_dir)
+def _views(spark: SparkSession, sf_dir: str) -> GraphBundle:
+    """The row graph of all tables, with customers and nations as views; of the orders only urgent ones refer to their customer."""
+    g = full(spark, sf_dir)
     kinds = F.when(F.col("schema").isin("customer", "nation") & F.col("id").contains("."), "view").otherwise(F.col("kind"))
-    few = g.edges.where("kind = 'references' AND NOT (src LIKE 'orders.%' AND try_cast(substring(src, 8) AS BIGINT) % 20 > 0) AND src NOT LIKE 'supplier.%'")
-    return g.with_tables(vertices=g.vertices.withColumn("kind", kinds), edges=few)
+    calm = rowgraph.table(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'").select(F.concat(F.lit("orders."), F.col("o_orderkey").cast("string")).alias("src"), F.lit("references").alias("kind"))
+    return g.with_tables(vertices=g.vertices.withColumn("kind", kinds), edges=g.edges.join(calm, ["src", "kind"], "left_anti").select("src", "dst", "kind"))
 
 
-_DEAD = f"""WITH {R_EDGES}, k AS (SELECT * FROM e WHERE NOT (src LIKE 'orders.%' AND TRY_CAST(substring(src, 8) AS BIGINT) % 20 > 0) AND src NOT LIKE 'supplier.%'),
+_DEAD = f"""WITH {ALL_EDGES}, calm AS (SELECT 'orders.' || o_orderkey AS id FROM orders WHERE o_orderpriority <> '1-URGENT'), k AS (SELECT * FROM e WHERE src NOT IN (SELECT id FROM calm)),
 c AS (SELECT 'customer.' || c_custkey AS id FROM customer), n AS (SELECT 'nation.' || n_nationkey AS id FROM nation)"""
 
 
@@ -200,7 +201,7 @@ SELECT id, 'view' AS kind, 'noDependents' AS reason, CAST(NULL AS BIGINT) AS rea
 UNION ALL SELECT id, 'view', CASE WHEN EXISTS (SELECT 1 FROM k WHERE dst = n.id) THEN 'allDependentsDead' ELSE 'noDependents' END, NULL, NULL, NULL FROM n
 WHERE NOT EXISTS (SELECT 1 FROM k WHERE dst = n.id AND src NOT IN (SELECT id FROM dc))""")
 def dead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.dead(_views_plain(spark, sf_dir))
+    return structure.dead(_views(spark, sf_dir))
 
 
 RETENTION = structure.Retention(roots=(("customer.1*", "reports"),), suppressions=(("customer.2?", "in use elsewhere", None), ("customer.3*", "ended", "2020-01-01"), ("customer.4*", " ", None)), as_of="2024-01-01")
@@ -212,26 +213,7 @@ SELECT id, 'view' AS kind, 'noDependents' AS reason, CAST(NULL AS BIGINT) AS rea
 UNION ALL SELECT id, 'view', CASE WHEN EXISTS (SELECT 1 FROM k WHERE dst = n.id) THEN 'allDependentsDead' ELSE 'noDependents' END, NULL, NULL, NULL FROM n
 WHERE id NOT IN (SELECT id FROM kept) AND NOT EXISTS (SELECT 1 FROM k WHERE dst = n.id AND src NOT IN (SELECT id FROM dc))""")
 def dead_with_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.dead(_views_plain(spark, sf_dir), RETENTION)
-
-
-def _views_all(spark: SparkSession, sf_dir: str) -> GraphBundle:
-    """The row graph of all tables, with all its edges, and with customers and nations as views."""
-    g = full(spark, sf_dir)
-    kinds = F.when(F.col("schema").isin("customer", "nation") & F.col("id").contains("."), "view").otherwise(F.col("kind"))
-    return g.with_tables(vertices=g.vertices.withColumn("kind", kinds))
-
-
-_DEAD_ALL = f"WITH {ALL_EDGES}, k AS (SELECT * FROM e)," + _DEAD[_DEAD.index("\nc AS") :]
-
-
-def _on_all_edges(name: str, *policy: structure.Retention) -> None:
-    QUERIES[f"{name}_all_edges"] = lambda spark, sf_dir: structure.dead(_views_all(spark, sf_dir), *policy)
-    ORACLE_SQL[f"{name}_all_edges"] = ORACLE_SQL[name].replace(_DEAD, _DEAD_ALL)
-
-
-_on_all_edges("dead_rows")
-_on_all_edges("dead_with_retention", RETENTION)
+    return structure.dead(_views(spark, sf_dir), RETENTION)
 
 
 # -- checks ----------------------------------------------------------------------------------------------------------
@@ -321,9 +303,11 @@ _OVER_ROWS = (impact_region, query_depth2, impact_all_regions, walk_order, multi
 
 
 def _on_all_tables(f: Callable[..., DataFrame]) -> None:
-    name = f"{f.__name__}_all_tables"
+    """The query goes over all tables; its form over five of them keeps a name of its own."""
+    name = f.__name__
+    QUERIES[f"{name}_five_tables"], ORACLE_SQL[f"{name}_five_tables"] = f, ORACLE_SQL[name]
     QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, full)
-    ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace(R_EDGES, ALL_EDGES).replace(R_IDS, ALL_IDS).replace("'table', 5", f"'table', {len(rowgraph.KEYS)}")
+    ORACLE_SQL[name] = ORACLE_SQL[name].replace(R_EDGES, ALL_EDGES).replace(R_IDS, ALL_IDS).replace("'table', 5", f"'table', {len(rowgraph.KEYS)}")
 
 
 for _query in _OVER_ROWS:
@@ -412,6 +396,122 @@ def change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.changes(*_documents(spark)).drop("evidence")
 
 
+# -- documents made from rows ----------------------------------------------------------------------------------------
+
+
+def _row_parts(later: bool) -> str:
+    """The parts of ``row_catalog.row_document``: (part, id, object_id, detail values as JSON, one column a value)."""
+    p, keep, null, text = ("new_", ">= 0", 2000, "CASE c_mktsegment WHEN 'BUILDING' THEN 'text' ELSE lower(c_mktsegment) END") if later else ("old_", "<= 9000", 1000, "lower(c_mktsegment)")
+    sizes, body = ("p_size >= 3", "CASE WHEN p_size >= 10 THEN 'select 2' ELSE 'select 1' END") if later else ("p_size <= 48", "'select 1'")
+    return f"""{p}c AS (SELECT sch, obj, 'c' || c_custkey AS name, {text} AS data_type, c_acctbal > {null} AS nullable, CAST(NULL AS VARCHAR) AS "default", CAST(c_custkey AS INTEGER) AS ordinal, 0 AS pk_position FROM customer JOIN pl ON nk = c_nationkey WHERE c_acctbal {keep}),
+{p}k AS (SELECT sch, obj, coalesce(CASE WHEN s_acctbal > 3000 THEN 'f' || s_suppkey END, 'foreign-key[k' || s_suppkey || ']->' || sch || '.ALGERIA[id]') AS name FROM supplier JOIN pl ON nk = s_nationkey WHERE s_acctbal {keep}),
+{p}r AS (SELECT sch, 'p' || p_partkey AS name, CASE WHEN p_size > 25 THEN 'int' ELSE '' END AS signature, {body} AS body FROM part, (SELECT sch FROM pl WHERE nk = 0) WHERE {sizes})"""
+
+
+_ROWS = f"""pl AS (SELECT n_nationkey AS nk, r_name AS sch, n_name AS obj FROM nation JOIN region ON n_regionkey = r_regionkey),
+{_row_parts(False)}, {_row_parts(True)},
+cc AS (SELECT coalesce(o.sch, n.sch) AS sch, coalesce(o.obj, n.obj) AS obj, coalesce(o.name, n.name) AS name, o.name IS NOT NULL AS has_o, n.name IS NOT NULL AS has_n, o.data_type AS o_type, n.data_type AS n_type, o.nullable AS o_null, n.nullable AS n_null FROM old_c o FULL JOIN new_c n ON o.sch = n.sch AND o.obj = n.obj AND o.name = n.name),
+kk AS (SELECT coalesce(o.sch, n.sch) AS sch, coalesce(o.obj, n.obj) AS obj, coalesce(o.name, n.name) AS name, o.name IS NOT NULL AS has_o, n.name IS NOT NULL AS has_n FROM old_k o FULL JOIN new_k n ON o.sch = n.sch AND o.obj = n.obj AND o.name = n.name),
+rr AS (SELECT coalesce(o.sch, n.sch) AS sch, coalesce(o.name, n.name) AS name, coalesce(o.signature, n.signature) AS signature, o.name IS NOT NULL AS has_o, n.name IS NOT NULL AS has_n, o.body AS o_body, n.body AS n_body FROM old_r o FULL JOIN new_r n ON o.name = n.name AND o.signature = n.signature),
+df AS (
+  SELECT sch || '.' || obj || '.' || name AS id, sch || '.' || obj AS object_id, 'column' AS part, CASE WHEN NOT has_o THEN 'added' WHEN NOT has_n THEN 'removed' ELSE 'changed' END AS change,
+         CASE WHEN has_o AND has_n THEN concat_ws(',', CASE WHEN o_type <> n_type THEN 'data_type' END, CASE WHEN o_null <> n_null THEN 'nullable' END) ELSE '' END AS detail, n_null AS nullable FROM cc WHERE NOT (has_o AND has_n AND o_type = n_type AND o_null = n_null)
+  UNION ALL SELECT sch || '.' || obj || '.' || name, sch || '.' || obj, 'constraint', CASE WHEN has_n THEN 'added' ELSE 'removed' END, '', NULL FROM kk WHERE NOT (has_o AND has_n)
+  UNION ALL SELECT sch || '.' || name || '(' || signature || ')', sch || '.' || name || '(' || signature || ')', 'routine', CASE WHEN NOT has_o THEN 'added' WHEN NOT has_n THEN 'removed' ELSE 'changed' END, CASE WHEN has_o AND has_n THEN 'body' ELSE '' END, NULL FROM rr WHERE NOT (has_o AND has_n AND o_body = n_body)),
+ch AS (
+  SELECT id, object_id, unnest(list_filter([CASE WHEN part = 'routine' AND change = 'added' THEN 'object-added' END, CASE WHEN part = 'routine' AND change = 'removed' THEN 'object-removed' END, CASE WHEN part = 'routine' AND change = 'changed' THEN 'definition-changed' END,
+    CASE WHEN part = 'column' AND change = 'added' AND NOT nullable THEN 'required-column-added' END, CASE WHEN part = 'column' AND change = 'added' AND nullable THEN 'column-added' END, CASE WHEN part = 'column' AND change = 'removed' THEN 'column-removed' END,
+    CASE WHEN change = 'changed' AND detail LIKE '%data_type%' THEN 'column-type-changed' END, CASE WHEN change = 'changed' AND detail LIKE '%nullable%' THEN 'column-nullability-changed' END], lambda x: x IS NOT NULL)) AS kind FROM df WHERE part <> 'constraint'
+  UNION ALL SELECT DISTINCT object_id, object_id, 'constraints-changed' FROM df WHERE part = 'constraint')"""
+_REVIEWED = "kind NOT IN ('schema-added', 'object-added', 'column-added', 'index-added')"
+
+
+def _row_documents(spark: SparkSession, sf_dir: str) -> tuple:
+    return row_catalog.row_document(spark, sf_dir), row_catalog.row_document(spark, sf_dir, later=True)
+
+
+@register(f"WITH {_ROWS} SELECT id, part, change, detail FROM df")
+def diff_documents_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change.diff_documents(*_row_documents(spark, sf_dir))
+
+
+@register("SELECT '' AS id, '' AS part, '' AS change, '' AS detail WHERE false")
+def diff_documents_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document, with unnamed constraints and routines without signature, against itself."""
+    doc = row_catalog.row_document(spark, sf_dir)
+    return change.diff_documents(doc, row_catalog.row_document(spark, sf_dir))
+
+
+@register(f"WITH {_ROWS} SELECT id, kind, object_id, {_REVIEWED} AS needs_review FROM ch")
+def change_kinds_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change.changes(*_row_documents(spark, sf_dir)).drop("evidence")
+
+
+@register(f"""WITH {_ROWS},
+v AS (SELECT cc.sch || '.' || cc.obj || '.' || cc.name AS id, to_json({{'schema': cc.sch, 'object': cc.obj, 'name': cc.name, 'data_type': o.data_type, 'nullable': o.nullable, 'default': o."default", 'ordinal': o.ordinal, 'pk_position': o.pk_position}}) AS before,
+  to_json({{'schema': cc.sch, 'object': cc.obj, 'name': cc.name, 'data_type': n.data_type, 'nullable': n.nullable, 'default': n."default", 'ordinal': n.ordinal, 'pk_position': n.pk_position}}) AS after
+  FROM cc JOIN old_c o ON o.name = cc.name JOIN new_c n ON n.name = cc.name),
+t AS (SELECT ch.id, ch.kind, to_json({{'id': df.id, 'part': df.part, 'change': df.change, 'detail': df.detail, 'before': CAST(v.before AS VARCHAR), 'after': CAST(v.after AS VARCHAR)}}) AS told FROM ch JOIN df ON df.id = ch.id JOIN v ON v.id = ch.id WHERE ch.kind = 'column-type-changed')
+SELECT id, kind, sha256('{{"change":' || CAST(to_json({{'evidence': [CAST(told AS VARCHAR)], 'id': id, 'kind': kind}}) AS VARCHAR) || ',"sources":["earlier","later"],"version":1}}') AS fingerprint FROM t""")
+def change_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the changes of type, which hold the values before and after."""
+    found = change.changes(*_row_documents(spark, sf_dir)).where("kind = 'column-type-changed'")
+    return change.with_fingerprints(found, "earlier", "later").select("id", "kind", "fingerprint")
+
+
+@register(f"""WITH {_ROWS}, s AS (SELECT *, CASE kind WHEN 'column-type-changed' THEN 'critical' WHEN 'column-added' THEN 'medium' ELSE CASE WHEN {_REVIEWED} THEN 'high' ELSE 'low' END END AS severity FROM ch)
+SELECT id, kind, severity, 'new' AS state, false AS waived, severity IN ('high', 'critical') AS fails FROM s""")
+def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = change.with_fingerprints(change.changes(*_row_documents(spark, sf_dir)), "earlier", "later")
+    policy = change.Policy("high", {"column-type-changed": "critical", "column-added": "medium"}, {"0" * 64: ("no such change", None)}, frozenset(["f" * 64]), "2024-01-01")
+    return change.evaluate(found, policy).select("id", "kind", "severity", "state", "waived", "fails")
+
+
+@register(f"""WITH {_ROWS} SELECT 'columns' AS part, count(*) AS n FROM old_c WHERE sch IN ('ASIA', 'EUROPE') UNION ALL SELECT 'constraints', count(*) FROM old_k WHERE sch IN ('ASIA', 'EUROPE') UNION ALL SELECT 'objects', count(*) FROM pl WHERE sch IN ('ASIA', 'EUROPE')
+UNION ALL SELECT 'routines', count(*) FROM old_r WHERE sch IN ('ASIA', 'EUROPE') UNION ALL SELECT 'requested schema was not collected: NOWHERE', 1 UNION ALL SELECT 'complete', 0""")
+def annotated_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document narrowed to two schemas and one that is missing: rows by part, the note, and whether it is complete."""
+    doc = document.annotate(row_catalog.row_document(spark, sf_dir), "narrow", ["ASIA", "EUROPE", "NOWHERE"])
+    counts = [getattr(doc, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("part"), "n") for t in ("columns", "constraints", "objects", "routines")]
+    said = spark.createDataFrame([*((n, 1) for n in doc.limitations), ("complete", int(doc.complete))], "part string, n long")
+    return union_all([*counts, said])
+
+
+@register(f"""WITH {_ROWS}, f AS (SELECT sch, obj, name, ordinal, name || ':' || data_type || ':' || CASE WHEN nullable THEN 'null' ELSE 'not null' END AS field FROM old_c),
+l AS (SELECT sch, obj, list(field ORDER BY ordinal, field) AS fields FROM f GROUP BY ALL)
+SELECT sha256('rows' || chr(0) || pl.sch || chr(0) || pl.obj) AS fact_id, pl.sch || '.' || pl.obj AS id, 'table' AS kind, pl.obj AS name, coalesce(array_to_string(fields[1:{imports.MAX_FIELDS}], ', '), '') AS contract, coalesce(length(fields), 0) > {imports.MAX_FIELDS} AS truncated
+FROM pl LEFT JOIN l ON l.sch = pl.sch AND l.obj = pl.obj
+UNION ALL SELECT sha256('rows' || chr(0) || sch || chr(0) || obj || chr(0) || name), sch || '.' || obj || '.' || name, 'column', name, field, false FROM f""")
+def relation_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports.relation_facts(row_catalog.row_document(spark, sf_dir), "rows")
+
+
+@register(f"""WITH {_ROWS}, r AS (SELECT o_custkey, o_orderkey, o_orderpriority FROM orders),
+d AS (SELECT DISTINCT a.sch || '.' || a.obj AS src, b.sch || '.' || b.obj AS dst FROM lineitem JOIN r ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN pl a ON a.nk = c_nationkey JOIN pl b ON b.nk = s_nationkey WHERE a.nk <> b.nk AND o_orderpriority <> '1-URGENT')
+SELECT src, dst, 'depends-on' AS kind FROM d""")
+def catalog_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that a catalog's own dependency records give; those into another database are left to a merge."""
+    return builder.build(row_catalog.row_document(spark, sf_dir)).edges.where("kind = 'depends-on'")
+
+
+@register(f"""WITH {_ROWS}, d AS (SELECT DISTINCT a.sch || '.' || a.obj AS src, b.sch || '.' || b.obj AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN pl a ON a.nk = c_nationkey JOIN pl b ON b.nk = s_nationkey WHERE a.nk <> b.nk AND o_orderpriority = '1-URGENT')
+SELECT 'one::' || src AS src, 'two::' || dst AS dst, 'depends-on' AS kind FROM d""")
+def merge_across_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that lead from one merged database into the other."""
+    one, two = row_catalog.row_document(spark, sf_dir), row_catalog.row_document(spark, sf_dir, later=True, database="archive")
+    merged = merge.merge_graphs([("one", builder.build(one)), ("two", builder.build(two))])
+    return merge.with_references(merged, [("one", one), ("two", two)]).edges.where("src LIKE 'one::%' AND dst LIKE 'two::%'")
+
+
+@register(f"""WITH {_ROWS} SELECT 'repeated constraint records: 1' AS note""")
+def repeated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a document says of identities that it holds twice."""
+    doc = document.from_value(spark, star_catalog.document() | {"limitations": []})
+    again = doc.constraints.limit(1)
+    twice = replace(doc, tables=doc.tables | {"constraints": doc.constraints.unionByName(again)})
+    return spark.createDataFrame([(n,) for n in document.duplicate_notes(twice)], "note string")
+
+
 @register(f"""WITH RECURSIVE fks AS (SELECT * FROM {_META["fks"]}), e AS (SELECT DISTINCT table_id AS src, target_id AS dst FROM fks),
 c(change_id, id) AS (VALUES ('object-removed#main.part', 'main.part'), ('column-type-changed#main.nation.n_name', 'main.nation'), ('column-removed#main.customer.region_id', 'main.customer'), ('required-column-added#main.orders.o_status', 'main.orders'),
   ('column-nullability-changed#main.supplier.s_name', 'main.supplier'), ('unique-index-added#main.region.region_name', 'main.region')),

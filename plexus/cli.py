@@ -98,7 +98,7 @@ def parser() -> argparse.ArgumentParser:
     level = opt("--level", choices=("schema", "object", "column"), default="object")
     add("scan", opt("source"), opt("--output", required=True), opt("--schema", action="append"), opt("--usage", action="store_true"), opt("--catalog-dependencies", action="store_true"), opt("--infer", action="store_true"), opt("--sql-dir"), opt("--sql-schema", default="main"), opt("--emit-document"), opt("--document-version", type=int, default=2), graph=False)
     add("import", opt("document"), opt("input"), opt("--kind", choices=("dbt", "query-log", "sql-dir"), required=True), opt("--schema", action="append"), opt("--output", required=True), opt("--max-input", type=int, default=64 << 20), opt("--max-rows", type=int, default=100_000), opt("--max-sql", type=int, default=8 << 20), opt("--max-total", type=int, default=64 << 20), graph=False)
-    add("merge", opt("inputs", nargs="+", help="label=graph"), opt("--output", required=True), graph=False)
+    add("merge", opt("inputs", nargs="+", help="label=graph"), opt("--document", action="append", default=[], help="label=document: its references to other databases become edges"), opt("--output", required=True), graph=False)
     add("facts", opt("document"), opt("--source-id", required=True), most(100_000), graph=False)
     add("openlineage", opt("--namespace", required=True), opt("--event-time", required=True), opt("--output", required=True))
     add("graph", opt("--format", choices=("mermaid", "dot", "html", "json", "summary"), default="summary"), opt("--level", choices=("schema", "object", "column")))
@@ -231,7 +231,9 @@ def _import(a: argparse.Namespace, spark: SparkSession) -> int:
 
 def _merge(a: argparse.Namespace, spark: SparkSession) -> int:
     pairs = [x.split("=", 1) for x in a.inputs]
-    _save(merge.merge_graphs([(label, load_graph(spark, path)) for label, path in pairs]), a.output)
+    merged = merge.merge_graphs([(label, load_graph(spark, path)) for label, path in pairs])
+    documents = [(label, load_document(spark, path)) for label, path in (x.split("=", 1) for x in a.document)]
+    _save(merge.with_references(merged, documents), a.output)
     return 0
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SCHEMAS
+from ..plans.build import object_id
 from ..plans.bundle import GraphBundle, union_all
 
 SEPARATOR = "::"
@@ -52,6 +53,24 @@ def merge_graphs(inputs: list[tuple[str, GraphBundle]]) -> GraphBundle:
     return GraphBundle(inputs[0][1].spark, {n: union_all([getattr(s, n) for s in spaces]) for n in SCHEMAS}, all(b.complete for _, b in inputs))
 
 
+def foreign_facts(label: str, doc) -> DataFrame:
+    """(source, database, schema, name) of the catalog references of a Document that lead into another database; ``source`` is the merged id."""
+    own = F.lit(doc.header.get("database"))
+    away = doc.dependencies.where(F.col("dst.database").isNotNull() & ~F.col("dst.database").eqNullSafe(own))
+    return away.select(F.concat(F.lit(label + SEPARATOR), object_id("src.schema", "src.name")).alias("source"), "dst.database", "dst.schema", "dst.name").distinct()
+
+
+def with_references(merged: GraphBundle, documents: list) -> GraphBundle:
+    """``merged`` with the edges between its databases that the catalogs of ``documents``, (label, Document), know of."""
+    if not documents:
+        return merged
+    facts = union_all([foreign_facts(label, doc) for label, doc in documents])
+    databases = merged.spark.createDataFrame([(label, doc.header.get("database")) for label, doc in documents], "label string, database string")
+    edges, notes = cross_database_edges(merged, facts, databases)
+    proof = edges.select("src", "dst", "kind", F.lit("catalog").alias("layer"), F.lit("reference to another database").alias("detail"))
+    return merged.with_tables(edges=union_all([merged.edges, edges]).distinct(), evidence=union_all([merged.evidence, proof]), limitations=union_all([merged.limitations, notes]).distinct())
+
+
 def cross_database_edges(merged: GraphBundle, facts: DataFrame, databases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, limitations) from catalog facts (source id, database, schema, name[, kind]) whose target is one vertex of one merged source.
 

@@ -23,6 +23,8 @@ from .parser import Parser, parse
 from .procedural import extract
 from .tokens import SqlError, Token, statements, tokenize
 
+#: Objects, columns and routines that a worker holds by name; some 100 bytes each.
+MOST_NAMES = 2_000_000
 FACTS = "owner string, fact string, src string, dst string, kind string, role string, line int, col int, code string, message string, candidates array<string>, state string, scope string, body_hash string"
 TRANSITION = {"sqlserver": ("inserted", "deleted")}
 
@@ -150,7 +152,8 @@ def enrich(doc: Document, bundle: GraphBundle) -> GraphBundle:
 
     packaged = F.concat(F.regexp_extract(routine_id(), r"^([^.]*)\.", 1), F.lit("."), F.col("member_of"), F.lit("."), F.regexp_extract(routine_id(), r"^[^.]*\.(.*)$", 1))
     bodies = doc.routines.where("body IS NOT NULL AND kind <> 'package'").withColumns({"o1": routine_id(), "o2": packaged})
-    routines = bodies.join(routine_ids.select("owner"), (F.col("owner") == F.col("o1")) | (F.col("owner") == F.concat("o1", F.lit("@"), "kind")) | (F.col("owner") == F.col("o2"))).select("owner", "kind", "schema", "body", "language", none("table_id")).dropDuplicates(["owner"])
+    candidates = F.array_compact(F.array("o1", F.concat("o1", F.lit("@"), "kind"), "o2"))
+    routines = bodies.withColumn("owner", F.explode(candidates)).join(routine_ids.select("owner"), "owner", "left_semi").select("owner", "kind", "schema", "body", "language", none("table_id")).dropDuplicates(["owner"])
     texts = doc.columns.where("default IS NOT NULL").select(object_id("schema", "object").alias("table_id"), "schema", "name", F.col("default").alias("body"))
     defaults = texts.join(bundle.columns.select("table_id", "name", F.col("column_id").alias("owner")), ["table_id", "name"]).select("owner", F.lit("default").alias("kind"), "schema", "body", none("language"), none("table_id"))
     work = written(union_all([views, triggers, routines, defaults]), "bodies")
@@ -163,7 +166,11 @@ def enrich(doc: Document, bundle: GraphBundle) -> GraphBundle:
         ]
     ).distinct()
 
-    objects = doc.objects.select("schema", "name", object_id("schema", "name").alias("id"), "kind").distinct().collect()  # the schema's description
+    # the names of the catalog go to every worker, so their number is checked first
+    named = doc.objects.select(F.lit(1).alias("one")).unionAll(bundle.columns.select(F.lit(1))).unionAll(bundle.vertices.where("kind IN ('function', 'procedure', 'package')").select(F.lit(1))).count()
+    if named > MOST_NAMES:
+        raise ValueError(f"{named} objects, columns and routines are more than the {MOST_NAMES} that bodies can be bound against; narrow the document to fewer schemas")
+    objects = doc.objects.select("schema", "name", object_id("schema", "name").alias("id"), "kind").distinct().collect()
     columns = bundle.columns.select("table_id", "name", "column_id", "ordinal").orderBy("table_id", "ordinal").collect()
     calls = bundle.vertices.where("kind IN ('function', 'procedure', 'package')").select("schema", "name", "id").collect()
     inside = {r["owner"]: r["member_of"] for r in bodies.select(F.col("o2").alias("owner"), "member_of").where("owner IS NOT NULL").collect()}

@@ -6,6 +6,8 @@ import json
 from collections.abc import Callable
 from typing import TextIO
 
+from pyspark.sql import functions as F
+
 from .operators import checks, lint, structure, traverse
 from .plans.bundle import GraphBundle
 from .sinks import render
@@ -34,7 +36,9 @@ def tools(g: GraphBundle) -> dict[str, tuple[dict[str, str], Callable[[dict], di
 
     def query(a: dict) -> dict:
         s, depth = subject(a), _clamp(a, "depth", 1, MAX_DEPTH)
-        return render.query_json(s, depth, *(traverse.walk(g, s["id"], side, depth, most(a)) for side in (True, False)), [], notes)
+        own = g.arcs().where((F.col("src") == s["id"]) & (F.col("dst") == s["id"])).select("kind").distinct()
+        self_edges = sorted(r["kind"] for r in own.collect())  # one row a kind at most
+        return render.query_json(s, depth, *(traverse.walk(g, s["id"], side, depth, most(a)) for side in (True, False)), self_edges, notes)
 
     def impact(a: dict) -> dict:
         s = subject(a)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,15 +148,20 @@ def from_value(spark: SparkSession, raw: dict) -> Document:
     if not isinstance(raw, dict):
         raise DocumentError("a document is an object")
     check_header(raw, _used(raw))
-    one = spark.createDataFrame([(json.dumps(raw),)], "value string").select(F.from_json("value", DOCUMENT).alias("d")).select("d.*")
     notes = [f"ignored unknown field: {p}" for p in sorted(unknown_paths(raw))]
-    records = one.select(F.explode_outer("schemas").alias("s")).where("s IS NOT NULL").select(F.col("s.name").alias("schema"), F.col("s.objects").alias("objects"), F.col("s.routines").alias("routines"))
+    schemas = [s for s in raw.get("schemas") or [] if s is not None]
+
+    def records(rows: list[tuple], shape: str, name: str) -> DataFrame:
+        """A row a record, so that the executors share the parsing."""
+        return spark.createDataFrame(rows, "schema string, value string").select("schema", F.from_json("value", shape).alias(name)).where(F.col(name).isNotNull())
+
+    inside = lambda part: [(s.get("name"), json.dumps(x)) for s in schemas for x in s.get(part) or []]
     return _flatten(
         spark,
-        records.select("schema").distinct(),
-        records.select("schema", F.explode("objects").alias("o")),
-        records.select("schema", F.explode("routines").alias("r")),
-        one.select(F.explode("dependencies").alias("d")),
+        spark.createDataFrame([(s.get("name"),) for s in schemas], "schema string").distinct(),
+        records(inside("objects"), OBJECT, "o"),
+        records(inside("routines"), ROUTINE, "r"),
+        records([(None, json.dumps(x)) for x in raw.get("dependencies") or []], DEPENDENCY, "d").select("d"),
         _header(raw),
         [*(raw.get("limitations") or []), *notes],
     )
@@ -247,11 +252,9 @@ def _flatten(spark: SparkSession, schemas: DataFrame, objects: DataFrame, routin
 def duplicate_notes(doc: Document) -> list[str]:
     """Counts of repeated identities, which building a graph may merge."""
     keys = {"object": ("objects", ["schema", "name"]), "routine": ("routines", ["schema", "name", "signature", "member_of"]), "column": ("columns", ["schema", "object", "name"]), "index": ("indexes", ["schema", "object", "name"]), "constraint": ("constraints", ["schema", "object", "name"]), "trigger": ("triggers", ["schema", "object", "name"])}
-    notes = []
-    for label, (table, key) in keys.items():
-        n = getattr(doc, table).groupBy(*key).count().where("count > 1").count()
-        notes += [f"repeated {label} records: {n}"] * bool(n)
-    return notes
+    repeated = [getattr(doc, table).groupBy(*key).count().where("count > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("label"), "n") for label, (table, key) in keys.items()]
+    found = {r["label"]: r["n"] for r in reduce(DataFrame.unionAll, repeated).collect()}  # one job for all of them
+    return [f"repeated {label} records: {found[label]}" for label in keys if found[label]]
 
 
 # -- collection context ----------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/plexus-shared"
+    """``spark.checkpoint.dir``; a folder of our own only where it is unset and all workers are this machine's."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster, intermediate tables need a folder that all executors share")
+    return folder or "/tmp/plexus-shared"
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,7 +34,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to the shared folder as Parquet and read back."""
+    """``df``, written to the shared folder as Parquet and read back; the files go when the driver's JVM ends."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
