@@ -1,22 +1,27 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Tokens: a document's words after lower-casing A-Z, then one end. Counting covers every training document, by shuffles that combine
-on the map side. The tree's alphabet is the words of at least ``p_symbol`` of all tokens, the end, and one class for all other words,
-whose members share the class's probability in proportion to their smoothed counts. Contexts are followed up to ``depth`` words:
-
-* a context of at least ``p_context`` of all tokens is counted (1 / p_context contexts a depth at most),
-* it is retained if the next symbol's distribution diverges from that after its suffix by ``divergence`` bits or more (or if a longer
-  context that ends in it is retained),
-* its distribution is smoothed with its suffix's, weighted by the number of different symbols seen after it (Witten-Bell); pairs below
-  ``p_entry`` of all tokens lend their mass to the suffix's distribution, so every distribution sums to one.
-
-A token is scored by the longest retained suffix of what stands before it. These limits are shares of the corpus, so what is sent to
-the workers is bounded by parameters at any size (alphabet 1 / p_symbol, entries 1 / p_entry a depth); counts of all words, common
-or rare, are exact: those of rare words are joined by a shuffle.
-
-Defined results: a null text counts as empty (its only token is the end); rows with a null id are held out of nothing they are not
-told to be (the caller gives the training rows); repeated rows each count and each get a row; with nothing to learn from every
-token has probability 1; an empty table gives an empty result; extra columns are left behind.
+on the map side. A token is scored by the longest retained suffix of what stands before it: a context is retained if the next symbol's
+distribution diverges from that after its suffix by ``divergence`` bits or more (or if a longer context that ends in it is retained), and its
+distribution is smoothed with its suffix's, weighted by the number of different symbols seen after it (Witten-Bell).
+
+The tree has two parts, and each context is in one of them:
+
+* contexts of *common* words, up to ``depth`` of them, that make up at least ``p_context`` of all tokens. They are few (1 / p_context a depth at most)
+  and are sent to the workers, with pairs of at least ``p_entry`` of all tokens; rarer pairs lend their mass to the suffix's distribution.
+  Words below ``p_symbol`` of all tokens are one class there, whose members share its probability in proportion to their smoothed counts;
+* contexts that end in any *other* word, of one and two words, from two occurrences on. Their number grows with the corpus, so they stay
+  where Spark shuffles them: every position after such a word goes, packed with the others of its task, to the bucket of that word's hash. There
+  the counts of the whole corpus for that word meet, its contexts are made and tested, and the positions are scored on the spot, each on top
+  of what the common contexts say. A word of this part has less than ``p_context`` of all tokens, so no bucket is bound to one frequent word.
+  Rare words are symbols of their own here; where one was seen, its smoothed count comes from a join with all words' counts.
+
+Every distribution sums to one. Counts of all words, common or rare, are exact. What the common contexts say is rounded to 1/2048 of a log10
+on its way to a bucket.
+
+Defined results: a null text counts as empty (its only token is the end); which rows teach is the caller's expression, null counts as no;
+repeated rows each count and each get a row; with nothing to learn from every token has probability 1; an empty table gives an empty
+result; extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -29,14 +34,16 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ids_and_texts, in_pieces, materialise
+from .common import ids_and_texts, in_pieces, materialise, ship
 
 P_SYMBOL, P_CONTEXT, P_ENTRY = 5e-6, 1e-4, 1e-6
 DEPTH, DIVERGENCE = 3, 0.02
+#: Occurrences from which a context of the shuffled part is considered; positions that a bucket holds, about.
+LEAST, BUCKET = 2, 600_000
 
 #: Places in the alphabet: 0 is never used, words follow LAST.
 START, END, OTHER, LAST = 1, 2, 3, 3
@@ -73,6 +80,12 @@ class Tree(NamedTuple):
     distinct: int
     other: float
     levels: list[Level]
+    cold: np.ndarray  # by symbol: whether contexts that end in it belong to the shuffled part
+
+    @property
+    def whole(self) -> int:
+        """What smoothed counts are divided by."""
+        return self.tokens + self.distinct + 1
 
     @property
     def size(self) -> int:
@@ -80,7 +93,7 @@ class Tree(NamedTuple):
 
     def root(self) -> np.ndarray:
         """Log10 probability of each symbol without context."""
-        p = (self.counts + 1.0) / (self.tokens + self.distinct + 1.0)
+        p = (self.counts + 1.0) / self.whole
         p[OTHER] = self.other
         return p
 
@@ -214,6 +227,8 @@ def fit(training: DataFrame, vocabulary: DataFrame, p_symbol: float = P_SYMBOL,
     # contexts of length one: common symbols, the rest as one, and the start of a text
     before = counts.copy()
     before[START], before[END] = ends, 0
+    cold = before < p_context * tokens
+    cold[OTHER] = True
     codes = np.flatnonzero(before >= p_context * tokens).astype(np.int64)
     found: list[tuple] = []
     for d in range(1, depth + 1):
@@ -238,7 +253,7 @@ def fit(training: DataFrame, vocabulary: DataFrame, p_symbol: float = P_SYMBOL,
         found.append((codes, total, kinds, pair, n))
         grown = (n >= p_context * tokens) & (pair % size != END)
         codes = np.sort(codes[pair[grown] // size] * size + pair[grown] % size)
-    return Tree(places, counts, int(tokens), int(distinct), other, _retained(found, counts, size, divergence))
+    return Tree(places, counts, int(tokens), int(distinct), other, _retained(found, counts, size, divergence), cold)
 
 
 def _retained(found: list[tuple], counts: np.ndarray, size: int, divergence: float) -> list[Level]:
@@ -292,16 +307,39 @@ def symbol_scores(tree: Tree, symbols: np.ndarray) -> np.ndarray:
     return p
 
 
-SCORED = "rid long, doc_id long, n_tokens long, n_common long, base_common double, model_part double, rare array<long>, rare_n array<long>"
+# kind 0: a document, with its rare words; kind 1: positions of a piece of the input after words of one bucket, packed
+SCORED = "kind int, rid long, doc_id long, n_tokens long, n_common long, base_common double, model_part double, rare array<long>, rare_n array<long>, bucket long, n long, positions binary"
+_NAMES = [x.split()[0] for x in SCORED.split(", ")]
+_STEPS = 2048.0  # of a log10
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length, byte planes apart so that they compress."""
+    planes = b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
 
+def _unpacked(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.decompress(data, n * sum(sizes), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+#: Of a position: the word before, the one before that (0: none), the symbol, the document's place in the piece (twice, plus one if it teaches), what the common contexts say.
+_POSITION = ["<i8", "<i8", "<i8", "<u4", "<i2"]
 
-def _score_symbols(rows: DataFrame, tree: Tree) -> DataFrame:
-    """One row a document: what common words give, and its rare words, which need the whole vocabulary."""
+
+def _score_symbols(rows: DataFrame, tree: Tree, buckets: int) -> DataFrame:
+    """SCORED: one row a document, with what common contexts give and its rare words, and the positions that other contexts score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = _Rare(tree.places)
         rid = TaskContext.get().partitionId() << 36
-        base = np.log10((tree.counts + 1.0) / (tree.tokens + tree.distinct + 1.0))
+        base = np.log10((tree.counts + 1.0) / tree.whole)
         base[[START, OTHER]] = 0.0
         shared = math.log10(tree.other)
         for piece in in_pieces(batches, "text"):
@@ -313,63 +351,238 @@ def _score_symbols(rows: DataFrame, tree: Tree) -> DataFrame:
             score[is_rare] -= shared  # a rare word's own share of the class comes with its count
             score[symbols == START] = 0.0
             known = (symbols != START) & ~is_rare
-            owner = np.repeat(np.arange(n), np.diff(starts))[is_rare]
+            owner_of = np.repeat(np.arange(n), np.diff(starts))
             key = rare.keys(texts)
+            # positions after words whose contexts are not here
+            away = np.append(False, tree.cold[symbols[:-1]]) & (symbols != START)
+            exact = symbols.copy()
+            exact[is_rare] = key
+            at = np.flatnonzero(away)
+            before = np.where(symbols[at - 1] == START, 0, exact[at - 2])
+            teaches = piece.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = 2 * owner_of[at] + teaches[owner_of[at]]
+            columns = [exact[at - 1], before, exact[at], doc.astype(np.uint32), np.round(score[at] * _STEPS).clip(-32768, 32767).astype(np.int16)]
+            score[at] = 0.0
+            owner = owner_of[is_rare]
             order = np.lexsort((key, owner))
             owner, key = owner[order], key[order]
             first = np.ones(len(key), bool)
             first[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-            at = np.flatnonzero(first)
-            times = np.diff(np.append(at, len(key)))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=n))]).astype(np.int32))
+            spot = np.flatnonzero(first)
+            times = np.diff(np.append(spot, len(key)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[spot], minlength=n))]).astype(np.int32))
             total = lambda x: np.add.reduceat(x, starts[:-1]) if n else np.empty(0)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rid + np.arange(n), pa.int64()),
-                    piece.column("doc_id"),
-                    pa.array(np.diff(starts) - 1, pa.int64()),
-                    pa.array(total(known.astype(np.int64)), pa.int64()),
-                    pa.array(total(base[symbols]), pa.float64()),
-                    pa.array(total(score), pa.float64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(key[at])),
-                    pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
-                ],
-                names=["rid", "doc_id", "n_tokens", "n_common", "base_common", "model_part", "rare", "rare_n"],
+            yield _scored(
+                n,
+                kind=pa.array(np.zeros(n, np.int32)),
+                rid=pa.array(rid + np.arange(n), pa.int64()),
+                doc_id=piece.column("doc_id"),
+                n_tokens=pa.array(np.diff(starts) - 1, pa.int64()),
+                n_common=pa.array(total(known.astype(np.int64)), pa.int64()),
+                base_common=pa.array(total(base[symbols]), pa.float64()),
+                model_part=pa.array(total(score), pa.float64()),
+                rare=pa.ListArray.from_arrays(offsets, pa.array(key[spot])),
+                rare_n=pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
+            )
+            word = columns[0]
+            bucket = ((word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.lexsort((word, bucket))
+            bucket, columns = bucket[order], [c[order] for c in columns]
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
+            packed = [_packed([c[a:b] for c in columns]) for a, b in zip(edges, edges[1:], strict=False)]
+            yield _scored(
+                len(packed),
+                kind=pa.array(np.ones(len(packed), np.int32)),
+                rid=pa.array(np.full(len(packed), rid), pa.int64()),
+                bucket=pa.array(bucket[edges[:-1]], pa.int64()),
+                n=pa.array(np.diff(edges), pa.int64()),
+                positions=pa.array(packed, pa.binary()),
             )
             rid += n
 
     return rows.mapInArrow(run, SCORED)
 
 
-def score(docs: DataFrame, training: DataFrame, **limits) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``; ``training`` are the rows to learn from.
+_KINDS = {"kind": pa.int32(), "base_common": pa.float64(), "model_part": pa.float64(), "rare": pa.list_(pa.int64()), "rare_n": pa.list_(pa.int64()), "positions": pa.binary()}
+
+
+def _scored(many: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(many, _KINDS.get(c, pa.int64())) for c in _NAMES], names=_NAMES)
+
+
+# -- contexts of words that are not common ---------------------------------------------------------------------------
+
+
+class _Level(NamedTuple):
+    """Of each position's context: occurrences, different next symbols, how often the position's own symbol was seen, and which context it is."""
+
+    total: np.ndarray
+    kinds: np.ndarray
+    seen: np.ndarray
+    group: np.ndarray
+    pair_first: np.ndarray
+
+
+def _level(group_first: np.ndarray, pair_first: np.ndarray, learn: np.ndarray) -> _Level:
+    """Counts for positions that are sorted by context and symbol; the flags say where a new context, or pair, begins."""
+    group, pair = np.cumsum(group_first) - 1, np.cumsum(pair_first) - 1
+    seen = np.bincount(pair, learn, pair[-1] + 1)
+    kinds = np.bincount(group[pair_first], seen > 0, group[-1] + 1)
+    total = np.bincount(group, learn, group[-1] + 1)
+    return _Level(total[group], kinds[group], seen[pair], group, pair_first)
+
+
+def _diverging(level: _Level, q: np.ndarray, divergence: float, least: int) -> np.ndarray:
+    """By context: whether what follows it diverges from the suffix's distribution ``q``, taken at the first position of each pair."""
+    some = level.pair_first & (level.seen > 0)
+    p = level.seen[some] / level.total[some]
+    bits = np.bincount(level.group[some], p * np.log2(p / np.maximum(q[some], 1e-300)), level.group[-1] + 1)
+    n = np.zeros(level.group[-1] + 1)
+    n[level.group] = level.total
+    return (bits >= divergence) & (n >= least)
+
+
+def cold_parts(w1: np.ndarray, w2: np.ndarray, symbol: np.ndarray, learn: np.ndarray, said: np.ndarray, rare_share: float, n_symbols: int, divergence: float = DIVERGENCE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of each position: its symbol's probability is a + b for a common symbol, a + b * q for a rare word of smoothed count share q.
+
+    Positions are sorted by (w1, symbol, w2); all of each w1 are there. ``said``: the probability by the common contexts, without q for rare words.
+    ``rare_share``: a typical q, for the divergence tests only.
+    """
+    q = np.where((symbol >= 0) & (symbol < n_symbols), said, said * rare_share)
+    new = lambda x: np.append(True, x[1:] != x[:-1])
+    one = _level(new(w1), new(w1) | new(symbol), learn)
+    keep1 = _diverging(one, q, divergence, least)
+    # contexts of two words
+    order = np.lexsort((symbol, w2, w1))
+    x1, x2, xs = w1[order], w2[order], symbol[order]
+    first = new(x1) | new(x2)
+    two = _level(first, first | new(xs), learn[order])
+    share = one.kinds / np.maximum(one.total + one.kinds, 1)
+    seen = one.seen / np.maximum(one.total + one.kinds, 1)
+    keep2 = _diverging(two, (seen + share * q)[order], divergence, least)
+    ends = one.group[order][first]  # the one-word context of each two-word context
+    keep1[ends[keep2]] = True  # a context that ends a retained one stays
+    kept = keep1[one.group]
+    a, b = np.where(kept, seen, 0.0), np.where(kept, share, 1.0) * said
+    kept = keep2[two.group]
+    n = two.total + two.kinds
+    own, weight = np.where(kept, two.seen / np.maximum(n, 1), 0.0), np.where(kept, two.kinds / np.maximum(n, 1), 1.0)
+    a[order], b[order] = own + weight * a[order], weight * b[order]
+    return a, b
+
+
+PARTS = "rid long, n long, sums binary, word long, a double, b double"
+
+
+def _score_buckets(scored: DataFrame, tree: Tree, divergence: float) -> DataFrame:
+    """PARTS: per bucket and piece the sums of its documents' positions, packed; and a row for each position of a rare word that was seen in its context."""
+    n_rare = max(tree.distinct - (tree.size - LAST - 1) - 1, 0)
+    typical = tree.other / (n_rare + 1)
+    size = tree.size
+
+    def parts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        pieces = [_unpacked(data, n, _POSITION) for _, _, n, data in rows]
+        w1, w2, symbol, doc, said = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        rid = np.repeat(np.array([r[1] for r in rows], np.int64), [r[2] for r in rows])
+        place = (doc >> 1).astype(np.int64)
+        order = np.lexsort((place, rid, w2, symbol, w1))
+        w1, w2, symbol, rid, place = w1[order], w2[order], symbol[order], rid[order], place[order]
+        learn, said = (doc[order] & 1).astype(float), 10.0 ** (said[order] / _STEPS)
+        a, b = cold_parts(w1, w2, symbol, learn, said, typical, size, divergence)
+        rare = (symbol < 0) | (symbol >= size)
+        seen = rare & (a > 0)
+        log = np.log10(np.where(rare, b, a + b))
+        log[seen] = 0.0
+        by = np.lexsort((place, rid))
+        rid_, place_, log = rid[by], place[by], log[by]
+        first = np.flatnonzero(np.append(True, (rid_[1:] != rid_[:-1]) | (place_[1:] != place_[:-1])))
+        sums, rid_, place_ = np.add.reduceat(log, first).astype("<f4"), rid_[first], place_[first].astype("<u4")
+        edges = np.flatnonzero(np.diff(rid_, prepend=-1)).tolist() + [len(rid_)]
+        m = len(edges) - 1
+        packed = [_packed([place_[x:y], sums[x:y]]) for x, y in zip(edges, edges[1:], strict=False)]
+        none = lambda k, kind: pa.nulls(k, kind)
+        names = [x.split()[0] for x in PARTS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(rid_[edges[:-1]]), pa.array(np.diff(edges)), pa.array(packed, pa.binary()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64())], names=names)
+        k = int(seen.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(rid[seen] + place[seen]), none(k, pa.int64()), none(k, pa.binary()), pa.array(symbol[seen]), pa.array(a[seen]), pa.array(b[seen])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rid", "n", "positions")), strict=True):
+                if rows and row[0] != rows[-1][0]:
+                    yield from parts(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from parts(rows)
+
+    packed = scored.where("kind = 1").select("bucket", "rid", "n", "positions")
+    return packed.repartition("bucket").sortWithinPartitions("bucket", "rid").mapInArrow(run, PARTS)
+
+
+def _document_sums(parts: DataFrame) -> DataFrame:
+    """(rid, cold): the sum over all buckets of each document's positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = -1, np.zeros(0)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(sums)), pa.int64()), pa.array(sums)], names=["rid", "cold"])
+
+        for batch in batches:
+            for rid, n, data in zip(*(batch.column(c).to_pylist() for c in ("rid", "n", "sums")), strict=True):
+                place, part = _unpacked(data, n, ["<u4", "<f4"])
+                if rid != at:
+                    if at >= 0:
+                        yield done()
+                    at, sums = rid, np.zeros(0)
+                if int(place[-1]) >= len(sums):
+                    sums = np.append(sums, np.zeros(int(place[-1]) + 1 - len(sums)))
+                sums[place] += part
+        if at >= 0:
+            yield done()
+
+    # a piece of the input is some megabytes of text, so its sums are few
+    return parts.where("sums IS NOT NULL").select("rid", "n", "sums").repartition("rid").sortWithinPartitions("rid", "n").mapInArrow(run, "rid long, cold double")
+
+
+def score(docs: DataFrame, learn: Column, **limits) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``; ``learn``, over its columns, says which rows to learn from.
 
     base_score: each token by its smoothed count alone. score: log10 probability under the tree.
     """
-    rows, training = ids_and_texts(docs), ids_and_texts(training)
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    training = rows.where("learn").select("doc_id", "text")
     vocabulary = materialise(_count_words(training, limits.get("p_symbol", P_SYMBOL)), "vocabulary")
     tree = fit(training, vocabulary, **limits)
     if tree is None:
         spaces = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long") + 1
         return rows.select("doc_id", spaces.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    done = materialise(_score_symbols(rows, tree), "scored")
-    whole = float(tree.tokens + tree.distinct + 1)
+    # written once and read from there, so that the rows' numbers are the same for all who read them
+    scored = materialise(_score_symbols(rows, tree, 1 + tree.tokens // BUCKET), "scored")
+    parts = materialise(_score_buckets(scored, tree, limits.get("divergence", DIVERGENCE)), "scored-buckets")
+    done = scored.where("kind = 0")
+    words = done.select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    seen = parts.where("word IS NOT NULL").select("rid", "word", F.lit(0).cast("long").alias("times"), "a", "b")
+    q = (F.coalesce("n", F.lit(0)) + 1.0) / F.lit(float(tree.whole))
     rare = (
-        done.select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
-        .select("rid", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
+        words.union(seen)
         .join(vocabulary.select("word", "n"), "word", "left")
         .groupBy("rid")
         .agg(
-            F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(whole))).alias("rare_score"),
+            F.sum(F.col("times") * F.log10(q)).alias("rare_score"),
             F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+            F.sum(F.when(F.col("a").isNotNull(), F.log10(F.col("a") + F.col("b") * q) - F.log10(q)).otherwise(0.0)).alias("rare_seen"),
         )
     )
-    extra = F.coalesce("rare_score", F.lit(0.0))
-    return done.drop("rare", "rare_n").join(rare, "rid", "left").select(
+    extra, zero = F.coalesce("rare_score", F.lit(0.0)), F.lit(0.0)
+    return done.select("rid", "doc_id", "n_tokens", "n_common", "base_common", "model_part").join(rare, "rid", "left").join(_document_sums(parts), "rid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(tree.tokens).cast("long").alias("train_tokens"),
         (F.col("base_common") + extra).alias("base_score"),
-        (F.col("model_part") + extra).alias("score"),
+        (F.col("model_part") + extra + F.coalesce("rare_seen", zero) + F.coalesce("cold", zero)).alias("score"),
     )

@@ -65,7 +65,7 @@ FROM f
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
-    rows = lm_score.score(docs, docs.where(~held))
+    rows = lm_score.score(docs, ~held)
     return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -179,8 +179,7 @@ def test_pieces_are_those_of_the_library_and_decode(spark, docs, empty):
 
 
 def test_suffix_tree_counts_and_sums(spark, docs, empty):
-    train = docs.where("doc_id IS NOT NULL")
-    rows = {(r.doc_id): r for r in lm_score.score(docs, train).collect()}
+    rows = {(r.doc_id): r for r in lm_score.score(docs, F.col("doc_id").isNotNull()).collect()}
     low = lambda t: (t or "").encode().lower().split() + [b" "]
     c = Counter(w for i, t, _ in ROWS if i is not None for w in low(t))
     n, v = sum(c.values()), len(c)
@@ -189,11 +188,65 @@ def test_suffix_tree_counts_and_sums(spark, docs, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(c[w] > 0 for w in words), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
         assert r.score <= 0
-    assert lm_score.score(empty, empty).count() == 0
-    untaught = {r.doc_id: r for r in lm_score.score(docs, empty).collect()}
+    assert lm_score.score(empty, F.lit(True)).count() == 0
+    untaught = {r.doc_id: r for r in lm_score.score(docs, F.lit(False)).collect()}
     assert untaught[1].n_tokens == 19 and untaught[1].score == 0.0
 
 
+def _plain_scores(texts, taught, n_common, divergence):
+    """Scores with contexts of one and two words, all of them counted one by one; the rarest words are a class whose share is that of their counts."""
+    low = lambda t: [None, *(t or "").encode().lower().split(), "end"]
+    counts = Counter(w for k, t in enumerate(texts) if taught(k) for w in low(t)[1:])
+    whole = sum(counts.values()) + len(counts) + 1
+    q = lambda w: (counts[w] + 1) / whole
+    common = {w for w in counts if counts[w] >= n_common} | {"end"}
+    n_rare = len(counts) - len(common)
+    typical = (sum(n for w, n in counts.items() if w not in common) + n_rare + 1) / whole / (n_rare + 1)
+    one, two = {}, {}
+    for k, t in enumerate(texts):
+        words = low(t)
+        for i in range(1, len(words)):
+            if taught(k):
+                one.setdefault(words[i - 1], Counter())[words[i]] += 1
+                two.setdefault((words[i - 2] if i > 1 else 0, words[i - 1]), Counter())[words[i]] += 1
+    guess = lambda w: q(w) if w in common else typical
+
+    def smooth(seen, w, below):
+        return (seen[w] + len(seen) * below) / (seen.total() + len(seen))
+
+    def diverges(seen, below):
+        n = seen.total()
+        return n >= 2 and sum(x / n * math.log2(x / n / below(w)) for w, x in seen.items()) >= divergence
+
+    keep2 = {c for c, seen in two.items() if diverges(seen, lambda w, c=c: smooth(one[c[1]], w, guess(w)))}
+    keep1 = {c for c, seen in one.items() if diverges(seen, guess)} | {c[1] for c in keep2}
+    out = []
+    for t in texts:
+        words, total = low(t), 0.0
+        for i in range(1, len(words)):
+            c1, c2, p = words[i - 1], (words[i - 2] if i > 1 else 0, words[i - 1]), q(words[i])
+            p = smooth(one[c1], words[i], p) if c1 in keep1 else p
+            p = smooth(two[c2], words[i], p) if c2 in keep2 else p
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+def test_shuffled_contexts_against_a_plain_tree(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(25)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(25)], k=rng.randrange(0, 40))) for _ in range(120)]
+    odd = "quite rare words that stand here only twice in all of the texts"
+    texts += [odd, odd, odd + " but once", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    taught = lambda k: k % 5 != 1
+    got = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") % 5 != 1, p_context=2.0, p_symbol=0.01, divergence=0.5).collect()}
+    tokens = got[0].train_tokens
+    want = _plain_scores(texts, taught, max(2, 0.01 * tokens), 0.5)
+    assert all(abs(got[k].score - want[k]) <= 1e-3 * got[k].n_tokens for k in range(len(texts)))
+    assert got[120].score > got[120].base_score + 5  # what stands twice is known by its contexts
+
+
 def test_suffix_tree_is_a_distribution(spark):
     texts = ["a b a b a c", "a b a b a b", "c a b", "b b a c a"] * 30
     train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
