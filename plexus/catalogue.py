@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import lru_cache
@@ -16,6 +17,7 @@ from .plans.bundle import GraphBundle, union_all
 from .plans.sqlbind.enrich import enrich
 from .sources import document, imports
 from .streaming import usage
+from .workspace import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 Graph = Callable[[SparkSession, str], GraphBundle]
@@ -88,24 +90,24 @@ FROM m AS x JOIN e ON e.{far} = x.id JOIN m AS y ON y.id = e.{near} WHERE x.d >
 
 
 @register(_bfs_sql("region.0", "dst", "src", 9))
-def impact_region(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
-    return traverse.impact(graph(spark, sf_dir), "region.0")
+def impact_region(spark: SparkSession, sf_dir: str, graph: Graph = small, local: int | None = None) -> DataFrame:
+    return traverse.impact(graph(spark, sf_dir), "region.0", local)
 
 
 @register(
     f"SELECT * FROM ({_bfs_sql('nation.3', 'dst', 'src', 2, chr(44) + ' ' + chr(39) + 'dependents' + chr(39) + ' AS direction')}) UNION ALL SELECT * FROM ({_bfs_sql('nation.3', 'src', 'dst', 2, chr(44) + ' ' + chr(39) + 'dependencies' + chr(39) + ' AS direction')})"
 )
-def query_depth2(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
-    return traverse.query(graph(spark, sf_dir), "nation.3", 2)
+def query_depth2(spark: SparkSession, sf_dir: str, graph: Graph = small, local: int | None = None) -> DataFrame:
+    return traverse.query(graph(spark, sf_dir), "nation.3", 2, local)
 
 
 @register(f"""WITH RECURSIVE {R_EDGES},
 b(subject, id, d) AS (SELECT 'region.' || r_regionkey, 'region.' || r_regionkey, 0 FROM region UNION SELECT subject, e.src, b.d + 1 FROM b JOIN e ON e.dst = b.id WHERE b.d < 9)
 SELECT subject, id, min(d) AS distance FROM b WHERE id <> subject GROUP BY subject, id""")
-def impact_all_regions(spark: SparkSession, sf_dir: str, graph: Graph = small) -> DataFrame:
+def impact_all_regions(spark: SparkSession, sf_dir: str, graph: Graph = small, local: int | None = None) -> DataFrame:
     rows = graph(spark, sf_dir)
     seeds = rows.vertices.where("schema = 'region' AND kind = 'column'").select(F.col("id").alias("subject"), "id")
-    return traverse.impact_many(rows, seeds, "subject")
+    return traverse.impact_many(rows, seeds, "subject", local)
 
 
 def _report(spark: SparkSession, report: traverse.Report, schema: str, rows: list | None = None) -> DataFrame:
@@ -184,6 +186,12 @@ def cycles_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.cycles(rowgraph.trade_graph(spark, sf_dir))
 
 
+@register(f"""{_SCC}, g AS (SELECT component, count(*) AS size, string_agg(id, '|' ORDER BY id) AS members, bool_or(EXISTS (SELECT 1 FROM t WHERE src = id AND dst = id)) AS looped FROM c GROUP BY component)
+SELECT component AS cycle_id, members, size, size = 1 AND looped AS self_loop FROM g WHERE size > 1 OR looped""")
+def cycles_trade_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.cycles(rowgraph.trade_graph(spark, sf_dir), limit=0)
+
+
 def _views(spark: SparkSession, sf_dir: str) -> GraphBundle:
     """The row graph of all tables, with customers and nations as views; of the orders only urgent ones refer to their customer."""
     g = full(spark, sf_dir)
@@ -314,6 +322,16 @@ for _query in _OVER_ROWS:
     _on_all_tables(_query)
 
 
+def _distributed(f: Callable[..., DataFrame]) -> None:
+    """The same over all tables with every step on the executors, whatever the size."""
+    QUERIES[f"{f.__name__}_distributed"] = lambda spark, sf_dir: f(spark, sf_dir, full, 0)
+    ORACLE_SQL[f"{f.__name__}_distributed"] = ORACLE_SQL[f.__name__]
+
+
+for _query in (impact_region, query_depth2, impact_all_regions):
+    _distributed(_query)
+
+
 # -- lint ------------------------------------------------------------------------------------------------------------
 
 _META = star_catalog.sql_tables()
@@ -512,6 +530,53 @@ def repeated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in document.duplicate_notes(twice)], "note string")
 
 
+@register(f"""WITH {_ROWS}, m AS (SELECT sch, replace(p_brand, '#', '_') AS brand, 'p' || p_partkey AS name FROM part, (SELECT sch FROM pl WHERE nk = 0))
+SELECT DISTINCT sch AS src, sch || '.' || brand AS dst, 'contains' AS kind FROM m UNION ALL SELECT sch || '.' || brand, sch || '.' || brand || '.' || name, 'contains' FROM m""")
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages (brands) and their members (parts): what contains what."""
+    return builder.build(row_catalog.package_document(spark, sf_dir)).edges.where("kind = 'contains'")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(schema, sql): one statement a nation, run once for each of its customers."""
+    places = row_catalog.places(spark, sf_dir)
+    customers = rowgraph.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nk"))
+    return places.join(customers, "nk").select("schema", F.format_string('SELECT count(*) FROM "%s"."%s"', "schema", "object").alias("sql"))
+
+
+_LOGGED = "q AS (SELECT DISTINCT sch, obj, 'SELECT count(*) FROM \"' || sch || '\".\"' || obj || '\"' AS sql FROM pl JOIN customer ON c_nationkey = nk)"
+
+
+@register(f"WITH {_ROWS}, {_LOGGED} SELECT sch || '.query_' || sha256(sql) AS src, sch || '.' || obj AS dst, 'reads' AS kind FROM q")
+def query_log_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the statements of a query log read."""
+    path = f"{shared_folder(spark)}/query-log-{uuid.uuid4().hex}"
+    head = spark.createDataFrame([('{"type": "query-log", "window": {"start": "2024-01-01T00:00:00Z", "end": "2024-02-01T00:00:00Z"}}',)], "value string")
+    _log(spark, sf_dir).select(F.to_json(F.struct(F.lit("2024-01-02T03:04:05Z").alias("at"), "schema", "sql")).alias("value")).union(head).write.text(path)
+    doc = imports.query_log(spark, row_catalog.row_document(spark, sf_dir), path)
+    return enrich(doc, builder.build(doc)).edges.where("src LIKE '%.query\\_%' AND kind <> 'contains'")
+
+
+@register(f"WITH {_ROWS}, {_LOGGED} SELECT sch || '.query_' || lower(hex('model.' || obj)) AS src, sch || '.' || obj AS dst, 'reads' AS kind FROM q")
+def dbt_model_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the models of a dbt manifest read."""
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    model = F.struct(F.lit("model").alias("resource_type"), "schema", F.col("object").alias("name"), F.col("sql").alias("compiled_code"))
+    rows = _log(spark, sf_dir).distinct().withColumn("object", F.regexp_extract("sql", '"([^"]*)"$', 1))
+    nodes = rows.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("model."), "object"), model))).alias("nodes"))  # a manifest is one JSON value
+    nodes.select(F.to_json(F.struct("nodes")).alias("value")).write.text(path)
+    doc = imports.dbt_manifest(spark, row_catalog.row_document(spark, sf_dir), path)
+    return enrich(doc, builder.build(doc)).edges.where("src LIKE '%.query\\_%' AND kind <> 'contains'")
+
+
+@register(f"""WITH a AS ({" UNION ALL ".join(f"SELECT rule, status, advisory FROM ({ORACLE_SQL[k]})" for k in ("lint_fk_prefix", "lint_fk_types", "lint_missing_pk", "lint_duplicate_index"))})
+SELECT count(*) AS findings, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'unverified') AS unverified, count(*) FILTER (advisory) AS advisory, count(*) FILTER (status = 'confirmed' AND NOT advisory) AS blocking,
+  NOT bool_or(status = 'unverified' AND rule = 'fk-index-prefix') AND {str(bool(star_catalog.document().get("context", {}).get("catalog_complete"))).lower()} AS complete FROM a""")
+def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver over all rules that need no bodies."""
+    return lint.lint_summary(star(spark))
+
+
 @register(f"""WITH RECURSIVE fks AS (SELECT * FROM {_META["fks"]}), e AS (SELECT DISTINCT table_id AS src, target_id AS dst FROM fks),
 c(change_id, id) AS (VALUES ('object-removed#main.part', 'main.part'), ('column-type-changed#main.nation.n_name', 'main.nation'), ('column-removed#main.customer.region_id', 'main.customer'), ('required-column-added#main.orders.o_status', 'main.orders'),
   ('column-nullability-changed#main.supplier.s_name', 'main.supplier'), ('unique-index-added#main.region.region_name', 'main.region')),

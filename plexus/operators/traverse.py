@@ -145,14 +145,14 @@ def _local_distances(arcs: pa.Table, seeds: pa.Table, depth: int, shape: DataFra
     return spark.createDataFrame(pa.concat_tables(parts), schema) if parts else spark.createDataFrame([], schema)
 
 
-def reach(bundle: GraphBundle, root: str, incoming: bool, depth: int = UNLIMITED) -> DataFrame:
+def reach(bundle: GraphBundle, root: str, incoming: bool, depth: int = UNLIMITED, local: int | None = None) -> DataFrame:
     """(id, kind, distance, edges, via): neighbours of ``root``.
 
     ``edges``: kinds of all arcs seen from any expanded vertex; ``via``: the least parent one step nearer.
     """
     arcs = oriented(bundle.arcs(), incoming)
     seeds = bundle.vertices.where(F.col("id") == root).select("id")
-    near = distances(arcs, seeds, depth)
+    near = distances(arcs, seeds, depth, local=local)
     expanded = near.where(F.col("distance") < min(depth, UNLIMITED)).select(F.col("id").alias("a"), F.col("distance").alias("da"))
     told = (
         arcs.join(expanded, "a")
@@ -164,14 +164,14 @@ def reach(bundle: GraphBundle, root: str, incoming: bool, depth: int = UNLIMITED
     return told.join(bundle.vertices.select("id", "kind"), "id").select("id", "kind", "distance", "edges", "via")
 
 
-def impact(bundle: GraphBundle, subject: str) -> DataFrame:
-    """Everything that depends on the subject, however far."""
-    return reach(bundle, subject, True)
+def impact(bundle: GraphBundle, subject: str, local: int | None = None) -> DataFrame:
+    """Everything that depends on the subject, however far. ``local`` as in ``distances``."""
+    return reach(bundle, subject, True, local=local)
 
 
-def query(bundle: GraphBundle, subject: str, depth: int = 1) -> DataFrame:
+def query(bundle: GraphBundle, subject: str, depth: int = 1, local: int | None = None) -> DataFrame:
     """Both neighbourhoods, with a ``direction`` column; the subject's edges to itself are rows of direction ``self``."""
-    sides = [reach(bundle, subject, inward, depth).withColumn("direction", F.lit(d)) for d, inward in (("dependents", True), ("dependencies", False))]
+    sides = [reach(bundle, subject, inward, depth, local).withColumn("direction", F.lit(d)) for d, inward in (("dependents", True), ("dependencies", False))]
     own = bundle.arcs().where((F.col("src") == subject) & (F.col("dst") == subject)).groupBy(F.col("src").alias("id")).agg(joined_kinds(F.collect_set("kind")).alias("edges"))
     own = own.join(bundle.vertices.select("id", "kind"), "id").select("id", "kind", F.lit(0).alias("distance"), "edges", F.lit(None).cast("string").alias("via"), F.lit("self").alias("direction"))
     return sides[0].unionByName(sides[1]).unionByName(own)
@@ -183,10 +183,10 @@ def closure(bundle: GraphBundle, seeds: DataFrame, incoming: bool = False) -> Da
     return distances(oriented(bundle.arcs(), incoming), known)
 
 
-def impact_many(bundle: GraphBundle, seeds: DataFrame, key: str) -> DataFrame:
+def impact_many(bundle: GraphBundle, seeds: DataFrame, key: str, local: int | None = None) -> DataFrame:
     """(key, id, distance) for many subjects in one search; ``seeds`` has (key, id)."""
     known = seeds.join(bundle.vertices.select("id"), "id", "left_semi")
-    return distances(oriented(bundle.arcs(), True), known, keys=(key,)).where("distance > 0")
+    return distances(oriented(bundle.arcs(), True), known, keys=(key,), local=local).where("distance > 0")
 
 
 # -- budgeted --------------------------------------------------------------------------------------------------------

@@ -14,27 +14,27 @@ from ..sources.document import REF, Document
 from .rowgraph import table
 
 
-def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nk"), F.col("r_name").alias("schema"), F.col("n_name").alias("object"))
 
 
 def row_document(spark: SparkSession, sf_dir: str, later: bool = False, database: str = "rows") -> Document:
     """The document of the rows; ``later``: after some have come, gone and changed."""
-    places = _places(spark, sf_dir)
+    nations = places(spark, sf_dir)
     none = lambda t="string": F.lit(None).cast(t)
-    customer = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("nk"))
+    customer = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("nk"))
     columns = customer.where("c_acctbal >= 0" if later else "c_acctbal <= 9000").select(
         "schema", "object", F.format_string("c%d", "c_custkey").alias("name"),
         (F.when(F.col("c_mktsegment") == "BUILDING", "text").otherwise(F.lower("c_mktsegment")) if later else F.lower("c_mktsegment")).alias("data_type"),
         (F.col("c_acctbal") > (2000 if later else 1000)).alias("nullable"), none().alias("default"), F.col("c_custkey").cast("int").alias("ordinal"), F.lit(0).alias("pk_position"),
     )
-    supplier = table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("nk"))
+    supplier = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("nk"))
     keys = supplier.where("s_acctbal >= 0" if later else "s_acctbal <= 9000").select(
         "schema", "object", F.when(F.col("s_acctbal") > 3000, F.format_string("f%d", "s_suppkey")).alias("name"), F.lit("foreign-key").alias("kind"),
         F.array(F.format_string("k%d", "s_suppkey")).alias("columns"), F.col("schema").alias("ref_schema"), F.lit("ALGERIA").alias("ref_table"), F.array(F.lit("id")).alias("ref_columns"),
     )
-    home = places.where("nk = 0").select("schema")
+    home = nations.where("nk = 0").select("schema")
     routines = table(spark, sf_dir, "part").crossJoin(F.broadcast(home)).where("p_size >= 3" if later else "p_size <= 48").select(  # one row
         "schema", F.format_string("p%d", "p_partkey").alias("name"), F.lit("function").alias("kind"), F.lit("sql").alias("language"),
         F.when(F.col("p_size") >= 10, F.lit("select 2")).otherwise("select 1").alias("body") if later else F.lit("select 1").alias("body"),
@@ -44,15 +44,27 @@ def row_document(spark: SparkSession, sf_dir: str, later: bool = False, database
         table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"), F.when(F.col("o_orderpriority") == "1-URGENT", "archive").alias("database")).distinct()
     )
-    a, b = places.select(F.col("nk").alias("a"), F.col("schema").alias("sa"), F.col("object").alias("oa")), places.select(F.col("nk").alias("b"), F.col("schema").alias("sb"), F.col("object").alias("ob"))
+    a, b = nations.select(F.col("nk").alias("a"), F.col("schema").alias("sa"), F.col("object").alias("oa")), nations.select(F.col("nk").alias("b"), F.col("schema").alias("sb"), F.col("object").alias("ob"))
     end = lambda s, o, db: F.struct(F.col(s).alias("schema"), F.col(o).alias("name"), none().alias("kind"), none().alias("member"), none().alias("signature"), db.alias("database")).cast(REF)
     dependencies = pairs.where("a <> b").join(a, "a").join(b, "b").select(
         F.concat_ws(".", "sa", "oa").alias("source"), F.concat_ws(".", "database", "sb", "ob").alias("target"), F.lit("trade").alias("catalog"), F.lit("sells").alias("dependency_type"), end("sa", "oa", none()).alias("src"), end("sb", "ob", F.col("database")).alias("dst")
     )
     tables = {
-        "schemas": places.select("schema").distinct(),
-        "objects": places.select("schema", F.col("object").alias("name"), F.lit("table").alias("kind"), none().alias("body"), F.lit(0).alias("n_columns")),
+        "schemas": nations.select("schema").distinct(),
+        "objects": nations.select("schema", F.col("object").alias("name"), F.lit("table").alias("kind"), none().alias("body"), F.lit(0).alias("n_columns")),
         "columns": columns, "constraints": keys, "routines": routines, "dependencies": dependencies,
     }
     header = {"version": 2, "dialect": "postgres", "producer": "rows", "source_id": "later" if later else "earlier", "database": database, "catalog_complete": True}
     return Document(spark, tables, header)
+
+
+def package_document(spark: SparkSession, sf_dir: str) -> Document:
+    """Brands as packages of nation 0's schema, with parts as their members."""
+    none = lambda t="string": F.lit(None).cast(t)
+    home = places(spark, sf_dir).where("nk = 0").select("schema")
+    parts = table(spark, sf_dir, "part").crossJoin(F.broadcast(home)).withColumn("brand", F.regexp_replace("p_brand", "#", "_"))  # one row
+    shape = lambda name, kind, owner: (F.col("schema"), name.alias("name"), F.lit(kind).alias("kind"), F.lit("plsql").alias("language"), none().alias("body"), none().alias("signature"), owner.alias("member_of"), none().alias("source"))
+    brands = parts.select("schema", "brand").distinct().select(*shape(F.col("brand"), "package", none()))
+    members = parts.select(*shape(F.format_string("p%d", "p_partkey"), "procedure", F.col("brand")))
+    header = {"version": 2, "dialect": "oracle", "producer": "rows", "source_id": "packages", "database": "rows", "catalog_complete": True}
+    return Document(spark, {"schemas": home, "routines": brands.unionByName(members)}, header)
