@@ -41,7 +41,7 @@ LENGTH, GRAM = 400, 160
 #: Which documents a join is for is told to its map side in bits by hash, eight a document, up to this many (8 MB); beyond, the join takes all texts.
 MOST_SLOTS = 1 << 26
 #: Distinct runs of one bucket that a task refines together; of a bucket with more, so many windows' offsets make a bucket of its own.
-HOT, FINE = 512, 16
+HOT, FINE = 2048, 16
 _PIECE = 1 << 19
 #: Suffixes whose buckets are refined with one call of the array functions.
 _STRETCH = 1 << 16
@@ -169,14 +169,14 @@ def suffix_order(left: np.ndarray, eight: np.ndarray, enough: int, stretch: int
     """
     n = len(left)
     short = left < 8
-    order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
+    order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)]).astype(np.int32)
     order = order[np.argsort(eight[order], kind="stable")]
     last = np.append(eight[order[1:]] != eight[order[:-1]], True) | short[order]
-    pointer = np.empty(n + 1, np.int64)  # place n stands for the end of the last string
+    pointer = np.empty(n + 1, np.int32)  # place n stands for the end of the last string
     pointer[order] = _spread(last)
     pointer[n] = n
-    depth = np.full(n + 1, 8)
-    order = order[_together(pointer[order])]
+    depth = np.full(n + 1, 8, np.int32)
+    order = order[_together(pointer[order])].astype(np.int32)
     at = 0
     while at < len(order):
         stop = min(at + stretch, len(order))
@@ -188,7 +188,7 @@ def suffix_order(left: np.ndarray, eight: np.ndarray, enough: int, stretch: int
             d = depth[active]
             target = active + d
             over = d >= left[active]  # the string ends here; no other suffix goes on like it
-            mine, next_ = pointer[active], np.where(over, 2 * n + 1 + active, pointer[target])
+            mine, next_ = pointer[active].astype(np.int64), np.where(over, n + 1 + active, pointer[target]).astype(np.int64)
             deeper = d + np.where(over, 0, depth[target])
             by = np.argsort((mine << 32) | next_)
             active, mine, next_, deeper = active[by], mine[by], next_[by], deeper[by]
@@ -205,13 +205,13 @@ def repeated_windows(spans: list[bytes], length: int = LENGTH, times: list[int]
     sizes = np.array([len(s) for s in spans])
     ends = np.cumsum(sizes)
     n = int(ends[-1])
-    left = np.repeat(ends, sizes) - np.arange(n)
+    left = np.repeat(ends, sizes).astype(np.int32) - np.arange(n, dtype=np.int32)
     padded = np.frombuffer(b"".join(spans) + bytes(8), np.uint8)
     eight = np.zeros(n, np.uint64)
     for k in range(8):
         eight = (eight << np.uint64(8)) | np.where(left > k, padded[k : k + n], np.uint8(0))
     pointer = suffix_order(left, eight, length)
-    windows = np.flatnonzero(left >= length)
+    windows = np.flatnonzero(left >= length).astype(np.int32)
     order = windows[np.argsort(pointer[windows], kind="stable")]
     equal = np.arange(1, len(order))  # places whose window equals the one before
     for k in [*range(0, length - 8, 8), length - 8]:
@@ -414,10 +414,9 @@ def _refined_hot(held: DataFrame, length: int, gram: int, hot: int) -> DataFrame
     core, content = ["core1", "core2"], ["core1", "core2", "same1", "same2"]
     all_ = materialise(held.mapInArrow(cut, ", ".join(f"{c} {'binary' if c in ('left', 'right') else 'long'}" for c in _CELL)), "cells")
     distinct = materialise(all_.groupBy(*content).agg(F.sum("n").alias("n"), F.first("first").alias("first"), F.first("left").alias("left"), F.first("right").alias("right")), "cell-contents")
-    # equal contents of a bucket are repeated windows already; a single one has nothing to be compared with
-    sizes = materialise(distinct.groupBy(*core).agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("all")).where(F.col("all") > 1).select(*core, "contents"), "cell-sizes")
-    sized = distinct.join(sizes, core)
-    few = sized.where(F.col("contents") <= hot).drop("contents").repartition(*core).sortWithinPartitions(*core)
+    # buckets of too many contents for one task, few if any
+    too_many = materialise(distinct.groupBy(*core).agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") > hot).select(*core), "hot-cells")
+    few = distinct.join(too_many, core, "left_anti").repartition(*core).sortWithinPartitions(*core)
     names = (*content, "n", "first", "left", "right")
     hit = ", ".join(f"{c} long" for c in (*content, "a", "b"))  # windows a .. b of the content are repeated
 
@@ -453,7 +452,7 @@ def _refined_hot(held: DataFrame, length: int, gram: int, hot: int) -> DataFrame
 
     single = (*content, "a", "w1", "w2", "n")
     window = [*core, "w1", "w2"]
-    many = materialise(sized.where(F.col("contents") > hot).select(*names).mapInArrow(windows, ", ".join(f"{c} long" for c in single)), "cell-windows")
+    many = materialise(distinct.join(too_many, core, "left_semi").select(*names).mapInArrow(windows, ", ".join(f"{c} long" for c in single)), "cell-windows")
     twice = materialise(many.groupBy(*window).agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(*window), "cell-repeats")
     hits = materialise(few.select(*names).mapInArrow(refine, hit).union(many.join(twice, window, "left_semi").select(*content, "a", F.col("a").alias("b"))), "cell-hits")
     spans = all_.where("n = 1").select(*content, "key", "doc_id", "start").join(hits, content)
