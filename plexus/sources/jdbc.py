@@ -6,11 +6,14 @@ The SQL below reads catalogs only. Usage counters that the server does not keep
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import ship
+from . import oracle_packages
 from .document import Document
 
 Reader = Callable[[str], DataFrame]
@@ -24,6 +27,10 @@ _INFO = {
 
 POSTGRES = {
     **_INFO,
+    # information_schema knows neither materialized views nor sequences
+    "objects": "SELECT n.nspname AS schema_name, c.relname AS name, CASE c.relkind WHEN 'v' THEN 'view' WHEN 'm' THEN 'materialized-view' WHEN 'S' THEN 'sequence' ELSE 'table' END AS kind FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE c.relkind IN ('r', 'p', 'f', 'v', 'm', 'S') AND n.nspname {filter}",
+    "columns": "SELECT n.nspname AS schema_name, c.relname AS object, a.attname AS name, format_type(a.atttypid, a.atttypmod) AS data_type, CASE WHEN a.attnotnull THEN 'NO' ELSE 'YES' END AS is_nullable, pg_get_expr(d.adbin, d.adrelid) AS dflt, a.attnum AS ordinal FROM pg_attribute a JOIN pg_class c ON c.oid = a.attrelid JOIN pg_namespace n ON n.oid = c.relnamespace LEFT JOIN pg_attrdef d ON d.adrelid = a.attrelid AND d.adnum = a.attnum WHERE a.attnum > 0 AND NOT a.attisdropped AND c.relkind IN ('r', 'p', 'f', 'v', 'm') AND n.nspname {filter}",
+    "bodies": "SELECT n.nspname AS schema_name, c.relname AS name, pg_get_viewdef(c.oid) AS body FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE c.relkind IN ('v', 'm') AND n.nspname {filter}",
     "constraints": "SELECT n.nspname AS schema_name, t.relname AS object, c.conname AS name, a.attname AS own, k.ord AS pos, rn.nspname AS ref_schema, r.relname AS ref_table, ra.attname AS far FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid JOIN pg_namespace n ON n.oid = t.relnamespace JOIN pg_class r ON r.oid = c.confrelid JOIN pg_namespace rn ON rn.oid = r.relnamespace CROSS JOIN LATERAL unnest(c.conkey, c.confkey) WITH ORDINALITY AS k(a, b, ord) JOIN pg_attribute a ON a.attrelid = c.conrelid AND a.attnum = k.a JOIN pg_attribute ra ON ra.attrelid = c.confrelid AND ra.attnum = k.b WHERE c.contype = 'f' AND n.nspname {filter}",
     "indexes": "SELECT n.nspname AS schema_name, t.relname AS object, i.relname AS name, x.indisunique AS uniq, pg_get_expr(x.indpred, x.indrelid) AS predicate, k.ord AS pos, a.attname AS own FROM pg_index x JOIN pg_class i ON i.oid = x.indexrelid JOIN pg_class t ON t.oid = x.indrelid JOIN pg_namespace n ON n.oid = t.relnamespace CROSS JOIN LATERAL unnest(x.indkey::int[]) WITH ORDINALITY AS k(a, ord) LEFT JOIN pg_attribute a ON a.attrelid = x.indrelid AND a.attnum = k.a AND k.a > 0 WHERE k.ord <= x.indnkeyatts AND n.nspname {filter}",
     "triggers": "SELECT n.nspname AS schema_name, t.relname AS object, g.tgname AS name, pg_get_triggerdef(g.oid) AS body FROM pg_trigger g JOIN pg_class t ON t.oid = g.tgrelid JOIN pg_namespace n ON n.oid = t.relnamespace WHERE NOT g.tgisinternal AND n.nspname {filter}",
@@ -42,11 +49,26 @@ MYSQL = {
 }
 SQLSERVER = {
     **_INFO,
+    "objects": "SELECT s.name AS schema_name, o.name, CASE o.type WHEN 'V' THEN 'view' WHEN 'SO' THEN 'sequence' WHEN 'SN' THEN 'synonym' ELSE 'table' END AS kind FROM sys.objects o JOIN sys.schemas s ON s.schema_id = o.schema_id WHERE o.type IN ('U', 'V', 'SO', 'SN') AND o.is_ms_shipped = 0 AND s.name {filter}",
+    "bodies": "SELECT s.name AS schema_name, o.name, m.definition AS body FROM sys.sql_modules m JOIN sys.objects o ON o.object_id = m.object_id JOIN sys.schemas s ON s.schema_id = o.schema_id WHERE o.type = 'V' AND s.name {filter}",
+    "constraints": "SELECT s.name AS schema_name, t.name AS object, f.name, pc.name AS own, k.constraint_column_id AS pos, rs.name AS ref_schema, rt.name AS ref_table, rc.name AS far FROM sys.foreign_keys f JOIN sys.foreign_key_columns k ON k.constraint_object_id = f.object_id JOIN sys.tables t ON t.object_id = f.parent_object_id JOIN sys.schemas s ON s.schema_id = t.schema_id JOIN sys.tables rt ON rt.object_id = f.referenced_object_id JOIN sys.schemas rs ON rs.schema_id = rt.schema_id JOIN sys.columns pc ON pc.object_id = k.parent_object_id AND pc.column_id = k.parent_column_id JOIN sys.columns rc ON rc.object_id = k.referenced_object_id AND rc.column_id = k.referenced_column_id WHERE s.name {filter}",
+    "indexes": "SELECT s.name AS schema_name, t.name AS object, i.name, i.is_unique AS uniq, i.filter_definition AS predicate, k.key_ordinal AS pos, c.name AS own FROM sys.indexes i JOIN sys.index_columns k ON k.object_id = i.object_id AND k.index_id = i.index_id AND k.is_included_column = 0 JOIN sys.objects t ON t.object_id = i.object_id AND t.type IN ('U', 'V') JOIN sys.schemas s ON s.schema_id = t.schema_id JOIN sys.columns c ON c.object_id = k.object_id AND c.column_id = k.column_id WHERE i.name IS NOT NULL AND i.is_hypothetical = 0 AND s.name {filter}",
+    "triggers": "SELECT s.name AS schema_name, t.name AS object, g.name, m.definition AS body FROM sys.triggers g JOIN sys.objects t ON t.object_id = g.parent_id JOIN sys.schemas s ON s.schema_id = t.schema_id LEFT JOIN sys.sql_modules m ON m.object_id = g.object_id WHERE g.is_ms_shipped = 0 AND s.name {filter}",
+    "routines": "SELECT s.name AS schema_name, o.name, CASE o.type WHEN 'P' THEN 'procedure' ELSE 'function' END AS kind, 'tsql' AS language, m.definition AS body, NULL AS signature FROM sys.objects o JOIN sys.schemas s ON s.schema_id = o.schema_id LEFT JOIN sys.sql_modules m ON m.object_id = o.object_id WHERE o.type IN ('P', 'FN', 'IF', 'TF') AND o.is_ms_shipped = 0 AND s.name {filter}",
+    "usage": "SELECT s.name AS schema_name, t.name AS object, i.name AS member, u.user_seeks + u.user_scans + u.user_lookups AS reads, u.user_updates AS writes, u.user_scans AS scans FROM sys.dm_db_index_usage_stats u JOIN sys.objects t ON t.object_id = u.object_id JOIN sys.schemas s ON s.schema_id = t.schema_id JOIN sys.indexes i ON i.object_id = u.object_id AND i.index_id = u.index_id WHERE u.database_id = DB_ID() AND i.name IS NOT NULL AND s.name {filter}",
     "dependencies": "SELECT s.name AS s_schema, o.name AS s_name, d.referenced_schema_name AS t_schema, d.referenced_entity_name AS t_name, d.referenced_database_name AS t_database, 'sys.sql_expression_dependencies' AS catalog, 'reference' AS dependency_type FROM sys.sql_expression_dependencies d JOIN sys.objects o ON o.object_id = d.referencing_id JOIN sys.schemas s ON s.schema_id = o.schema_id WHERE s.name {filter}",
 }
 ORACLE = {
-    "objects": "SELECT owner AS schema_name, object_name AS name, lower(object_type) AS kind FROM all_objects WHERE object_type IN ('TABLE', 'VIEW') AND owner {filter}",
-    "columns": "SELECT owner AS schema_name, table_name AS object, column_name AS name, data_type, nullable AS is_nullable, NULL AS dflt, column_id AS ordinal FROM all_tab_columns WHERE owner {filter}",
+    # a materialized view is listed as a table too, under the same name
+    "objects": "SELECT o.owner AS schema_name, o.object_name AS name, replace(lower(o.object_type), ' ', '-') AS kind FROM all_objects o WHERE o.object_type IN ('TABLE', 'VIEW', 'MATERIALIZED VIEW', 'SEQUENCE', 'SYNONYM') AND NOT (o.object_type = 'TABLE' AND EXISTS (SELECT 1 FROM all_mviews m WHERE m.owner = o.owner AND m.mview_name = o.object_name)) AND o.owner {filter}",
+    "columns": "SELECT owner AS schema_name, table_name AS object, column_name AS name, data_type, nullable AS is_nullable, data_default AS dflt, column_id AS ordinal FROM all_tab_columns WHERE owner {filter}",
+    "keys": "SELECT k.owner AS schema_name, k.table_name AS object, k.column_name AS name, k.position AS pk_position FROM all_constraints c JOIN all_cons_columns k ON k.owner = c.owner AND k.constraint_name = c.constraint_name WHERE c.constraint_type = 'P' AND c.owner {filter}",
+    "bodies": "SELECT owner AS schema_name, view_name AS name, text AS body FROM all_views WHERE owner {filter}",
+    "mview_bodies": "SELECT owner AS schema_name, mview_name AS name, query AS body FROM all_mviews WHERE owner {filter}",
+    "constraints": "SELECT c.owner AS schema_name, c.table_name AS object, c.constraint_name AS name, k.column_name AS own, k.position AS pos, r.owner AS ref_schema, r.table_name AS ref_table, rk.column_name AS far FROM all_constraints c JOIN all_cons_columns k ON k.owner = c.owner AND k.constraint_name = c.constraint_name JOIN all_constraints r ON r.owner = c.r_owner AND r.constraint_name = c.r_constraint_name JOIN all_cons_columns rk ON rk.owner = r.owner AND rk.constraint_name = r.constraint_name AND rk.position = k.position WHERE c.constraint_type = 'R' AND c.owner {filter}",
+    "indexes": "SELECT i.table_owner AS schema_name, i.table_name AS object, i.index_name AS name, CASE i.uniqueness WHEN 'UNIQUE' THEN 1 ELSE 0 END AS uniq, NULL AS predicate, k.column_position AS pos, CASE WHEN i.index_type LIKE 'FUNCTION-BASED%' THEN NULL ELSE k.column_name END AS own FROM all_indexes i JOIN all_ind_columns k ON k.index_owner = i.owner AND k.index_name = i.index_name WHERE i.table_owner {filter}",
+    "triggers": "SELECT table_owner AS schema_name, table_name AS object, trigger_name AS name, trigger_body AS body FROM all_triggers WHERE base_object_type IN ('TABLE', 'VIEW') AND table_owner {filter}",
+    "source_lines": "SELECT owner AS schema_name, name, type, line, text FROM all_source WHERE type IN ('PROCEDURE', 'FUNCTION', 'PACKAGE BODY') AND owner {filter}",
     "dependencies": "SELECT owner AS s_schema, name AS s_name, referenced_owner AS t_schema, referenced_name AS t_name, referenced_link_name AS t_database, 'ALL_DEPENDENCIES' AS catalog, dependency_type FROM all_dependencies WHERE owner {filter}",
 }
 SERVERS = {"postgres": POSTGRES, "mysql": MYSQL, "sqlserver": SQLSERVER, "oracle": ORACLE}
@@ -92,8 +114,27 @@ def read(spark: SparkSession, dialect: str, reader: Reader, schemas: list[str],
             return None
         return reader(queries[part].format(filter=where))
 
+    def oracle_routines() -> DataFrame:
+        """Lines of source put together; a package's body is cut into its members, and those that are not clear are noted."""
+        lines = rows("source_lines").withColumn("line", F.col("line").cast("long"))
+        whole = lines.groupBy("schema_name", "name", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "").alias("body"))  # lines of one unit
+        none = F.lit(None).cast("string")
+        kind = F.when(F.col("type") == "PACKAGE BODY", "package").otherwise(F.lower("type"))
+        units = whole.select("schema_name", "name", kind.alias("kind"), F.lit("plsql").alias("language"), F.when(F.col("type") != "PACKAGE BODY", F.concat(F.lit("CREATE "), "body")).alias("body"), none.alias("signature"), none.alias("member_of"))
+
+        def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                found = [(r.schema_name, m.name, m.kind, "plsql", f"CREATE {m.body}", m.signature, r.name) for r in frame.itertuples() for m in oracle_packages.members(r.body)[0]]
+                yield pd.DataFrame(found, columns=["schema_name", "name", "kind", "language", "body", "signature", "member_of"], dtype=object)
+
+        ship(spark)
+        inner = whole.where("type = 'PACKAGE BODY'").select("schema_name", "name", "body").mapInPandas(cut, "schema_name string, name string, kind string, language string, body string, signature string, member_of string")
+        return units.unionByName(inner)
+
     tables: dict[str, DataFrame] = {"schemas": spark.createDataFrame([(s,) for s in schemas], "schema string")}
     objects, columns, keys, bodies = rows("objects"), rows("columns"), rows("keys"), rows("bodies")
+    if "mview_bodies" in queries:
+        bodies = bodies.unionByName(rows("mview_bodies"))
     n = columns.groupBy("schema_name", F.col("object").alias("name")).agg(F.count(F.lit(1)).cast("int").alias("n_columns"))
     with_body = objects.join(bodies, ["schema_name", "name"], "left") if bodies is not None else objects.withColumn("body", F.lit(None).cast("string"))
     tables["objects"] = with_body.join(n, ["schema_name", "name"], "left").select(F.col("schema_name").alias("schema"), "name", "kind", "body", F.coalesce("n_columns", F.lit(0)).alias("n_columns"))
@@ -109,9 +150,10 @@ def read(spark: SparkSession, dialect: str, reader: Reader, schemas: list[str],
         tables["indexes"] = g.select(F.col("schema_name").alias("schema"), "object", "name", F.col("uniq").alias("unique"), F.filter(own, lambda x: x.isNotNull()).alias("columns"), F.forall(own, lambda x: x.isNotNull()).alias("definition_complete"), "predicate", F.col("predicate").isNotNull().alias("has_predicate"))
     if (t := rows("triggers")) is not None:
         tables["triggers"] = t.select(F.col("schema_name").alias("schema"), "object", "name", "body")
-    if (r := rows("routines")) is not None:
+    if (r := oracle_routines() if "source_lines" in queries else rows("routines")) is not None:
         none = F.lit(None).cast("string")
-        tables["routines"] = r.select(F.col("schema_name").alias("schema"), "name", "kind", "language", "body", F.col("signature").cast("string").alias("signature"), none.alias("member_of"), none.alias("source"))
+        member = F.col("member_of") if "member_of" in r.columns else none
+        tables["routines"] = r.select(F.col("schema_name").alias("schema"), "name", "kind", "language", "body", F.col("signature").cast("string").alias("signature"), member.alias("member_of"), none.alias("source"))
     if usage:
         off = "tracked" in queries and reader(queries["tracked"]).first()["value"] != "on"
         u = None if off else rows("usage")

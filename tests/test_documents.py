@@ -11,6 +11,7 @@ import pytest
 from plexus.operators import change, lint, merge
 from plexus.plans import star_catalog
 from plexus.plans.build import build, inferred_keys
+from plexus.plans.sqlbind.enrich import enrich
 from plexus.sinks import graphjson, render
 from plexus.sources import document, imports, jdbc, oracle_packages, sqlite
 
@@ -198,10 +199,10 @@ def test_sqlite_files(spark, tmp_path):
 
 def test_server_catalogs_by_query(spark):
     answers = {
-        "information_schema.tables": ([("public", "t", "table"), ("public", "v", "view")], "schema_name string, name string, kind string"),
-        "information_schema.columns": ([("public", "t", "id", "int", "NO", None, 1), ("public", "v", "id", "int", "YES", None, 1)], "schema_name string, object string, name string, data_type string, is_nullable string, dflt string, ordinal long"),
+        "'S') AND n.nspname": ([("public", "t", "table"), ("public", "v", "view"), ("public", "m", "materialized-view"), ("public", "s", "sequence")], "schema_name string, name string, kind string"),
+        "pg_attrdef": ([("public", "t", "id", "int", "NO", None, 1), ("public", "v", "id", "int", "YES", None, 1)], "schema_name string, object string, name string, data_type string, is_nullable string, dflt string, ordinal long"),
         "table_constraints": ([("public", "t", "id", 1)], "schema_name string, object string, name string, pk_position long"),
-        "information_schema.views": ([("public", "v", "SELECT id FROM t")], "schema_name string, name string, body string"),
+        "pg_get_viewdef": ([("public", "v", "SELECT id FROM t"), ("public", "m", "SELECT id FROM v")], "schema_name string, name string, body string"),
         "pg_constraint": ([("public", "t", "f", "id", 1, "public", "t", "id")], "schema_name string, object string, name string, own string, pos long, ref_schema string, ref_table string, far string"),
         "pg_index x": ([("public", "t", "i", True, None, 1, "id")], "schema_name string, object string, name string, uniq boolean, predicate string, pos long, own string"),
         "pg_trigger": ([], "schema_name string, object string, name string, body string"),
@@ -219,12 +220,66 @@ def test_server_catalogs_by_query(spark):
     e = {tuple(r) for r in g.edges.collect()}
     assert {("public.t", "public.t", "references"), ("public.v", "public.t", "depends-on")} <= e and g.usage.count() == 0
     assert "the server does not count usage; none is reported" in doc.limitations
+    assert {r.id: r.kind for r in g.vertices.collect()}["public.m"] == "materialized-view" and {r.id: r.kind for r in g.vertices.collect()}["public.s"] == "sequence"
+    assert {("public.m", "public.v", "reads"), ("public.v", "public.t", "reads")} <= {tuple(r) for r in enrich(doc, g).edges.collect()}
     assert jdbc.redacted("x postgres://me:pw@h/d?password=q&x=1") == "x postgres://***@h/d?password=***&x=1"
     assert jdbc.transport_note("jdbc:postgresql://db.example/x") == ["connection-not-encrypted: db.example"] and not jdbc.transport_note("jdbc:postgresql://localhost/x")
     with pytest.raises(ValueError):
         jdbc.scheme_of("mongodb://x")
 
 
+_OBJECTS = "schema_name string, name string, kind string"
+_COLUMNS = "schema_name string, object string, name string, data_type string, is_nullable string, dflt string, ordinal long"
+_KEYS = "schema_name string, object string, name string, own string, pos long, ref_schema string, ref_table string, far string"
+_INDEXES = "schema_name string, object string, name string, uniq boolean, predicate string, pos long, own string"
+_BODIES = "schema_name string, name string, body string"
+
+
+def _catalog_of(spark, dialect, answers, schema):
+    def reader(query):
+        rows, shape = next(v for k, v in answers.items() if k in query)
+        return spark.createDataFrame(rows, shape)
+
+    doc = jdbc.read(spark, dialect, reader, [schema], dependencies=True)
+    g = build(doc)
+    return doc, g, enrich(doc, g)
+
+
+def test_sql_server_catalog(spark):
+    doc, g, rich = _catalog_of(spark, "sqlserver", {
+        "FROM sys.objects o JOIN sys.schemas s ON s.schema_id = o.schema_id WHERE o.type IN ('U'": ([("dbo", "t", "table"), ("dbo", "u", "table"), ("dbo", "v", "view"), ("dbo", "q", "sequence")], _OBJECTS),
+        "information_schema.columns": ([("dbo", "t", "id", "int", "NO", None, 1), ("dbo", "u", "t_id", "int", "YES", None, 1), ("dbo", "v", "id", "int", "YES", None, 1)], _COLUMNS),
+        "information_schema.table_constraints": ([("dbo", "t", "id", 1)], "schema_name string, object string, name string, pk_position long"),
+        "o.type = 'V'": ([("dbo", "v", "CREATE VIEW dbo.v AS SELECT id FROM dbo.t")], _BODIES),
+        "sys.foreign_keys": ([("dbo", "u", "fk", "t_id", 1, "dbo", "t", "id")], _KEYS),
+        "sys.index_columns": ([("dbo", "t", "pk", True, None, 1, "id")], _INDEXES),
+        "sys.triggers": ([("dbo", "u", "g", "CREATE TRIGGER dbo.g ON dbo.u AFTER INSERT AS UPDATE dbo.t SET id = 1")], "schema_name string, object string, name string, body string"),
+        "'tsql'": ([("dbo", "p", "procedure", "tsql", "CREATE PROCEDURE dbo.p AS SELECT id FROM dbo.v", None)], "schema_name string, name string, kind string, language string, body string, signature string"),
+        "sys.sql_expression_dependencies": ([("dbo", "v", "dbo", "t", None, "c", "reference")], "s_schema string, s_name string, t_schema string, t_name string, t_database string, catalog string, dependency_type string"),
+    }, "dbo")
+    e = {tuple(r) for r in rich.edges.collect()}
+    assert {("dbo.u", "dbo.t", "references"), ("dbo.u.t_id", "dbo.t.id", "references"), ("dbo.v", "dbo.t", "depends-on"), ("dbo.v", "dbo.t", "reads"), ("dbo.p", "dbo.v", "reads"), ("dbo.u.g", "dbo.u", "fires"), ("dbo.u.g", "dbo.t", "writes")} <= e
+    assert doc.complete and {r.id: r.kind for r in g.vertices.collect()}["dbo.q"] == "sequence"
+
+
+def test_oracle_catalog(spark):
+    doc, g, rich = _catalog_of(spark, "oracle", {
+        "FROM all_objects": ([("S", "T", "table"), ("S", "U", "table"), ("S", "V", "view"), ("S", "M", "materialized-view")], _OBJECTS),
+        "all_tab_columns": ([("S", "T", "ID", "NUMBER", "N", None, 1), ("S", "U", "T_ID", "NUMBER", "Y", None, 1)], _COLUMNS),
+        "c.constraint_type = 'P'": ([("S", "T", "ID", 1)], "schema_name string, object string, name string, pk_position long"),
+        "FROM all_views": ([("S", "V", "SELECT ID FROM T")], _BODIES),
+        "query AS body": ([("S", "M", "SELECT ID FROM V")], _BODIES),
+        "c.constraint_type = 'R'": ([("S", "U", "FK", "T_ID", 1, "S", "T", "ID")], _KEYS),
+        "all_ind_columns": ([("S", "T", "PK", True, None, 1, "ID")], _INDEXES),
+        "all_triggers": ([], "schema_name string, object string, name string, body string"),
+        "all_source": ([("S", "P", "PROCEDURE", 1, "PROCEDURE P AS\n"), ("S", "P", "PROCEDURE", 2, "BEGIN DELETE FROM T; END;"), ("S", "K", "PACKAGE BODY", 1, "PACKAGE BODY K AS\n"), ("S", "K", "PACKAGE BODY", 2, "PROCEDURE A IS BEGIN INSERT INTO U (T_ID) SELECT ID FROM T; END;\n"), ("S", "K", "PACKAGE BODY", 3, "END K;")], "schema_name string, name string, type string, line long, text string"),
+        "all_dependencies": ([], "s_schema string, s_name string, t_schema string, t_name string, t_database string, catalog string, dependency_type string"),
+    }, "S")
+    e = {tuple(r) for r in rich.edges.collect()}
+    assert {("S.U", "S.T", "references"), ("S.V", "S.T", "reads"), ("S.M", "S.V", "reads"), ("S.P", "S.T", "writes"), ("S.K", "S.K.A", "contains"), ("S.K.A", "S.U", "writes"), ("S.K.A", "S.T", "reads")} <= {(a.split("(")[0], b.split("(")[0], k) for a, b, k in e}
+    assert doc.complete
+
+
 def test_imports(spark, doc, tmp_path):
     (tmp_path / "q").mkdir()
     (tmp_path / "q" / "a.sql").write_text("SELECT id FROM t")
