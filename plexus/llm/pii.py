@@ -42,6 +42,8 @@ KINDS, PROTECTED = ("email", "ip", "card", "phone"), tuple(PATTERNS)
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "drop": ""}
 
 SUPPORT, GENERALISE, REMOVE, REACH = 3, 0.7, 0.9, 200
+#: Terms that are sent to every worker to be counted; more are picked from the counts of all words by a join. The result is the same.
+SENT = 200_000
 _SPACES = r"[\x20\x09-\x0D]+"
 
 _SPANS = "array<struct<s:int,e:int>>"
@@ -88,10 +90,16 @@ _HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 
 
 def identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input with a column ``__<kind>`` per kind: an array of (s, e)."""
+    """The input with a column ``__pii_<kind>`` per kind: an array of (s, e). A generator makes them, so that filters on them do not make them twice."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast(_SPANS)
-    return docs.withColumns({f"__{k}": F.when(text.rlike(_HINT[k]), _spans(text, F.lit(p), lambda m, k=k: _valid(k, m))).otherwise(none) for k, p in PATTERNS.items()})
+    spans = [F.when(text.rlike(_HINT[k]), _spans(text, F.lit(p), lambda m, k=k: _valid(k, m))).otherwise(none).alias(f"__pii_{k}") for k, p in PATTERNS.items()]
+    return docs.drop(*(f"__pii_{k}" for k in PATTERNS)).select("*", F.inline_outer(F.array(F.struct(*spans))))
+
+
+def _hinted(text: Column) -> Column:
+    """Whether a text holds what every identifier or secret holds; the others need no further look."""
+    return text.rlike("|".join(f"(?:{h})" for h in _HINT.values()))
 
 
 # -- corpus statistics -----------------------------------------------------------------------------------------------
@@ -103,17 +111,17 @@ def _clear_of(spans: Column):
 
 
 def _all_spans() -> Column:
-    return F.concat(*(F.col(f"__{k}") for k in PROTECTED))
+    return F.concat(*(F.col(f"__pii_{k}") for k in PROTECTED))
 
 
 def _mentions(lines: DataFrame) -> DataFrame:
     """The rows of ``lines`` whose ``line`` holds something protected, with ``found``: array of (entity, s, e), values and kinds; and ``taken``: all spans."""
-    marked = identifiers(lines.where(F.col("line").rlike("|".join(f"(?:{h})" for h in _HINT.values()))), "line")
+    marked = identifiers(lines.where(_hinted(F.col("line"))), "line")
 
     def named(k: str) -> Column:
         value = lambda x: F.concat(F.lit(f"{k}:"), _normal(k, F.substring(F.col("line"), x["s"] + 1, x["e"] - x["s"])))
         one = lambda entity, x: F.struct(entity.alias("entity"), x["s"].alias("s"), x["e"].alias("e"))
-        return F.flatten(F.transform(f"__{k}", lambda x: F.array(one(value(x), x), one(F.lit(f"{k}:*"), x))))
+        return F.flatten(F.transform(f"__pii_{k}", lambda x: F.array(one(value(x), x), one(F.lit(f"{k}:*"), x))))
 
     return marked.select(*lines.columns, F.concat(*map(named, PROTECTED)).alias("found"), _all_spans().alias("taken")).where(F.size("taken") > 0)
 
@@ -153,7 +161,13 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     n_lines = float(lines.count())
-    of_term = materialise(lines.select(F.explode(F.array_distinct(F.split("line", _SPACES))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi"), "terms")
+    words = lines.select(F.explode(F.array_distinct(F.split("line", _SPACES))).alias("term"))
+    terms = materialise(pairs.select("term").distinct(), "pair-terms")
+    if terms.count() <= SENT:  # then other words need not be counted
+        of_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    else:
+        of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term")
+    of_term = materialise(of_term, "terms")
     ic = F.log2(F.lit(n_lines) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") / F.col("n_term") * (F.lit(n_lines) / F.col("n_entity")))
     scored = pairs.join(able, "entity").join(of_term, "term").select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
@@ -169,47 +183,46 @@ def _normal(kind: str, value: Column) -> Column:
 
 
 def find(docs: DataFrame, terms: DataFrame, text_col: str = "text", remove: float = REMOVE, reach: int = REACH) -> DataFrame:
-    """The input with ``__<kind>`` for each protected kind and for ``term`` and ``drop``: arrays of (s, e). ``terms`` from ``disclosures``.
+    """The input with ``__pii_<kind>`` for each protected kind and for ``term`` and ``drop``: arrays of (s, e). ``terms`` from ``disclosures``.
 
-    Only texts with something protected can hold a term to treat; they meet their terms by the hash of the text and its length, so
-    neither row ids nor their uniqueness matter. The others go through no shuffle.
+    Only texts with something protected can hold a term to treat; those that may (by a cheap look) meet their terms by the hash of the
+    text and its length, so neither row ids nor their uniqueness matter. The others go through no shuffle.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     nothing = F.array().cast(_SPANS)
-    marked = identifiers(docs, text_col)
     if terms.isEmpty():
-        return marked.withColumns({"__term": nothing, "__drop": nothing})
+        return identifiers(docs, text_col).withColumns({"__pii_term": nothing, "__pii_drop": nothing})
     key = F.struct(F.xxhash64(text), F.hash(text), F.length(text))
-    context = _mentions(_lines(docs.withColumn("__key", key), text_col, "__key"))
+    context = _mentions(_lines(docs.withColumn("__pii_key", key), text_col, "__pii_key"))
     held = materialise(
-        _in_context(context, terms.select("entity").distinct(), reach, "__key")
+        _in_context(context, terms.select("entity").distinct(), reach, "__pii_key")
         .join(terms, ["entity", "term"])
-        .groupBy("__key")
-        .agg(*(F.collect_set(F.when((F.col("disclosure") >= remove) == r, F.col("term"))).alias(f"__held_{k}") for k, r in (("term", False), ("drop", True)))),  # words of one text
+        .groupBy("__pii_key")
+        .agg(*(F.collect_set(F.when((F.col("disclosure") >= remove) == r, F.col("term"))).alias(f"__pii_held_{k}") for k, r in (("term", False), ("drop", True)))),  # words of one text
         "held-terms",
     )
-    some = F.size(_all_spans()) > 0
-    out = marked.where(some).withColumn("__key", key).join(held, "__key", "left")
+    out = identifiers(docs.where(_hinted(text)), text_col).withColumn("__pii_key", key).join(held, "__pii_key", "left")
     spans = {}
     for k in ("term", "drop"):
-        have = F.coalesce(F.col(f"__held_{k}"), F.array().cast("array<string>"))
+        have = F.coalesce(F.col(f"__pii_held_{k}"), F.array().cast("array<string>"))
         words = lambda have: F.filter(_spans(text, F.lit(WORD), lambda m: F.array_contains(have, m)), _clear_of(_all_spans()))
-        spans[f"__{k}"] = F.when(F.size(have) > 0, words(have)).otherwise(nothing)
-    out = out.withColumns(spans).withColumn("__term", F.array_except("__term", "__drop")).drop("__key", "__held_term", "__held_drop")
-    return out.unionByName(marked.where(~some).withColumns({"__term": nothing, "__drop": nothing}))
+        spans[f"__pii_{k}"] = F.when(F.size(have) > 0, words(have)).otherwise(nothing)
+    out = out.withColumns(spans).withColumn("__pii_term", F.array_except("__pii_term", "__pii_drop")).drop("__pii_key", "__pii_held_term", "__pii_held_drop")
+    rest = docs.where(~_hinted(text)).withColumns({f"__pii_{k}": nothing for k in (*PROTECTED, "term", "drop")})
+    return out.unionByName(rest)
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans, by kind, then start, joined by commas."""
     one = lambda k: lambda x: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string"))
-    return F.array_join(F.concat(*(F.transform(f"__{k}", one(k)) for k in kinds)), ",")
+    return F.array_join(F.concat(*(F.transform(f"__pii_{k}", one(k)) for k in kinds)), ",")
 
 
 def report(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the counts, the digest of the identifiers' spans and all spans."""
     found = find(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), terms)
     kinds = (*PROTECTED, "term", "drop")
-    counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in kinds]
+    counts = [F.size(f"__pii_{k}").cast("long").alias(f"n_{k}") for k in kinds]
     return found.select("doc_id", *counts, F.sha2(listed(KINDS), 256).alias("base_sha256"), listed(kinds).alias("spans"))
 
 
@@ -221,7 +234,7 @@ def sanitise(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataF
     found = find(docs, terms, text_col)
     text = F.col(text_col)
     tag = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))
-    tagged = [F.transform(f"__{k}", tag(k)) for k in (*PROTECTED, "term", "drop")]
+    tagged = [F.transform(f"__pii_{k}", tag(k)) for k in (*PROTECTED, "term", "drop")]
     spans = F.array_sort(F.concat(*tagged))
 
     def mark(x: Column) -> Column:
@@ -238,4 +251,4 @@ def sanitise(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataF
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn("__clean", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*(F.col("__clean").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return found.withColumn("__pii_clean", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*(F.col("__pii_clean").alias(c) if c == text_col else F.col(c) for c in docs.columns))

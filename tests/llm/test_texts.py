@@ -35,7 +35,7 @@ SCHEMA = "doc_id long, text string, lang string"
 @pytest.fixture(scope="module")
 def docs(spark):
     # names that the operators use inside must not get in the way
-    return spark.createDataFrame(ROWS, SCHEMA).selectExpr("*", "1 AS key", "'x' AS spans", "2 AS fp", "'y' AS __email", "3 AS rid")
+    return spark.createDataFrame(ROWS, SCHEMA).selectExpr("*", "1 AS key", "'x' AS spans", "2 AS fp", "'y' AS __pii_email", "3 AS rid")
 
 
 @pytest.fixture(scope="module")
