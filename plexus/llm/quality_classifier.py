@@ -3,11 +3,12 @@
 Two views of a document are kept apart: its text (hashed words and a few shares) and its metadata (source, language, stated
 length). Each view has a logistic classifier, first fitted on labelled documents. Over several rounds each one labels the
 unlabelled documents that it is most sure of, in the proportion of the classes, and hands them to the other, which is fitted again.
+In each round every unlabelled document of the corpus is a candidate: the executors take both views' margins of all of them, and only the
+EACH surest a view come to the driver.
 Both are then calibrated on labelled documents that no fit has seen (Platt scaling), and added as log-odds against the prior, so a
 view that knows nothing adds nothing. A good document has quality 1 and toxic 0.
 
-Fitting uses a bounded sample, chosen by hash of the id: at most ``labelled`` labelled and ``pool`` unlabelled documents.
-Every document is scored.
+The labelled documents are a bounded sample, chosen by hash of the id: at most ``labelled``. Every document is scored.
 
 Defined results: a null text counts as empty, null metadata is a value of its own; a document with contradicting or repeated
 labels is good only if all of them say so; rows with a null id are scored and never used for fitting; without labels of both classes
@@ -17,7 +18,7 @@ every document gets the prior and is kept; extra columns are kept by ``keep`` an
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from zlib import crc32
 
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces, ship
+from .common import discard, in_pieces, materialise, ship
 
-LABELLED, POOL = 12000, 6000
-ROUNDS, EACH = 3, 300
+LABELLED = 12000
+ROUNDS, EACH = 2, 400
 DIM, META_DIM = 1 << 16, 1 << 10
 #: Words whose presence tells the classes apart: log-odds of at least TELLING, and SURE standard errors from nothing.
 FEATURES, SURE, TELLING = 2000, 3.0, 1.5
@@ -173,34 +174,31 @@ def calibrate(view: View, rows: _Rows, y: np.ndarray) -> View:
     return view._replace(a=float(a), b=float(b))
 
 
-def co_train(text: _Rows, meta: _Rows, y: np.ndarray, pool_text: _Rows, pool_meta: _Rows) -> Model | None:
+#: (text view, metadata view, number of bad and of good ones wanted) -> (view that is sure, label, both views' rows) of unlabelled documents not given before.
+Ask = Callable[[View, View, int, int], list[tuple[str, int, _Rows, _Rows]]]
+
+
+def co_train(text: _Rows, meta: _Rows, y: np.ndarray, ask: Ask) -> Model | None:
     """``y`` is 1 for good. A third of the labelled rows is set aside for calibration."""
     n = len(y)
     held = np.arange(n) % 3 == 2
     fit = np.flatnonzero(~held)
     if n < 6 or len(set(y[fit].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         return None
-    taught: dict[str, tuple[list[int], list[int]]] = {"text": ([], []), "meta": ([], [])}
-    free = np.ones(len(pool_text.ptr) - 1, bool)
+    none = np.array([], np.int64)
+    taught = {"text": (text.take(none), []), "meta": (meta.take(none), [])}
     share = float(y.mean())
     views: dict[str, View] = {}
     for r in range(ROUNDS + 1):
-        for name, rows, pool, dim in (("text", text, pool_text, DIM), ("meta", meta, pool_meta, META_DIM)):
-            at, said = taught[name]
-            views[name] = fit_view(_join(rows.take(fit), pool.take(np.array(at, np.int64))), np.concatenate([y[fit], np.array(said, float)]), dim)
-        if r == ROUNDS or not free.any():
+        for name, rows, dim in (("text", text, DIM), ("meta", meta, META_DIM)):
+            more, said = taught[name]
+            views[name] = fit_view(_join(rows.take(fit), more), np.concatenate([y[fit], np.array(said, float)]), dim)
+        if r == ROUNDS:
             break
-        for name, pool, other in (("text", pool_text, "meta"), ("meta", pool_meta, "text")):
-            margin = pool.margin(views[name])
-            order = np.argsort(margin, kind="stable")
-            order = order[free[order]]
-            bad = order[: round(EACH * (1 - share))]
-            good = order[::-1][: round(EACH * share)]
-            for at, label, sign in ((bad, 0, -1), (good, 1, 1)):
-                at = at[sign * margin[at] > 1.0]  # confident only
-                taught[other][0].extend(at.tolist())
-                taught[other][1].extend([label] * len(at))
-                free[at] = False
+        for name, label, text_rows, meta_rows in ask(views["text"], views["meta"], round(EACH * (1 - share)), round(EACH * share)):
+            other, given = ("meta", meta_rows) if name == "text" else ("text", text_rows)
+            more, said = taught[other]
+            taught[other] = _join(more, given), said + [label] * (len(given.ptr) - 1)
     out = np.flatnonzero(held)
     return Model(calibrate(views["text"], text.take(out), y[out]), calibrate(views["meta"], meta.take(out), y[out]), math.log((y.sum() + 1) / ((1 - y).sum() + 1)))
 
@@ -212,16 +210,8 @@ def _join(a: _Rows, b: _Rows) -> _Rows:
 # -- the operator ----------------------------------------------------------------------------------------------------
 
 
-def _sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> pa.Table:
-    """Features of the sample: at most ``labelled`` + ``pool`` rows, chosen by hash of the id."""
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")
-    )
-    rank = F.xxhash64("doc_id", F.lit(SEED))
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    told = ids.join(good, "doc_id").orderBy(rank, "doc_id").limit(labelled)
-    rest = ids.join(good, "doc_id", "left_anti").orderBy(rank, "doc_id").limit(pool).withColumn("good", F.lit(None).cast("int"))
-    chosen = F.broadcast(told.union(rest))  # labelled + pool rows at most
+def _features(docs: DataFrame) -> pa.Table:
+    """Both views' features of a bounded table of documents, with its columns doc_id and good."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_pieces(batches, "text"):
@@ -238,8 +228,73 @@ def _sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> pa.
                 names=["doc_id", "good", "words", "dense", "meta"],
             )
 
-    rows = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, good int, words array<int>, dense array<double>, meta array<int>")
-    return rows.toArrow().sort_by([("doc_id", "ascending")])
+    return docs.mapInArrow(run, "doc_id long, good int, words array<int>, dense array<double>, meta array<int>").toArrow().sort_by([("doc_id", "ascending")])
+
+
+def _told(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of the labelled documents."""
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")
+    )
+
+
+def _sample(docs: DataFrame, labels: DataFrame, labelled: int) -> pa.Table:
+    """Features of the labelled sample: at most ``labelled`` rows, chosen by hash of the id."""
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    chosen = ids.join(_told(labels), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(labelled)
+    return _features(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))  # labelled rows at most
+
+
+def _views_of(t: pa.Table) -> tuple[_Rows, _Rows]:
+    return _rows(t.column("words"), t.column("dense"), DENSE), _rows(t.column("meta"), None, 0)
+
+
+def _margins(docs: DataFrame, text: View, meta: View) -> DataFrame:
+    """(doc_id, key, text, meta): both views' margins of every document with an id."""
+    one = _margin_of(text, meta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = one()
+        for piece in in_pieces(batches, "text"):
+            rows = piece.to_pydict()
+            found = np.array([of(*x) for x in zip(rows["text"], rows["source"], rows["lang"], rows["n_chars"], strict=True)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "key", "m_text", "m_meta"])
+
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, key long, m_text double, m_meta double")
+
+
+def _asker(docs: DataFrame, labels: DataFrame) -> Ask:
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    given: list[tuple[int, int]] = []
+
+    def ask(text: View, meta: View, bad: int, good: int) -> list[tuple[str, int, _Rows, _Rows]]:
+        spark = docs.sparkSession
+        before = F.broadcast(spark.createDataFrame(given, "doc_id long, key long"))  # what earlier rounds gave: at most 2 * EACH rows each
+        free = _margins(docs, text, meta).join(_told(labels), "doc_id", "left_anti").join(before, ["doc_id", "key"], "left_anti").dropDuplicates(["doc_id", "key"])
+        free = materialise(free, "margins")
+        picked = []
+        for name in ("text", "meta"):
+            for label, n in ((0, bad), (1, good)):
+                margin = F.col(f"m_{name}") if label else -F.col(f"m_{name}")
+                best = free.where(margin > 1.0).orderBy(margin.desc(), "doc_id", "key").limit(n)  # confident only
+                picked.append(best.select("doc_id", "key", F.lit(name).alias("view"), F.lit(label).alias("good")))
+        rows = [tuple(r) for p in picked for r in p.collect()]  # 2 * EACH at most
+        discard(free)
+        out = []
+        chosen = spark.createDataFrame(rows, "doc_id long, key long, view string, good int")
+        found = docs.join(F.broadcast(chosen.select("doc_id", "key").distinct()), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+        t = _features(found.withColumn("good", F.lit(None).cast("int")))
+        place = {i: k for k, i in enumerate(t.column("doc_id").to_pylist())}
+        for name in ("text", "meta"):
+            for label in (0, 1):
+                ids = sorted({r[0] for r in rows if r[2] == name and r[3] == label})
+                if ids:
+                    both = _views_of(t.take([place[i] for i in ids]))
+                    out.append((name, label, *both))
+        given.extend({(r[0], r[1]) for r in rows})
+        return out
+
+    return ask
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -249,52 +304,64 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id", "long"), col("text", "string"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    t = _sample(_columns(docs), labels, labelled, pool)
-    good = t.column("good").to_pylist()
-    order = np.argsort([crc32(str(i).encode()) for i in t.column("doc_id").to_pylist()], kind="stable")  # labelled rows in no order of ids
-    told = np.array([k for k in order if good[k] is not None], np.int64)
-    rest = np.array([k for k in order if good[k] is None], np.int64)
-    text = _rows(t.column("words"), t.column("dense"), DENSE)
-    meta = _rows(t.column("meta"), None, 0)
-    return co_train(text.take(told), meta.take(told), np.array([good[k] for k in told], float), text.take(rest), meta.take(rest))
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
+    docs = _columns(docs)
+    t = _sample(docs, labels, labelled)
+    order = np.argsort([crc32(str(i).encode()) for i in t.column("doc_id").to_pylist()], kind="stable")  # in no order of ids
+    text, meta = _views_of(t)
+    good = np.array(t.column("good").to_pylist(), float)
+    return co_train(text.take(order), meta.take(order), good[order], _asker(docs, labels))
+
+
+def _margin_of(text: View, meta: View):
+    """A function that makes, once a task, (text, source, lang, n_chars) -> both views' margins."""
+
+    def make():
+        known: dict[bytes, float] = {}
+        weights, dense, of_meta = text.words, text.dense.tolist(), meta.words.tolist()
+
+        def of(word: bytes) -> float:
+            if len(known) > 400_000:
+                known.clear()
+            known[word] = w = float(weights[crc32(word) % DIM])
+            return w
+
+        def margin(raw: str | None, source: str | None, lang: str | None, n: int | None) -> tuple[float, float]:
+            words, shares = text_features(raw)
+            get, ids = known.get, {}
+            for word in words:
+                w = get(word)
+                if w is None:
+                    w = of(word)
+                if w:
+                    ids[crc32(word) % DIM] = w
+            x = sum(ids[i] for i in sorted(ids)) + sum(a * b for a, b in zip(dense, shares, strict=True)) + text.bias
+            return x, sum(of_meta[i] for i in meta_features(source, lang, n)) + meta.bias
+
+        return margin
+
+    return make
 
 
 def _scorer(model: Model | None):
     """(text, source, lang, n_chars) -> (p_text, p_meta, score)."""
     if model is None:
         return lambda text, source, lang, n: (0.5, 0.5, 0.5)
-    known: dict[bytes, float] = {}
-    weights, dense, meta = model.text.words, model.text.dense.tolist(), model.meta.words.tolist()
-
-    def of(word: bytes) -> float:
-        if len(known) > 400_000:
-            known.clear()
-        known[word] = w = float(weights[crc32(word) % DIM])
-        return w
-
-    def score(text: str | None, source: str | None, lang: str | None, n: int | None) -> tuple[float, float, float]:
-        words, shares = text_features(text)
-        get, ids = known.get, {}
-        for word in words:
-            w = get(word)
-            if w is None:
-                w = of(word)
-            if w:
-                ids[crc32(word) % DIM] = w
-        x = sum(ids[i] for i in sorted(ids)) + sum(a * b for a, b in zip(dense, shares, strict=True)) + model.text.bias
-        y = sum(meta[i] for i in meta_features(source, lang, n)) + model.meta.bias
+    margin = _margin_of(model.text, model.meta)()
+    squash = lambda z: 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+    def score(*document) -> tuple[float, float, float]:
+        x, y = margin(*document)
         x = model.text.a * min(max(x, -30), 30) + model.text.b
         y = model.meta.a * min(max(y, -30), 30) + model.meta.b
-        squash = lambda z: 1 / (1 + math.exp(-min(max(z, -30), 30)))
         return squash(x), squash(y), squash(x + y - model.prior)
 
     return score
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = LABELLED) -> DataFrame:
     """doc_id, p_text, p_meta, score (probability of a good document) and kept, for every row."""
-    model = fit(docs, labels, labelled, pool)
+    model = fit(docs, labels, labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _scorer(model)
@@ -306,9 +373,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled:
     return _columns(docs).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = LABELLED) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches the threshold; no shuffle of the texts."""
-    model = fit(docs, labels, labelled, pool)
+    model = fit(docs, labels, labelled)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
