@@ -15,6 +15,7 @@ import pytest
 pytest.importorskip("plexus.llm")
 
 from plexus.llm import chat_format, decontaminate, language_id, lm_score, pii, quality_classifier, quality_rules, sentencepiece_codec
+from plexus.llm.common import ids_and_texts
 from pyspark.sql import functions as F
 
 LONG = "wort und wort " * 6000
@@ -250,7 +251,7 @@ def test_shuffled_contexts_against_a_plain_tree(spark):
 def test_suffix_tree_is_a_distribution(spark):
     texts = ["a b a b a c", "a b a b a b", "c a b", "b b a c a"] * 30
     train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    tree = lm_score.fit(lm_score.ids_and_texts(train), lm_score._count_words(lm_score.ids_and_texts(train)))
+    tree = lm_score.fit(ids_and_texts(train), lm_score._count_words(ids_and_texts(train)))
     assert tree.levels and len(tree.levels[0].codes)
     for level, depth in zip(tree.levels, (1, 2, 3), strict=False):
         for code in level.codes:
