@@ -49,8 +49,8 @@ def load_graph(spark: SparkSession, path: str) -> GraphBundle:
     return graphjson.read(spark, path).saved()
 
 
-def graph_of(doc: Document, guesses: bool = False) -> GraphBundle:
-    out = enrich(doc, build(doc).saved()).saved()
+def graph_of(doc: Document, guesses: bool = False, cache: str | None = None) -> GraphBundle:
+    out = enrich(doc, build(doc).saved(), cache).saved()
     if guesses:
         edges, ambiguous = inferred_keys(out)
         n = ambiguous.count()
@@ -96,7 +96,7 @@ def parser() -> argparse.ArgumentParser:
     most = lambda n: opt("--max", type=int, default=n)
     budget = (opt("--max-visited", type=int, default=100_000), opt("--max-edges", type=int, default=1_000_000))
     level = opt("--level", choices=("schema", "object", "column"), default="object")
-    add("scan", opt("source"), opt("--output", required=True), opt("--schema", action="append"), opt("--usage", action="store_true"), opt("--catalog-dependencies", action="store_true"), opt("--infer", action="store_true"), opt("--sql-dir"), opt("--sql-schema", default="main"), opt("--emit-document"), opt("--document-version", type=int, default=2), graph=False)
+    add("scan", opt("source"), opt("--output", required=True), opt("--schema", action="append"), opt("--usage", action="store_true"), opt("--catalog-dependencies", action="store_true"), opt("--infer", action="store_true"), opt("--body-cache", help="a folder that keeps what bodies say between scans"), opt("--sql-dir"), opt("--sql-schema", default="main"), opt("--emit-document"), opt("--document-version", type=int, default=2), graph=False)
     add("import", opt("document"), opt("input"), opt("--kind", choices=("dbt", "query-log", "sql-dir"), required=True), opt("--schema", action="append"), opt("--output", required=True), opt("--max-input", type=int, default=64 << 20), opt("--max-rows", type=int, default=100_000), opt("--max-sql", type=int, default=8 << 20), opt("--max-total", type=int, default=64 << 20), graph=False)
     add("merge", opt("inputs", nargs="+", help="label=graph"), opt("--document", action="append", default=[], help="label=document: its references to other databases become edges"), opt("--output", required=True), graph=False)
     add("facts", opt("document"), opt("--source-id", required=True), most(100_000), graph=False)
@@ -205,7 +205,7 @@ def _scan(a: argparse.Namespace, spark: SparkSession) -> int:
         doc = imports.sql_directory(spark, doc, a.sql_dir, a.sql_schema)
     if a.emit_document:
         graphjson.publish(a.emit_document, iter([json.dumps(document.to_value(doc, a.document_version), ensure_ascii=False) + "\n"]))
-    _save(graph_of(doc, a.infer), a.output)
+    _save(graph_of(doc, a.infer, a.body_cache), a.output)
     return 0
 
 

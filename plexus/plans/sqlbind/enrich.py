@@ -1,7 +1,7 @@
 """Bodies of views, routines, triggers and queries to edges, origins, analysis and diagnostics. Each body is bound on an executor.
 
-The catalog index (names and ids, no data) is sent to every task once; its size is that of the schema's description. Above
-``SENT`` columns each schema's bodies get the index of the schemas they can name only, by a shuffle on the schema.
+The catalog index (names and ids, no data) is sent to every task once; its size is that of the schema's description and is checked
+against MOST_NAMES. With a cache folder only bodies that are new, or whose catalog has changed, are bound.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ...sources.document import Document
 from ...workspace import written
 from ..build import object_id
 from ..bundle import GraphBundle, union_all
+from . import bodycache
 from .binder import Binder, Column, Relation, Scope
 from .catalog import Catalog
 from .parser import Parser, parse
@@ -137,8 +138,8 @@ def _routine(binder: Binder, tokens: list[Token], body: str, language: str | Non
         binder.note("SG_BODY_PARTIAL", f"pieces that were not read: {found.unextracted}" + (f", {found.dynamic} of them dynamic SQL" if found.dynamic else ""))
 
 
-def enrich(doc: Document, bundle: GraphBundle) -> GraphBundle:
-    """``bundle``, built from ``doc``, with what the bodies say."""
+def enrich(doc: Document, bundle: GraphBundle, cache: str | None = None) -> GraphBundle:
+    """``bundle``, built from ``doc``, with what the bodies say. ``cache``: a folder that keeps this between runs."""
     spark = bundle.spark
     header = doc.header
     none = lambda n, t="string": F.lit(None).cast(t).alias(n)
@@ -196,7 +197,10 @@ def enrich(doc: Document, bundle: GraphBundle) -> GraphBundle:
     from ...workspace import ship
 
     ship(spark)
-    told = written(work.repartition("owner").mapInPandas(run, FACTS), "facts")
+    if cache is None:
+        told = written(work.repartition("owner").mapInPandas(run, FACTS), "facts")
+    else:
+        told = _through_cache(cache, doc, bundle, work, run, f"{dialect}|{database}|{folds}")
     ids = bundle.vertices.select("id")
     edges = told.where("fact = 'edge'")
     real = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -213,3 +217,23 @@ def enrich(doc: Document, bundle: GraphBundle) -> GraphBundle:
         analysis=union_all([bundle.analysis, bodiless.select("id", F.lit("unsupported").alias("state"), F.lit("object").alias("scope"), none("body_hash")), told.where("fact = 'state'").select(F.col("owner").alias("id"), "state", "scope", "body_hash")]),
         diagnostics=union_all([bundle.diagnostics, bodiless.select("id", F.lit("SG_BODY_UNAVAILABLE").alias("code"), F.lit("the catalog gives no body").alias("message"), none("line", "int"), none("col", "int"), F.array().cast("array<string>").alias("candidates")), notes.select("id", "code", "message", "line", "col", "candidates")]),
     )
+
+
+def _through_cache(folder: str, doc: Document, bundle: GraphBundle, work: DataFrame, run, settings: str) -> DataFrame:
+    """FACTS of all bodies; those that the cache knows are not bound again."""
+    spark = bundle.spark
+    name = lambda *c: F.to_json(F.struct(*c)).alias("name")
+    names = union_all(
+        [
+            doc.objects.select(name("schema", "name", "kind")),
+            bundle.columns.select(name("table_id", "name", "column_id", "ordinal")),
+            bundle.vertices.where("kind IN ('function', 'procedure', 'package')").select(name("schema", "name", "id")),
+        ]
+    )
+    work = written(bodycache.keyed(work, names, settings), "keyed-bodies")
+    known = bodycache.read(spark, folder, f"{FACTS}, key string")
+    new = work.join(known.select("key").distinct(), "key", "left_anti")
+    bound = new.drop("key").repartition("owner").mapInPandas(run, FACTS)
+    # a body's facts bear its owner, and an owner has one body
+    facts = known.join(work.select("key"), "key", "left_semi").unionByName(bound.join(new.select("owner", "key"), "owner"))
+    return bodycache.publish(facts, folder).drop("key")

@@ -7,6 +7,7 @@ import json
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from plexus.operators import change, lint, merge
 from plexus.plans import star_catalog
@@ -280,6 +281,26 @@ def test_oracle_catalog(spark):
     assert doc.complete
 
 
+def test_bodies_are_bound_once(spark, tmp_path):
+    def edges(body, cache=f"{tmp_path}/cache", columns=("id",)):
+        table = {"name": "t", "kind": "table", "columns": [{"name": c, "data_type": "int", "nullable": True, "ordinal": k} for k, c in enumerate(columns)]}
+        views = [{"name": "v", "kind": "view", "columns": [], "body": body}, {"name": "w", "kind": "view", "columns": [], "body": "SELECT id FROM t"}]
+        d = document.from_value(spark, {"version": 2, "producer": {"name": "test"}, "required_features": [], "dialect": "sqlite", "schemas": [{"name": "main", "objects": [table, *views], "routines": []}]})
+        return {tuple(r) for r in enrich(d, build(d), cache).edges.where("kind <> 'contains'").collect()}
+
+    first = edges("SELECT id FROM t")
+    assert first == edges("SELECT id FROM t", None) == edges("SELECT id FROM t")
+    # what the cache says is believed, for as long as body and catalog are the same
+    (kept,) = (p for p in (tmp_path / "cache").iterdir())
+    facts = spark.read.parquet(str(kept))
+    facts.withColumn("kind", F.when(F.col("kind") == "reads", "writes").otherwise(F.col("kind"))).write.parquet(f"{tmp_path}/cache/facts-newer")
+    assert edges("SELECT id FROM t") == {(a, b, "writes" if k == "reads" else k) for a, b, k in first}
+    mixed = edges("SELECT count(*) FROM t")
+    assert ("main.v", "main.t", "reads") in mixed and ("main.w", "main.t", "writes") in mixed
+    assert edges("SELECT count(*) FROM t", columns=("id", "more")) == edges("SELECT count(*) FROM t", None, ("id", "more"))
+    assert len(list((tmp_path / "cache").iterdir())) == 1
+
+
 def test_imports(spark, doc, tmp_path):
     (tmp_path / "q").mkdir()
     (tmp_path / "q" / "a.sql").write_text("SELECT id FROM t")
