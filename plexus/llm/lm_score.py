@@ -7,14 +7,15 @@ distribution is smoothed with its suffix's, weighted by the number of different
 
 The tree has two parts, and each context is in one of them:
 
-* contexts of *common* words, up to ``depth`` of them, that make up at least ``p_context`` of all tokens. They are few (1 / p_context a depth at most)
-  and are sent to the workers, with pairs of at least ``p_entry`` of all tokens; rarer pairs lend their mass to the suffix's distribution.
-  Words below ``p_symbol`` of all tokens are one class there, whose members share its probability in proportion to their smoothed counts;
-* contexts that end in any *other* word, of one and two words, from two occurrences on. Their number grows with the corpus, so they stay
-  where Spark shuffles them: every position after such a word goes, packed with the others of its task, to the bucket of that word's hash. There
-  the counts of the whole corpus for that word meet, its contexts are made and tested, and the positions are scored on the spot, each on top
-  of what the common contexts say. A word of this part has less than ``p_context`` of all tokens, so no bucket is bound to one frequent word.
-  Rare words are symbols of their own here; where one was seen, its smoothed count comes from a join with all words' counts.
+* contexts of *common* words, those of at least ``p_symbol`` of all tokens: each of them alone, and up to ``depth`` of them together where the context makes up
+  ``p_context`` of all tokens. They are few (1 / p_symbol, and 1 / p_context a depth, at most) and are sent to the workers, with pairs of at
+  least ``p_entry`` of all tokens; rarer pairs lend their mass to the suffix's distribution. All other words are one class there, whose members
+  share its probability in proportion to their smoothed counts;
+* contexts that end in a *rare* word, from two occurrences on. Their number grows with the corpus, so they stay where Spark shuffles them:
+  every occurrence of a rare word goes, packed with the others of its task, with what follows it, to the bucket of the word's hash. There
+  the counts of the whole corpus for that word meet, its context is made and tested, and what follows is scored on the spot, on top of what
+  the common contexts say; the word's own count is known there too. Rare words that follow are symbols of their own; where one was seen in the
+  context, its count comes from a join. A rare word has less than ``p_symbol`` of all tokens, so no bucket is bound to one frequent word.
 
 Every distribution sums to one. Counts of all words, common or rare, are exact. What the common contexts say is rounded to 1/2048 of a log10
 on its way to a bucket.
@@ -42,8 +43,8 @@ from .common import in_pieces, materialise, ship
 
 P_SYMBOL, P_CONTEXT, P_ENTRY = 5e-6, 1e-4, 1e-6
 DEPTH, DIVERGENCE = 3, 0.02
-#: Occurrences from which a context of the shuffled part is considered; positions that a bucket holds, about.
-LEAST, BUCKET = 2, 600_000
+#: Occurrences from which a context of the shuffled part is considered; tokens a bucket (about a quarter of them rare words).
+LEAST, BUCKET = 2, 4_000_000
 
 #: Places in the alphabet: 0 is never used, words follow LAST.
 START, END, OTHER, LAST = 1, 2, 3, 3
@@ -80,7 +81,6 @@ class Tree(NamedTuple):
     distinct: int
     other: float
     levels: list[Level]
-    cold: np.ndarray  # by symbol: whether contexts that end in it belong to the shuffled part
 
     @property
     def whole(self) -> int:
@@ -139,7 +139,7 @@ def _symbols(texts: list[str | None], places: dict[bytes, int]) -> tuple[np.ndar
 
 
 class _Rare:
-    """Keys of the words that are not common, in their order; remembers them within a task."""
+    """Keys of the words that are not common; remembers them within a task."""
 
     def __init__(self, places: dict[bytes, int]) -> None:
         self.places, self.known = places, {}
@@ -227,9 +227,7 @@ def fit(training: DataFrame, vocabulary: DataFrame, p_symbol: float = P_SYMBOL,
     # contexts of length one: common symbols, the rest as one, and the start of a text
     before = counts.copy()
     before[START], before[END] = ends, 0
-    cold = before < p_context * tokens
-    cold[OTHER] = True
-    codes = np.flatnonzero(before >= p_context * tokens).astype(np.int64)
+    codes = np.flatnonzero(before > 0).astype(np.int64)
     found: list[tuple] = []
     for d in range(1, depth + 1):
         if not len(codes):
@@ -253,7 +251,7 @@ def fit(training: DataFrame, vocabulary: DataFrame, p_symbol: float = P_SYMBOL,
         found.append((codes, total, kinds, pair, n))
         grown = (n >= p_context * tokens) & (pair % size != END)
         codes = np.sort(codes[pair[grown] // size] * size + pair[grown] % size)
-    return Tree(places, counts, int(tokens), int(distinct), other, _retained(found, counts, size, divergence), cold)
+    return Tree(places, counts, int(tokens), int(distinct), other, _retained(found, counts, size, divergence))
 
 
 def _retained(found: list[tuple], counts: np.ndarray, size: int, divergence: float) -> list[Level]:
@@ -307,8 +305,8 @@ def symbol_scores(tree: Tree, symbols: np.ndarray) -> np.ndarray:
     return p
 
 
-# kind 0: a document, with its rare words; kind 1: positions of a piece of the input after words of one bucket, packed
-SCORED = "kind int, rid long, doc_id long, n_tokens long, n_common long, base_common double, model_part double, rare array<long>, rare_n array<long>, bucket long, n long, positions binary"
+# kind 0: a document; kind 1: the rare words of a piece of the input that belong to one bucket, with what follows them, packed
+SCORED = "kind int, rid long, doc_id long, n_tokens long, n_common long, base_common double, model_part double, bucket long, n long, positions binary"
 _NAMES = [x.split()[0] for x in SCORED.split(", ")]
 _STEPS = 2048.0  # of a log10
 
@@ -329,12 +327,12 @@ def _unpacked(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-#: Of a position: the word before, the one before that (0: none), the symbol, the document's place in the piece (twice, plus one if it teaches), what the common contexts say.
-_POSITION = ["<i8", "<i8", "<i8", "<u4", "<i2"]
+#: Of an occurrence: the word, what follows, the document's place in the piece (twice, plus one if it teaches), what the common contexts say of what follows.
+_POSITION = ["<i8", "<i8", "<u4", "<i2"]
 
 
 def _score_symbols(rows: DataFrame, tree: Tree, buckets: int) -> DataFrame:
-    """SCORED: one row a document, with what common contexts give and its rare words, and the positions that other contexts score."""
+    """SCORED: one row a document, with what common contexts give, and the occurrences of rare words for their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = _Rare(tree.places)
@@ -351,26 +349,14 @@ def _score_symbols(rows: DataFrame, tree: Tree, buckets: int) -> DataFrame:
             score[is_rare] -= shared  # a rare word's own share of the class comes with its count
             score[symbols == START] = 0.0
             known = (symbols != START) & ~is_rare
-            owner_of = np.repeat(np.arange(n), np.diff(starts))
-            key = rare.keys(texts)
-            # positions after words whose contexts are not here
-            away = np.append(False, tree.cold[symbols[:-1]]) & (symbols != START)
+            owner = np.repeat(np.arange(n), np.diff(starts))
             exact = symbols.copy()
-            exact[is_rare] = key
-            at = np.flatnonzero(away)
-            before = np.where(symbols[at - 1] == START, 0, exact[at - 2])
+            exact[is_rare] = rare.keys(texts)
+            at = np.flatnonzero(is_rare)
             teaches = piece.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = 2 * owner_of[at] + teaches[owner_of[at]]
-            columns = [exact[at - 1], before, exact[at], doc.astype(np.uint32), np.round(score[at] * _STEPS).clip(-32768, 32767).astype(np.int16)]
-            score[at] = 0.0
-            owner = owner_of[is_rare]
-            order = np.lexsort((key, owner))
-            owner, key = owner[order], key[order]
-            first = np.ones(len(key), bool)
-            first[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-            spot = np.flatnonzero(first)
-            times = np.diff(np.append(spot, len(key)))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[spot], minlength=n))]).astype(np.int32))
+            doc = 2 * owner[at] + teaches[owner[at]]
+            columns = [exact[at], exact[at + 1], doc.astype(np.uint32), np.round(score[at + 1] * _STEPS).clip(-32768, 32767).astype(np.int16)]
+            score[at + 1] = 0.0
             total = lambda x: np.add.reduceat(x, starts[:-1]) if n else np.empty(0)  # noqa: B023, E731
             yield _scored(
                 n,
@@ -381,8 +367,6 @@ def _score_symbols(rows: DataFrame, tree: Tree, buckets: int) -> DataFrame:
                 n_common=pa.array(total(known.astype(np.int64)), pa.int64()),
                 base_common=pa.array(total(base[symbols]), pa.float64()),
                 model_part=pa.array(total(score), pa.float64()),
-                rare=pa.ListArray.from_arrays(offsets, pa.array(key[spot])),
-                rare_n=pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
             )
             word = columns[0]
             bucket = ((word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
@@ -403,108 +387,86 @@ def _score_symbols(rows: DataFrame, tree: Tree, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, SCORED)
 
 
-_KINDS = {"kind": pa.int32(), "base_common": pa.float64(), "model_part": pa.float64(), "rare": pa.list_(pa.int64()), "rare_n": pa.list_(pa.int64()), "positions": pa.binary()}
+_KINDS = {"kind": pa.int32(), "base_common": pa.float64(), "model_part": pa.float64(), "positions": pa.binary()}
 
 
 def _scored(many: int, /, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(many, _KINDS.get(c, pa.int64())) for c in _NAMES], names=_NAMES)
 
 
-# -- contexts of words that are not common ---------------------------------------------------------------------------
+# -- contexts of rare words ------------------------------------------------------------------------------------------
 
 
-class _Level(NamedTuple):
-    """Of each position's context: occurrences, different next symbols, how often the position's own symbol was seen, and which context it is."""
+def rare_contexts(word: np.ndarray, after: np.ndarray, learn: np.ndarray, said: np.ndarray, typical: float, n_symbols: int, divergence: float = DIVERGENCE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, a, b) of each occurrence of a rare word: the word's count in training rows, and the probability of what follows it, a + b for a common
+    symbol, a + b * q for a rare word of smoothed count share q.
 
-    total: np.ndarray
-    kinds: np.ndarray
-    seen: np.ndarray
-    group: np.ndarray
-    pair_first: np.ndarray
-
-
-def _level(group_first: np.ndarray, pair_first: np.ndarray, learn: np.ndarray) -> _Level:
-    """Counts for positions that are sorted by context and symbol; the flags say where a new context, or pair, begins."""
-    group, pair = np.cumsum(group_first) - 1, np.cumsum(pair_first) - 1
+    Occurrences are sorted by word and what follows; all of each word are there. ``said``: log10 probability by the common contexts, without
+    q for rare words. ``typical``: a likely q, for the divergence test only.
+    """
+    first = np.append(True, word[1:] != word[:-1])
+    pair_first = first | np.append(True, after[1:] != after[:-1])
+    group, pair = np.cumsum(first) - 1, np.cumsum(pair_first) - 1
+    n = np.bincount(group, learn, group[-1] + 1)
     seen = np.bincount(pair, learn, pair[-1] + 1)
-    kinds = np.bincount(group[pair_first], seen > 0, group[-1] + 1)
-    total = np.bincount(group, learn, group[-1] + 1)
-    return _Level(total[group], kinds[group], seen[pair], group, pair_first)
+    of = group[pair_first]  # each pair's context
+    kinds = np.bincount(of, seen > 0, len(n))
+    some = seen > 0
+    q = np.bincount(pair, learn * said, len(seen))[some] / seen[some]
+    head = after[pair_first][some]
+    q = 10.0**q * np.where((head >= 0) & (head < n_symbols), 1.0, typical)
+    p = seen[some] / n[of[some]]
+    bits = np.bincount(of[some], p * np.log2(p / np.maximum(q, 1e-300)), len(n))
+    kept = (n >= least) & (bits >= divergence)
+    whole = np.maximum(n + kinds, 1)
+    a = np.where(kept[group], seen[pair] / whole[group], 0.0)
+    b = np.where(kept[group], (kinds / whole)[group], 1.0) * 10.0**said
+    return n[group], a, b
 
 
-def _diverging(level: _Level, q: np.ndarray, divergence: float, least: int) -> np.ndarray:
-    """By context: whether what follows it diverges from the suffix's distribution ``q``, taken at the first position of each pair."""
-    some = level.pair_first & (level.seen > 0)
-    p = level.seen[some] / level.total[some]
-    bits = np.bincount(level.group[some], p * np.log2(p / np.maximum(q[some], 1e-300)), level.group[-1] + 1)
-    n = np.zeros(level.group[-1] + 1)
-    n[level.group] = level.total
-    return (bits >= divergence) & (n >= least)
-
-
-def cold_parts(w1: np.ndarray, w2: np.ndarray, symbol: np.ndarray, learn: np.ndarray, said: np.ndarray, rare_share: float, n_symbols: int, divergence: float = DIVERGENCE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) of each position: its symbol's probability is a + b for a common symbol, a + b * q for a rare word of smoothed count share q.
-
-    Positions are sorted by (w1, symbol, w2); all of each w1 are there. ``said``: the probability by the common contexts, without q for rare words.
-    ``rare_share``: a typical q, for the divergence tests only.
-    """
-    q = np.where((symbol >= 0) & (symbol < n_symbols), said, said * rare_share)
-    new = lambda x: np.append(True, x[1:] != x[:-1])
-    one = _level(new(w1), new(w1) | new(symbol), learn)
-    keep1 = _diverging(one, q, divergence, least)
-    # contexts of two words
-    order = np.lexsort((symbol, w2, w1))
-    x1, x2, xs = w1[order], w2[order], symbol[order]
-    first = new(x1) | new(x2)
-    two = _level(first, first | new(xs), learn[order])
-    share = one.kinds / np.maximum(one.total + one.kinds, 1)
-    seen = one.seen / np.maximum(one.total + one.kinds, 1)
-    keep2 = _diverging(two, (seen + share * q)[order], divergence, least)
-    ends = one.group[order][first]  # the one-word context of each two-word context
-    keep1[ends[keep2]] = True  # a context that ends a retained one stays
-    kept = keep1[one.group]
-    a, b = np.where(kept, seen, 0.0), np.where(kept, share, 1.0) * said
-    kept = keep2[two.group]
-    n = two.total + two.kinds
-    own, weight = np.where(kept, two.seen / np.maximum(n, 1), 0.0), np.where(kept, two.kinds / np.maximum(n, 1), 1.0)
-    a[order], b[order] = own + weight * a[order], weight * b[order]
-    return a, b
-
-
-PARTS = "rid long, n long, sums binary, word long, a double, b double"
+PARTS = "rid long, n long, sums binary, word long, a float, b float"
+_SUMS = ["<u4", "<u2", "<f8", "<f4"]  # the document's place, rare words that training knows, their log10 q, what follows them
 
 
 def _score_buckets(scored: DataFrame, tree: Tree, divergence: float) -> DataFrame:
-    """PARTS: per bucket and piece the sums of its documents' positions, packed; and a row for each position of a rare word that was seen in its context."""
+    """PARTS: per bucket and piece the sums of its documents, packed; and a row for each rare word that was seen after the rare word before it."""
     n_rare = max(tree.distinct - (tree.size - LAST - 1) - 1, 0)
     typical = tree.other / (n_rare + 1)
-    size = tree.size
+    size, divisor = tree.size, float(tree.whole)
+    names = [x.split()[0] for x in PARTS.split(", ")]
 
     def parts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         pieces = [_unpacked(data, n, _POSITION) for _, _, n, data in rows]
-        w1, w2, symbol, doc, said = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        word, after, doc, said = (np.concatenate(c) for c in zip(*pieces, strict=True))
         rid = np.repeat(np.array([r[1] for r in rows], np.int64), [r[2] for r in rows])
         place = (doc >> 1).astype(np.int64)
-        order = np.lexsort((place, rid, w2, symbol, w1))
-        w1, w2, symbol, rid, place = w1[order], w2[order], symbol[order], rid[order], place[order]
-        learn, said = (doc[order] & 1).astype(float), 10.0 ** (said[order] / _STEPS)
-        a, b = cold_parts(w1, w2, symbol, learn, said, typical, size, divergence)
-        rare = (symbol < 0) | (symbol >= size)
+        order = np.lexsort((place, rid, after, word))
+        word, after, rid, place = word[order], after[order], rid[order], place[order]
+        n, a, b = rare_contexts(word, after, (doc[order] & 1).astype(float), said[order] / _STEPS, typical, size, divergence)
+        rare = (after < 0) | (after >= size)
         seen = rare & (a > 0)
         log = np.log10(np.where(rare, b, a + b))
         log[seen] = 0.0
         by = np.lexsort((place, rid))
-        rid_, place_, log = rid[by], place[by], log[by]
+        rid_, place_ = rid[by], place[by]
         first = np.flatnonzero(np.append(True, (rid_[1:] != rid_[:-1]) | (place_[1:] != place_[:-1])))
-        sums, rid_, place_ = np.add.reduceat(log, first).astype("<f4"), rid_[first], place_[first].astype("<u4")
+        add = lambda x: np.add.reduceat(x[by], first)
+        # a document's occurrences in one bucket may be more than 65 535: then they are told in several entries
+        known = add((n > 0).astype(np.int64))
+        q, log = add(np.log10((n + 1.0) / divisor)), add(log)
+        rid_, place_ = rid_[first], place_[first]
+        columns = [place_.astype("<u4"), np.minimum(known, 65_535).astype("<u2"), q.astype("<f8"), log.astype("<f4")]
         edges = np.flatnonzero(np.diff(rid_, prepend=-1)).tolist() + [len(rid_)]
-        m = len(edges) - 1
-        packed = [_packed([place_[x:y], sums[x:y]]) for x, y in zip(edges, edges[1:], strict=False)]
+        told = [(rid_[x], y - x, _packed([c[x:y] for c in columns])) for x, y in zip(edges, edges[1:], strict=False)]
+        over = known - 65_535
+        while (over > 0).any():
+            for k in np.flatnonzero(over > 0).tolist():
+                told.append((rid_[k], 1, _packed([place_[k : k + 1].astype("<u4"), np.minimum(over[k : k + 1], 65_535).astype("<u2"), np.zeros(1), np.zeros(1, "<f4")])))
+            over = over - 65_535
+        m, k = len(told), int(seen.sum())
         none = lambda k, kind: pa.nulls(k, kind)
-        names = [x.split()[0] for x in PARTS.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(rid_[edges[:-1]]), pa.array(np.diff(edges)), pa.array(packed, pa.binary()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64())], names=names)
-        k = int(seen.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(rid[seen] + place[seen]), none(k, pa.int64()), none(k, pa.binary()), pa.array(symbol[seen]), pa.array(a[seen]), pa.array(b[seen])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([int(t[0]) for t in told], pa.int64()), pa.array([int(t[1]) for t in told], pa.int64()), pa.array([t[2] for t in told], pa.binary()), none(m, pa.int64()), none(m, pa.float32()), none(m, pa.float32())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(rid[seen] + place[seen]), none(k, pa.int64()), none(k, pa.binary()), pa.array(after[seen]), pa.array(a[seen].astype(np.float32)), pa.array(b[seen].astype(np.float32))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -522,29 +484,31 @@ def _score_buckets(scored: DataFrame, tree: Tree, divergence: float) -> DataFram
 
 
 def _document_sums(parts: DataFrame) -> DataFrame:
-    """(rid, cold): the sum over all buckets of each document's positions."""
+    """(rid, known, rare_score, after_rare): the sums over all buckets of each document."""
+    shape = "rid long, known long, rare_score double, after_rare double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sums = -1, np.zeros(0)
+        at, sums = -1, np.zeros((3, 0))
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(sums)), pa.int64()), pa.array(sums)], names=["rid", "cold"])
+            return pa.RecordBatch.from_arrays([pa.array(at + np.arange(sums.shape[1]), pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=[x.split()[0] for x in shape.split(", ")])
 
         for batch in batches:
             for rid, n, data in zip(*(batch.column(c).to_pylist() for c in ("rid", "n", "sums")), strict=True):
-                place, part = _unpacked(data, n, ["<u4", "<f4"])
+                place, *columns = _unpacked(data, n, _SUMS)
                 if rid != at:
                     if at >= 0:
                         yield done()
-                    at, sums = rid, np.zeros(0)
-                if int(place[-1]) >= len(sums):
-                    sums = np.append(sums, np.zeros(int(place[-1]) + 1 - len(sums)))
-                sums[place] += part
+                    at, sums = rid, np.zeros((3, 0))
+                more = int(place[-1]) + 1 - sums.shape[1]
+                if more > 0:
+                    sums = np.concatenate([sums, np.zeros((3, more))], axis=1)
+                sums[:, place] += np.array(columns)
         if at >= 0:
             yield done()
 
     # a piece of the input is some megabytes of text, so its sums are few
-    return parts.where("sums IS NOT NULL").select("rid", "n", "sums").repartition("rid").sortWithinPartitions("rid", "n").mapInArrow(run, "rid long, cold double")
+    return parts.where("sums IS NOT NULL").select("rid", "n", "sums").repartition("rid").sortWithinPartitions("rid", "n").mapInArrow(run, shape)
 
 
 def score(docs: DataFrame, learn: Column, **limits) -> DataFrame:
@@ -563,26 +527,21 @@ def score(docs: DataFrame, learn: Column, **limits) -> DataFrame:
     # written once and read from there, so that the rows' numbers are the same for all who read them
     scored = materialise(_score_symbols(rows, tree, 1 + tree.tokens // BUCKET), "scored")
     parts = materialise(_score_buckets(scored, tree, limits.get("divergence", DIVERGENCE)), "scored-buckets")
-    done = scored.where("kind = 0")
-    words = done.select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
-    seen = parts.where("word IS NOT NULL").select("rid", "word", F.lit(0).cast("long").alias("times"), "a", "b")
     q = (F.coalesce("n", F.lit(0)) + 1.0) / F.lit(float(tree.whole))
-    rare = (
-        words.union(seen)
+    seen = (
+        parts.where("word IS NOT NULL").select("rid", "word", "a", "b")
         .join(vocabulary.select("word", "n"), "word", "left")
         .groupBy("rid")
-        .agg(
-            F.sum(F.col("times") * F.log10(q)).alias("rare_score"),
-            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-            F.sum(F.when(F.col("a").isNotNull(), F.log10(F.col("a") + F.col("b") * q) - F.log10(q)).otherwise(0.0)).alias("rare_seen"),
-        )
+        .agg(F.sum(F.log10(F.col("a").cast("double") + F.col("b").cast("double") * q) - F.log10(q)).alias("seen_score"))
     )
-    extra, zero = F.coalesce("rare_score", F.lit(0.0)), F.lit(0.0)
-    return done.select("rid", "doc_id", "n_tokens", "n_common", "base_common", "model_part").join(rare, "rid", "left").join(_document_sums(parts), "rid", "left").select(
+    done = scored.where("kind = 0").select("rid", "doc_id", "n_tokens", "n_common", "base_common", "model_part")
+    zero = F.lit(0.0)
+    extra = F.coalesce("rare_score", zero)
+    return done.join(_document_sums(parts), "rid", "left").join(seen, "rid", "left").select(
         "doc_id",
         "n_tokens",
-        (F.col("n_common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("n_common") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(tree.tokens).cast("long").alias("train_tokens"),
         (F.col("base_common") + extra).alias("base_score"),
-        (F.col("model_part") + extra + F.coalesce("rare_seen", zero) + F.coalesce("cold", zero)).alias("score"),
+        (F.col("model_part") + extra + F.coalesce("after_rare", zero) + F.coalesce("seen_score", zero)).alias("score"),
     )

@@ -194,40 +194,35 @@ def test_suffix_tree_counts_and_sums(spark, docs, empty):
     assert untaught[1].n_tokens == 19 and untaught[1].score == 0.0
 
 
-def _plain_scores(texts, taught, n_common, divergence):
-    """Scores with contexts of one and two words, all of them counted one by one; the rarest words are a class whose share is that of their counts."""
-    low = lambda t: [None, *(t or "").encode().lower().split(), "end"]
-    counts = Counter(w for k, t in enumerate(texts) if taught(k) for w in low(t)[1:])
-    whole = sum(counts.values()) + len(counts) + 1
-    q = lambda w: (counts[w] + 1) / whole
-    common = {w for w in counts if counts[w] >= n_common} | {"end"}
-    n_rare = len(counts) - len(common)
-    typical = (sum(n for w, n in counts.items() if w not in common) + n_rare + 1) / whole / (n_rare + 1)
-    one, two = {}, {}
+def _plain_scores(texts, taught, tree, divergence):
+    """Scores with the sent part's own say, and contexts of rare words counted one by one."""
+    low = lambda t: [*(t or "").encode().lower().split(), b" "]
+    counts = Counter(w for k, t in enumerate(texts) if taught(k) for w in low(t))
+    place = lambda w: lm_score.END if w == b" " else tree.places.get(w, lm_score.OTHER)
+    q = lambda w: (counts[w] + 1) / tree.whole
+    is_rare = lambda w: place(w) == lm_score.OTHER
+    typical = tree.other / (sum(map(is_rare, counts)) + 1)
+    said, follow, logs = [], {}, {}
     for k, t in enumerate(texts):
         words = low(t)
+        said.append(lm_score.symbol_scores(tree, np.array([lm_score.START, *map(place, words)]))[1:] / np.array([tree.other if is_rare(w) else 1.0 for w in words]))
         for i in range(1, len(words)):
-            if taught(k):
-                one.setdefault(words[i - 1], Counter())[words[i]] += 1
-                two.setdefault((words[i - 2] if i > 1 else 0, words[i - 1]), Counter())[words[i]] += 1
-    guess = lambda w: q(w) if w in common else typical
-
-    def smooth(seen, w, below):
-        return (seen[w] + len(seen) * below) / (seen.total() + len(seen))
-
-    def diverges(seen, below):
-        n = seen.total()
-        return n >= 2 and sum(x / n * math.log2(x / n / below(w)) for w, x in seen.items()) >= divergence
-
-    keep2 = {c for c, seen in two.items() if diverges(seen, lambda w, c=c: smooth(one[c[1]], w, guess(w)))}
-    keep1 = {c for c, seen in one.items() if diverges(seen, guess)} | {c[1] for c in keep2}
+            if is_rare(words[i - 1]) and taught(k):
+                follow.setdefault(words[i - 1], Counter())[words[i]] += 1
+                logs.setdefault((words[i - 1], words[i]), []).append(math.log10(said[-1][i]))
+    kept = set()
+    for c, seen in follow.items():
+        guess = {w: 10 ** (sum(logs[c, w]) / len(logs[c, w])) * (typical if is_rare(w) else 1) for w in seen}
+        if seen.total() >= 2 and sum(x / seen.total() * math.log2(x / seen.total() / guess[w]) for w, x in seen.items()) >= divergence:
+            kept.add(c)
     out = []
-    for t in texts:
+    for k, t in enumerate(texts):
         words, total = low(t), 0.0
-        for i in range(1, len(words)):
-            c1, c2, p = words[i - 1], (words[i - 2] if i > 1 else 0, words[i - 1]), q(words[i])
-            p = smooth(one[c1], words[i], p) if c1 in keep1 else p
-            p = smooth(two[c2], words[i], p) if c2 in keep2 else p
+        for i, w in enumerate(words):
+            p = said[k][i] * (q(w) if is_rare(w) else 1.0)
+            if i and words[i - 1] in kept:
+                seen = follow[words[i - 1]]
+                p = (seen[w] + len(seen) * p) / (seen.total() + len(seen))
             total += math.log10(p)
         out.append(total)
     return out
@@ -241,13 +236,23 @@ def test_shuffled_contexts_against_a_plain_tree(spark):
     texts += [odd, odd, odd + " but once", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     taught = lambda k: k % 5 != 1
-    got = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") % 5 != 1, p_context=2.0, p_symbol=0.01, divergence=0.5).collect()}
-    tokens = got[0].train_tokens
-    want = _plain_scores(texts, taught, max(2, 0.01 * tokens), 0.5)
+    limits = {"p_context": 0.01, "p_symbol": 0.03, "divergence": 0.05}
+    learn = docs.where("doc_id % 5 <> 1")
+    tree = lm_score.fit(learn, lm_score._count_words(learn, 0.03), **limits)
+    got = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") % 5 != 1, **limits).collect()}
+    want = _plain_scores(texts, taught, tree, 0.05)
     assert all(abs(got[k].score - want[k]) <= 1e-3 * got[k].n_tokens for k in range(len(texts)))
     assert got[120].score > got[120].base_score + 5  # what stands twice is known by its contexts
 
 
+def test_rare_contexts_are_distributions():
+    word = np.array([5, 5, 5, 5, 9, 9], np.int64) * 10**9
+    after = np.array([2, 7, 7, 10**12, 7, 8], np.int64)
+    n, a, b = lm_score.rare_contexts(word, after, np.array([1.0, 1, 1, 1, 1, 0]), np.full(6, -2.0), 1e-9, 100)
+    assert n.tolist() == [4, 4, 4, 4, 1, 1] and a[4:].tolist() == [0, 0] and np.allclose(b[4:], 0.01)  # once is not enough
+    assert np.allclose(a[:4], [1 / 7, 2 / 7, 2 / 7, 1 / 7]) and np.allclose(b[:4], 3 / 7 * 0.01)  # seen 4/7, the suffix's distribution 3/7
+
+
 def test_suffix_tree_is_a_distribution(spark):
     texts = ["a b a b a c", "a b a b a b", "c a b", "b b a c a"] * 30
     train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
