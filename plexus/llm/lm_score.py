@@ -28,6 +28,7 @@ result; extra columns are left behind.
 from __future__ import annotations
 
 import math
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -327,8 +328,23 @@ def _unpacked(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-#: Of an occurrence: the word, what follows, the document's place in the piece (twice, plus one if it teaches), what the common contexts say of what follows.
-_POSITION = ["<i8", "<i8", "<u4", "<i2"]
+def _packed_positions(columns: list[np.ndarray]) -> bytes:
+    """Occurrences that are sorted by word, in the order of unsigned numbers: each word once, as its distance to the one before, with its count."""
+    word, *rest = columns
+    word = word.view(np.uint64)
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    head = _packed([np.diff(word[first], prepend=np.uint64(0)), np.diff(np.append(first, len(word))).astype("<u4")])
+    return struct.pack("<ii", len(first), len(head)) + head + _packed(rest)
+
+
+def _unpacked_positions(data: bytes, n: int) -> list[np.ndarray]:
+    words, size = struct.unpack_from("<ii", data)
+    gaps, times = _unpacked(data[8 : 8 + size], words, ["<u8", "<u4"])
+    return [np.repeat(np.cumsum(gaps, dtype=np.uint64).view(np.int64), times), *_unpacked(data[8 + size :], n, _POSITION)]
+
+
+#: Of an occurrence, beside the word: what follows, the document's place in the piece (twice, plus one if it teaches), what the common contexts say of what follows.
+_POSITION = ["<i8", "<u4", "<i2"]
 
 
 def _score_symbols(rows: DataFrame, tree: Tree, buckets: int) -> DataFrame:
@@ -370,10 +386,10 @@ def _score_symbols(rows: DataFrame, tree: Tree, buckets: int) -> DataFrame:
             )
             word = columns[0]
             bucket = ((word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.lexsort((word, bucket))
+            order = np.lexsort((word.view(np.uint64), bucket))
             bucket, columns = bucket[order], [c[order] for c in columns]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
-            packed = [_packed([c[a:b] for c in columns]) for a, b in zip(edges, edges[1:], strict=False)]
+            packed = [_packed_positions([c[a:b] for c in columns]) for a, b in zip(edges, edges[1:], strict=False)]
             yield _scored(
                 len(packed),
                 kind=pa.array(np.ones(len(packed), np.int32)),
@@ -436,7 +452,7 @@ def _score_buckets(scored: DataFrame, tree: Tree, divergence: float) -> DataFram
     names = [x.split()[0] for x in PARTS.split(", ")]
 
     def parts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pieces = [_unpacked(data, n, _POSITION) for _, _, n, data in rows]
+        pieces = [_unpacked_positions(data, n) for _, _, n, data in rows]
         word, after, doc, said = (np.concatenate(c) for c in zip(*pieces, strict=True))
         rid = np.repeat(np.array([r[1] for r in rows], np.int64), [r[2] for r in rows])
         place = (doc >> 1).astype(np.int64)
