@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, lm_score, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup
+from . import chat_format, decontaminate, language_id, lm_score, merkle, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, vector_codes
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,76 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents")))
+
+
+_LEVEL_SQL = """
+SELECT {tree}, level + 1 AS level, place // 8 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest, CAST(any_value((size + 7) // 8) AS BIGINT) AS size
+FROM {name} WHERE size > 1 GROUP BY {tree}, level, place // 8"""
+OP12_SQL = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (
+  SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS nth FROM (
+    SELECT doc_id, lang, text, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+      sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf FROM documents)),
+x AS (
+  SELECT d.*, dense_rank() OVER (ORDER BY coalesce('1' || lang, '0')) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY nth) - 1 AS place, count(*) OVER (PARTITION BY lang) AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 AND text IS NOT NULL AS hit,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM d, crc_table),
+n(tree, level, place, digest, size) AS (SELECT tree, 0, place, leaf, size FROM x UNION ALL {_LEVEL_SQL.format(tree="tree", name="n")}),
+g(tree, level, place, digest, size) AS (SELECT -1, 0, tree, digest, (SELECT max(tree) + 1 FROM x) FROM n WHERE size = 1 UNION ALL {_LEVEL_SQL.format(tree="tree", name="g")}),
+every AS (SELECT * FROM n UNION ALL SELECT * FROM g),
+f AS (SELECT tree, level, place // 8 AS up, list(digest ORDER BY place) AS children FROM every WHERE size > 1 GROUP BY tree, level, place // 8),
+w(nth, tree, level, place, folded, proof, own) AS (
+  SELECT nth, tree, 0, place, CASE WHEN hit THEN sha256(head || octet_length(encode(low)) || ':' || low) ELSE leaf END, '', tree FROM x
+  UNION ALL
+  SELECT w.nth, CASE WHEN f.children IS NULL THEN -1 ELSE w.tree END, CASE WHEN f.children IS NULL THEN 0 ELSE w.level + 1 END, CASE WHEN f.children IS NULL THEN w.own ELSE w.place // 8 END,
+    CASE WHEN f.children IS NULL THEN w.folded ELSE sha256(array_to_string(f.children[:w.place % 8], '') || w.folded || array_to_string(f.children[w.place % 8 + 2:], '')) END,
+    CASE WHEN f.children IS NULL THEN w.proof ELSE w.proof || array_to_string(f.children[:w.place % 8], '') || array_to_string(f.children[w.place % 8 + 2:], '') END, w.own
+  FROM w LEFT JOIN f ON f.tree = w.tree AND f.level = w.level AND f.up = w.place // 8 WHERE w.tree >= 0 OR f.children IS NOT NULL),
+z AS (SELECT nth, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM w WHERE tree = -1 GROUP BY nth),
+r AS (SELECT arg_max(digest, level) AS root FROM g)
+SELECT doc_id, leaf, s.digest AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM x JOIN z ON z.nth = x.nth JOIN n AS s ON s.tree = x.tree AND s.size = 1 JOIN r ON true
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_error(coded)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def _round_sql(now: str, after: str) -> str:
+    return f"""
+a_{now} AS MATERIALIZED (SELECT p.nth, p.part, min(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + c.entry) AS best FROM p JOIN {now} AS c ON c.part = p.part GROUP BY p.nth, p.part),
+m_{now} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+  SELECT a.part, best % 64 AS entry, i, sum(p.x[i]) AS s, count(*) AS n FROM a_{now} AS a JOIN p ON p.nth = a.nth AND p.part = a.part, range(1, (SELECT len(x) + 1 FROM p LIMIT 1)) r(i) GROUP BY ALL) GROUP BY part, entry),
+{after} AS MATERIALIZED (SELECT c.part, c.entry, CAST(coalesce(m.x, c.x) AS BIGINT[]) AS x FROM {now} AS c LEFT JOIN m_{now} AS m ON m.part = c.part AND m.entry = c.entry),"""
+
+
+OP13_SQL = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS nth
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT nth, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM k, range(16) q(part)),
+c0 AS MATERIALIZED (SELECT part, nth AS entry, x FROM p WHERE nth < 64),{_round_sql("c0", "c1")}{_round_sql("c1", "c2")}
+a AS (SELECT p.nth, p.part, min(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + c.entry) AS best FROM p JOIN c2 AS c ON c.part = p.part GROUP BY p.nth, p.part),
+e AS (SELECT nth, string_agg(printf('%02x', CAST(best % 64 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a GROUP BY nth)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
+FROM k JOIN e ON e.nth = k.nth
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
 i AS (SELECT item_id, words, least(length(words), 5) AS size FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM benchmark) WHERE length(words) > 0),
@@ -126,5 +196,5 @@ h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ig JOIN dg ON dg.gram =
 SELECT doc_id, h.item_id, n_item, n_shared FROM h JOIN n ON n.item_id = h.item_id WHERE 10 * n_shared >= 8 * n_item
 """
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_lm_score": op4_lm_score, "op5_language_id": op5_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_decontaminate": OP9_SQL}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_lm_score": op4_lm_score, "op5_language_id": op5_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_chat_format": op7_chat_format, "op8_simhash": op8_simhash, "op9_decontaminate": op9_decontaminate, "op10_suffix_dedup": op10_suffix_dedup, "op11_packing": op11_packing, "op12_merkle": op12_merkle, "op13_vector_codes": op13_vector_codes}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_decontaminate": OP9_SQL, "op12_merkle": OP12_SQL, "op13_vector_codes": OP13_SQL}
