@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model import CONSUMER_KINDS, glob_match, is_dependency, level_of, parent_of
 from ..plans.bundle import GraphBundle
 from ..workspace import written
+from . import blocks
 from .traverse import closure
 
 #: Up to so many arcs a component search runs on the driver; beyond, and always with ``limit=0``, on the executors.
@@ -82,7 +83,7 @@ def strongly_connected(bundle: GraphBundle, limit: int = LOCAL_ARCS) -> DataFram
         found = _tarjan([(r["src"], r["dst"]) for r in arcs.collect()])
         rows = bundle.spark.createDataFrame(found or [("", "")], "id string, component string")
         return ids.join(rows, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return ids.join(_coloured(arcs.where("src <> dst")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return ids.join(blocks.coloured(arcs), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def _tarjan(arcs: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -131,51 +132,6 @@ def _tarjan(arcs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return found
 
 
-def _coloured(arcs: DataFrame) -> DataFrame:
-    """Trim, then colour: the least id that reaches a vertex is its colour; what reaches that id within the colour is its component.
-
-    Each round settles at least the component of every colour's own id, and nothing but counts comes to the driver.
-    """
-    spark = arcs.sparkSession
-    left = written(arcs, "left")
-    done: DataFrame | None = None
-    while True:
-        while True:  # a vertex without arcs in, or without arcs out, is a component of its own
-            before = left.count()
-            heads = left.select(F.col("src").alias("x")).distinct()
-            tails = left.select(F.col("dst").alias("x")).distinct()
-            both = heads.join(tails, "x", "left_semi")
-            left = written(left.join(both.withColumnRenamed("x", "src"), "src", "left_semi").join(both.withColumnRenamed("x", "dst"), "dst", "left_semi").select("src", "dst"), "left")
-            if left.count() == before:
-                break
-        if before == 0:
-            break
-        colour = written(left.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("colour")), "colour")
-        while True:
-            told = left.join(colour, left["src"] == colour["id"]).groupBy(F.col("dst").alias("to")).agg(F.min("colour").alias("told"))
-            after = written(colour.join(told, colour["id"] == told["to"], "left").select("id", F.least("colour", "told").alias("colour")), "colour")
-            changed = after.join(colour.withColumnRenamed("colour", "old"), "id").where("colour <> old").isEmpty()
-            colour = after
-            if changed:
-                break
-        inside = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("d")), "dst").where("c = d").select("src", "dst", "c")
-        inside = written(inside, "inside")
-        back = written(colour.where("id = colour").select("id", "colour"), "back")
-        frontier = back
-        while True:
-            step = inside.join(frontier, (inside["dst"] == frontier["id"]) & (inside["c"] == frontier["colour"])).select(F.col("src").alias("id"), F.col("c").alias("colour")).distinct()
-            frontier = written(step.join(back, ["id"], "left_anti"), "frontier")
-            if frontier.isEmpty():
-                break
-            back = written(back.union(frontier), "back")
-        done = back if done is None else done.union(back)
-        gone = back.select(F.col("id").alias("x"))
-        left = written(left.join(gone, left["src"] == gone["x"], "left_anti").join(gone, left["dst"] == gone["x"], "left_anti"), "left")
-    if done is None:
-        return spark.createDataFrame([], "id string, component string")
-    return done.select("id", F.col("colour").alias("component"))
-
-
 def cycles(bundle: GraphBundle, level: str = "object", limit: int = LOCAL_ARCS) -> DataFrame:
     """(cycle_id, members, size, self_loop) after projection: components of several vertices, and vertices that depend on themselves."""
     graph = project(bundle, level) if level != "member" else bundle
@@ -245,33 +201,23 @@ def policy_notes(bundle: GraphBundle, policy: Retention) -> list[str]:
 def dead(bundle: GraphBundle, policy: Retention = Retention()) -> DataFrame:
     """(id, kind, reason, reads, writes, suppression_reason): consumers that nothing alive in the database depends on.
 
-    Peeling by rounds over distinct dependents (unknown ones count, cycles keep each other alive); then whatever a live caller's
-    ambiguous call may mean is taken back, with its dependencies.
+    Counters of live dependents (distinct, unknown ones count, cycles keep each other alive) fall as dependents go; then whatever a live
+    caller's ambiguous call may mean is taken back, with its dependencies.
     """
     arcs = written(bundle.arcs(registered=False).select("src", "dst").distinct(), "arcs")
     kept = retained(bundle, policy).select("id")
     able = written(bundle.vertices.where(F.col("kind").isin(*CONSUMER_KINDS)).select("id", "kind").join(kept, "id", "left_anti"), "consumers")
-    depends = written(arcs.join(able.select(F.col("id").alias("dst")), "dst", "left_semi"), "dependents")
-    none = able.join(depends.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit("noDependents").alias("reason"))
-    gone = written(none, "dead")
-    while True:
-        live = depends.join(gone.select(F.col("id").alias("src")), "src", "left_anti").select(F.col("dst").alias("id")).distinct()
-        fresh = able.select("id").join(live, "id", "left_anti").join(gone.select("id"), "id", "left_anti").select("id", F.lit("allDependentsDead").alias("reason"))
-        fresh = written(fresh, "dead")
-        if fresh.isEmpty():
-            break
-        gone = written(gone.union(fresh), "dead")
+    steps = arcs.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    own = arcs.where("src = dst").select(F.col("src").alias("id"))
+    depended = arcs.select(F.col("dst").alias("id"), F.lit(True).alias("depended")).distinct()
+    gone = blocks.peeled(steps, able.select("id").join(own, "id", "left_anti"))
+    gone = written(gone.join(depended, "id", "left").select("id", F.when(F.col("depended"), "allDependentsDead").otherwise("noDependents").alias("reason")), "dead")
     calls = bundle.diagnostics.select(F.col("id").alias("src"), F.explode("candidates").alias("dst")).where("src <> dst").distinct()
     calls = written(calls, "possible-calls")
     if not calls.isEmpty():
-        frontier = calls.select(F.col("src").alias("id")).distinct().join(gone.select("id"), "id", "left_anti")
-        reach_ = arcs.union(calls).distinct()
-        while True:
-            saved = written(reach_.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(gone.select("id"), "id", "left_semi"), "saved")
-            if saved.isEmpty():
-                break
-            gone = written(gone.join(saved, "id", "left_anti"), "dead")
-            frontier = saved
+        live = calls.select(F.col("src").alias("id")).distinct().join(gone.select("id"), "id", "left_anti")
+        into_gone = arcs.union(calls).join(gone.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        saved = blocks.distances(into_gone, live, blocks.FAR).where("distance > 0").select("id")
         called = calls.select(F.col("dst").alias("id")).distinct().withColumn("called", F.lit(True))
-        gone = gone.join(called, "id", "left").select("id", F.when(F.col("called") & (F.col("reason") == "noDependents"), "allDependentsDead").otherwise(F.col("reason")).alias("reason"))
+        gone = gone.join(saved, "id", "left_anti").join(called, "id", "left").select("id", F.when(F.col("called") & (F.col("reason") == "noDependents"), "allDependentsDead").otherwise(F.col("reason")).alias("reason"))
     return gone.join(able, "id").join(bundle.usage.select("id", "reads", "writes"), "id", "left").join(suppressed(bundle, policy), "id", "left").select("id", "kind", "reason", "reads", "writes", "suppression_reason")

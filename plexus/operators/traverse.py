@@ -1,8 +1,7 @@
 """Traversals over dependency edges.
 
-Two engines with the same results. ``reach`` is unlimited and stays on the executors: a frontier is joined with the arcs level by level
-and written to the shared folder; the driver sees one count a level. The budgeted walks keep their state on the driver, which the budget
-bounds, and only fetch the frontier's arcs, at most as many as the budget still allows.
+Two engines with the same results. ``reach`` is unlimited and stays on the executors, see ``blocks``. The budgeted walks keep their state on
+the driver, which the budget bounds, and only fetch the frontier's arcs, at most as many as the budget still allows.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..model import EDGE_KINDS, joined_kinds, kind_order
 from ..plans.bundle import GraphBundle
-from ..workspace import written
+from . import blocks
 from .localgraph import local_graph
 
 UNLIMITED = 1 << 31
@@ -89,29 +88,7 @@ def distances(arcs: DataFrame, seeds: DataFrame, depth: int = UNLIMITED, keys: t
         sown = seeds.select(*on).distinct().limit(local + 1).toArrow()
         if few.num_rows <= local and sown.num_rows <= (local if not keys else 1000):
             return _local_distances(few, sown, depth, seeds, on)
-    seen = written(seeds.select(*on).distinct().withColumn("distance", F.lit(0)), "seen")
-    steps = arcs.select("a", "b").where("a <> b").distinct()
-    frontier, layers, level = seen, [seen], 0
-    while level < depth:
-        level += 1
-        found = frontier.join(steps, frontier["id"] == steps["a"]).select(*keys, F.col("b").alias("id")).distinct()
-        everything = layers[0]
-        for layer in layers[1:]:
-            everything = everything.unionByName(layer)
-        fresh = written(found.join(everything.select(*on), on, "left_anti").withColumn("distance", F.lit(level)), "level")
-        if fresh.isEmpty():
-            break
-        layers.append(fresh)
-        frontier = fresh
-        if len(layers) > 16:  # keep the plan short
-            everything = layers[0]
-            for layer in layers[1:]:
-                everything = everything.unionByName(layer)
-            layers = [written(everything, "seen")]
-    out = layers[0]
-    for layer in layers[1:]:
-        out = out.unionByName(layer)
-    return out
+    return blocks.distances(arcs, seeds, depth, keys)
 
 
 def _local_distances(arcs: pa.Table, seeds: pa.Table, depth: int, shape: DataFrame, on: list[str]) -> DataFrame:
