@@ -193,14 +193,13 @@ def cycles_trade_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _views(spark: SparkSession, sf_dir: str) -> GraphBundle:
-    """The row graph of all tables, with customers and nations as views; of the orders only urgent ones refer to their customer."""
+    """The row graph of all tables and all its edges, with customers and nations as views."""
     g = full(spark, sf_dir)
     kinds = F.when(F.col("schema").isin("customer", "nation") & F.col("id").contains("."), "view").otherwise(F.col("kind"))
-    calm = rowgraph.table(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'").select(F.concat(F.lit("orders."), F.col("o_orderkey").cast("string")).alias("src"), F.lit("references").alias("kind"))
-    return g.with_tables(vertices=g.vertices.withColumn("kind", kinds), edges=g.edges.join(calm, ["src", "kind"], "left_anti").select("src", "dst", "kind"))
+    return g.with_tables(vertices=g.vertices.withColumn("kind", kinds))
 
 
-_DEAD = f"""WITH {ALL_EDGES}, calm AS (SELECT 'orders.' || o_orderkey AS id FROM orders WHERE o_orderpriority <> '1-URGENT'), k AS (SELECT * FROM e WHERE src NOT IN (SELECT id FROM calm)),
+_DEAD = f"""WITH {ALL_EDGES}, k AS (SELECT * FROM e),
 c AS (SELECT 'customer.' || c_custkey AS id FROM customer), n AS (SELECT 'nation.' || n_nationkey AS id FROM nation)"""
 
 
@@ -332,6 +331,38 @@ for _query in (impact_region, query_depth2, impact_all_regions):
     _distributed(_query)
 
 
+ROOTS = [*(f"region.{k}" for k in range(5)), *(f"nation.{k}" for k in range(25)), *(f"supplier.{k}" for k in range(34))]
+
+
+@register(f"""WITH RECURSIVE {ALL_EDGES}, {ALL_IDS}, named(k, id) AS (VALUES {", ".join(f"({k}, '{r}')" for k, r in enumerate(ROOTS))}), roots AS (SELECT k, id FROM named SEMI JOIN v USING (id)),
+b(root, k, id, d) AS (SELECT id, k, id, 0 FROM roots UNION SELECT root, k, e.src, b.d + 1 FROM b JOIN e ON e.dst = b.id WHERE b.d < 9),
+m AS (SELECT root, k, id, min(d) AS d FROM b GROUP BY root, k, id), other AS (SELECT * FROM m WHERE id <> root),
+best AS (SELECT id, min(d) AS d, string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) AS roots FROM other GROUP BY id)
+SELECT best.id, 'column' AS kind, CAST(best.d AS INTEGER) AS depth, any_value(best.roots) AS roots, min(e.dst) AS via, any_value(e.kind) AS edges
+FROM best JOIN other AS o ON o.id = best.id AND o.d = best.d JOIN e ON e.src = best.id JOIN m AS p ON p.id = e.dst AND p.root = o.root AND p.d = best.d - 1 GROUP BY best.id, best.d""")
+def multi_root_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What depends on one of up to 64 rows, over all tables, on executors."""
+    found = traverse.reach_roots(full(spark, sf_dir), ROOTS, True)
+    return found.select("id", "kind", "depth", F.array_join(F.col("roots").cast("array<string>"), "|").alias("roots"), "via", "edges")
+
+
+@register(f"""WITH RECURSIVE {ALL_EDGES},
+p(id, path, d) AS (SELECT 'lineitem.1-1', ['lineitem.1-1'], 0 UNION ALL SELECT e.dst, list_append(p.path, e.dst), p.d + 1 FROM p JOIN e ON e.src = p.id),
+s AS (SELECT id, min(d) AS d FROM p WHERE id LIKE 'region.%' GROUP BY id), n AS (SELECT p.id, count(*) AS n FROM p JOIN s ON s.id = p.id AND s.d = p.d GROUP BY p.id)
+SELECT array_to_string(path, '|') AS path, 'references' AS kinds, CAST(n AS BIGINT) AS paths_found FROM p JOIN s ON s.id = p.id AND s.d = p.d JOIN n ON n.id = p.id""")
+def shortest_paths_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shortest paths from an order line to each region, over all tables, on executors."""
+    graph = full(spark, sf_dir)
+    found = union_all([traverse.all_paths(graph, "lineitem.1-1", f"region.{k}", max_paths=1000) for k in range(5)])
+    return found.select(F.array_join("path", "|").alias("path"), F.array_join(F.array_distinct("kinds"), "|").alias("kinds"), F.col("paths_found").cast("long").alias("paths_found"))
+
+
+@register(ORACLE_SQL["shortest_paths"])
+def shortest_paths_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = rowgraph.trade_graph(spark, sf_dir, 5).saved()
+    return union_all([traverse.all_paths(graph, "nation.0", to, max_paths=10_000) for to in ("nation.7", "nation.13", "nation.20")]).select(F.array_join("path", "|").alias("path"))
+
+
 # -- lint ------------------------------------------------------------------------------------------------------------
 
 _META = star_catalog.sql_tables()

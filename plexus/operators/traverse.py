@@ -12,11 +12,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import EDGE_KINDS, joined_kinds, kind_order
-from ..plans.bundle import GraphBundle
+from ..plans.bundle import GraphBundle, union_all
+from ..workspace import written
 from . import blocks
 from .localgraph import local_graph
 
@@ -166,6 +167,84 @@ def impact_many(bundle: GraphBundle, seeds: DataFrame, key: str, local: int | No
     return distances(oriented(bundle.arcs(), True), known, keys=(key,), local=local).where("distance > 0")
 
 
+def reach_roots(bundle: GraphBundle, roots: list[str], incoming: bool, depth: int = UNLIMITED, most_roots: int = 64) -> DataFrame:
+    """``walk_roots`` without a budget, on executors: (id, kind, depth, edges, via, roots, roots_truncated).
+
+    All roots are searched at once: a vertex carries a bit a root, levels merge bits by ``bit_or``, and only bits that a vertex has not
+    had before travel on. A level is a written table; the driver sees whether it is empty.
+    """
+    spark = bundle.spark
+    distinct = sorted(set(roots), key=str.encode)
+    words = [f"w{k}" for k in range(-(-len(distinct) // 64) or 1)]
+    bits = lambda k: tuple((1 << k % 64) - (1 << 64) * (k % 64 == 63) if k // 64 == w else 0 for w in range(len(words)))
+    begun = spark.createDataFrame([(r, *bits(k)) for k, r in enumerate(distinct)], ", ".join(["id string", *(f"{w} long" for w in words)]))
+    arcs = oriented(bundle.arcs(), incoming).where("a <> b")
+    steps = written(arcs.select("a", "b").distinct(), "steps")
+    first = begun.join(bundle.vertices.select("id"), "id", "left_semi").select("id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("via"), *words)
+    layers = [written(first, "roots")]
+    level = 0
+    while level < depth:
+        level += 1
+        seen = union_all(layers).groupBy("id").agg(*(F.bit_or(w).alias(f"s{w}") for w in words))
+        told = layers[-1].where(F.col("level") == level - 1).select("id", *words).join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id"), F.col("a").alias("via"), *words).join(seen, "id", "left")
+        new = told.select("id", "via", *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"s{w}", F.lit(0).cast("long")))).alias(w) for w in words)).where(" OR ".join(f"{w} <> 0" for w in words))
+        fresh = written(new.groupBy("id").agg(F.lit(level).alias("level"), F.min("via").alias("via"), *(F.bit_or(w).alias(w) for w in words)).select("id", "level", "via", *words), "level")
+        if fresh.isEmpty():
+            break
+        if len(layers) > 8:  # keep the plan short
+            layers = [written(union_all(layers), "levels")]
+        layers.append(fresh)
+    every = union_all(layers)
+    found = every.where("level > 0").groupBy("id").agg(F.min("level").alias("depth"), F.min_by("via", "level").alias("via"), *(F.bit_or(w).alias(w) for w in words))
+    expanded = every.groupBy(F.col("id").alias("a")).agg(F.min("level").alias("at")).where(F.col("at") < min(depth, UNLIMITED)).select("a")
+    edges = arcs.join(expanded, "a").groupBy(F.col("b").alias("id")).agg(joined_kinds(F.collect_set("kind")).alias("edges"))
+    places = [(k, distinct.index(r)) for k, r in enumerate(roots)]
+    own = F.array_compact(F.array(*(F.when(F.shiftrightunsigned(words[d // 64], d % 64).bitwiseAND(F.lit(1)) == 1, F.lit(k)) for k, d in places)))
+    return (
+        found.join(edges, "id").join(bundle.vertices.select("id", "kind"), "id")
+        .select("id", "kind", "depth", "edges", "via", own.alias("all"))
+        .select("id", "kind", "depth", "edges", "via", F.slice("all", 1, most_roots).alias("roots"), (F.size("all") > most_roots).alias("roots_truncated"))
+    )
+
+
+def all_paths(bundle: GraphBundle, a: str, b: str, incoming: bool = False, max_paths: int = 32, depth: int = 32) -> DataFrame:
+    """``paths`` without a budget, on executors: (path_no, path, kinds, paths_found, truncated).
+
+    Distances from ``a``, then the arcs that lead one step further, then from ``b`` back over these: what both reach is the graph of all
+    shortest paths. Their number is added up along it, level by level, and the first ``max_paths`` of them, read backwards, are listed
+    from ``b`` on: each beginning can be completed, so no level keeps more than that.
+    """
+    spark = bundle.spark
+    schema = "path_no int, path array<string>, kinds array<string>, paths_found decimal(38,0), truncated boolean"
+    seeds = bundle.vertices.where(F.col("id").isin(a, b)).select("id").distinct()
+    known = {r["id"] for r in seeds.collect()}
+    if known != {a, b}:
+        return spark.createDataFrame([], schema)
+    if a == b:
+        return spark.createDataFrame([(0, [a], [], 1, False)], schema.replace("decimal(38,0)", "int")).withColumn("paths_found", F.col("paths_found").cast("decimal(38,0)"))
+    arcs = oriented(bundle.arcs(), incoming).where("a <> b").groupBy("a", "b").agg(joined_kinds(F.collect_set("kind")).alias("kinds"))
+    near = blocks.distances(arcs, seeds.where(F.col("id") == a), depth)
+    far = near.where(F.col("id") == b).first()
+    if far is None:
+        return spark.createDataFrame([], schema)
+    last = far["distance"]
+    onward = arcs.join(near.select(F.col("id").alias("a"), F.col("distance").alias("da")), "a").join(near.select(F.col("id").alias("b"), F.col("distance").alias("db")), "b").where((F.col("db") == F.col("da") + 1) & (F.col("db") <= last))
+    onward = written(onward.select("a", "b", "kinds", "da"), "onward")
+    back = blocks.distances(onward.select(F.col("b").alias("a"), F.col("a").alias("b")), seeds.where(F.col("id") == b), last)
+    dag = written(onward.join(back.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "kinds", "da"), "path-arcs")
+    ways = spark.createDataFrame([(a,)], "id string").select("id", F.lit(1).cast("decimal(38,0)").alias("ways"))
+    listed = spark.createDataFrame([([b], [])], "back array<string>, kinds array<string>")
+    for k in range(last):
+        ways = ways.join(dag.where(F.col("da") == k), F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))
+        step = dag.where(F.col("da") == last - 1 - k).select("a", "b", F.col("kinds").alias("kind"))
+        listed = listed.join(step, F.element_at("back", -1) == F.col("b")).select(F.concat("back", F.array("a")).alias("back"), F.concat(F.array("kind"), "kinds").alias("kinds")).orderBy("back").limit(max_paths)
+        if k % 4 == 3:  # keep the plans short
+            ways, listed = written(ways, "ways"), written(listed, "listed")
+    kept = written(listed.select(F.reverse("back").alias("path"), "kinds"), "paths")  # at most max_paths rows, so one task may number them
+    total = ways.select(F.col("ways").alias("paths_found"))
+    return kept.select((F.row_number().over(Window.orderBy("path")) - 1).alias("path_no"), "path", "kinds").join(F.broadcast(total), F.col("paths_found") > 0).withColumn("truncated", F.col("paths_found") > max_paths)
+
+
 # -- budgeted --------------------------------------------------------------------------------------------------------
 
 

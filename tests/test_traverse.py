@@ -121,6 +121,28 @@ def test_paths_are_all_the_shortest(spark):
     assert traverse.paths(g, "a", "q").reasons == {"root-not-found"}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_searches_on_executors_equal_those_in_memory(spark, seed):
+    rng = random.Random(10 + seed)
+    ids = [f"v{k:02d}" for k in range(30)]
+    edges = sorted({(rng.choice(ids), rng.choice(ids), rng.choice(["reads", "calls"])) for _ in range(80)})
+    g = graph(spark, edges, ids).saved()
+    wide = [*ids, *ids, "v05", "v06", "v07", "v05", "v08", "nowhere"]  # more than a word of bits, with repeats
+    for roots, depth, incoming in ((["v01", "v02", "zz", "v01"], traverse.UNLIMITED, True), (wide, 2, False)):
+        report = traverse.walk_roots(g, roots, incoming, depth, max_results=1000)
+        got = [tuple(r) for r in traverse.reach_roots(g, roots, incoming, depth).orderBy("depth", "id").collect()]
+        assert got == report.rows
+    assert traverse.reach_roots(g, ["zz"], True).count() == traverse.reach_roots(g, [], True).count() == 0
+    for to in ids[1:12]:
+        for most in (1000, 2):
+            report = traverse.paths(g, "v00", to, max_paths=most)
+            rows = sorted(traverse.all_paths(g, "v00", to, max_paths=most).collect())
+            assert [(r.path_no, r.path, r.kinds) for r in rows] == report.rows
+            assert all(r.truncated == ("path-limit" in report.reasons) for r in rows)
+            assert most < 1000 or all(r.paths_found == len(rows) for r in rows)
+    assert traverse.all_paths(g, "v00", "v00").first().path == ["v00"] and traverse.all_paths(g, "v00", "zz").count() == 0
+
+
 def test_explain_lists_every_kind_with_its_evidence(spark):
     g = graph(spark, DIAMOND).with_tables(evidence=spark.createDataFrame([("a", "b", "reads", "catalog", "y"), ("a", "b", "reads", "catalog", "y"), ("a", "b", "reads", "body-parse", "x")], "src string, dst string, kind string, layer string, detail string"))
     rows = {(r.src, r.dst, r.kind): (r.evidence, r.total_edges) for r in traverse.explain(g, "a").collect()}
