@@ -131,7 +131,7 @@ def run(a: argparse.Namespace, spark: SparkSession) -> int:
     if a.command == "serve":
         from .server import serve
 
-        return serve(g, sys.stdin, sys.stdout)
+        return serve(g, sys.stdin, sys.stdout, ordered=False)
     if a.command == "graph":
         shown = structure.project(g, level) if level and level != "member" else g
         show({"mermaid": render.mermaid, "dot": render.dot, "html": render.page, "json": lambda x: "".join(graphjson.chunks(x)), "summary": lambda x: _table(checks.summary(x), ["part", "kind"], 100, limitations=_notes(x))}[a.format](shown))

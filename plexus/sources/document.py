@@ -183,10 +183,11 @@ def _used(raw: dict) -> set[str]:
 def read_ndjson(spark: SparkSession, path: str) -> Document:
     """Header, schema, object, routine and dependency records, and a limitations trailer (mandatory in version 2).
 
-    A record without a schema of its own belongs to the last schema record before it; the order of lines is that of the file's
-    blocks and, within a block, of the scan.
+    A record without a schema of its own belongs to the last schema record before it; the order of lines is that of files by name, of
+    their blocks and, within a block, of the scan.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n")).alias("at"))
+    block = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", block.alias("block"), F.monotonically_increasing_id().alias("n")).withColumn("at", F.struct("block", "n"))
     first = lines.orderBy("at").first()
     head = json.loads(first["value"]) if first else {}
     if head.pop("type", None) != "document":
@@ -202,7 +203,7 @@ def read_ndjson(spark: SparkSession, path: str) -> Document:
     typed = typed.withColumn("own", F.coalesce(F.get_json_object("value", "$.schema"), F.when(F.col("type") == "schema", F.get_json_object("value", "$.name"))))
     data = typed.where(F.col("type").isin("schema", "object", "routine"))
     if not data.where("own IS NULL").isEmpty():
-        data = data.withColumn("own", F.last("own", ignorenulls=True).over(Window.orderBy("at")))
+        data = _carried(data)
     trailer = typed.where("type = 'limitations'").select(F.explode(F.from_json(F.get_json_object("value", "$.data"), "array<string>")).alias("x")).collect()
     used = {"external-queries-v1"} if not data.where("type = 'routine' AND get_json_object(value, '$.data.kind') = 'query'").isEmpty() else set()
     check_header(head, used)
@@ -218,6 +219,18 @@ def read_ndjson(spark: SparkSession, path: str) -> Document:
     )
 
 
+def _carried(data: DataFrame) -> DataFrame:
+    """``own`` of each record, or else the last one before it: within its block by a window of that block; the blocks' last ones go from block to block."""
+    lasts = data.groupBy("block").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("n"))).alias("last")).orderBy("block").collect()  # a row a block
+    rows, now = [], None
+    for r in lasts:
+        rows.append((tuple(r["block"]), now))
+        now = now if r["last"] is None else r["last"]
+    before = data.sparkSession.createDataFrame(rows, "block struct<f:string,b:bigint>, before string")
+    within = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    return data.join(F.broadcast(before), "block", "left").withColumn("own", F.coalesce(F.last("own", ignorenulls=True).over(within), "before")).drop("before")
+
+
 def _ref(c: str) -> Column:
     return F.concat_ws(".", f"{c}.database", f"{c}.schema", F.concat(F.col(f"{c}.name"), F.coalesce(F.concat(F.lit("("), F.col(f"{c}.signature"), F.lit(")")), F.lit(""))), f"{c}.member")
 

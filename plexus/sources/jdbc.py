@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import ship
+from ..workspace import ship, written
 from . import oracle_packages
 from .document import Document
 
@@ -72,6 +72,8 @@ ORACLE = {
     "dependencies": "SELECT owner AS s_schema, name AS s_name, referenced_owner AS t_schema, referenced_name AS t_name, referenced_link_name AS t_database, 'ALL_DEPENDENCIES' AS catalog, dependency_type FROM all_dependencies WHERE owner {filter}",
 }
 SERVERS = {"postgres": POSTGRES, "mysql": MYSQL, "sqlserver": SQLSERVER, "oracle": ORACLE}
+#: Notes of unclear package members that are shown one by one.
+MOST_NOTES = 1000
 SCHEMES = {"postgres": "postgres", "postgresql": "postgres", "mysql": "mysql", "mariadb": "mysql", "sqlserver": "sqlserver", "oracle": "oracle", "sqlite": "sqlite"}
 
 
@@ -124,12 +126,24 @@ def read(spark: SparkSession, dialect: str, reader: Reader, schemas: list[str],
 
         def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                found = [(r.schema_name, m.name, m.kind, "plsql", f"CREATE {m.body}", m.signature, r.name) for r in frame.itertuples() for m in oracle_packages.members(r.body)[0]]
-                yield pd.DataFrame(found, columns=["schema_name", "name", "kind", "language", "body", "signature", "member_of"], dtype=object)
+                found = []
+                for r in frame.itertuples():
+                    members, notes = oracle_packages.members(r.body)
+                    found += [(r.schema_name, m.name, m.kind, "plsql", f"CREATE {m.body}", m.signature, r.name, None) for m in members]
+                    found += [(r.schema_name, None, None, None, None, None, r.name, f"package {r.schema_name}.{r.name}: {n}") for n in notes]
+                yield pd.DataFrame(found, columns=["schema_name", "name", "kind", "language", "body", "signature", "member_of", "note"], dtype=object)
 
         ship(spark)
-        inner = whole.where("type = 'PACKAGE BODY'").select("schema_name", "name", "body").mapInPandas(cut, "schema_name string, name string, kind string, language string, body string, signature string, member_of string")
-        return units.unionByName(inner)
+        inner = whole.where("type = 'PACKAGE BODY'").select("schema_name", "name", "body").mapInPandas(cut, "schema_name string, name string, kind string, language string, body string, signature string, member_of string, note string")
+        inner = written(inner, "package-members")
+        unclear = inner.where("note IS NOT NULL").select("note")
+        n = unclear.count()
+        said.extend(r["note"] for r in unclear.orderBy("note").limit(MOST_NOTES).collect())
+        if n > MOST_NOTES:
+            said.append(f"package members that are not clear, in all: {n}")
+        if n:
+            said.append("package members are not collected whole")  # so the catalog is not complete
+        return units.unionByName(inner.where("note IS NULL").drop("note"))
 
     tables: dict[str, DataFrame] = {"schemas": spark.createDataFrame([(s,) for s in schemas], "schema string")}
     objects, columns, keys, bodies = rows("objects"), rows("columns"), rows("keys"), rows("bodies")
