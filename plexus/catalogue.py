@@ -331,6 +331,16 @@ for _query in (impact_region, query_depth2, impact_all_regions):
     _distributed(_query)
 
 
+MANY_RULES = [(f"order-{k}", f"lineitem.{k}-*", f"*.?{k % 10}", None) for k in range(1, 10_001)]
+
+
+@register(f"""WITH {ALL_EDGES}, l AS (SELECT *, TRY_CAST(regexp_extract(src, '^lineitem\\.([0-9]+)-', 1) AS BIGINT) AS k FROM e WHERE src LIKE 'lineitem.%')
+SELECT 'order-' || k AS rule, src, dst, kind FROM l WHERE k BETWEEN 1 AND 10000 AND regexp_full_match(dst, '.*\\..' || (k % 10))""")
+def rules_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten thousand rules over the edges of all tables."""
+    return checks.rules(full(spark, sf_dir), MANY_RULES)
+
+
 ROOTS = [*(f"region.{k}" for k in range(5)), *(f"nation.{k}" for k in range(25)), *(f"supplier.{k}" for k in range(34))]
 
 

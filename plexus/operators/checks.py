@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import globindex
 from ..model import STATES, glob_match, is_dependency
 from ..plans.bundle import GraphBundle
 from .structure import project
@@ -16,26 +17,48 @@ from .structure import project
 def rules(bundle: GraphBundle, rule_set: list[tuple[str, str, str, list[str] | None]], level: str | None = None) -> DataFrame:
     """(rule, src, dst, kind): edges that a rule (name, from glob, to glob, kinds or None) forbids.
 
-    Rules are few, so they are broadcast; the globs make it a theta join, which nothing but a nested loop over them can do.
+    A rule is found by the longer key of its two globs (see ``globindex``), so edges meet rules by equality and regexes run on what is
+    left. Rules are sent along, those without any literal piece as an array that each edge tries.
     """
     graph = project(bundle, level) if level else bundle
-    if not rule_set:
-        return graph.edges.select(F.lit("").alias("rule"), "src", "dst", "kind").limit(0)
-    table = F.broadcast(bundle.spark.createDataFrame(rule_set, "rule string, from_glob string, to_glob string, kinds array<string>"))
+    spark = bundle.spark
     edges = graph.edges.where(is_dependency(F.col("kind"))).select("src", "dst", "kind").distinct()
-    hit = glob_match(F.col("from_glob"), F.col("src")) & glob_match(F.col("to_glob"), F.col("dst")) & (F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind")))
-    return edges.join(table, hit).select("rule", "src", "dst", "kind")
+    indexed, loose = [], []
+    for name, a, b, kinds in rule_set:
+        found = [(k[1], side, k) for side, g in (("src", a), ("dst", b)) if (k := globindex.key_of(g))]
+        if found:
+            _, side, key = max(found)
+            indexed.append((f"{side}|{globindex.told(key)}", name, a, b, kinds, (side, key[0], key[1])))
+        else:
+            loose.append((name, a, b, kinds))
+    shape = "rule string, from_glob string, to_glob string, kinds array<string>"
+    hit = lambda r: glob_match(r("from_glob"), F.col("src")) & glob_match(r("to_glob"), F.col("dst")) & (r("kinds").isNull() | F.array_contains(r("kinds"), F.col("kind")))
+    out = edges.select(F.lit("").alias("rule"), "src", "dst", "kind").limit(0)
+    if indexed:
+        table = F.broadcast(spark.createDataFrame([x[:5] for x in indexed], f"key string, {shape}"))
+        has = F.concat(*(globindex.tagged(f"{side}|", globindex.keys(F.col(side), {(k, n) for *_, (s, k, n) in indexed if s == side})) for side in ("src", "dst")))
+        out = edges.withColumn("key", F.explode(has)).join(table, "key").where(hit(F.col)).select("rule", "src", "dst", "kind")
+    if loose:
+        struct = lambda r: F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("from_glob"), F.lit(r[2]).alias("to_glob"), (F.array(*map(F.lit, r[3])) if r[3] is not None else F.lit(None).cast("array<string>")).alias("kinds"))
+        tried = F.filter(F.array(*map(struct, loose)), lambda r: hit(lambda c: r[c]))
+        out = out.unionByName(edges.withColumn("r", F.explode(tried)).select(F.col("r.rule").alias("rule"), "src", "dst", "kind"))
+    return out
 
 
 def unmatched_patterns(bundle: GraphBundle, rule_set: list[tuple[str, str, str, list[str] | None]], level: str | None = None) -> list[str]:
     """Notes on globs that match no vertex: such a rule checks nothing."""
     graph = project(bundle, level) if level else bundle
     patterns = sorted({(name, g) for name, a, b, _ in rule_set for g in (a, b)})
-    if not patterns:
-        return []
-    table = F.broadcast(bundle.spark.createDataFrame(patterns, "rule string, pattern string"))
-    met = {(r["rule"], r["pattern"]) for r in graph.vertices.select("id").join(table, glob_match(F.col("pattern"), F.col("id"))).select("rule", "pattern").distinct().collect()}
-    return [f"rule {name}: no vertex matches {g}" for name, g in patterns if (name, g) not in met]
+    globs = sorted({g for _, g in patterns})
+    keyed = [(globindex.told(k), g, k[:2]) for g in globs if (k := globindex.key_of(g))]
+    ids = graph.vertices.select("id").distinct()
+    met: set[str] = set()
+    if keyed:
+        table = F.broadcast(bundle.spark.createDataFrame([x[:2] for x in keyed], "key string, pattern string"))
+        found = ids.withColumn("key", F.explode(globindex.keys(F.col("id"), {x[2] for x in keyed}))).join(table, "key").where(glob_match(F.col("pattern"), F.col("id")))
+        met |= {r["pattern"] for r in found.select("pattern").distinct().collect()}  # as many as the rules have
+    met |= {g for g in globs if not globindex.key_of(g) and not ids.where(glob_match(F.lit(g), F.col("id"))).isEmpty()}
+    return [f"rule {name}: no vertex matches {g}" for name, g in patterns if g not in met]
 
 
 # -- search ----------------------------------------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """What bodies were found to say, kept between runs.
 
-A folder holds generations of one Parquet table, FACTS with the ``key`` of each body: a hash of the catalog's names, the body and all else
-that binding reads. A generation counts once its job has committed; the newest one is read, and older ones go when a newer one is there. A
-cache that is missing, or of another shape, is no error: everything is bound again.
+A folder holds generations of one Parquet table, FACTS with the ``key`` of each body: a hash of the body and of the settings that binding reads. With
+them go each body's footprint (fact ``touch``: every name that was looked up for it, found or not) and the catalog's names with a hash of what
+they stood for (fact ``name``). Names that differ between then and now are joined with the footprints, which gives the bodies to be bound again; a
+table that no body asked for rebinds none. A generation counts once its job has committed; the newest one is read, and older ones go when a
+newer one is there. A cache that is missing, or of another shape, is no error: everything is bound again.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Raised whenever binding may say something else of the same body.
-VERSION = 1
+VERSION = 2
 
 
 def _files(spark: SparkSession, folder: str):
@@ -53,8 +55,7 @@ def publish(facts: DataFrame, folder: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def keyed(work: DataFrame, names: DataFrame, settings: str) -> DataFrame:
-    """``work`` with ``key``. ``names``: one text column, everything by name that a body can be bound to, in any order."""
-    catalog = names.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("name", F.lit(1)).cast("decimal(38,0)")).alias("b")).first()
-    told = f"{VERSION}|{settings}|{catalog['n']}|{catalog['a']}|{catalog['b']}"
-    return work.withColumn("key", F.sha2(F.to_json(F.struct(F.lit(told).alias("catalog"), "owner", "kind", "schema", "language", "table_id", "body")), 256))
+def keyed(work: DataFrame, settings: str) -> DataFrame:
+    """``work`` with ``key``: the body and all else that binding reads but the catalog's names, which are compared by footprint."""
+    told = f"{VERSION}|{settings}"
+    return work.withColumn("key", F.sha2(F.to_json(F.struct(F.lit(told).alias("settings"), "owner", "kind", "schema", "language", "table_id", "body")), 256))

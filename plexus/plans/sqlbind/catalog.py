@@ -13,8 +13,37 @@ def ascii_lower(x: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
 
 
+class _Columns(dict):
+    """Columns by object id; every id that is asked for is noted."""
+
+    def __init__(self, touched: set[str]) -> None:
+        super().__init__()
+        self.touched = touched
+
+    def get(self, key: str, default: object = None) -> object:
+        self.touched.add(f"c|{key}")
+        return super().get(key, default)
+
+
+class _Schemas(set):
+    def __init__(self, touched: set[str]) -> None:
+        super().__init__()
+        self.touched = touched
+
+    def __contains__(self, key: object) -> bool:
+        self.touched.add(f"s|{key}")
+        return super().__contains__(key)
+
+
+def name_key(part: str, schema: str, name: str) -> str:
+    """The key under which a lookup and a catalog's name meet, the same for names that differ by letter case only."""
+    return f"{part}|{schema.lower()}|{name.lower()}"
+
+
 @dataclass
 class Catalog:
+    """``touched`` has the keys of all names that were looked up, found or not, since it was cleared."""
+
     dialect: str = ""
     database: str | None = None
     folds_relations: bool = False
@@ -23,6 +52,10 @@ class Catalog:
     columns: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
     routines: dict[tuple[str, str], list[str]] = field(default_factory=dict)
     folded: dict[tuple[str, str], list[tuple[str, str]]] = field(default_factory=dict)
+    touched: set[str] = field(default_factory=set)
+
+    def __post_init__(self) -> None:
+        self.columns, self.schemas = _Columns(self.touched), _Schemas(self.touched)
 
     def name(self, value: str, quoted: bool) -> str:
         """A relation's or alias's name as the dialect stores it."""
@@ -56,15 +89,18 @@ class Catalog:
 
     def find(self, schema: str, name: str) -> list[tuple[str, str]]:
         """Objects of that name: the exact one, or those that differ by letter case where the server would not tell them apart."""
+        self.touched.add(name_key("o", schema, name))
         exact = self.objects.get((schema, name))
         if exact:
             return [exact]
         return self.folded.get((ascii_lower(schema), ascii_lower(name)), []) if self.folds_relations else []
 
     def variants(self, schema: str, name: str) -> int:
+        self.touched.add(name_key("o", schema, name))
         return len(self.folded.get((ascii_lower(schema), ascii_lower(name)), []))
 
     def find_routine(self, schema: str, name: str) -> list[str]:
+        self.touched.add(name_key("r", schema, name))
         return self.routines.get((schema, name), [])
 
 

@@ -92,6 +92,10 @@ def _default(binder: Binder, owner: str, text: str, digest: str) -> list[tuple]:
     return [(owner, "edge", owner, to, "depends-on", "default", None, None, None, None, [], None, None, digest) for to in sorted(binder.calls)]
 
 
+def _row(owner: str, fact: str, message: str) -> tuple:
+    return (owner, fact, None, None, None, None, None, None, None, message, [], None, None, None)
+
+
 def _outputs(binder: Binder, out: Relation, outputs: list[tuple[str, str]]) -> set[tuple[str, str]]:
     if out.unknown or not outputs:
         return set()
@@ -190,7 +194,12 @@ def enrich(doc: Document, bundle: GraphBundle, cache: str | None = None) -> Grap
         for schema, name, id_ in facts[2]:
             catalog.add_routine(schema, name, id_)
         for frame in frames:
-            rows = [x for r in frame.itertuples() for x in bind_body(catalog, r.owner, r.kind, r.schema, r.body, r.language, outputs.get(r.owner, []), r.table_id)]
+            rows = []
+            for r in frame.itertuples():
+                catalog.touched.clear()
+                rows += bind_body(catalog, r.owner, r.kind, r.schema, r.body, r.language, outputs.get(r.owner, []), r.table_id)
+                if cache is not None:
+                    rows += [_row(r.owner, "touch", x) for x in sorted(catalog.touched | {f"c|{r.owner}"})]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
             yield out.astype({"line": "Int64", "col": "Int64"})
 
@@ -200,7 +209,8 @@ def enrich(doc: Document, bundle: GraphBundle, cache: str | None = None) -> Grap
     if cache is None:
         told = written(work.repartition("owner").mapInPandas(run, FACTS), "facts")
     else:
-        told = _through_cache(cache, doc, bundle, work, run, f"{dialect}|{database}|{folds}")
+        members = bodies.select(F.col("o2").alias("id"), "member_of").where("id IS NOT NULL").dropDuplicates(["id"])
+        told = _through_cache(cache, doc, bundle, work, members, run, f"{dialect}|{database}|{folds}")
     ids = bundle.vertices.select("id")
     edges = told.where("fact = 'edge'")
     real = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -219,21 +229,37 @@ def enrich(doc: Document, bundle: GraphBundle, cache: str | None = None) -> Grap
     )
 
 
-def _through_cache(folder: str, doc: Document, bundle: GraphBundle, work: DataFrame, run, settings: str) -> DataFrame:
-    """FACTS of all bodies; those that the cache knows are not bound again."""
-    spark = bundle.spark
-    name = lambda *c: F.to_json(F.struct(*c)).alias("name")
-    names = union_all(
+def _names(doc: Document, bundle: GraphBundle, members: DataFrame) -> DataFrame:
+    """(message, body_hash): everything that a body can look up, by the keys of ``catalog.name_key``, with a hash of what is found there."""
+    key = lambda part, *c: F.concat(F.lit(f"{part}|"), F.concat_ws("|", *c))
+    hash_ = lambda *c: F.xxhash64(F.to_json(F.struct(*c))).alias("h")
+    low = F.lower
+    routines = bundle.vertices.where("kind IN ('function', 'procedure', 'package')").select("schema", "name", "id").join(members, "id", "left").withColumn("place", F.concat_ws(".", "schema", "member_of"))
+    every = union_all(
         [
-            doc.objects.select(name("schema", "name", "kind")),
-            bundle.columns.select(name("table_id", "name", "column_id", "ordinal")),
-            bundle.vertices.where("kind IN ('function', 'procedure', 'package')").select(name("schema", "name", "id")),
+            doc.objects.select(key("o", low("schema"), low("name")).alias("message"), hash_("schema", "name", "kind")),
+            doc.objects.select(key("s", F.col("schema")).alias("message"), F.lit(1).cast("long").alias("h")).distinct(),
+            bundle.columns.select(key("c", F.col("table_id")).alias("message"), hash_("name", "column_id", "ordinal")),
+            routines.select(key("r", low("place"), low("name")).alias("message"), hash_("place", "name", "id")),
         ]
     )
-    work = written(bodycache.keyed(work, names, settings), "keyed-bodies")
+    return every.groupBy("message").agg(F.concat_ws("|", F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)"))).alias("body_hash"))
+
+
+def _through_cache(folder: str, doc: Document, bundle: GraphBundle, work: DataFrame, members: DataFrame, run, settings: str) -> DataFrame:
+    """FACTS of all bodies; one that the cache knows is bound again only if a name that it looked up, found or not, has changed since."""
+    spark = bundle.spark
+    work = written(bodycache.keyed(work, settings), "keyed-bodies")
+    names = written(_names(doc, bundle, members), "names")
     known = bodycache.read(spark, folder, f"{FACTS}, key string")
-    new = work.join(known.select("key").distinct(), "key", "left_anti")
+    before = known.where("fact = 'name'").select("message", F.col("body_hash").alias("before"))
+    changed = names.join(before, "message", "full").where(~F.col("body_hash").eqNullSafe(F.col("before"))).select("message")
+    stale = known.where("fact = 'touch'").join(changed, "message", "left_semi").select("key").distinct()
+    kept = written(known.where("fact <> 'name'").join(work.select("key"), "key", "left_semi").join(stale, "key", "left_anti"), "kept-facts")
+    new = work.join(kept.select("key").distinct(), "key", "left_anti")
     bound = new.drop("key").repartition("owner").mapInPandas(run, FACTS)
+    columns = [c.split()[0] for c in FACTS.split(", ")]
+    shown = names.select(*(F.col(c) if c in ("message", "body_hash") else F.lit("name").alias(c) if c == "fact" else F.lit(None).cast(kind).alias(c) for c, kind in ((c, t) for c, t in (x.split() for x in FACTS.split(", ")))), F.lit("").alias("key"))
     # a body's facts bear its owner, and an owner has one body
-    facts = known.join(work.select("key"), "key", "left_semi").unionByName(bound.join(new.select("owner", "key"), "owner"))
+    facts = union_all([kept.select(*columns, "key"), bound.join(new.select("owner", "key"), "owner").select(*columns, "key"), shown])
     return bodycache.publish(facts, folder).drop("key")

@@ -301,6 +301,32 @@ def test_bodies_are_bound_once(spark, tmp_path):
     assert len(list((tmp_path / "cache").iterdir())) == 1
 
 
+def test_only_bodies_that_a_change_touches_are_bound_again(spark, tmp_path):
+    marker = []
+
+    def edges(extra=(), more=(), cache=f"{tmp_path}/cache"):
+        table = lambda name, columns: {"name": name, "kind": "table", "columns": [{"name": c, "data_type": "int", "nullable": True, "ordinal": k} for k, c in enumerate(columns)]}
+        views = [{"name": n, "kind": "view", "columns": [], "body": b} for n, b in (("v", "SELECT id FROM t"), ("w", "SELECT id FROM u"), ("x", "SELECT k FROM later"))]
+        objects = [table("t", ["id", *more]), table("u", ["id"]), *views, *(table(n, ["k"]) for n in extra)]
+        d = document.from_value(spark, {"version": 2, "producer": {"name": "test"}, "required_features": [], "dialect": "sqlite", "schemas": [{"name": "main", "objects": objects, "routines": []}]})
+        return {tuple(r) for r in enrich(d, build(d), cache).edges.where("kind <> 'contains'").collect()}
+
+    def again(**k):
+        """Which views are bound: those whose kept facts, which say writes for reads, are not believed."""
+        (kept,) = (p for p in (tmp_path / "cache").iterdir())
+        facts = spark.read.parquet(str(kept))
+        facts.withColumn("kind", F.when(F.col("kind") == "reads", "writes").otherwise(F.col("kind"))).write.parquet(f"{tmp_path}/cache/facts-marked{len(marker)}")
+        marker.append(1)
+        return {a for a, b, kind in edges(**k) if kind == "reads"}
+
+    first = edges()
+    assert first == edges(cache=None) and not {x for x in first if x[0] == "main.x"}
+    assert again() == set()
+    assert again(extra=("unrelated",)) == set()  # a table that nobody asked for
+    assert again(more=("other",)) == {"main.v"}  # a column of a table that is read
+    assert again(extra=("later",), more=("other",)) == {"main.x"}  # a name that was missed before
+
+
 def test_imports(spark, doc, tmp_path):
     (tmp_path / "q").mkdir()
     (tmp_path / "q" / "a.sql").write_text("SELECT id FROM t")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from test_traverse import graph
 
@@ -116,3 +118,25 @@ def test_unused_facts(spark):
     assert rows == {"t": "bodyDependents", "t.i": "enforcesUniqueness|backsConstraint|coversForeignKeys|windowUnknown"}
     assert {r.kind: r.n for r in checks.unobserved(g).collect()} == {"table": 1}
     assert tuple(checks.stats_totals(g).first()) == (4, 7)
+
+
+GLOBS = ["*", "?*", "a*", "*b", "*ab*", "a?b", "abc", "", "*.x?", "a*c*", "??", "*abc*x", "a.b*", "b*.?c", "*a*b*c*"]
+
+
+def test_rules_by_index_equal_every_glob_on_every_edge(spark):
+    import re
+
+    rng = random.Random(5)
+    ids = sorted({"".join(rng.choice("abc.x") for _ in range(rng.randint(1, 7))) for _ in range(60)})
+    edges = sorted({(rng.choice(ids), rng.choice(ids), rng.choice(["reads", "calls"])) for _ in range(150)})
+    g = graph(spark, edges, ids)
+    wanted = [(f"r{k}", rng.choice(GLOBS), rng.choice(GLOBS), rng.choice([None, ["reads"], []])) for k in range(80)]
+    fits = lambda glob, x: re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob), x, re.S)
+    want = {(n, s, d, k) for n, a, b, kinds in wanted for s, d, k in edges if fits(a, s) and fits(b, d) and (kinds is None or k in kinds)}
+    found = checks.rules(g, wanted)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    every = {r.id for r in g.vertices.collect()}
+    assert checks.unmatched_patterns(g, wanted) == [f"rule {n}: no vertex matches {x}" for n, x in sorted({(n, x) for n, a, b, _ in wanted for x in (a, b)}) if not any(fits(x, v) for v in every)]
+    assert checks.rules(g, []).count() == 0
