@@ -1,11 +1,12 @@
 """The graph as JSON: read versions 1 and 2, write version 2.
 
-Large graphs are written line by line from the executors' sorted rows; what a reader does not know is counted, not kept.
+Large graphs are written by executors, as sorted parts that become one file; what a reader does not know is counted, not kept.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..model import EDGE_KINDS, SCHEMAS, VERTEX_KINDS, kind_order
 from ..plans.bundle import GraphBundle
+from ..workspace import shared_folder
 
 FORMAT = "plexus-graph"
 _SHAPE = """version int, vertices array<struct<id:string,kind:string,name:string,schema:string>>,
@@ -55,14 +57,13 @@ def read(spark: SparkSession, path: str) -> GraphBundle:
     return GraphBundle(spark, tables, complete).noted([f"vertices of unknown kinds: {bad_v}"] * bool(bad_v) + [f"edges of unknown kinds: {bad_e}"] * bool(bad_e))
 
 
-def _objects(df: DataFrame, order: list) -> Iterator[str]:
-    """JSON texts in order. Absent values are left out."""
-    for row in df.select(F.to_json(F.struct(*df.columns)).alias("j"), *[c.alias(f"__{k}") for k, c in enumerate(order)]).orderBy(*[f"__{k}" for k in range(len(order))]).select("j").toLocalIterator():
-        yield row["j"]
+def _objects(df: DataFrame, order: list) -> DataFrame:
+    """(j): JSON texts in order. Absent values are left out."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("j"), *[c.alias(f"__{k}") for k, c in enumerate(order)]).orderBy(*[f"__{k}" for k in range(len(order))]).select("j")
 
 
-def chunks(bundle: GraphBundle) -> Iterator[str]:
-    """The file's text, piece by piece; equal graphs give equal bytes."""
+def _pieces(bundle: GraphBundle) -> Iterator[str | DataFrame]:
+    """The file's text in order: literal pieces, and tables of texts that stand there one after the other with commas between."""
     key = ["src", "dst", "kind"]
     proof = bundle.evidence.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("layer", "detail"))).alias("evidence"))
     origins = bundle.origins.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(F.col("body_hash").alias("bodyHash"), "role", "line", "col"))).alias("origins"))
@@ -79,22 +80,65 @@ def chunks(bundle: GraphBundle) -> Iterator[str]:
     yield f'{{"format":"{FORMAT}","version":2'
     for name, df, order in sections:
         yield f',"{name}":['
-        for k, text in enumerate(_objects(df, order)):
-            yield ("," if k else "") + text
+        yield _objects(df, order)
         yield "]"
     yield ',"schemaMetadata":{"catalogComplete":' + ("true" if bundle.complete else "false")
     for name, df, order in (("columns", camel(bundle.columns), "columnId"), ("indexes", camel(bundle.indexes), "indexId"), ("foreignKeys", camel(bundle.fks), "fkId")):
         yield f',"{name}":['
-        for k, text in enumerate(_objects(df, [F.col(order)])):
-            yield ("," if k else "") + text
+        yield _objects(df, [F.col(order)])
         yield "]"
     notes_ = [r["note"] for r in bundle.limitations.distinct().orderBy("note").toLocalIterator()]
     yield f'}},"limitations":{json.dumps(notes_, ensure_ascii=False)}}}\n'
 
 
+def chunks(bundle: GraphBundle) -> Iterator[str]:
+    """The file's text, piece by piece, for a stream; equal graphs give equal bytes."""
+    for piece in _pieces(bundle):
+        if isinstance(piece, str):
+            yield piece
+        else:
+            for k, row in enumerate(piece.toLocalIterator()):
+                yield ("," if k else "") + row["j"]
+
+
 def write(bundle: GraphBundle, path: str) -> None:
-    """Publish at ``path`` in one step; an existing file is replaced only by a whole one."""
-    publish(path, chunks(bundle))
+    """Publish at ``path`` in one step; an existing file is replaced only by a whole one.
+
+    Executors sort and write each table's texts as parts in the shared folder, with commas for line ends; the file is put together from the
+    parts' bytes by the file system's copy. A path without a scheme is a local one.
+    """
+    spark = bundle.spark
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    here = "://" not in path and not path.startswith("file:")
+    target = hadoop.fs.Path(f"file://{Path(path).absolute()}" if here else path)
+    beside = hadoop.fs.Path(target.getParent(), target.getName() + ".tmp")
+    files = target.getFileSystem(conf)
+    files = files.getRawFileSystem() if files.getClass().getSimpleName() == "LocalFileSystem" else files  # no checksum files beside it
+    folder = f"{shared_folder(spark)}/graph-json-{uuid.uuid4().hex}"
+    out = files.create(beside, True)
+    try:
+        for n, piece in enumerate(_pieces(bundle)):
+            if isinstance(piece, str):
+                out.write(bytearray(piece.encode()))
+                continue
+            piece.write.option("lineSep", ",").text(f"{folder}/{n}")
+            place = hadoop.fs.Path(f"{folder}/{n}")
+            shared = place.getFileSystem(conf)
+            parts = sorted((s for s in shared.listStatus(place) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda s: s.getPath().getName())
+            for k, part in enumerate(parts):
+                source = shared.open(part.getPath())
+                hadoop.io.IOUtils.copyBytes(source, out, part.getLen() - (k + 1 == len(parts)), False)  # without the last comma
+                source.close()
+    finally:
+        out.close()
+        place = hadoop.fs.Path(folder)
+        place.getFileSystem(conf).delete(place, True)
+    if here:
+        Path(f"{path}.tmp").replace(path)
+    else:
+        over = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+        over[0] = hadoop.fs.Options.Rename.OVERWRITE
+        hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(beside, target, over)
 
 
 def publish(path: str, pieces: Iterator[str]) -> None:

@@ -106,7 +106,9 @@ def test_annotate_narrows_and_says_what_is_missing(doc):
 def test_graph_json_keeps_everything(spark, built, tmp_path):
     graphjson.write(built, f"{tmp_path}/g.json")
     first = (tmp_path / "g.json").read_bytes()
-    graphjson.write(built, f"{tmp_path}/g.json")
+    assert first == "".join(graphjson.chunks(built)).encode()
+    graphjson.write(built, f"file://{tmp_path}/g.json")
+    assert [p.name for p in tmp_path.iterdir()] == ["g.json"]
     assert (tmp_path / "g.json").read_bytes() == first
     back = graphjson.read(spark, f"{tmp_path}/g.json")
     for t in ("vertices", "edges", "evidence", "usage", "columns", "indexes", "fks"):

@@ -133,7 +133,7 @@ def test_searches_on_executors_equal_those_in_memory(spark, seed):
         got = [tuple(r) for r in traverse.reach_roots(g, roots, incoming, depth).orderBy("depth", "id").collect()]
         assert got == report.rows
     assert traverse.reach_roots(g, ["zz"], True).count() == traverse.reach_roots(g, [], True).count() == 0
-    for to in ids[1:12]:
+    for to in ids[1:6]:
         for most in (1000, 2):
             report = traverse.paths(g, "v00", to, max_paths=most)
             rows = sorted(traverse.all_paths(g, "v00", to, max_paths=most).collect())
