@@ -6,6 +6,7 @@ Large graphs are written by executors, as sorted parts that become one file; wha
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -109,11 +110,9 @@ def write(bundle: GraphBundle, path: str) -> None:
     """
     spark = bundle.spark
     hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
-    here = "://" not in path and not path.startswith("file:")
-    target = hadoop.fs.Path(f"file://{Path(path).absolute()}" if here else path)
+    target = hadoop.fs.Path(path if re.match(r"\w+:/", path) else f"file://{Path(path).absolute()}")
     beside = hadoop.fs.Path(target.getParent(), target.getName() + ".tmp")
     files = target.getFileSystem(conf)
-    files = files.getRawFileSystem() if files.getClass().getSimpleName() == "LocalFileSystem" else files  # no checksum files beside it
     folder = f"{shared_folder(spark)}/graph-json-{uuid.uuid4().hex}"
     out = files.create(beside, True)
     try:
@@ -127,14 +126,16 @@ def write(bundle: GraphBundle, path: str) -> None:
             parts = sorted((s for s in shared.listStatus(place) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda s: s.getPath().getName())
             for k, part in enumerate(parts):
                 source = shared.open(part.getPath())
-                hadoop.io.IOUtils.copyBytes(source, out, part.getLen() - (k + 1 == len(parts)), False)  # without the last comma
+                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, part.getLen() - int(k + 1 == len(parts)))  # without the last comma
                 source.close()
     finally:
         out.close()
         place = hadoop.fs.Path(folder)
         place.getFileSystem(conf).delete(place, True)
-    if here:
-        Path(f"{path}.tmp").replace(path)
+    if target.toUri().getScheme() == "file":
+        made = Path(beside.toUri().getPath())
+        made.replace(target.toUri().getPath())
+        made.with_name(f".{made.name}.crc").unlink(missing_ok=True)  # the local file system's checksum
     else:
         over = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
         over[0] = hadoop.fs.Options.Rename.OVERWRITE
