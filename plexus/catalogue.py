@@ -72,12 +72,6 @@ def full(spark: SparkSession, sf_dir: str) -> GraphBundle:
     return rowgraph.row_graph(spark, sf_dir).saved("vertices", "edges")
 
 
-@lru_cache(4)
-def star(spark: SparkSession) -> GraphBundle:
-    """The graph of the star catalog, built once a session: it is the same fixed document each time."""
-    return builder.build(document.from_value(spark, star_catalog.document())).saved()
-
-
 # -- traversal -------------------------------------------------------------------------------------------------------
 
 
@@ -375,84 +369,110 @@ def shortest_paths_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- lint ------------------------------------------------------------------------------------------------------------
 
-_META = star_catalog.sql_tables()
-_M = f"""WITH cols AS (SELECT * FROM {_META["cols"]}), fks AS (SELECT * FROM {_META["fks"]}), idx AS (SELECT * FROM {_META["idx"]}),
-pk AS (SELECT table_id, list(column_id ORDER BY pk) AS pk FROM cols WHERE pk > 0 GROUP BY table_id),
-typed AS (SELECT column_id, CASE lower(trim(data_type)) WHEN 'bigserial' THEN 'bigint' ELSE lower(trim(data_type)) END AS ty FROM cols)"""
+#: What ``row_catalog.order_document`` makes of the rows, in SQL.
+_SHOP = """cu AS (SELECT n_name AS sch, c_custkey, 'c' || c_custkey AS obj, n_regionkey AS rk, c_mktsegment AS seg, c_acctbal AS bal, c_acctbal >= 0 AS keyed,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'bigint' WHEN 'MACHINERY' THEN 'integer' WHEN 'FURNITURE' THEN NULL ELSE 'bigint' END AS ty FROM customer JOIN nation ON c_nationkey = n_nationkey),
+od AS (SELECT sch, 'o' || o_orderkey AS obj, o_orderkey, cu.obj AS cobj, cu.keyed AS ckeyed, cu.ty AS cty, seg, rk, o_orderstatus AS st, o_orderpriority AS pr, o_orderpriority <> '5-LOW' AS declared,
+  o_orderpriority IN ('1-URGENT', '2-HIGH') AS named FROM orders JOIN cu ON o_custkey = c_custkey),
+ln AS (SELECT sch, obj, st, 'l' || l_linenumber AS name, l_linenumber AS k, max(l_quantity) AS q, bool_or(l_returnflag = 'R') AS returned FROM lineitem JOIN od ON l_orderkey = o_orderkey GROUP BY ALL)"""
 _FINDING = "rule, status, advisory, subject, table_id, columns, code, message"
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> GraphBundle:
+    return builder.build(row_catalog.order_document(spark, sf_dir))
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.select(*_FINDING.split(", "))
 
 
-@register(f"""{_M}, j AS (
-  SELECT f.fk_id, f.table_id, f.cols, coalesce(bool_or(i.whole AND NOT i.filtered AND i.cols[1:len(f.cols)] = f.cols), false) AS ok, coalesce(bool_or(NOT i.whole), false) AS open_
-  FROM fks AS f LEFT JOIN idx AS i ON i.table_id = f.table_id GROUP BY f.fk_id, f.table_id, f.cols)
-SELECT 'fk-index-prefix' AS rule, CASE WHEN open_ OR pk IS NULL THEN 'unverified' ELSE 'confirmed' END AS status, false AS advisory, fk_id AS subject, j.table_id, array_to_string(cols, '|') AS columns,
-  CASE WHEN open_ OR pk IS NULL THEN 'inventory-incomplete' ELSE 'no-index-prefix' END AS code,
-  CASE WHEN open_ OR pk IS NULL THEN 'index inventory is incomplete' ELSE 'no index begins with the foreign key''s columns' END AS message
-FROM j LEFT JOIN pk ON pk.table_id = j.table_id WHERE NOT ok AND NOT coalesce(pk[1:len(cols)] = cols, false)""")
+@register(f"""WITH {_SHOP}, bad AS (
+  SELECT sch || '.' || obj AS t, 'to_hub' AS fk, 'hub_id' AS own, NOT (bal < 9000 AND keyed) AS open_ FROM cu WHERE NOT (bal < 9000 AND seg <> 'HOUSEHOLD')
+  UNION ALL SELECT sch || '.' || obj, 'to_customer', cobj || '_id', st = 'P' OR NOT (named OR ckeyed) FROM od WHERE declared AND st <> 'F')
+SELECT 'fk-index-prefix' AS rule, CASE WHEN open_ THEN 'unverified' ELSE 'confirmed' END AS status, false AS advisory, t || '.' || fk AS subject, t AS table_id, t || '.' || own AS columns,
+  CASE WHEN open_ THEN 'inventory-incomplete' ELSE 'no-index-prefix' END AS code,
+  CASE WHEN open_ THEN 'index inventory is incomplete' ELSE 'no index begins with the foreign key''s columns' END AS message FROM bad""")
 def lint_fk_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(lint.fk_index_prefix(star(spark)))
+    return _shown(lint.fk_index_prefix(_orders(spark, sf_dir)))
 
 
-@register(f"""{_M}, f AS (SELECT fk_id, fks.table_id, cols, CASE WHEN len(far) > 0 THEN far ELSE pk END AS far FROM fks LEFT JOIN pk ON pk.table_id = target_id),
-p AS (SELECT fk_id, table_id, unnest(cols) AS a, unnest(far) AS b FROM f)
-SELECT 'fk-type-mismatch' AS rule, 'confirmed' AS status, false AS advisory, fk_id AS subject, table_id, a || '|' || b AS columns, 'types-differ' AS code, x.ty || ' vs ' || y.ty AS message
-FROM p JOIN typed AS x ON x.column_id = a JOIN typed AS y ON y.column_id = b WHERE x.ty <> y.ty""")
+@register(f"""WITH {_SHOP}, f AS (SELECT *, sch || '.' || obj AS t, sch || '.' || obj || '.' || cobj || '_id' AS own, sch || '.' || cobj || '.id' AS far, named OR ckeyed AS known FROM od WHERE declared)
+SELECT 'fk-type-mismatch' AS rule, CASE WHEN known AND cty IS NOT NULL THEN 'confirmed' ELSE 'unverified' END AS status, false AS advisory, t || '.to_customer' AS subject, t AS table_id, CASE WHEN known THEN own || '|' || far ELSE own END AS columns,
+  CASE WHEN NOT known THEN 'targets-unknown' WHEN cty IS NULL THEN 'type-unknown' ELSE 'types-differ' END AS code,
+  CASE WHEN NOT known THEN 'the referenced columns are unknown' WHEN cty IS NULL THEN 'a declared type is unknown' ELSE 'bigint vs ' || cty END AS message
+FROM f WHERE NOT known OR cty IS DISTINCT FROM 'bigint'""")
 def lint_fk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(lint.fk_type_mismatch(star(spark)))
+    return _shown(lint.fk_type_mismatch(_orders(spark, sf_dir)))
 
 
-@register(f"""{_M} SELECT 'table-without-primary-key' AS rule, 'confirmed' AS status, true AS advisory, table_id AS subject, table_id, '' AS columns, 'no-primary-key' AS code, 'the table has no primary key' AS message
-FROM (SELECT DISTINCT table_id FROM cols) WHERE table_id NOT IN (SELECT table_id FROM pk)""")
+@register(f"""WITH {_SHOP}, t AS (SELECT sch || '.' || obj AS id FROM cu WHERE NOT keyed UNION ALL SELECT sch || '.' || obj FROM od WHERE st = 'P')
+SELECT 'table-without-primary-key' AS rule, 'confirmed' AS status, true AS advisory, id AS subject, id AS table_id, '' AS columns, 'no-primary-key' AS code, 'the table has no primary key' AS message FROM t""")
 def lint_missing_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(lint.missing_primary_key(star(spark)))
+    return _shown(lint.missing_primary_key(_orders(spark, sf_dir)))
 
 
-@register(f"""{_M} SELECT 'duplicate-index' AS rule, 'unverified' AS status, true AS advisory, b.index_id AS subject, b.table_id, array_to_string(b.cols, '|') AS columns, 'same-columns' AS code, 'same columns as ' || min(a.index_id) AS message
-FROM idx AS a JOIN idx AS b ON a.table_id = b.table_id AND a.cols = b.cols AND a.uniq = b.uniq AND a.index_id < b.index_id WHERE a.whole AND b.whole AND NOT a.filtered AND NOT b.filtered GROUP BY b.index_id, b.table_id, b.cols""")
+@register(f"""WITH {_SHOP}, x AS (SELECT *, sch || '.' || obj AS t FROM od WHERE st = 'F' AND pr IN ('3-MEDIUM', '4-NOT SPECIFIED'))
+SELECT 'duplicate-index' AS rule, 'unverified' AS status, true AS advisory, t || CASE pr WHEN '3-MEDIUM' THEN '.by_customer_again' ELSE '.by_customer' END AS subject, t AS table_id, t || '.' || cobj || '_id' AS columns,
+  'same-columns' AS code, 'same columns as ' || t || CASE pr WHEN '3-MEDIUM' THEN '.by_customer' ELSE '.to_customer@index' END AS message FROM x""")
 def lint_duplicate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(lint.duplicate_index(star(spark)))
+    return _shown(lint.duplicate_index(_orders(spark, sf_dir)))
 
 
 # -- documents -------------------------------------------------------------------------------------------------------
 
 
-@register(f"""{_M} SELECT 'vertex' AS part, 'column' AS kind, (SELECT count(*) FROM cols) + 1 AS n UNION ALL SELECT 'vertex', 'table', (SELECT count(DISTINCT table_id) FROM cols) UNION ALL SELECT 'vertex', 'view', 1 UNION ALL SELECT 'vertex', 'schema', 1
-UNION ALL SELECT 'vertex', 'constraint', (SELECT count(*) FROM fks) UNION ALL SELECT 'vertex', 'index', (SELECT count(*) FROM idx)
-UNION ALL SELECT 'edge', 'contains', (SELECT count(*) FROM cols) + 1 + (SELECT count(DISTINCT table_id) FROM cols) + 1 + (SELECT count(*) FROM fks) + (SELECT count(*) FROM idx)
-UNION ALL SELECT 'edge', 'references', (SELECT count(*) FROM (SELECT DISTINCT table_id, target_id FROM fks)) + (SELECT count(*) FROM fks WHERE len(far) > 0)""")
+@register(f"""WITH {_SHOP}, c AS (SELECT (SELECT count(*) FROM nation) AS hubs, (SELECT count(DISTINCT n_name) FROM nation) AS schemas, (SELECT count(*) FROM cu) AS cus, (SELECT count(*) FROM od) AS ods, (SELECT count(*) FROM ln) AS lns,
+  (SELECT count(*) FROM od WHERE declared) AS fks, (SELECT count(*) FROM od WHERE declared AND named) AS pairs, (SELECT count(*) FROM od WHERE st = 'F') + (SELECT count(*) FROM od WHERE st = 'F' AND pr IN ('3-MEDIUM', '4-NOT SPECIFIED')) AS ixs)
+SELECT 'vertex' AS part, 'column' AS kind, hubs + 2 * cus + 2 * ods + lns AS n FROM c UNION ALL SELECT 'vertex', 'table', hubs + cus + ods FROM c UNION ALL SELECT 'vertex', 'schema', schemas FROM c
+UNION ALL SELECT 'vertex', 'constraint', cus + fks FROM c UNION ALL SELECT 'vertex', 'index', cus + ixs FROM c
+UNION ALL SELECT 'edge', 'contains', 2 * hubs + 3 * cus + 3 * ods + lns + cus + fks + cus + ixs FROM c UNION ALL SELECT 'edge', 'references', 2 * cus + fks + pairs FROM c""")
 def document_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.summary(star(spark))
+    return checks.summary(_orders(spark, sf_dir))
 
 
-@register(f"""{_M} SELECT table_id AS src, 'main.' || CASE name WHEN 'region_id' THEN 'regions' ELSE 'users' END AS dst, 'inferred' AS kind FROM cols WHERE name IN ('region_id', 'user_id')""")
+@register(f"""WITH {_SHOP} SELECT sch || '.' || obj AS src, sch || '.hub' AS dst, 'references' AS kind FROM cu UNION ALL SELECT sch || '.' || obj || '.hub_id', sch || '.hub.id', 'references' FROM cu
+UNION ALL SELECT sch || '.' || obj, sch || '.' || cobj, 'references' FROM od WHERE declared UNION ALL SELECT sch || '.' || obj || '.' || cobj || '_id', sch || '.' || cobj || '.id', 'references' FROM od WHERE declared AND named""")
+def foreign_key_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of declared keys, between tables and, where the key names its target columns, between columns."""
+    return _orders(spark, sf_dir).edges.where("kind = 'references'")
+
+
+@register(f"WITH {_SHOP} SELECT sch || '.' || obj AS src, sch || '.' || cobj AS dst, 'inferred' AS kind FROM od WHERE NOT declared")
 def inferred_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return builder.inferred_keys(star(spark))[0]
+    return builder.inferred_keys(_orders(spark, sf_dir))[0]
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> tuple:
+    return row_catalog.order_document(spark, sf_dir), row_catalog.order_document(spark, sf_dir, later=True)
 
 
-def _documents(spark: SparkSession) -> tuple:
-    return document.from_value(spark, star_catalog.document()), document.from_value(spark, star_catalog.changed_document())
+_MOVED = f"""{_SHOP}, gone AS (SELECT * FROM od WHERE st = 'P'), stay AS (SELECT * FROM od WHERE st <> 'P'), fresh AS (SELECT *, 'v' || c_custkey AS v FROM cu WHERE bal > 9000),
+moved AS (
+  SELECT sch || '.' || obj AS t, NULL AS m, 'object' AS part, 'removed' AS change, '' AS detail, 'object-removed' AS kind FROM gone
+  UNION ALL SELECT sch || '.' || obj, 'id', 'column', 'removed', '', NULL FROM gone UNION ALL SELECT sch || '.' || obj, cobj || '_id', 'column', 'removed', '', NULL FROM gone
+  UNION ALL SELECT sch || '.' || obj, 'to_customer', 'constraint', 'removed', '', NULL FROM gone WHERE declared
+  UNION ALL SELECT sch || '.' || obj, name, 'column', 'removed', '', NULL FROM ln WHERE st = 'P'
+  UNION ALL SELECT sch || '.' || v, NULL, 'object', 'added', '', 'object-added' FROM fresh UNION ALL SELECT sch || '.' || v, 'id', 'column', 'added', '', NULL FROM fresh
+  UNION ALL SELECT sch || '.' || obj, 'id', 'column', 'changed', 'data_type', 'column-type-changed' FROM cu WHERE seg = 'MACHINERY'
+  UNION ALL SELECT n_name || '.hub', 'id', 'column', 'changed', 'data_type', 'column-type-changed' FROM nation WHERE n_regionkey = 0
+  UNION ALL SELECT sch || '.' || obj, 'note', 'column', 'added', '', CASE pr WHEN '1-URGENT' THEN 'required-column-added' ELSE 'column-added' END FROM stay WHERE st = 'O'
+  UNION ALL SELECT sch || '.' || obj, name, 'column', 'removed', '', 'column-removed' FROM ln WHERE st <> 'P' AND q > 45
+  UNION ALL SELECT sch || '.' || obj, name, 'column', 'changed', 'nullable', 'column-nullability-changed' FROM ln WHERE st <> 'P' AND q <= 45 AND k = 2
+  UNION ALL SELECT sch || '.' || obj, name, 'column', 'changed', 'default', 'column-default-changed' FROM ln WHERE st <> 'P' AND q <= 45 AND k = 1 AND returned
+  UNION ALL SELECT sch || '.' || obj, 'to_customer', 'constraint', 'removed', '', 'constraints-changed' FROM stay WHERE st = 'O' AND pr = '4-NOT SPECIFIED'
+  UNION ALL SELECT sch || '.' || obj, 'by_customer', 'index', 'removed', '', 'indexes-changed' FROM stay WHERE st = 'F' AND pr = '1-URGENT'
+  UNION ALL SELECT sch || '.' || obj, 'fresh', 'index', 'added', '', CASE pr WHEN '2-HIGH' THEN 'unique-index-added' ELSE 'index-added' END FROM stay WHERE st = 'O' AND pr IN ('2-HIGH', '3-MEDIUM'))"""
 
 
-@register("""SELECT * FROM (VALUES
-  ('main.part', 'object', 'removed', ''), ('main.part.p_partkey', 'column', 'removed', ''), ('main.part.p_name', 'column', 'removed', ''), ('main.part.part_name', 'index', 'removed', ''),
-  ('main.archive', 'object', 'added', ''), ('main.archive.id', 'column', 'added', ''), ('main.nation.n_name', 'column', 'changed', 'data_type'), ('main.customer.region_id', 'column', 'removed', ''),
-  ('main.orders.o_status', 'column', 'added', ''), ('main.orders.o_note', 'column', 'added', ''), ('main.supplier.s_name', 'column', 'changed', 'nullable'), ('main.region.region_name', 'index', 'added', ''),
-  ('main.order_names', 'definition', 'changed', 'body'), ('main.lineitem.lineitem_supplier', 'constraint', 'removed', '')) AS t(id, part, change, detail)""")
+@register(f"WITH {_MOVED} SELECT concat_ws('.', t, m) AS id, part, change, detail FROM moved")
 def diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return change.diff_documents(*_documents(spark))
+    return change.diff_documents(*_documents(spark, sf_dir))
 
 
-@register("""SELECT * FROM (VALUES
-  ('main.part', 'object-removed', 'main.part', true), ('main.archive', 'object-added', 'main.archive', false), ('main.nation.n_name', 'column-type-changed', 'main.nation', true),
-  ('main.customer.region_id', 'column-removed', 'main.customer', true), ('main.orders.o_status', 'required-column-added', 'main.orders', true), ('main.orders.o_note', 'column-added', 'main.orders', false),
-  ('main.supplier.s_name', 'column-nullability-changed', 'main.supplier', true), ('main.region.region_name', 'unique-index-added', 'main.region', true), ('main.order_names', 'definition-changed', 'main.order_names', true),
-  ('main.lineitem', 'constraints-changed', 'main.lineitem', true)) AS t(id, kind, object_id, needs_review)""")
+@register(f"""WITH {_MOVED} SELECT CASE WHEN kind IN ('constraints-changed', 'indexes-changed') THEN t ELSE concat_ws('.', t, m) END AS id, kind, t AS object_id,
+  kind NOT IN ('schema-added', 'object-added', 'column-added', 'index-added') AS needs_review FROM moved WHERE kind IS NOT NULL""")
 def change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return change.changes(*_documents(spark)).drop("evidence")
+    return change.changes(*_documents(spark, sf_dir)).drop("evidence")
 
 
 # -- documents made from rows ----------------------------------------------------------------------------------------
@@ -562,12 +582,11 @@ def merge_across_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.with_references(merged, [("one", one), ("two", two)]).edges.where("src LIKE 'one::%' AND dst LIKE 'two::%'")
 
 
-@register(f"""WITH {_ROWS} SELECT 'repeated constraint records: 1' AS note""")
+@register(f"WITH {_SHOP} SELECT 'repeated constraint records: ' || ((SELECT count(*) FROM cu) + (SELECT count(*) FROM od WHERE declared)) AS note")
 def repeated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a document says of identities that it holds twice."""
-    doc = document.from_value(spark, star_catalog.document() | {"limitations": []})
-    again = doc.constraints.limit(1)
-    twice = replace(doc, tables=doc.tables | {"constraints": doc.constraints.unionByName(again)})
+    doc = row_catalog.order_document(spark, sf_dir)
+    twice = replace(doc, tables=doc.tables | {"constraints": doc.constraints.unionByName(doc.constraints)})
     return spark.createDataFrame([(n,) for n in document.duplicate_notes(twice)], "note string")
 
 
@@ -612,19 +631,17 @@ def dbt_model_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH a AS ({" UNION ALL ".join(f"SELECT rule, status, advisory FROM ({ORACLE_SQL[k]})" for k in ("lint_fk_prefix", "lint_fk_types", "lint_missing_pk", "lint_duplicate_index"))})
 SELECT count(*) AS findings, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'unverified') AS unverified, count(*) FILTER (advisory) AS advisory, count(*) FILTER (status = 'confirmed' AND NOT advisory) AS blocking,
-  NOT bool_or(status = 'unverified' AND rule = 'fk-index-prefix') AND {str(bool(star_catalog.document().get("context", {}).get("catalog_complete"))).lower()} AS complete FROM a""")
+  count(*) <= 256 AND NOT bool_or(status = 'unverified' AND rule = 'fk-index-prefix') AS complete FROM a""")
 def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver over all rules that need no bodies."""
-    return lint.lint_summary(star(spark))
+    return lint.lint_summary(_orders(spark, sf_dir))
 
 
-@register(f"""WITH RECURSIVE fks AS (SELECT * FROM {_META["fks"]}), e AS (SELECT DISTINCT table_id AS src, target_id AS dst FROM fks),
-c(change_id, id) AS (VALUES ('object-removed#main.part', 'main.part'), ('column-type-changed#main.nation.n_name', 'main.nation'), ('column-removed#main.customer.region_id', 'main.customer'), ('required-column-added#main.orders.o_status', 'main.orders'),
-  ('column-nullability-changed#main.supplier.s_name', 'main.supplier'), ('unique-index-added#main.region.region_name', 'main.region')),
-b(change_id, root, id, d) AS (SELECT change_id, id, id, 0 FROM c UNION SELECT change_id, root, e.src, d + 1 FROM b JOIN e ON e.dst = b.id WHERE d < 9)
-SELECT change_id, id, min(d) AS distance FROM b WHERE id <> root GROUP BY change_id, id""")
+@register(f"""WITH {_SHOP} SELECT 'column-type-changed#' || sch || '.' || cobj || '.id' AS change_id, sch || '.' || obj AS id, 1 AS distance FROM od WHERE declared AND seg = 'MACHINERY'
+UNION ALL SELECT 'column-type-changed#' || sch || '.hub.id', sch || '.' || obj, 1 FROM cu WHERE rk = 0 UNION ALL SELECT 'column-type-changed#' || sch || '.hub.id', sch || '.' || obj, 2 FROM od WHERE declared AND rk = 0""")
 def review_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _documents(spark)
+    """Dependents of each change: of a customer's key its orders, of a hub's key the customers and, behind them, the orders."""
+    old, new = _documents(spark, sf_dir)
     return change.review(builder.build(old), builder.build(new), change.changes(old, new))[1]
 
 
