@@ -1,10 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 An item is found in a document if at least ``threshold`` of the item's distinct word shingles (five words) occur in it, however
-long the document is. Each item keeps a bottom-k MinHash sketch, the k smallest hashes of its shingles. Items are partitioned by
+long the document is. Each item keeps a bottom-k MinHash sketch, the SPARE * k smallest hashes of its shingles. Items are partitioned by
 their number of shingles into classes (doubling widths), and k = floor((1 - threshold) * u) + 1 for a class of at most u
-shingles: a document that holds the threshold misses fewer than k of the item's shingles, so it holds one of the sketch at
-least, and the search loses nothing. Documents with too few shingles for a class's smallest item are not matched against that
+shingles: a document that holds the threshold misses fewer than k of the item's shingles, so it holds one of any k of them at
+least, and the search loses nothing. The k are chosen from a sketch of SPARE * k: those that the fewest items have, so that a passage that
+many items begin with does not make each document with it a candidate of all of them. Documents with too few shingles for a class's smallest item are not matched against that
 class. Every candidate is then verified by exact shingle containment on the words themselves.
 
 Words: letters and digits after lower-casing; all else parts words. An item of fewer than five words has one shingle, its whole
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import ids_and_texts, in_pieces, materialise
 
@@ -30,6 +32,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: So many items, about, are verified with one reading of a document; with more candidates it is read again for the rest.
 TOGETHER = 64
+#: Sketches have so many times the hashes that a search needs, to choose the rarest from.
+SPARE = 4
 #: Sketches of more hashes than this (8 bytes each) are joined by a shuffle instead of being sent to every worker.
 SENT = 1 << 20
 
@@ -73,8 +77,8 @@ def size_class(n: int) -> tuple[int, int]:
     return low, 2 * low - 1
 
 
-def sketch(text: str, threshold: float, known: dict[str, int]) -> tuple[int, int, list[int]] | None:
-    """(shingle size, distinct shingles, bottom-k hashes) of an item."""
+def sketch(text: str, threshold: float, known: dict[str, int]) -> tuple[int, int, int, list[int]] | None:
+    """(shingle size, distinct shingles, k, bottom hashes) of an item."""
     words = words_of(text)
     if not words:
         return None
@@ -82,11 +86,12 @@ def sketch(text: str, threshold: float, known: dict[str, int]) -> tuple[int, int
     h = np.unique(shingle_hashes(words, size, known))
     low, high = size_class(len(h))
     k = min(len(h), high - least_hits(high, threshold) + 1)
-    return size, len(h), h[:k].view(np.int64).tolist()
+    return size, len(h), k, h[: SPARE * k].view(np.int64).tolist()
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, size, n, low (smallest size of its class), hash: a row per sketch hash."""
+    """item_id, size, n, low (smallest size of its class), k, text (a hash of it), hash: a row per sketch hash."""
+    fields = ("item_id", "size", "n", "low", "k", "text", "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -94,10 +99,21 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD, id_col: str = "item
             rows = []
             for i, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
                 if s := sketch(text, threshold, known):
-                    rows += [(i, s[0], s[1], size_class(s[1])[0], h) for h in s[2]]
-            yield pa.RecordBatch.from_pylist([dict(zip(("item_id", "size", "n", "low", "hash"), r, strict=True)) for r in rows], schema=pa.schema([(c, pa.int64()) for c in ("item_id", "size", "n", "low", "hash")]))
+                    of_text = _word_hash(text) >> 1
+                    rows += [(i, s[0], s[1], size_class(s[1])[0], s[2], of_text, h) for h in s[3]]
+            yield pa.RecordBatch.from_pylist([dict(zip(fields, r, strict=True)) for r in rows], schema=pa.schema([(c, pa.int64()) for c in fields]))
 
-    return ids_and_texts(items.distinct(), id_col, text_col).distinct().mapInArrow(run, "item_id long, size long, n long, low long, hash long")
+    return ids_and_texts(items.distinct(), id_col, text_col).distinct().mapInArrow(run, ", ".join(f"{c} long" for c in fields))
+
+
+def _rarest(found: DataFrame) -> DataFrame:
+    """The k hashes of each item that the fewest items have."""
+    found = materialise(found, "wide-sketches")
+    items = found.groupBy("size", "hash").agg(F.count(F.lit(1)).alias("items"))
+    # a partition is one item's sketch
+    order = Window.partitionBy("item_id", "size", "n", "text").orderBy("items", "hash")
+    ranked = found.join(items, ["size", "hash"]).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= F.col("k")).select("item_id", "size", "n", "low", "hash")
 
 
 def _probe(docs: DataFrame, sizes: list[int], classes: dict[int, int], wanted: np.ndarray | None) -> DataFrame:
@@ -158,7 +174,7 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, sent: int = SENT) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared): every item that a document contains. doc_id must tell documents apart."""
     rows = ids_and_texts(docs)
-    index = materialise(sketches(items, threshold), "sketches")
+    index = materialise(_rarest(sketches(items, threshold)), "sketches")
     partitions = index.groupBy("size", "low").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("hashes")).collect()  # at most 5 x 63 rows
     sizes = sorted({r["size"] for r in partitions})
     classes = {s: min(least_hits(r["least"], threshold) for r in partitions if r["size"] == s) for s in sizes}

@@ -56,3 +56,14 @@ def test_a_cluster_needs_a_shared_folder():
         workspace(Session)
     Session.sparkContext.master = "local[4]"
     assert workspace(Session)
+
+
+def test_items_that_share_a_passage_are_told_apart_by_what_is_rare(spark):
+    """Sketches keep the rarest hashes: a document with the shared passage alone is no candidate, and no hit is lost."""
+    passage = " ".join(f"w{k}" for k in range(12))
+    items = spark.createDataFrame([(k, f"{passage} " + " ".join(f"own{k}x{j}" for j in range(12))) for k in range(60)], "item_id long, text string")
+    index = decontaminate._rarest(decontaminate.sketches(items)).cache()
+    held = index.groupBy("hash").count()
+    assert held.where("count > 1").count() == 0 and index.select("item_id").distinct().count() == 60
+    docs = spark.createDataFrame([(1, passage), (2, items.where("item_id = 7").first().text)], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, items).collect()] == [(2, 7)]
