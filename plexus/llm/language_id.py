@@ -6,8 +6,8 @@ near a cut still sees both sides. It is trained in numpy by backpropagation thro
 a bounded sample of labelled documents, and applied to every byte of every text.
 
 The sample: at most ``per_lang`` documents a language (hash of the id decides) with up to WINDOWS windows each, spread over the
-whole text; with many languages the share of each shrinks so that all of them together stay within SAMPLE documents. Every language is
-learned; more than LANGS different labels are an error, not a language dropped.
+whole text; with many languages the share of each shrinks so that all of them together stay within SAMPLE documents. Of more than LANGS different labels the LANGS with the
+most documents are learned (ties: the smaller label), and texts of the others get the nearest of those.
 
 Defined results: ``und`` with score 0 where a text is null, empty or has no letter, or where nothing could be learned; rows
 without a language teach nothing; repeated rows each get a row; an empty table gives an empty result; extra columns are left behind.
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import ids_and_texts, in_pieces, map_texts
 
 HIDDEN, WINDOW, MARGIN = 8, 96, 12
-PER_LANG, WINDOWS, SAMPLE, LANGS = 800, 6, 40_000, 256
+PER_LANG, WINDOWS, SAMPLE, LANGS = 800, 6, 40_000, 1024
 STEPS, BATCH = 260, 192
+#: With more languages than this a step of training sees some of them only.
+MANY = 256
 SEED = 5
 
 _LETTER = np.zeros(256, bool)
@@ -128,7 +130,8 @@ def train(windows: np.ndarray, y: np.ndarray, langs: list[str], steps: int = STE
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     by_lang = [np.flatnonzero(y == j) for j in range(k)]
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(rows, max(BATCH // k, 8)) for rows in by_lang])
+        some = by_lang if k <= MANY else [by_lang[j] for j in rng.choice(k, BATCH // 8, replace=False)]
+        pick = np.concatenate([rng.choice(rows, max(BATCH // k, 8)) for rows in some])
         bytes_, want = np.ascontiguousarray(windows[pick].T), y[pick]
         fwd, bwd = Direction(*params[:3]), Direction(*params[3:6])
         net = Network(langs, fwd, bwd, params[6], params[7])
@@ -165,14 +168,12 @@ def _with_margins(raw: bytes, at: int) -> bytes:
     return before + raw[at : at + WINDOW + MARGIN].ljust(WINDOW + MARGIN, b"\0")
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> Network | None:
     """``docs``: doc_id, text, lang of the documents to learn from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = docs.groupBy("lang").count().orderBy("lang").limit(LANGS + 1).collect()
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
     if not counts:
         return None
-    if len(counts) > LANGS:
-        raise ValueError(f"more than {LANGS} different values of lang")
     per_lang = max(1, min(per_lang, SAMPLE // len(counts)))
     # the share that gives per_lang documents of each language; the limit below only holds against an unlucky hash
     share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["count"])) for r in counts], "lang string, share double"))
@@ -185,12 +186,13 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
 
     chosen = docs.join(share, "lang").where(luck < F.col("share")).select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, w binary")
     t = chosen.limit(2 * per_lang * WINDOWS * len(counts)).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("w", "ascending")])
-    langs = sorted(set(t.column("lang").to_pylist()))
-    if not langs:
+    names = sorted(set(t.column("lang").to_pylist()))
+    if not names:
         return None
-    y = np.array([langs.index(x) for x in t.column("lang").to_pylist()])
+    at = {x: k for k, x in enumerate(names)}
+    y = np.array([at[x] for x in t.column("lang").to_pylist()])
     windows = np.frombuffer(b"".join(t.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW + 2 * MARGIN)
-    return train(windows, y, langs)
+    return train(windows, y, names)
 
 
 # -- the operator ----------------------------------------------------------------------------------------------------
@@ -203,7 +205,7 @@ def pooled(net: Network, texts: list[str | None], cells: int = 16_384) -> np.nda
     bytes_ = _slices(raw, count)
     owner = np.repeat(np.arange(len(texts)), count)
     sums, letters = np.zeros((len(texts), len(net.langs))), np.zeros(len(texts))
-    rows = max(cells // len(net.langs), 64)  # windows at once
+    rows = max(cells // len(net.langs), 64 if len(net.langs) <= MANY else 1)  # windows at once
     for k in range(0, len(bytes_), rows):
         part = np.ascontiguousarray(bytes_[k : k + rows].T)
         mask = _LETTER[part[MARGIN:-MARGIN]]

@@ -11,7 +11,7 @@ view that knows nothing adds nothing. A good document has quality 1 and toxic 0.
 The labelled documents are a bounded sample, chosen by hash of the id: at most ``labelled``. Every document is scored.
 
 Defined results: a null text counts as empty, null metadata is a value of its own; a document with contradicting or repeated
-labels is good only if all of them say so; rows with a null id are scored and never used for fitting; without labels of both classes
+labels is good only if all of them say so; of different rows of one labelled id the one with the least hash is fitted, and each of an unlabelled id is a candidate of its own; rows with a null id are scored and never used for fitting; without labels of both classes
 every document gets the prior and is kept; extra columns are kept by ``keep`` and left behind by ``score``.
 """
 
@@ -24,7 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, in_pieces, materialise, ship
@@ -59,6 +59,10 @@ class Model(NamedTuple):
     prior: float
 
 
+#: The columns that the views read.
+CONTENT = ("text", "source", "lang", "n_chars")
+
+
 def text_features(text: str | None) -> tuple[set[bytes], list[float]]:
     """Distinct lower-case words and stems, and shares: capitals, symbols, exclamations, repeats, repeated lines, length, word length."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -211,7 +215,7 @@ def _join(a: _Rows, b: _Rows) -> _Rows:
 
 
 def _features(docs: DataFrame) -> pa.Table:
-    """Both views' features of a bounded table of documents, with its columns doc_id and good."""
+    """Both views' features of a bounded table of documents, with its columns doc_id, key and good."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_pieces(batches, "text"):
@@ -220,15 +224,16 @@ def _features(docs: DataFrame) -> pa.Table:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows["doc_id"], pa.int64()),
+                    pa.array(rows["key"], pa.int64()),
                     pa.array(rows["good"], pa.int32()),
                     pa.array([_word_ids(w) for w, _ in found], pa.list_(pa.int32())),
                     pa.array([d for _, d in found], pa.list_(pa.float64())),
                     pa.array([meta_features(*x) for x in zip(rows["source"], rows["lang"], rows["n_chars"], strict=True)], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "good", "words", "dense", "meta"],
+                names=["doc_id", "key", "good", "words", "dense", "meta"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, good int, words array<int>, dense array<double>, meta array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    return docs.mapInArrow(run, "doc_id long, key long, good int, words array<int>, dense array<double>, meta array<int>").toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")])
 
 
 def _told(labels: DataFrame) -> DataFrame:
@@ -238,11 +243,17 @@ def _told(labels: DataFrame) -> DataFrame:
     )
 
 
+def _key() -> Column:
+    """What tells rows of one id apart: a hash of all that the views read, nulls included."""
+    return F.xxhash64(*CONTENT, *(F.col(c).isNull() for c in CONTENT))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, labelled: int) -> pa.Table:
     """Features of the labelled sample: at most ``labelled`` rows, chosen by hash of the id."""
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
     chosen = ids.join(_told(labels), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(labelled)
-    return _features(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))  # labelled rows at most
+    told = docs.join(F.broadcast(chosen), "doc_id").withColumn("key", _key())
+    return _features(told.groupBy("doc_id").agg(F.min(F.struct("key", *CONTENT, "good")).alias("row")).select("doc_id", "row.*"))  # labelled rows at most
 
 
 def _views_of(t: pa.Table) -> tuple[_Rows, _Rows]:
@@ -264,7 +275,7 @@ def _margins(docs: DataFrame, text: View, meta: View) -> DataFrame:
 
 
 def _asker(docs: DataFrame, labels: DataFrame) -> Ask:
-    docs = docs.withColumn("key", F.xxhash64("text"))
+    docs = docs.withColumn("key", _key())
     given: list[tuple[int, int]] = []
 
     def ask(text: View, meta: View, bad: int, good: int) -> list[tuple[str, int, _Rows, _Rows]]:
@@ -284,10 +295,10 @@ def _asker(docs: DataFrame, labels: DataFrame) -> Ask:
         chosen = spark.createDataFrame(rows, "doc_id long, key long, view string, good int")
         found = docs.join(F.broadcast(chosen.select("doc_id", "key").distinct()), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
         t = _features(found.withColumn("good", F.lit(None).cast("int")))
-        place = {i: k for k, i in enumerate(t.column("doc_id").to_pylist())}
+        place = {x: k for k, x in enumerate(zip(t.column("doc_id").to_pylist(), t.column("key").to_pylist(), strict=True))}
         for name in ("text", "meta"):
             for label in (0, 1):
-                ids = sorted({r[0] for r in rows if r[2] == name and r[3] == label})
+                ids = sorted({(r[0], r[1]) for r in rows if r[2] == name and r[3] == label})
                 if ids:
                     both = _views_of(t.take([place[i] for i in ids]))
                     out.append((name, label, *both))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -266,7 +267,7 @@ def test_suffix_tree_is_a_distribution(spark):
             assert math.isclose(p, 1.0, rel_tol=1e-9)
 
 
-def test_language_is_learned_from_other_documents(spark, empty):
+def test_language_is_learned_from_other_documents(spark, empty, monkeypatch):
     words = {"en": "the of and that with from house water", "de": "der und die nicht haus wasser über für", "fr": "le des une pour avec maison eau était"}
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(rng.choice(words[lang].split(), 30)), lang) for i, lang in enumerate(["en", "de", "fr"] * 60)]
@@ -284,6 +285,13 @@ def test_language_is_learned_from_other_documents(spark, empty):
     assert len(language_id.label_positions(net, "der und")) == 7
     assert language_id.fit(empty) is None and {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
 
+    few = language_id.fit(docs.where("lang <> 'fr' OR doc_id < 20"), langs=2)  # of more labels than are learned the commonest
+    assert few.langs == ["de", "en"]
+    many = spark.createDataFrame([(i, f"text number {i}", f"x{i % 300}") for i in range(600)], SCHEMA)
+    monkeypatch.setattr(language_id, "train", functools.partial(language_id.train, steps=3))
+    net = language_id.fit(many)
+    assert len(net.langs) == 300 and language_id.predict(many, net).where("score BETWEEN 0 AND 1").count() == 600
+
 
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
@@ -330,6 +338,16 @@ def test_co_training_rejects_junk_and_toxic(spark, empty):
     assert quality_classifier.score(odd, table).count() == len(ROWS)
 
 
+def test_fits_do_not_hang_on_the_order_of_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i // 3, " ".join(rng.choice(words[20:] if i % 2 else words[:20], 30)) + (" !!" if i % 2 else ""), None if i % 7 == 0 else "en", f"s{i % 4}", 60 + i % 5) for i in range(360)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    told = [{(r.doc_id, r.score) for r in quality_classifier.score(spark.createDataFrame(some, schema).repartition(n), labels).collect()} for some, n in ((rows, 1), (rows[::-1], 5))]
+    assert told[0] == told[1] and len(told[0]) > 60
+
+
 # -- chat formatting -------------------------------------------------------------------------------------------------
 
 
