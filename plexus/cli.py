@@ -80,6 +80,17 @@ def _table(df: DataFrame, order: list[str], most: int, **more: object) -> dict:
     return render.rows_json(df, order, most) | more
 
 
+def _by_source(values: list[str]) -> dict[str, str]:
+    """``label=name`` options by label, each label once."""
+    pairs = [x.partition("=") for x in values]
+    if wrong := [x for x, (_, mark, _) in zip(values, pairs, strict=True) if not mark]:
+        raise ValueError(f"label=name is wanted, not {', '.join(wrong)}")
+    found = {label: name for label, _, name in pairs}
+    if len(found) != len(pairs):
+        raise ValueError("a source is named more than once")
+    return found
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="plexus", description="Dependency graphs of database schemas on Spark.")
     sub = top.add_subparsers(dest="command", required=True)
@@ -100,7 +111,8 @@ def parser() -> argparse.ArgumentParser:
     add("import", opt("document"), opt("input"), opt("--kind", choices=("dbt", "query-log", "sql-dir"), required=True), opt("--schema", action="append"), opt("--output", required=True), opt("--max-input", type=int, default=64 << 20), opt("--max-rows", type=int, default=100_000), opt("--max-sql", type=int, default=8 << 20), opt("--max-total", type=int, default=64 << 20), graph=False)
     add("merge", opt("inputs", nargs="+", help="label=graph"), opt("--document", action="append", default=[], help="label=document: its references to other databases become edges"), opt("--output", required=True), graph=False)
     add("facts", opt("document"), opt("--source-id", required=True), most(100_000), graph=False)
-    add("openlineage", opt("--namespace", required=True), opt("--event-time", required=True), opt("--output", required=True))
+    by_source = [opt(f"--source-{c}", action="append", default=[], help=f"label=name: a {c} for one source of a merged graph") for c in ("namespace", "database")]
+    add("openlineage", opt("--namespace", required=True), opt("--database"), *by_source, opt("--event-time", required=True), opt("--output", required=True))
     add("graph", opt("--format", choices=("mermaid", "dot", "html", "json", "summary"), default="summary"), opt("--level", choices=("schema", "object", "column")))
     add("search", opt("text"), opt("--kind", action="append"), opt("--counts", action="store_true"), most(100))
     add("query", opt("name"), opt("--depth", type=int, default=1), most(256), *budget)
@@ -190,10 +202,14 @@ def run(a: argparse.Namespace, spark: SparkSession) -> int:
     elif a.command == "lineage":
         show(_table(lineage.jobs(g), ["job"], a.max))
     elif a.command == "openlineage":
-        clashes = lineage.identity_collisions(g, a.namespace).count()
+        told = lineage.naming(g, a.namespace, a.database, _by_source(a.source_namespace), _by_source(a.source_database))
+        clashes = lineage.identity_collisions(g, told).orderBy(F.col("across_sources").desc(), "namespace", "name").limit(64).collect()
+        list_ = lambda rows: "; ".join(f"{r['namespace']} {r['name']}: {r['ids'].replace('|', ', ')}" for r in rows)
+        if across := [r for r in clashes if r["across_sources"]]:
+            raise ValueError(f"datasets of different sources would have one name; name the sources apart: {list_(across)}")
         if clashes:
-            raise ValueError(f"datasets whose names would be one outside: {clashes}")
-        graphjson.publish(a.output, (r["event"] + "\n" for r in lineage.openlineage(g, a.namespace, a.event_time).orderBy("job").toLocalIterator()))
+            print(f"note: datasets that have one name outside, as names with dots in them run together: {list_(clashes)}", file=sys.stderr)
+        graphjson.publish(a.output, (r["event"] + "\n" for r in lineage.openlineage(g, told, a.event_time).orderBy("job").toLocalIterator()))
     return 0
 
 

@@ -10,6 +10,8 @@ from pathlib import Path
 import pytest
 
 from plexus import cli, policyfiles, server
+from plexus.operators import lineage
+from plexus.plans.bundle import GraphBundle
 
 SCRIPT = """
 CREATE TABLE customers(id INTEGER PRIMARY KEY, name TEXT);
@@ -76,6 +78,49 @@ def test_commands(graph, capsys):
     assert all(json.loads(x)["run"]["runId"] for x in Path(f"{graph}/o.ndjson").read_text().splitlines())
 
 
+def _events(path: str) -> dict[str, dict]:
+    return {e["job"]["name"]: e for e in map(json.loads, Path(path).read_text().splitlines())}
+
+
+def test_datasets_of_merged_sources_keep_apart(spark, graph, capsys):
+    g, m, o = f"{graph}/g.json", f"{graph}/m.json", f"{graph}/merged.ndjson"
+    args = ("--namespace", "n", "--event-time", "2024-01-01T00:00:00Z", "--output", o)
+    assert cli.main(["merge", f"shop={g}", f"web={g}", "--output", m]) == 0
+    assert cli.main(["openlineage", g, "--database", "db", *args]) == 0
+    alone = _events(o)["main.order_totals"]
+    assert alone["outputs"][0]["name"] == "db.main.order_totals" and {x["name"] for x in alone["inputs"]} == {"db.main.orders", "db.main.customers"}
+    assert cli.main(["openlineage", m, "--source-namespace", "web=w", "--source-database", "web=live", *args]) == 0
+    found = _events(o)
+    for job, namespace, database in (("shop::main.order_totals", "n", "shop"), ("web::main.order_totals", "w", "live")):
+        e = found[job]
+        assert e["job"]["namespace"] == "n"
+        assert [(x["namespace"], x["name"]) for x in e["inputs"]] == [(namespace, f"{database}.main.customers"), (namespace, f"{database}.main.orders")]
+        (output,) = e["outputs"]
+        assert (output["namespace"], output["name"]) == (namespace, f"{database}.main.order_totals")
+        told = output["facets"]["columnLineage"]
+        assert {(f["namespace"], f["name"], f["field"]) for f in told["fields"]["name"]["inputFields"]} == {(namespace, f"{database}.main.customers", "name")}
+        assert all(f["transformations"] == [{"type": "DIRECT"}] for f in told["fields"]["name"]["inputFields"]) and told["_schemaURL"]
+        assert {(x["name"], x["field"], t["type"], t["subtype"]) for x in told["dataset"] for t in x["transformations"]} == {(f"{database}.main.customers", "id", "INDIRECT", "JOIN"), (f"{database}.main.orders", "customer_id", "INDIRECT", "JOIN")}
+    shared = ["--source-database", "web=one", "--source-database", "shop=one"]
+    for wrong, why in ((shared, "name the sources apart"), (["--source-database", "wbe=x"], "no source"), (["--source-database", "web= "], "must not be empty"), (["--source-namespace", "web"], "label=name"), (["--source-namespace", "web=a", "--source-namespace", "web=b"], "more than once"), (["--database", "d"], "a database name a source")):
+        with pytest.raises(ValueError, match=why):
+            cli.run(cli.parser().parse_args(["openlineage", m, *wrong, *args]), spark)
+    with pytest.raises(ValueError, match="no sources"):
+        cli.run(cli.parser().parse_args(["openlineage", g, "--source-database", "web=x", *args]), spark)
+    # different namespaces part what one database name would join
+    assert cli.main(["openlineage", m, *shared, "--source-namespace", "web=w", *args]) == 0
+
+
+def test_dots_in_names_can_join_datasets_of_one_source(spark):
+    vertices = [("a%2Eb.c", "table", "c", "a.b"), ("a.b%2Ec", "table", "b.c", "a"), ("a.d", "table", "d", "a"), ("a.v", "view", "v", "a")]
+    reads = [("a.v", "a%2Eb.c", "reads"), ("a.v", "a.b%2Ec", "reads")]
+    g = GraphBundle(spark, {"vertices": spark.createDataFrame(vertices, "id string, kind string, name string, schema string"), "edges": spark.createDataFrame(reads, "src string, dst string, kind string")})
+    assert [tuple(r) for r in lineage.identity_collisions(g, "n").collect()] == [("n", "a.b.c", "a%2Eb.c|a.b%2Ec", False)]
+    assert lineage.identity_collisions(g.with_tables(edges=g.edges.limit(1)), "n").count() == 0  # only what events name counts
+    empty = GraphBundle(spark)
+    assert lineage.openlineage(empty, "n", "t").count() == 0 and not lineage.naming(empty, "n").merged
+
+
 def test_review_and_diff(graph, capsys):
     raw = json.loads(Path(f"{graph}/d.json").read_text())
     table = next(o for o in raw["schemas"][0]["objects"] if o["name"] == "customers")
