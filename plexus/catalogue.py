@@ -652,6 +652,25 @@ def diff_graph_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.diff_graph(rowgraph.trade_graph(spark, sf_dir, 5, 0, "1996-01-01"), rowgraph.trade_graph(spark, sf_dir, 5, 0))
 
 
+def _orders_sql(name: str, date: str) -> str:
+    """Vertices ``<name>v`` and edges ``<name>e`` of the orders that are there at a date."""
+    return f"""{name}t AS (SELECT o_orderkey, o_custkey, CASE WHEN last <= DATE '{date}' THEN 'table' ELSE 'view' END AS kind FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey
+  WHERE o_orderdate <= DATE '{date}' AND (last IS NULL OR last + INTERVAL 1 YEAR >= DATE '{date}')),
+{name}v AS (SELECT 'orders.' || o_orderkey AS id, kind FROM {name}t),
+{name}e AS (SELECT 'orders.' || o_orderkey AS src, 'customer.' || o_custkey AS dst, 'reads' AS kind FROM {name}t
+  UNION SELECT 'orders.' || l_orderkey, 'supplier.' || l_suppkey, 'writes' FROM lineitem WHERE l_shipdate <= DATE '{date}' AND l_orderkey IN (SELECT o_orderkey FROM {name}t))"""
+
+
+@register(f"""WITH {_orders_sql("o", "1997-06-17")}, {_orders_sql("n", "1998-01-01")}
+SELECT 'vertex' AS part, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(n.id, o.id) AS id, NULL AS src, NULL AS dst, coalesce(n.kind, o.kind) AS kind, CASE WHEN n.id IS NOT NULL THEN o.kind END AS old_kind
+FROM ov o FULL JOIN nv n ON o.id = n.id WHERE o.kind IS DISTINCT FROM n.kind
+UNION ALL SELECT 'edge', 'added', NULL, src, dst, kind, NULL FROM (SELECT * FROM ne EXCEPT SELECT * FROM oe)
+UNION ALL SELECT 'edge', 'removed', NULL, src, dst, kind, NULL FROM (SELECT * FROM oe EXCEPT SELECT * FROM ne)""")
+def diff_graph_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that came, went or were sent in half a year, and what they read and write."""
+    return change.diff_graph(rowgraph.order_graph(spark, sf_dir, "1997-06-17"), rowgraph.order_graph(spark, sf_dir, "1998-01-01"))
+
+
 @register(f"""WITH {_trade_sql("a")}, {_trade_sql("b", 13)} SELECT 'x::' || src AS src, 'x::' || dst AS dst, 'reads' AS kind FROM a UNION ALL SELECT 'y::' || src, 'y::' || dst, 'reads' FROM b""")
 def merge_namespaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_graphs([("y", rowgraph.trade_graph(spark, sf_dir, 13)), ("x", rowgraph.trade_graph(spark, sf_dir))]).edges

@@ -66,3 +66,21 @@ def trade_graph(spark: SparkSession, sf_dir: str, modulus: int = 17, rest: int =
     pairs = trade_pairs(spark, sf_dir, upto).where(F.col("n") % modulus == rest)
     nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation."), F.col("n_nationkey").cast("string")).alias("id"), F.lit("view").alias("kind"), F.trim("n_name").alias("name"), F.lit("nation").alias("schema"))
     return GraphBundle(spark, {"vertices": nations, "edges": pairs.select("src", "dst", F.lit("reads").alias("kind"))})
+
+
+def order_graph(spark: SparkSession, sf_dir: str, date: str) -> GraphBundle:
+    """Orders as they stood at a date: an order is there from its own date to a year after its last line went out, a ``table`` once all its lines have gone
+    out and a ``view`` before (or without lines). It reads its customer, and writes the suppliers whose lines have gone out."""
+    day = F.lit(date).cast("date")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("placed"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("gone"))
+    last = lines.groupBy("l_orderkey").agg(F.max("gone").alias("last"))
+    there = orders.join(last, F.col("o_orderkey") == F.col("l_orderkey"), "left").where((F.col("placed") <= day) & (F.col("last").isNull() | (F.add_months("last", 12) >= day)))
+    there = there.select("o_orderkey", "o_custkey", F.when(F.col("last") <= day, "table").otherwise("view").alias("kind"))
+    order = _id("orders", ("o_orderkey",))
+    own = there.select(order.alias("id"), "kind", F.col("o_orderkey").cast("string").alias("name"), F.lit("orders").alias("schema"))
+    reads = there.select(order.alias("src"), _id("customer", ("o_custkey",)).alias("dst"), F.lit("reads").alias("kind"))
+    sent = lines.where(F.col("gone") <= day).select("l_orderkey", "l_suppkey").distinct().join(there.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    writes = sent.select(_id("orders", ("l_orderkey",)).alias("src"), _id("supplier", ("l_suppkey",)).alias("dst"), F.lit("writes").alias("kind"))
+    ends = [row_graph(spark, sf_dir, (name,)).vertices for name in ("customer", "supplier")]
+    return GraphBundle(spark, {"vertices": union_all([own, *ends]), "edges": union_all([reads, writes]).distinct()})
