@@ -546,6 +546,22 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.evaluate(found, policy).select("id", "kind", "severity", "state", "waived", "fails")
 
 
+@register(f"""WITH {_ROWS}, s AS (SELECT *, CASE WHEN kind = 'column-type-changed' THEN 'critical' WHEN {_REVIEWED} THEN 'high' ELSE 'low' END AS severity,
+  CASE WHEN kind IN ('column-type-changed', 'column-added') THEN 'existing' ELSE 'new' END AS state, kind IN ('column-removed', 'column-type-changed') AS waived FROM ch)
+SELECT id, kind, severity, state, waived, severity IN ('high', 'critical') AND state = 'new' AND NOT waived AS fails FROM s""")
+def policy_with_waivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and new columns stand in the baseline; removed columns and types are waived, definitions until a day that is over and objects without a reason."""
+    found = change.with_fingerprints(change.changes(*_row_documents(spark, sf_dir)), "earlier", "later")
+    none = F.lit(None).cast("string")
+    until = F.when(F.col("kind") == "column-removed", "2024-06-01").when(F.col("kind").isin("definition-changed", "constraints-changed"), "2023-06-01").otherwise(none)
+    reason = F.when(F.col("kind") == "object-removed", " ").otherwise("planned")
+    kinds = ("column-removed", "column-type-changed", "definition-changed", "constraints-changed", "object-removed")
+    waivers = found.where(F.col("kind").isin(*kinds)).select("fingerprint", reason.alias("reason"), until.alias("until"))
+    baseline = found.where(F.col("kind").isin("column-type-changed", "column-added")).select("fingerprint")
+    policy = change.Policy("high", {"column-type-changed": "critical"}, as_of="2024-01-01")
+    return change.evaluate(found, policy, waivers, baseline).select("id", "kind", "severity", "state", "waived", "fails")
+
+
 @register(f"""WITH {_ROWS} SELECT 'columns' AS part, count(*) AS n FROM old_c WHERE sch IN ('ASIA', 'EUROPE') UNION ALL SELECT 'constraints', count(*) FROM old_k WHERE sch IN ('ASIA', 'EUROPE') UNION ALL SELECT 'objects', count(*) FROM pl WHERE sch IN ('ASIA', 'EUROPE')
 UNION ALL SELECT 'routines', count(*) FROM old_r WHERE sch IN ('ASIA', 'EUROPE') UNION ALL SELECT 'requested schema was not collected: NOWHERE', 1 UNION ALL SELECT 'complete', 0""")
 def annotated_document(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,8 +194,12 @@ class Policy:
             raise ValueError(f"unknown change kind or severity: {unknown or self.threshold}")
 
 
-def evaluate(found: DataFrame, policy: Policy) -> DataFrame:
-    """``found`` (with fingerprint) and severity, state (new, existing or no-baseline), waived, fails. Waivers and baselines are small tables of a policy."""
+def evaluate(found: DataFrame, policy: Policy, waivers: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
+    """``found`` (with fingerprint) and severity, state (new, existing or no-baseline), waived, fails.
+
+    The policy's own waivers and baseline are small. Large ones come as tables beside it: ``waivers`` (fingerprint, reason, until as a date's text) and
+    ``baseline`` (fingerprint, as an earlier report has it). A waiver without a reason, past its day or, with a day, under a policy without ``as_of`` doesn't count.
+    """
     spark = found.sparkSession
     order = F.array(*map(F.lit, SEVERITIES))
     severity = F.when(F.col("needs_review"), "high").otherwise("low")
@@ -203,8 +207,13 @@ def evaluate(found: DataFrame, policy: Policy) -> DataFrame:
         severity = F.when(F.col("kind") == kind, s).otherwise(severity)
     valid = [(f, True) for f, (reason, until) in policy.waivers.items() if reason.strip() and (until is None or (policy.as_of is not None and policy.as_of <= until))]
     waived = spark.createDataFrame(valid, "fingerprint string, waived boolean")
+    if waivers is not None:
+        in_time = F.col("until").isNull() | F.coalesce(F.lit(policy.as_of) <= F.col("until"), F.lit(False))
+        waived = waived.unionByName(waivers.where((F.trim("reason") != "") & in_time).select("fingerprint", F.lit(True).alias("waived"))).distinct()
     known = spark.createDataFrame([(f, True) for f in policy.baseline or ()], "fingerprint string, known boolean")
+    if baseline is not None:
+        known = known.unionByName(baseline.select("fingerprint", F.lit(True).alias("known"))).distinct()
     out = found.withColumn("severity", severity).join(waived, "fingerprint", "left").join(known, "fingerprint", "left").withColumn("waived", F.coalesce("waived", F.lit(False)))
-    state = F.lit("no-baseline") if policy.baseline is None else F.when(F.col("known"), "existing").otherwise("new")
+    state = F.lit("no-baseline") if policy.baseline is None and baseline is None else F.when(F.col("known"), "existing").otherwise("new")
     out = out.withColumn("state", state).drop("known")
     return out.withColumn("fails", ~F.col("waived") & (F.col("state") != "existing") & (F.array_position(order, F.col("severity")) >= F.array_position(order, F.lit(policy.threshold))))
