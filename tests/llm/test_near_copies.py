@@ -105,3 +105,47 @@ def test_classes_of_one_bucket_equal_all_pairs(spark, monkeypatch):
                 up[y] = x
     got = {r.row: r.component for r in near_copies.classes(spark.createDataFrame(rows, "row long, doc_id long, text string")).collect()}
     assert got == {k: top(k) for k in range(len(rows))} and len(set(got.values())) >= 12
+
+
+def test_the_search_is_by_simhash_and_finds_what_brute_force_finds():
+    """Each bit is what most shingles of the set have; pairs of 0.8 and more share a block and are near, far ones hardly ever."""
+    h = np.unique(RNG.integers(0, 1 << 64, 77, dtype=np.uint64))
+    words = near_copies.signs(h)
+    alone = np.array([near_copies.signs(h[k : k + 1]) for k in range(len(h))])
+    bits = lambda w: np.unpackbits(np.ascontiguousarray(w).view(np.uint8).reshape(-1, 8 * len(words)), axis=1, bitorder="little")
+    assert (bits(words)[0] == (2 * bits(alone).sum(axis=0, dtype=int) > len(h))).all()
+    assert near_copies.bands_of(words)[1] == 1 << near_copies.WIDTH | (int(words[0]) >> near_copies.WIDTH & (1 << near_copies.WIDTH) - 1)
+    found, near, far = 0, 0, 0
+    for _ in range(150):
+        base = _prose(200)
+        edited = list(base)
+        for c in RNG.choice(40, 2, replace=False):
+            edited[5 * c + 2] = "changed"
+        edited[60:60] = _prose(6)
+        a, b, c = (near_copies.shingles(near_copies.words_of(" ".join(t))) for t in (base, edited, _prose(200)))
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        near += 1
+        keys = [np.array(near_copies.bands_of(near_copies.signs(x)), np.int64) for x in (a, b, c)]
+        own = [near_copies.signs(x)[-near_copies.CHECK :] for x in (a, b, c)]
+        key, rep = np.concatenate(keys), np.repeat(np.arange(3), near_copies.BLOCKS)
+        order = np.argsort(key)
+        pairs, members = near_copies.bucket_links(key[order], rep[order], np.array(own)[rep[order]])
+        got = {tuple(sorted(p)) for p in np.concatenate(pairs, axis=1)[:2].T.tolist()}
+        found, far = found + ((0, 1) in got), far + len(got - {(0, 1)})
+        assert not members
+    assert near > 100 and found == near and far == 0
+
+
+def test_pairs_of_a_large_group_stay_few(spark, monkeypatch):
+    """600 near copies: few pairs a node are verified, however the group falls into buckets, and all are one class."""
+    verified, counts = near_copies._verified, []
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: (counts.append(pairs.count()), verified(pairs, *rest))[1])
+    base, rows = _prose(200), []
+    for k in range(600):
+        edited = list(base)
+        for c in RNG.choice(200, 2, replace=False):
+            edited[c] = f"x{k}-{c}"
+        rows.append((k, k, " ".join(edited)))
+    got = {r.component for r in near_copies.classes(spark.createDataFrame(rows, "row long, doc_id long, text string")).collect()}
+    assert len(got) == 1 and sum(counts) <= 10 * len(rows)
