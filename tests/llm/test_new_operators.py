@@ -210,3 +210,19 @@ def test_vectors_of_other_lengths(spark):
     for few in (df.limit(0), df.where("vec_id = 1")):
         coded, books = vector_codes.compress(few)
         assert vector_codes.with_label_error(coded).where("code IS NOT NULL").count() == 0 and vector_codes.codebooks_sha256(books) == hashlib.sha256(b"").hexdigest()
+
+
+def test_words_go_to_the_model_itself_with_the_library_s_ids(monkeypatch):
+    """A run of Latin letters takes neither the library's batches nor its threads, and has the same ids."""
+    import os
+
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    encode = packing.Encoder(packing.TOKENIZER)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    sent, library = [], encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda texts: (sent.extend(texts), library(texts))[1])
+    words = "plain Straßenbahn çtreeau ſtätte Ÿpsilon ÀÖØöøÿ einüver x qzxqvjkw"
+    odd = "it's  two\nlines 日本 naïve2x ×÷ é 12 don't stop ... (a)b"
+    for text in (words, odd, words + odd, " " + words, odd + " " + words):
+        assert encode(text) == library([text])[0]
+    assert not set(sent) & {"plain", *(" " + w for w in words.split())} and sent
