@@ -3,8 +3,8 @@
 The agenda holds the candidate merges of a unit, best score first, leftmost first among equals. With dropout, a candidate that comes
 up is skipped where a keyed hash of (seed, document id, place of the unit in the text, position, piece) falls below the rate; a
 skipped pair stays apart unless one of its sides grows. Without dropout the pieces are those of the library. Each occurrence of a
-word draws for itself, and every run gives the same pieces. A worker keeps each unit's pieces without dropout and the candidates that
-come up on the way to them: an occurrence that skips none of these has these pieces, any other is cut anew.
+word draws for itself, and every run gives the same pieces. A worker keeps, for units that it has met more than once, the pieces without dropout and the candidates that
+come up on the way to them: an occurrence that skips none of these has these pieces, any other, and the first of a unit, is cut with its own draws.
 
 No piece holds a space behind another character, or a line end, so texts are cut in front of runs of spaces and around line ends into
 units that are encoded on their own. The model is an existing file, never trained here. Its path must be readable where the code runs.
@@ -19,6 +19,7 @@ Defined results: a null text gives null pieces and decodes to null; an empty tex
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -70,6 +71,7 @@ class Codec:
             raise ValueError("the model has pieces across words or lines; units can't be encoded on their own")
         self.cuts: list[tuple[bytes, bytes]] = []  # pieces, draws
         self.known: dict[str, int] = {}
+        self.met: set[str] = set()  # once, and not kept yet
 
         self._build_pairs()
 
@@ -238,11 +240,21 @@ class Codec:
         if len(cuts) > CACHE:
             known.clear()
             cuts.clear()
-        self._cut([u for u in dict.fromkeys(units) if len(u) <= LONGEST and u not in known])
+        if len(self.met) > CACHE:
+            self.met.clear()
+        often = [(u, n) for u, n in Counter(units).items() if u not in known and len(u) <= LONGEST]
+        once = {u for u, n in often if n == 1 and u not in self.met and u != "▁"} if limit else set()
+        self._cut([u for u, _ in often if u not in once])
+        self.met |= once
+        self.met.difference_update(u for u, _ in often if u not in once)
         get = known.get
         cut = np.array([get(u, -1) for u in units], np.int64)
         out = [cuts[k][0] if k >= 0 else b"" for k in cut.tolist()]
+        skips = []
         for n in np.flatnonzero(cut < 0).tolist():
+            if len(units[n]) <= LONGEST:
+                skips.append(n)
+                continue
             out[n] = _packed(self._named(s for s in self._long(units[n], limit, int(bases[n])) if s))
         if not limit:
             return out
@@ -252,7 +264,9 @@ class Codec:
         draws, left = np.frombuffer(b"".join(raw), np.uint64), sizes[which]
         who = np.repeat(np.arange(len(units)), left)
         step = np.arange(len(who)) - np.repeat(np.cumsum(left) - left - (np.cumsum(sizes) - sizes)[which], left)
-        skips = np.unique(who[((bases[who] ^ draws[step]) * np.uint64(_C)) < np.uint64(min(limit, _MASK))]).tolist()
+        skipped = np.zeros(len(units), bool)
+        skipped[who[((bases[who] ^ draws[step]) * np.uint64(_C)) < np.uint64(min(limit, _MASK))]] = True
+        skips += np.flatnonzero(skipped).tolist()
         for width, part in _by_width(skips, lambda n: len(units[n])):
             for n, ids in zip(part, self._together([units[n] for n in part], width, limit, bases[part]), strict=True):
                 out[n] = ids

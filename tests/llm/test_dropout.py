@@ -30,3 +30,15 @@ def test_documents_differ_and_runs_agree():
     many = c.encode_many([text] * 50, 0.1, 2, list(range(50)))
     assert len(set(many)) == 50
     assert many == codec.Codec(codec.MODEL).encode_many([text] * 50, 0.1, 2, list(range(50)))
+
+
+def test_a_unit_is_kept_from_its_second_meeting_on_with_the_same_pieces():
+    """A word met once is cut with its own draws and not kept; kept or not, it has the same pieces."""
+    own = codec.Codec(codec.MODEL)
+    texts = ["unheardofness again again", "unheardofness once more"]
+    first = own.encode_many(texts[:1], 0.3, 2, [7])
+    assert " unheardofness" not in own.known and " again" in own.known
+    second = own.encode_many(texts[1:], 0.3, 2, [8])
+    assert " unheardofness" in own.known
+    assert own.encode_many(texts, 0.3, 2, [7, 8]) == [*first, *second]
+    assert [own.decode(np.frombuffer(x, np.int32).tolist()) for x in (*first, *second)] == texts
