@@ -149,3 +149,51 @@ def test_pairs_of_a_large_group_stay_few(spark, monkeypatch):
         rows.append((k, k, " ".join(edited)))
     got = {r.component for r in near_copies.classes(spark.createDataFrame(rows, "row long, doc_id long, text string")).collect()}
     assert len(got) == 1 and sum(counts) <= 10 * len(rows)
+
+
+def test_parities_never_rule_out_a_similar_pair():
+    """Sets of few and of very many shingles; a pair a little below the similarity is mostly ruled out, one that reaches it never."""
+    kept = {True: [], False: []}
+    for n in [*RNG.integers(1, 400, 400).tolist(), 70_000, 90_000]:
+        base = RNG.integers(0, 1 << 64, n, dtype=np.uint64)
+        for share in (0.02, 0.1, 0.2, 0.3):
+            x, y = (np.r_[base[int(n * cut) :], RNG.integers(0, 1 << 64, int(n * new), dtype=np.uint64)] for cut, new in ((0, 0), (share * RNG.random(), share * RNG.random())))
+            similar = len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+            kept[similar].append(bool(near_copies.may_be_similar(*(near_copies.marks(z)[None] for z in (x, y)), 0.8)[0]))
+    assert all(kept[True]) and len(kept[True]) > 800 and np.mean(kept[False]) < 0.5
+
+
+def test_pairs_of_a_large_group_below_the_similarity_are_not_made(spark, monkeypatch):
+    """400 edited copies of one text that are mostly unlike each other by a little: few pairs are verified, and the classes equal all pairs."""
+    verified, counts = near_copies._verified, []
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: (counts.append(pairs.count()), verified(pairs, *rest))[1])
+    base, rows = _prose(150), []
+    for k in range(400):
+        edited = list(base)
+        for c in RNG.choice(150, 3 + k % 2, replace=False):
+            edited[c] = f"x{k}-{c}"
+        rows.append((k, k, " ".join(edited)))
+    sets = [set(near_copies.shingles(near_copies.words_of(t)).tolist()) for _, _, t in rows]
+    up = list(range(400))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(400):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    got = {r.row: r.component for r in near_copies.classes(spark.createDataFrame(rows, "row long, doc_id long, text string")).collect()}
+    assert got == {k: top(k) for k in range(400)} and len(set(got.values())) > 10
+    assert sum(counts) <= 8 * len(rows)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    from plexus.llm import components
+
+    monkeypatch.setattr(components, "_large_star", lambda edges: pytest.fail("a round over stars"))
+    got = {r.node: r.component for r in components.components(spark.createDataFrame([(5, 1), (1, 7), (9, 8), (8, 8)], "a long, b long")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8}
