@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -144,50 +145,50 @@ class Codec:
     def _together(self, units: list[str], width: int, limit: int, base: np.ndarray | None, trace: list | None = None) -> list[bytes]:
         """``base`` has one number a unit if there is a limit; ``trace`` takes (unit, draw) of the candidates that come up."""
         n = len(units)
-        text = np.frombuffer("".join(u.ljust(width, "\0") for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
-        size = np.array([len(u) for u in units])
-        columns = np.arange(width, dtype=np.int32)
-        symbols = np.where(columns < size[:, None], self.chars[text], np.int32(self.other))
+        size = np.fromiter(map(len, units), np.int16, n)
+        columns = np.arange(width, dtype=np.int16)  # of one type with what it is compared with, or numpy converts whole arrays in each round
+        symbols = np.full((n, width), self.other, np.int32)
+        symbols[columns < size[:, None]] = self.chars[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
         agenda = np.full((n, width), _LAST, np.int32)
         agenda[:, :-1] = self._merge(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())[0].reshape(n, width - 1)
         agenda[columns + 1 >= size[:, None]] = _LAST
-        at = np.broadcast_to(columns, (n, width)).copy()
-        done_symbols, done_at, done_size = np.empty_like(symbols), np.empty_like(at), np.empty_like(size)
+        held = symbols << 8 | columns  # a symbol and where it begins, below LONGEST: moved together
+        done, done_size = np.empty_like(held), np.empty_like(size)
         base = np.zeros(n, np.uint64) if base is None else base
-        who = np.arange(n)
+        who, last = np.arange(n), np.int32(_LAST)
         while len(who):
             m = np.arange(len(who))
             k = agenda.argmin(axis=1)
             best = agenda[m, k]
             over = best == _LAST
             if 4 * over.sum() >= len(who):  # put aside what is finished
-                done_symbols[who[over]], done_at[who[over]], done_size[who[over]] = symbols[over], at[over], size[over]
-                symbols, at, agenda, size, base, who = (x[~over] for x in (symbols, at, agenda, size, base, who))
+                done[who[over]], done_size[who[over]] = held[over], size[over]
+                held, agenda, size, base, who = (x[~over] for x in (held, agenda, size, base, who))
                 continue
             merge = ~over
+            at = (held[m, k] & 255).astype(np.uint64)
             if trace is not None:
-                draw = at[m, k].astype(np.uint64) * np.uint64(_A) ^ best.astype(np.uint64) * np.uint64(_B)
+                draw = at * np.uint64(_A) ^ best.astype(np.uint64) * np.uint64(_B)
                 trace.append((who[merge], draw[merge]))
             if limit:
-                h = (base ^ at[m, k].astype(np.uint64) * np.uint64(_A) ^ best.astype(np.uint64) * np.uint64(_B)) * np.uint64(_C)
+                h = (base ^ at * np.uint64(_A) ^ best.astype(np.uint64) * np.uint64(_B)) * np.uint64(_C)
                 merge &= h >= np.uint64(min(limit, _MASK))
-            agenda[m, k] = _LAST  # skipped, unless merged below
+            agenda[m, k] = last  # skipped, unless merged below
             # the columns behind a merged pair move up by one
-            behind = (columns >= k[:, None]) & merge[:, None]
+            behind = columns >= np.where(merge, k, width).astype(np.int16)[:, None]
             agenda[:, :-1] = np.where(behind[:, :-1], agenda[:, 1:], agenda[:, :-1])
             rows, k = m[merge], k[merge]
-            new = self._merge(symbols[rows, k], symbols[rows, k + 1])[1]
+            new = self._merge(held[rows, k] >> 8, held[rows, k + 1] >> 8)[1]
             behind[rows, k] = False
-            symbols[:, :-1] = np.where(behind[:, :-1], symbols[:, 1:], symbols[:, :-1])
-            at[:, :-1] = np.where(behind[:, :-1], at[:, 1:], at[:, :-1])
-            symbols[rows, k] = new
+            held[:, :-1] = np.where(behind[:, :-1], held[:, 1:], held[:, :-1])
+            held[rows, k] = new << 8 | at[merge].astype(np.int32)
             size[rows] -= 1
             has = k > 0
-            agenda[rows[has], k[has] - 1] = self._merge(symbols[rows[has], k[has] - 1], new[has])[0]
+            agenda[rows[has], k[has] - 1] = self._merge(held[rows[has], k[has] - 1] >> 8, new[has])[0]
             has = k + 1 < size[rows]
-            agenda[rows[has], k[has]] = self._merge(new[has], symbols[rows[has], k[has] + 1])[0]
+            agenda[rows[has], k[has]] = self._merge(new[has], held[rows[has], k[has] + 1] >> 8)[0]
             agenda[rows[~has], k[~has]] = _LAST
-        symbols, at, size = done_symbols, done_at, done_size
+        symbols, at, size = done >> 8, done & 255, done_size
         plain = (np.where(columns < size[:, None], symbols, 0) < len(self.raw)).all(axis=1).tolist()
         raw, row = symbols.astype(np.int32).tobytes(), 4 * width
         out = [raw[j : j + 4 * m] for j, m in zip(range(0, n * row, row), size.tolist(), strict=True)]
@@ -248,26 +249,24 @@ class Codec:
         self.met |= once
         self.met.difference_update(u for u, _ in often if u not in once)
         get = known.get
-        cut = np.array([get(u, -1) for u in units], np.int64)
+        cut = np.fromiter(map(get, units, repeat(-1)), np.int64, len(units))
         out = [cuts[k][0] if k >= 0 else b"" for k in cut.tolist()]
-        skips = []
-        for n in np.flatnonzero(cut < 0).tolist():
-            if len(units[n]) <= LONGEST:
-                skips.append(n)
-                continue
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        skips = np.flatnonzero((cut < 0) & (sizes <= LONGEST))
+        for n in np.flatnonzero((cut < 0) & (sizes > LONGEST)).tolist():
             out[n] = _packed(self._named(s for s in self._long(units[n], limit, int(bases[n])) if s))
         if not limit:
             return out
         some, which = np.unique(cut, return_inverse=True)
         raw = [cuts[k][1] if k >= 0 else b"" for k in some.tolist()]
-        sizes = np.array([len(r) // 8 for r in raw], np.int64)
-        draws, left = np.frombuffer(b"".join(raw), np.uint64), sizes[which]
+        each = np.array([len(r) // 8 for r in raw], np.int64)
+        draws, left = np.frombuffer(b"".join(raw), np.uint64), each[which]
         who = np.repeat(np.arange(len(units)), left)
-        step = np.arange(len(who)) - np.repeat(np.cumsum(left) - left - (np.cumsum(sizes) - sizes)[which], left)
+        step = np.arange(len(who)) - np.repeat(np.cumsum(left) - left - (np.cumsum(each) - each)[which], left)
         skipped = np.zeros(len(units), bool)
         skipped[who[((bases[who] ^ draws[step]) * np.uint64(_C)) < np.uint64(min(limit, _MASK))]] = True
-        skips += np.flatnonzero(skipped).tolist()
-        for width, part in _by_width(skips, lambda n: len(units[n])):
+        skips = np.r_[skips, np.flatnonzero(skipped)]
+        for width, part in _by_width(skips.tolist(), sizes[skips]):
             for n, ids in zip(part, self._together([units[n] for n in part], width, limit, bases[part]), strict=True):
                 out[n] = ids
         return out
@@ -309,14 +308,15 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-def _by_width(items: list, length: Callable = len) -> Iterator[tuple[int, list]]:
+def _by_width(items: list, sizes: np.ndarray | None = None) -> Iterator[tuple[int, list]]:
     """Width and items of about one length, in blocks."""
-    groups: dict[int, list] = {}
-    for x in items:
-        groups.setdefault((length(x) + 1) // 2, []).append(x)
-    for half, group in groups.items():
-        for k in range(0, len(group), 20_000):
-            yield 2 * half, group[k : k + 20_000]
+    sizes = np.fromiter(map(len, items), np.int64, len(items)) if sizes is None else sizes
+    half = (sizes + 1) // 2
+    order = np.argsort(half, kind="stable")
+    ends = np.cumsum(np.bincount(half)).tolist()
+    for k, (start, end) in enumerate(zip([0, *ends], ends, strict=False)):
+        for x in range(start, end, 20_000):
+            yield 2 * k, [items[n] for n in order[x : min(x + 20_000, end)].tolist()]
 
 
 def _bases(key: int, n: int) -> np.ndarray:
