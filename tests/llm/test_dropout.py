@@ -46,13 +46,9 @@ def test_a_unit_is_kept_from_its_second_meeting_on_with_the_same_pieces():
 
 def test_units_cut_together_equal_units_cut_alone():
     """All widths at once, letters outside the vocabulary and outside the first plane included, with and without dropout."""
-    import numpy as np
-
-    from plexus.llm import sentencepiece_codec as sp
-
-    rng, codec = np.random.default_rng(5), sp.Codec(sp.MODEL)
+    rng, own = np.random.default_rng(5), codec.Codec(codec.MODEL)
     letters = list("etaoinshr dlu,.ÄßЖ中𝄞\ud800")
-    units = sorted({" " + "".join(rng.choice(letters, n)).replace(" ", "") for n in range(1, sp.LONGEST) for _ in range(30)})
+    units = sorted({" " + "".join(rng.choice(letters, n)).replace(" ", "") for n in range(1, codec.LONGEST) for _ in range(30)})
     for rate in (0.0, 0.1, 0.9):
-        together = codec.units(units, rate, 11)
-        assert all(np.frombuffer(together[u], np.int32).tolist() == codec.unit(u, rate, 11) for u in units)
+        together = own.units(units, rate, 11)
+        assert all(np.frombuffer(together[u], np.int32).tolist() == own.unit(u, rate, 11) for u in units)
