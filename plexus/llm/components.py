@@ -22,8 +22,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of u, and u itself, is hung under the smallest of them. Needs a > b in every edge."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    # the link to the smallest stands for u itself
+    return edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,6 +42,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links: ``found`` is what ``components`` gave for the earlier ones. Only classes that a further link touches are linked anew."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = materialise(components(between), "moved-classes")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return found.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(moved).distinct()
+
+
 def _stars(edges: DataFrame) -> bool:
     """Each larger node has one link and is nobody's smaller one: a further round would change nothing. One grouping instead of that round."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select(F.col("b"), F.lit(0)))

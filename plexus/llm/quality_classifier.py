@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_pieces, materialise, ship
+from .common import discard, in_pieces, materialise, ship, tidy
 
 LABELLED = 12000
 ROUNDS, EACH = 2, 400
@@ -317,6 +317,12 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
     docs = _columns(docs)
+    model = _fitted(docs, labels, labelled)
+    tidy(docs.sparkSession)  # the features of the sample
+    return model
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, labelled: int) -> Model | None:
     t = _sample(docs, labels, labelled)
     order = np.argsort([crc32(str(i).encode()) for i in t.column("doc_id").to_pylist()], kind="stable")  # in no order of ids
     text, meta = _views_of(t)

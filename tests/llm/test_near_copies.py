@@ -197,3 +197,37 @@ def test_stars_need_no_round(spark, monkeypatch):
     monkeypatch.setattr(components, "_large_star", lambda edges: pytest.fail("a round over stars"))
     got = {r.node: r.component for r in components.components(spark.createDataFrame([(5, 1), (1, 7), (9, 8), (8, 8)], "a long, b long")).collect()}
     assert got == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8}
+
+
+def test_further_links_touch_only_their_classes(spark, monkeypatch):
+    """Chains of 40 nodes each, then links between some of them and new nodes: the classes of all links, by rounds over the further links alone."""
+    from plexus.llm import components
+
+    first = [(100 * c + k, 100 * c + k + 1) for c in range(1, 9) for k in range(39)]
+    further = [(139, 205), (220, 301), (301, 5), (5, 777), (420, 999), (999, 998), (510, 530)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    told = lambda df: sorted((r.node, r.component) for r in df.collect())
+    found, want = components.components(frame(first)), told(components.components(frame(first + further)))
+    large, rows = components._large_star, []
+    monkeypatch.setattr(components, "_large_star", lambda edges: (rows.append(edges.count()), large(edges))[1])
+    assert told(components.extended(found, frame(further))) == want
+    assert max(rows) <= len(further)
+    assert told(components.extended(frame([]).toDF("node", "component"), frame(first))) == told(components.components(frame(first)))
+
+
+def test_tidy_gives_freed_memory_back(spark):
+    import ctypes
+    import re
+    from pathlib import Path
+
+    from plexus.llm import common
+
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("another libc")
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    common.tidy(spark)
+    held = [np.ones(50_000, np.uint8) for _ in range(2000)]  # 100 MB, none large enough for a mapping of its own
+    full, last = resident(), held[-1]
+    del held
+    common.tidy(spark)
+    assert full - resident() > 60 and last.all()
