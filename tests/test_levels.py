@@ -67,6 +67,19 @@ def test_many_subjects(spark, many):
     assert got == {(k, v): t[0] for k, s in (("x", "v01"), ("y", "v02")) for v, t in _reached(names, edges, s, True, 99).items()}
 
 
+def test_very_many_subjects_share_each_level(spark, monkeypatch):
+    """By blocks, each of them would get the arcs of its block; also beyond the levels that a search of one subject takes."""
+
+    def no(*_, **__):
+        raise AssertionError("the graph was numbered")
+
+    monkeypatch.setattr(blocks, "distances", no)
+    g = GraphBundle(spark, {"vertices": spark.range(20).selectExpr("concat('v', id) AS id", "'view' AS kind", "'v' AS name", "'s' AS schema"), "edges": spark.range(11).selectExpr("concat('v', id) AS src", "concat('v', id + 1) AS dst", "'reads' AS kind")}).saved()
+    seeds = spark.range(traverse.SEARCHES + 5 if hasattr(traverse, "SEARCHES") else 1005).selectExpr("concat('k', id) AS key", "concat('v', id % 20) AS id")
+    got = {(r.key, r.id): r.distance for r in traverse.impact_many(g, seeds, "key").collect()}
+    assert got == {(f"k{k}", f"v{v}"): k % 20 - v for k in range(1005) for v in range(k % 20) if k % 20 <= 11}
+
+
 def test_paths_share_a_search(spark, many):
     g, names, edges = _graph(spark, 7)
     want = _reached(names, edges, "v00", False, 99)
