@@ -1,7 +1,8 @@
 """Bodies of views, routines, triggers and queries to edges, origins, analysis and diagnostics. Each body is bound on an executor.
 
-The catalog index (names and ids, no data) is sent to every task once; its size is that of the schema's description and is checked
-against MOST_NAMES. With a cache folder only bodies that are new, or whose catalog has changed, are bound.
+The catalog index (names and ids, no data) is sent to every task once, if it has no more than MOST_NAMES; a larger one is joined with the names that
+the bodies look up, in rounds (see ``_in_rounds``), and no task gets more of it than its bodies ask for. With a cache folder only bodies that are new, or whose catalog
+has changed, are bound; a catalog of more than MOST_NAMES is bound without it.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...sources.document import Document
-from ...workspace import written
+from ...workspace import ship, written
 from ..build import object_id
 from ..bundle import GraphBundle, union_all
 from . import bodycache
@@ -24,7 +26,7 @@ from .parser import Parser, parse
 from .procedural import extract
 from .tokens import SqlError, Token, statements, tokenize
 
-#: Objects, columns and routines that a worker holds by name; some 100 bytes each.
+#: Objects, columns and routines that a worker holds by name at most; some 100 bytes each.
 MOST_NAMES = 2_000_000
 FACTS = "owner string, fact string, src string, dst string, kind string, role string, line int, col int, code string, message string, candidates array<string>, state string, scope string, body_hash string"
 TRANSITION = {"sqlserver": ("inserted", "deleted")}
@@ -173,15 +175,38 @@ def enrich(doc: Document, bundle: GraphBundle, cache: str | None = None) -> Grap
 
     # the names of the catalog go to every worker, so their number is checked first
     named = doc.objects.select(F.lit(1).alias("one")).unionAll(bundle.columns.select(F.lit(1))).unionAll(bundle.vertices.where("kind IN ('function', 'procedure', 'package')").select(F.lit(1))).count()
+    dialect, database = header.get("dialect") or "", header.get("database")
+    folds = dialect == "mysql" and header.get("lower_case_table_names") in (1, 2) or dialect == "sqlserver" and "_CI" in (header.get("collation") or "") and not (header.get("collation") or "").startswith(("Turkish", "Azeri"))
+    members = bodies.select(F.col("o2").alias("id"), "member_of").where("id IS NOT NULL").dropDuplicates(["id"])
     if named > MOST_NAMES:
-        raise ValueError(f"{named} objects, columns and routines are more than the {MOST_NAMES} that bodies can be bound against; narrow the document to fewer schemas")
+        told = _in_rounds(work, _facts(doc, bundle, members), dialect, database, folds)
+    else:
+        told = _with_all_names(doc, bundle, work, bodies, members, dialect, database, folds, cache)
+    ids = bundle.vertices.select("id")
+    edges = told.where("fact = 'edge'")
+    real = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    ghosts = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select("owner", F.lit("SG_DML_GHOST_VERTEX").alias("code"), F.concat(F.lit("not a vertex: "), "dst").alias("message"), none("line", "int"), none("col", "int"), F.array().cast("array<string>").alias("candidates")).distinct()
+    notes = told.where("fact = 'note'").select("owner", "code", "message", "line", "col", "candidates").unionByName(ghosts).withColumnRenamed("owner", "id")
+    unsupported = told.where("fact = 'state' AND state = 'unsupported'").select(F.col("owner").alias("id"), F.lit(True).alias("lost"))
+    notes = notes.join(unsupported, "id", "left").withColumn("code", F.when(F.col("lost") & (F.col("code") == "SG_BODY_PARTIAL"), "SG_BODY_UNSUPPORTED").otherwise(F.col("code"))).drop("lost")
+    key = ["src", "dst", "kind"]
+    return bundle.with_tables(
+        edges=union_all([bundle.edges.select(*key), real.select(*key)]).distinct(),
+        evidence=union_all([bundle.evidence, real.select(*key, F.lit("body-parse").alias("layer"), F.concat(F.lit("body of "), "owner").alias("detail")).distinct()]),
+        origins=union_all([bundle.origins, real.select(*key, "body_hash", "role", "line", "col").distinct()]),
+        limitations=union_all([bundle.limitations, told.where("fact = 'limit'").select(F.col("message").alias("note"))]),
+        analysis=union_all([bundle.analysis, bodiless.select("id", F.lit("unsupported").alias("state"), F.lit("object").alias("scope"), none("body_hash")), told.where("fact = 'state'").select(F.col("owner").alias("id"), "state", "scope", "body_hash")]),
+        diagnostics=union_all([bundle.diagnostics, bodiless.select("id", F.lit("SG_BODY_UNAVAILABLE").alias("code"), F.lit("the catalog gives no body").alias("message"), none("line", "int"), none("col", "int"), F.array().cast("array<string>").alias("candidates")), notes.select("id", "code", "message", "line", "col", "candidates")]),
+    )
+
+
+def _with_all_names(doc: Document, bundle: GraphBundle, work: DataFrame, bodies: DataFrame, members: DataFrame, dialect: str, database: str | None, folds: bool, cache: str | None) -> DataFrame:
+    """FACTS of all bodies, each task with all names of the catalog."""
     objects = doc.objects.select("schema", "name", object_id("schema", "name").alias("id"), "kind").distinct().collect()
     columns = bundle.columns.select("table_id", "name", "column_id", "ordinal").orderBy("table_id", "ordinal").collect()
     calls = bundle.vertices.where("kind IN ('function', 'procedure', 'package')").select("schema", "name", "id").collect()
     inside = {r["owner"]: r["member_of"] for r in bodies.select(F.col("o2").alias("owner"), "member_of").where("owner IS NOT NULL").collect()}
     facts = [(r["schema"], r["name"], r["id"], r["kind"]) for r in objects], [(r["table_id"], r["name"], r["column_id"]) for r in columns], [(f"{r['schema']}.{inside[r['id']]}" if r["id"] in inside else r["schema"], r["name"], r["id"]) for r in calls]
-    dialect, database = header.get("dialect") or "", header.get("database")
-    folds = dialect == "mysql" and header.get("lower_case_table_names") in (1, 2) or dialect == "sqlserver" and "_CI" in (header.get("collation") or "") and not (header.get("collation") or "").startswith(("Turkish", "Azeri"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         catalog = Catalog(dialect, database, folds)
@@ -203,32 +228,82 @@ def enrich(doc: Document, bundle: GraphBundle, cache: str | None = None) -> Grap
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
             yield out.astype({"line": "Int64", "col": "Int64"})
 
-    from ...workspace import ship
-
-    ship(spark)
+    ship(bundle.spark)
     if cache is None:
-        told = written(work.repartition("owner").mapInPandas(run, FACTS), "facts")
-    else:
-        members = bodies.select(F.col("o2").alias("id"), "member_of").where("id IS NOT NULL").dropDuplicates(["id"])
-        told = _through_cache(cache, doc, bundle, work, members, run, f"{dialect}|{database}|{folds}")
-    ids = bundle.vertices.select("id")
-    edges = told.where("fact = 'edge'")
-    real = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    ghosts = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select("owner", F.lit("SG_DML_GHOST_VERTEX").alias("code"), F.concat(F.lit("not a vertex: "), "dst").alias("message"), none("line", "int"), none("col", "int"), F.array().cast("array<string>").alias("candidates")).distinct()
-    notes = told.where("fact = 'note'").select("owner", "code", "message", "line", "col", "candidates").unionByName(ghosts).withColumnRenamed("owner", "id")
-    unsupported = told.where("fact = 'state' AND state = 'unsupported'").select(F.col("owner").alias("id"), F.lit(True).alias("lost"))
-    notes = notes.join(unsupported, "id", "left").withColumn("code", F.when(F.col("lost") & (F.col("code") == "SG_BODY_PARTIAL"), "SG_BODY_UNSUPPORTED").otherwise(F.col("code"))).drop("lost")
-    key = ["src", "dst", "kind"]
-    return bundle.with_tables(
-        edges=union_all([bundle.edges.select(*key), real.select(*key)]).distinct(),
-        evidence=union_all([bundle.evidence, real.select(*key, F.lit("body-parse").alias("layer"), F.concat(F.lit("body of "), "owner").alias("detail")).distinct()]),
-        origins=union_all([bundle.origins, real.select(*key, "body_hash", "role", "line", "col").distinct()]),
-        limitations=union_all([bundle.limitations, told.where("fact = 'limit'").select(F.col("message").alias("note"))]),
-        analysis=union_all([bundle.analysis, bodiless.select("id", F.lit("unsupported").alias("state"), F.lit("object").alias("scope"), none("body_hash")), told.where("fact = 'state'").select(F.col("owner").alias("id"), "state", "scope", "body_hash")]),
-        diagnostics=union_all([bundle.diagnostics, bodiless.select("id", F.lit("SG_BODY_UNAVAILABLE").alias("code"), F.lit("the catalog gives no body").alias("message"), none("line", "int"), none("col", "int"), F.array().cast("array<string>").alias("candidates")), notes.select("id", "code", "message", "line", "col", "candidates")]),
+        return written(work.repartition("owner").mapInPandas(run, FACTS), "facts")
+    return _through_cache(cache, doc, bundle, work, members, run, f"{dialect}|{database}|{folds}")
+
+
+def _facts(doc: Document, bundle: GraphBundle, members: DataFrame) -> DataFrame:
+    """(key, part, a, b, c, d): what a catalog is made of, by the key under which a body looks it up (see ``catalog.name_key``)."""
+    key = lambda part, *c: F.concat_ws("|", F.lit(part), *c).alias("key")
+    row = lambda df, key, part, *c: df.select(key, F.lit(part).alias("part"), *(x.cast("string").alias(n) for x, n in zip(c, "abcd", strict=True)))
+    none, col, low = F.lit(None), F.col, F.lower
+    routines = bundle.vertices.where("kind IN ('function', 'procedure', 'package')").select("schema", "name", "id").join(members, "id", "left").withColumn("place", F.concat_ws(".", "schema", "member_of"))
+    return union_all(
+        [
+            row(doc.objects, key("o", low("schema"), low("name")), "object", col("schema"), col("name"), object_id("schema", "name"), col("kind")).distinct(),
+            row(doc.objects, key("s", col("schema")), "schema", col("schema"), none, none, none).distinct(),
+            row(bundle.columns, key("c", col("table_id")), "column", col("table_id"), col("name"), col("column_id"), col("ordinal")),
+            row(routines, key("r", low("place"), low("name")), "routine", col("place"), col("name"), col("id"), none),
+        ]
     )
 
 
+def _in_rounds(work: DataFrame, facts: DataFrame, dialect: str, database: str | None, folds: bool) -> DataFrame:
+    """FACTS of all bodies without a whole catalog anywhere. A body is bound against the names it has been given, at first none; one that looks up others is bound
+    again with them too, until it asks for nothing new: what it says then is what it says of the whole catalog. A row holds what one body asks for."""
+    ship(work.sparkSession)
+    columns = [c.split() for c in FACTS.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    shape = pa.schema([(c, types[t]) for c, t in columns])
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], f.type) for n, f in enumerate(shape)], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for k in range(batch.num_rows):  # what one body was given is in Python at a time
+                owner, kind, schema, body, language, table, have = (batch.column(c)[k].as_py() for c in ("owner", "kind", "schema", "body", "language", "table_id", "have"))
+                catalog = Catalog(dialect, database, folds)
+                outputs: list[tuple[str, str]] = []
+                parts: dict[str, list] = {}
+                for f in batch.column("found")[k].as_py():
+                    parts.setdefault(f["part"], []).append(f)
+                for f in parts.get("object", ()):
+                    catalog.add_object(f["a"], f["b"], f["c"], f["d"])
+                catalog.schemas.update(f["a"] for f in parts.get("schema", ()))
+                for f in sorted(parts.get("column", ()), key=lambda f: (f["a"], -1 if f["d"] is None else int(f["d"]))):
+                    catalog.add_column(f["a"], f["b"], f["c"])
+                    if f["a"] == owner:
+                        outputs.append((f["b"], f["c"]))
+                for f in parts.get("routine", ()):
+                    catalog.add_routine(f["a"], f["b"], f["c"])
+                rows = bind_body(catalog, owner, kind, schema, body, language, outputs, table)
+                asked = catalog.touched | ({f"c|{owner}"} if kind in ("view", "materialized-view") else set())
+                if not asked <= set(have):
+                    rows = [_row(owner, "touch", x) for x in sorted(asked.union(have))]
+                held += rows
+                if len(held) >= 10_000:
+                    yield told(held)
+                    held = []
+        yield told(held)
+
+    facts = written(facts, "catalog-facts")
+    fact = F.struct("part", "a", "b", "c", "d")
+    todo = work.withColumns({"have": F.array().cast("array<string>"), "found": F.array().cast("array<struct<part: string, a: string, b: string, c: string, d: string>>")})
+    done: list[DataFrame] = []
+    while True:
+        bound = written(todo.repartition("owner").mapInArrow(run, FACTS), "facts")
+        done.append(bound.where("fact <> 'touch'"))
+        asked = bound.where("fact = 'touch'").select("owner", F.col("message").alias("key")).distinct()
+        if asked.isEmpty():
+            return union_all(done)
+        given = asked.join(facts, "key", "left").groupBy("owner").agg(F.collect_set("key").alias("have"), F.collect_list(F.when(F.col("part").isNotNull(), fact)).alias("found"))
+        todo = work.join(given, "owner")
+
+
 def _names(doc: Document, bundle: GraphBundle, members: DataFrame) -> DataFrame:
     """(message, body_hash): everything that a body can look up, by the keys of ``catalog.name_key``, with a hash of what is found there."""
     key = lambda part, *c: F.concat(F.lit(f"{part}|"), F.concat_ws("|", *c))
